@@ -34,7 +34,7 @@ def read_delimited(
     if header_lines <= 1:
         return spark.read.schema(schema).options(**options, header=str(header_lines == 1).lower()).csv(path)
     lines = (
-        spark.read.option("wholetext", "true").text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
         .filter((F.col("pos") >= header_lines) & (F.col("line") != ""))
     )
@@ -109,8 +109,14 @@ def overwrite_partition(name: str, df: DataFrame, partition: Mapping[str, str])
 
 def overwrite_dynamic(name: str, df: DataFrame) -> None:
     """Replace only the partitions present in the input; columns are matched by name."""
-    columns = df.sparkSession.table(name).columns
-    df.select(*columns).write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+    spark = df.sparkSession
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode, "static")
+    spark.conf.set(mode, "dynamic")
+    try:
+        df.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
 
 
 def refresh_in_place(spark: SparkSession, name: str, transform: Callable[[DataFrame], DataFrame]) -> None:
@@ -136,8 +142,10 @@ def update_rows(spark: SparkSession, name: str, pred: Column, values: Mapping[st
 
 def delete_rows(spark: SparkSession, name: str, pred: Column | None = None) -> None:
     """Delete rows where the predicate is true; without a predicate, all rows."""
-    if pred is None:
+    if pred is None and spark.catalog.getTable(name).tableType == "MANAGED":
         spark.sql(f"TRUNCATE TABLE {name}")
+    elif pred is None:  # Spark does not truncate tables at a location of their own
+        spark.createDataFrame([], spark.table(name).schema).write.insertInto(name, overwrite=True)
     else:
         refresh_in_place(spark, name, lambda t: without(t, pred))
 
