@@ -33,13 +33,17 @@ def _items_schema(depth: int) -> str:
 
 
 _ITEMS = f"struct<{_items_schema(ITEM_DEPTH)}>"
-REPORT_SCHEMA = (
-    "Name string, Code string,"
-    " DataSources struct<DataSource:array<struct<_Name:string,ConnectionProperties:struct<ConnectString:string,DataProvider:string>>>>,"
-    " ReportParameters struct<ReportParameter:array<struct<_Name:string>>>,"
-    " DataSets struct<DataSet:array<struct<_Name:string,Query:struct<CommandType:string,CommandText:string,"
-    "QueryParameters:struct<QueryParameter:array<struct<_Name:string>>>>>>>,"
-    f" Body struct<ReportItems:{_ITEMS}>,"
+_SOURCES = (
+    "DataSources struct<DataSource:array<struct<_Name:string,"
+    "ConnectionProperties:struct<ConnectString:string,DataProvider:string>>>>"
+)
+_PARAMETERS = "ReportParameters struct<ReportParameter:array<struct<_Name:string>>>"
+_DATASETS = (
+    "DataSets struct<DataSet:array<struct<_Name:string,Query:struct<CommandType:string,CommandText:string,"
+    "QueryParameters:struct<QueryParameter:array<struct<_Name:string>>>>>>>"
+)
+_BODY = (
+    f"Body struct<ReportItems:{_ITEMS}>,"
     f" Page struct<PageHeader:struct<ReportItems:{_ITEMS}>,PageFooter:struct<ReportItems:{_ITEMS}>>"
 )
 
@@ -103,7 +107,7 @@ def _report_items(parsed: DataFrame) -> DataFrame:
         below = _next_level(F.col(f"_{depth - 1}"), inner)
         rows = rows.withColumn(f"_{depth}", F.array_compact(below))
     every = F.concat(*[_items(F.col(f"_{depth}")) for depth in range(ITEM_DEPTH + 1)])
-    return rows.select("report", F.inline(every))
+    return rows.select("report", F.inline_outer(every)).filter("item_type IS NOT NULL")
 
 
 class ReportTables(NamedTuple):
@@ -117,19 +121,24 @@ class ReportTables(NamedTuple):
 
 def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> ReportTables:
     """Child tables of a corpus of report XML. A report without a name takes its file stem."""
-    parsed = parse_xml(df, xml, REPORT_SCHEMA).select(
-        F.when(F.col("doc_bad"), F.col(stem))
-        .otherwise(F.coalesce(F.nullif(F.trim("doc.Name"), F.lit("")), F.col(stem)))
-        .alias("report"),
-        F.col("doc_bad").alias("unreadable"),
-        "doc",
-    )
 
-    def child(path: str) -> DataFrame:
-        return parsed.select("report", F.posexplode(path).alias("pos", "n"))
+    def parsed(part: str) -> DataFrame:
+        """The corpus read with the schema of one child table only."""
+        docs = parse_xml(df, xml, f"Name string, {part}")
+        name = F.coalesce(F.nullif(F.trim("doc.Name"), F.lit("")), F.col(stem))
+        return docs.select(
+            F.when(F.col("doc_bad"), F.col(stem)).otherwise(name).alias("report"),
+            F.col("doc_bad").alias("unreadable"),
+            "doc",
+        )
+
+    def child(part: str, path: str) -> DataFrame:
+        # the outer form keeps Spark from parsing the XML again in a derived filter
+        rows = parsed(part).select("report", F.posexplode_outer(path).alias("pos", "n"))
+        return rows.filter("pos IS NOT NULL")
 
     query = F.col("n.Query")
-    datasets = child("doc.DataSets.DataSet").select(
+    datasets = child(_DATASETS, "doc.DataSets.DataSet").select(
         "report",
         "pos",
         F.coalesce("n._Name", F.lit("")).alias("dataset"),
@@ -142,19 +151,19 @@ def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> Repor
     )
     code = F.nullif(F.trim("doc.Code"), F.lit(""))
     return ReportTables(
-        reports=parsed.select("report", "unreadable", code.isNotNull().alias("has_code")),
-        data_sources=child("doc.DataSources.DataSource").select(
+        reports=parsed("Code string").select("report", "unreadable", code.isNotNull().alias("has_code")),
+        data_sources=child(_SOURCES, "doc.DataSources.DataSource").select(
             "report",
             F.coalesce("n._Name", F.lit("")).alias("data_source"),
             F.coalesce(F.trim("n.ConnectionProperties.ConnectString"), F.lit("")).alias("connection"),
             F.coalesce(F.trim("n.ConnectionProperties.DataProvider"), F.lit("")).alias("provider"),
         ),
-        parameters=child("doc.ReportParameters.ReportParameter").select(
+        parameters=child(_PARAMETERS, "doc.ReportParameters.ReportParameter").select(
             "report", "pos", F.col("n._Name").alias("parameter")
         ).filter("parameter != ''"),
         datasets=datasets,
-        items=_report_items(parsed),
-        code_blocks=parsed.select("report", code.alias("code")).filter("code IS NOT NULL"),
+        items=_report_items(parsed(_BODY)),
+        code_blocks=parsed("Code string").select("report", code.alias("code")).filter("code IS NOT NULL"),
     )
 
 

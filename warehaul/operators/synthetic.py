@@ -33,10 +33,7 @@ def base_type(declared: str) -> str:
 
 def to_struct(schema: Mapping[str, str]) -> StructType:
     """Spark schema of a synthetic table."""
-    struct = StructType()
-    for name, declared in schema.items():
-        struct = struct.add(name, SYNTHETIC_TYPES[base_type(declared)][0], True)
-    return struct
+    return StructType.fromDDL(", ".join(f"`{n}` {SYNTHETIC_TYPES[base_type(t)][0]}" for n, t in schema.items()))
 
 
 def _value(row: Column, column: str, declared: str, seed: int) -> Column:

@@ -332,10 +332,11 @@ def window_tour(
     )
     if hot is None:
         return result
+    # each step reads its input several times, so the steps are cut apart
     step = checkpointed(hot)
-    step = with_row_number(step, keys, value_order, "rn", max_rows)
-    step = _with_ranks(step, keys, by_value, {"rank": "rnk", "dense_rank": "dense_rnk"}, max_rows)
-    step = with_partition_sum(step, keys, value, "total_spent", max_rows)
+    step = checkpointed(with_row_number(step, keys, value_order, "rn", max_rows))
+    step = checkpointed(_with_ranks(step, keys, by_value, {"rank": "rnk", "dense_rank": "dense_rnk"}, max_rows))
+    step = checkpointed(with_partition_sum(step, keys, value, "total_spent", max_rows))
     step = with_neighbours(
         step, keys, time_order, {"prev_amt": ("lag", value), "next_amt": ("lead", value)}, max_rows
     )

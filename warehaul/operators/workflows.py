@@ -59,7 +59,8 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
     """(nodes, edges) of a corpus of workflow XML.
 
     Nodes: workflow, node, kind, action_type, retries, settings and parameters. Edges: workflow,
-    src, dst, kind (ok or error). Actions of an unknown kind and unreadable files drop.
+    src, dst, kind (ok or error) and the kinds of both ends. Actions of an unknown kind and
+    unreadable files drop.
     """
     docs = parse_xml(df, xml, WORKFLOW_SCHEMA).filter(~F.col("doc_bad")).select(
         F.coalesce(F.nullif(F.col("doc._name"), F.lit("")), F.col(stem)).alias("workflow"),
@@ -68,7 +69,8 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
     )
 
     no_list = F.array().cast("array<string>")
-    actions = docs.select("workflow", "global_config", F.explode("doc.action").alias("n")).select(
+    # the outer forms of explode and inline keep Spark from parsing the XML again in a derived filter
+    actions = docs.select("workflow", "global_config", F.explode_outer("doc.action").alias("n")).select(
         "workflow",
         "global_config",
         F.col("n._name").alias("node"),
@@ -99,16 +101,20 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
             F.array().cast("array<struct<node:string,kind:string>>"),
         )
 
-    plain = docs.select("workflow", F.inline(F.concat(*[named(k) for k in ("decision", "fork", "join", "kill")])))
+    others = F.concat(*[named(k) for k in ("decision", "fork", "join", "kill")])
+    plain = docs.select("workflow", F.inline_outer(others)).filter("node IS NOT NULL")
     nodes = action_nodes.unionByName(plain, allowMissingColumns=True)
 
-    def steps(path: str, ok) -> Column:
+    def steps(path: str, kind: str, ok) -> Column:
         """Edges of one kind of element; ``ok`` gives the array of its (dst, kind)."""
-        empty = F.array().cast("array<struct<src:string,dst:string,kind:string>>")
+        empty = F.array().cast("array<struct<src:string,dst:string,kind:string,src_kind:string>>")
 
         def outgoing(n: Column) -> Column:
             return F.transform(
-                ok(n), lambda o: F.struct(n["_name"].alias("src"), o["dst"].alias("dst"), o["kind"].alias("kind"))
+                ok(n),
+                lambda o: F.struct(
+                    n["_name"].alias("src"), o["dst"].alias("dst"), o["kind"].alias("kind"), F.lit(kind).alias("src_kind")
+                ),
             )
 
         return F.coalesce(F.flatten(F.transform(path, outgoing)), empty)
@@ -125,18 +131,32 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
     every = F.concat(
         steps(
             "doc.action",
+            "action",
             lambda a: F.when(known(a), F.array(to(a["ok"]["_to"]), to(a["error"]["_to"], "error"))).otherwise(
                 F.array().cast("array<struct<dst:string,kind:string>>")
             ),
         ),
-        steps("doc.fork", lambda f: all_to(f["path"]["_start"])),
-        steps("doc.`join`", lambda j: F.array(to(j["_to"]))),
+        steps("doc.fork", "fork", lambda f: all_to(f["path"]["_start"])),
+        steps("doc.`join`", "join", lambda j: F.array(to(j["_to"]))),
         steps(
             "doc.decision",
+            "decision",
             lambda d: F.concat(all_to(d["switch"]["case"]["_to"]), F.array(to(d["switch"]["default"]["_to"]))),
         ),
     )
-    edges = docs.select("workflow", F.inline(every)).filter(F.coalesce(F.col("dst"), F.lit("")) != "")
+    # all nodes of a workflow stand in its own row: the kind of a target needs no join
+    own_actions = F.transform(
+        F.filter(F.coalesce("doc.action", F.array()), known),
+        lambda a: F.struct(a["_name"].alias("node"), F.lit("action").alias("kind")),
+    )
+    pairs = F.transform(F.concat(others, own_actions), lambda n: F.struct(n["node"].alias("key"), n["kind"].alias("value")))
+    edges = (
+        docs.select("workflow", every.alias("_edges"), scalar.last_wins(pairs).alias("_kinds"))
+        .select("workflow", "_kinds", F.inline_outer("_edges"))
+        .filter(F.coalesce(F.col("dst"), F.lit("")) != "")
+        .withColumn("dst_kind", F.try_element_at("_kinds", F.col("dst")))
+        .drop("_kinds")
+    )
     return nodes, edges
 
 
@@ -147,8 +167,8 @@ def contract_edges(
     """Predecessors of the real nodes: (keys, node, pred, kind), distinct.
 
     Walks back through pass-through nodes along ok edges; an error edge counts for one hop only.
-    ``edges`` may carry ``src_kind`` and ``dst_kind`` itself, else they are looked up in ``nodes``.
-    Every round is checkpointed and pairs already seen are dropped, so cycles end the walk.
+    ``edges`` carry ``src_kind`` and ``dst_kind``, else both are looked up in ``nodes``. Every round
+    is checkpointed and pairs already seen are dropped, so cycles end the walk.
     """
     keys = list(keys)
     if nodes is not None:
@@ -171,17 +191,18 @@ def contract_edges(
     )
     found, seen = [reached], front
     while not front.isEmpty():
-        step = checkpointed(front.join(inner, [*keys, "at"]).select(*keys, "node", "_src", "_src_kind").distinct())
+        step = checkpointed(
+            front.join(inner, [*keys, "at"])
+            .select(*keys, "node", F.col("_src").alias("at"), "_src_kind")
+            .distinct()
+            .join(seen, [*keys, "node", "at"], "left_anti")
+        )
         found.append(
             step.filter(F.col("_src_kind").isin(*real)).select(
-                *keys, "node", F.col("_src").alias("pred"), F.lit("ok").alias("kind")
+                *keys, "node", F.col("at").alias("pred"), F.lit("ok").alias("kind")
             )
         )
-        front = checkpointed(
-            step.filter(F.col("_src_kind").isin(*through))
-            .select(*keys, "node", F.col("_src").alias("at"))
-            .join(seen, [*keys, "node", "at"], "left_anti")
-        )
+        front = step.filter(F.col("_src_kind").isin(*through)).drop("_src_kind")
         seen = seen.unionByName(front)
     return reduce(DataFrame.unionByName, found).distinct()
 

@@ -438,8 +438,8 @@ def workflow_nodes(spark, sf):
 
 @query(f"SELECT workflow, node, pred, kind FROM ({_WF}) JOIN {_PREDS} USING (m)")
 def workflow_predecessors(spark, sf):
-    nodes, edges = workflows.workflow_tables(workflow_files(spark, sf))
-    return workflows.contract_edges(edges, ["workflow"], nodes)
+    _, edges = workflows.workflow_tables(workflow_files(spark, sf))
+    return workflows.contract_edges(edges, ["workflow"])
 
 
 @query(
@@ -449,7 +449,7 @@ def workflow_predecessors(spark, sf):
 )
 def workflow_run_conditions(spark, sf):
     nodes, edges = workflows.workflow_tables(workflow_files(spark, sf))
-    return workflows.run_conditions(workflows.contract_edges(edges, ["workflow"], nodes), nodes, ["workflow"])
+    return workflows.run_conditions(workflows.contract_edges(edges, ["workflow"]), nodes, ["workflow"])
 
 
 @query(
