@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,19 +27,27 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a declared schema.
 
-    The reader itself skips one header line; further header lines are skipped by their position
-    in each file.
+    The reader itself skips one header line. More header lines are skipped by their position in
+    the first block of each file; only first blocks are shuffled for that, never whole files.
     """
     options = {"sep": sep, "mode": "PERMISSIVE", "enforceSchema": "true"}
     if header_lines <= 1:
         return spark.read.schema(schema).options(**options, header=str(header_lines == 1).lower()).csv(path)
-    lines = (
-        spark.read.text(path, wholetext=True)
-        .select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-        .filter((F.col("pos") >= header_lines) & (F.col("line") != ""))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_pos"),
     )
-    target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    return lines.select(F.from_csv("line", target.simpleString()[7:-1], options).alias("row")).select("row.*")
+    in_file = Window.partitionBy("_file").orderBy("_pos")
+    first = lines.filter("_start = 0").withColumn("_line", F.row_number().over(in_file))
+    body = first.filter(F.col("_line") > header_lines).select("value")
+    rest = lines.filter("_start > 0").select("value")
+    fields = schema if isinstance(schema, str) else ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields
+    )
+    rows = body.unionByName(rest).filter("value != ''")
+    return rows.select(F.from_csv("value", F.lit(fields), options).alias("row")).select("row.*")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
