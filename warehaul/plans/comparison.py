@@ -173,7 +173,7 @@ def generate_run_compare(spark, sf):
     original = "SELECT cust_id, nvl(city, 'NONE') AS city, amount FROM wh_syn_people"
     cases = {
         "agree": "SELECT cust_id, coalesce(city, 'NONE') AS city, amount FROM wh_syn_people",
-        "lost rows": "SELECT cust_id, coalesce(city, 'NONE') AS city, amount FROM wh_syn_people WHERE amount > 500",
+        "lost rows": "SELECT cust_id, coalesce(city, 'NONE') AS city, amount FROM wh_syn_people WHERE amount > 50000",
     }
     verdicts = [
         rec.reconcile_sql(spark, original, text).select(F.lit(case).alias("case"), "passed", F.col("left_count").alias("rows"))
