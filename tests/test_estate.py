@@ -182,9 +182,10 @@ def test_reports(spark):
         return f'<DataSet Name="{name}"><Query>{command}<CommandText>{text}</CommandText><QueryParameters><QueryParameter Name="@P"/></QueryParameters></Query></DataSet>'
 
     nested = (
-        '<Body><ReportItems><Rectangle><ReportItems><Tablix Name="t"><DataSetName>a</DataSetName><TablixBody><TablixRows><TablixRow><TablixCells>'
+        "<Body>" + "<ReportItems><Rectangle>" * 6
+        + '<ReportItems><Tablix Name="t"><DataSetName>a</DataSetName><TablixBody><TablixRows><TablixRow><TablixCells>'
         '<TablixCell><CellContents><Textbox Name="x"/></CellContents></TablixCell></TablixCells></TablixRow></TablixRows></TablixBody></Tablix>'
-        '</ReportItems></Rectangle><Chart Name="c"/></ReportItems></Body>'
+        '<List><Chart Name="c"/></List></ReportItems>' + "</Rectangle></ReportItems>" * 6 + "</Body>"
     )
     docs = [
         ("s1", f"<Report {NS}><Name>R1</Name><DataSets>{dataset('a', '<CommandType>Text</CommandType>', 'SELECT GetDate(), dateadd(d, 1, x)')}</DataSets>{nested}</Report>"),
@@ -192,16 +193,17 @@ def test_reports(spark):
         ("s3", f"<Report {NS}><Code>c</Code><DataSets>{dataset('c', '', 'SELECT 1')}</DataSets></Report>"),
         ("s4", f"<Report {NS}/>"),
         ("s5", "<Report><broken"),
+        ("s6", f"<SharedDataSet>{dataset('shared', '', 'SELECT 2')}</SharedDataSet>"),
     ]
     tables = reports.report_tables(spark.createDataFrame(docs, "stem string, text string"))
-    assert rows(reports.report_status(tables), "report", "convertible") == [("R1", True), ("s2", False), ("s3", True), ("s4", False), ("s5", False)]
+    assert rows(reports.report_status(tables), "report", "convertible") == [("R1", True), ("s2", False), ("s3", True), ("s4", False), ("s5", False), ("s6", True)]
     assert rows(tables.items) == [("R1", "Chart", "c", ""), ("R1", "Tablix", "t", "a"), ("R1", "Textbox", "x", "")]
     warned = rows(reports.report_warnings(tables), "report", "warning")
     assert sum(r == "R1" for r, _ in warned) == 2
     assert ("s2", "Dataset 'b' uses a stored procedure ('dbo.p') — manual migration required") in warned
     assert ("s4", "No datasets found — nothing to convert") in warned and ("s5", "XML parse error") in warned
     assert not any(r == "s5" and "No datasets" in w for r, w in warned)
-    assert tuple(reports.fleet_summary(tables).first()) == (5, 2, 3, 3)
+    assert tuple(reports.fleet_summary(tables).first()) == (6, 3, 3, 4)
     assert rows(tables.code_blocks) == [("s2", "code"), ("s3", "c")]
 
 

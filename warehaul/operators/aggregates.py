@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warehaul.operators.windows import sort_columns, top_n_per_key, with_row_number
@@ -33,10 +33,13 @@ def numeric_sum(df: DataFrame, col: str, name: str = "total") -> DataFrame:
     return df.agg(F.sum(F.col(col).try_cast("double")).alias(name))
 
 
-def any_of(df: DataFrame, keys: Sequence[str], **tests) -> DataFrame:
-    """Boolean roll-up: true where any row of the group satisfies the test, never NULL."""
+def flags_and_counts(
+    df: DataFrame, keys: Sequence[str], any_of: Mapping[str, Column], count_of: Mapping[str, Column]
+) -> DataFrame:
+    """Per group: does any row satisfy a test (never NULL), and how many rows satisfy a test."""
     return df.groupBy(*keys).agg(
-        *[F.coalesce(F.bool_or(test), F.lit(False)).alias(name) for name, test in tests.items()]
+        *[F.coalesce(F.bool_or(test), F.lit(False)).alias(name) for name, test in any_of.items()],
+        *[F.count_if(test).alias(name) for name, test in count_of.items()],
     )
 
 

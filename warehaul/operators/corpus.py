@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warehaul.functions import fixed_values as fv
-from warehaul.operators.aggregates import count_by_value, top_usage
-from warehaul.operators.projection import lines_of
+from warehaul.operators.aggregates import count_by_value, last_by, top_usage
+from warehaul.operators.projection import split_lines, without_last_break
 
 SEVERITIES = ("BLOCKER", "ERROR", "WARNING", "INFO")
 MAX_RULES = 1000
@@ -55,14 +55,22 @@ def audit(df: DataFrame, id_col: str, text: str, rules: Sequence[Rule] = SCRIPT_
     ``lines`` are the lines on which the pattern matches by itself and ``count`` their number, so
     a match that spans lines is an issue with no lines.
     """
-    body = F.col(text)
+    hits = [f"_hit{i}" for i in range(len(rules))]
+    marked = df.select(
+        id_col, F.col(text).alias("_text"), *[F.col(text).rlike(r.regex).alias(h) for r, h in zip(rules, hits)]
+    )
+    # the text is split once, and only where some rule hits
+    some = F.greatest(*[F.col(h) for h in hits]) if len(hits) > 1 else F.col(hits[0])
+    split = marked.withColumn("_parts", F.when(some, split_lines(F.col("_text")))).withColumn(
+        "_lines", without_last_break(F.col("_parts"))
+    )
 
     def found(no: int, rule: Rule) -> Column:
         numbers = F.array_compact(
-            F.transform(lines_of(body), lambda line, i: F.when(line.rlike(rule.regex), i + 1))
+            F.transform("_lines", lambda line, i: F.when(line.rlike(rule.regex), i + 1))
         )
         return F.when(
-            body.rlike(rule.regex),
+            F.col(hits[no]),
             F.struct(
                 F.lit(no).alias("rule_no"),
                 F.lit(rule.category).alias("category"),
@@ -73,9 +81,11 @@ def audit(df: DataFrame, id_col: str, text: str, rules: Sequence[Rule] = SCRIPT_
             ),
         )
 
-    issues = F.array_compact(F.array(*[found(i, r) for i, r in enumerate(rules)]))
+    issues = F.array(*[found(i, r) for i, r in enumerate(rules)])
+    # the outer form keeps Spark from evaluating the issues again in a derived filter
     return (
-        df.select(id_col, F.explode(issues).alias("issue"))
+        split.select(id_col, F.explode_outer(issues).alias("issue"))
+        .filter("issue IS NOT NULL")
         .select(id_col, "issue.*")
         .withColumn("count", F.size("lines").cast("bigint"))
     )
@@ -93,7 +103,7 @@ def classify(df: DataFrame, statement: str) -> DataFrame:
     upper = F.upper(F.col(statement))
     inserts = F.length(upper) - F.length(F.replace(upper, F.lit("INSERT"), F.lit("")))
     creates = upper.rlike(r"CREATE\s+(EXTERNAL\s+)?TABLE")
-    findings = F.array_compact(
+    findings = (
         F.array(
             F.when(upper.rlike(r"MSCK\s+REPAIR\s+TABLE\s+\w+"), _finding(fv.REPAIR_FINDING)),
             F.when(
@@ -108,7 +118,8 @@ def classify(df: DataFrame, statement: str) -> DataFrame:
             .when(creates & upper.contains("AS SELECT"), _finding(fv.CTAS_FINDING)),
         )
     )
-    return df.select("*", F.explode(findings).alias("_f")).select(*df.columns, "_f.*")
+    rows = df.select("*", F.explode_outer(findings).alias("_f")).filter("_f IS NOT NULL")
+    return rows.select(*df.columns, "_f.*")
 
 
 def severity_matrix(issues: DataFrame, id_col: str) -> DataFrame:
@@ -157,7 +168,7 @@ def migrate_cells(
     is_code = F.col(kind) == code
     cells = df.withColumn(text, F.when(is_code, rewritten(F.col(text), rewrites)).otherwise(F.col(text)))
     order = {message: i for i, (_, message) in enumerate(warnings)}
-    found = F.array_compact(
+    found = (
         F.array(
             *[
                 F.when(is_code & F.col(text).rlike(p), F.struct(F.lit(order[m]).alias("no"), F.lit(m).alias("message")))
@@ -166,7 +177,8 @@ def migrate_cells(
         )
     )
     first = (
-        cells.select(doc, F.col(pos).alias("_pos"), F.explode(found).alias("w"))
+        cells.select(doc, F.col(pos).alias("_pos"), F.explode_outer(found).alias("w"))
+        .filter("w IS NOT NULL")
         .groupBy(doc, "w.no", "w.message")
         .agg(F.min("_pos").alias("_pos"))
     )
@@ -187,7 +199,7 @@ def extract_placeholders(df: DataFrame, id_col: str, text: str) -> DataFrame:
     raw_names = F.regexp_extract_all(body, F.lit("(?iU)" + fv.VARIABLE_SET), F.lit(1))
     raw_values = F.regexp_extract_all(body, F.lit("(?iU)" + fv.VARIABLE_SET), F.lit(2))
     settings = F.transform(
-        F.arrays_zip(raw_names.alias("name"), raw_values.alias("value")),
+        F.arrays_zip(F.col("_names").alias("name"), F.col("_values").alias("value")),
         lambda s: F.struct(
             F.regexp_replace(s["name"], "(?i)^hivevar:", "").alias("name"), F.trim(_no_breaks(s["value"])).alias("value")
         ),
@@ -196,10 +208,12 @@ def extract_placeholders(df: DataFrame, id_col: str, text: str) -> DataFrame:
         settings,
         lambda s: ~s["name"].contains(".") & ~_starts_with_any(F.lower(s["name"]), fv.ENGINE_SETTING_PREFIXES),
     )
-    staged = df.select(F.col(id_col), used.alias("_used"), settings.alias("_set")).withColumn(
+    found = df.select(id_col, used.alias("_used"), raw_names.alias("_names"), raw_values.alias("_values"))
+    staged = found.select(id_col, "_used", settings.alias("_set")).withColumn(
         "_names", F.array_distinct(F.concat("_used", F.transform("_set", lambda s: s["name"])))
     )
-    rows = staged.select(id_col, "_set", F.posexplode("_names").alias("position", "name"))
+    rows = staged.select(id_col, "_set", F.posexplode_outer("_names").alias("position", "name"))
+    rows = rows.filter("name IS NOT NULL")
     mine = F.filter("_set", lambda s: s["name"] == F.col("name"))
     value = F.try_element_at(mine, F.lit(-1))["value"]
     quoted = (
@@ -225,13 +239,20 @@ def _starts_with_any(value: Column, prefixes: Sequence[str]) -> Column:
 
 
 def apply_replacements(
-    original: DataFrame, proposed: DataFrame, keys: Sequence[str], text: str = "text"
+    original: DataFrame, proposed: DataFrame, keys: Sequence[str], text: str = "text", order: Sequence[str] = ()
 ) -> DataFrame:
     """Accept a proposed text only if its id is known, it is long enough and it keeps the words
     INSERT and PARTITION of the original; otherwise the original stays and ``skip_reason`` says why.
 
-    Proposals for unknown ids come back as rows without a text.
+    Proposals for unknown ids come back as rows without a text. With ``order`` the last proposal
+    of an id wins; without it, repeated ids are an error.
     """
+    if order:
+        proposed = last_by(proposed, keys, order)
+    else:
+        repeated = proposed.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+        if not repeated.isEmpty():
+            raise ValueError("several proposals for one id; give an order")
     new = proposed.select(*keys, F.trim(F.col(text)).alias("_new"), F.lit(True).alias("_hit"))
     old = original.withColumn("_known", F.lit(True))
     both = old.join(new, list(keys), "full")

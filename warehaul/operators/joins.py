@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warehaul.operators.windows import HOT_ROWS, hot_keys, top_n_per_key
-from warehaul.session import checkpointed, small
+from warehaul.session import checkpointed, fits, small
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -64,7 +64,7 @@ def join_skewed(
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
     right = (
         other.join(hot, on, "left")
-        .withColumn("_salt", F.explode(salts.cast("array<bigint>")))
+        .withColumn("_salt", F.explode_outer(salts.cast("array<bigint>")))
         .drop("_hot")
     )
     return left.drop("_hot").join(right, [*on, "_salt"], how).drop("_salt")
@@ -75,7 +75,9 @@ def lookup(
 ) -> DataFrame:
     """Left join to one row per key of ``dim`` (the first by ``order``); ``default`` when missing."""
     one = top_n_per_key(dim, [on], order, 1).select(on, *columns)
-    return join_small(df, one, on, "left").withColumns(
+    # the size check reads the table itself and not its windowed form, which has no more rows
+    one = F.broadcast(one) if fits(dim.select(on, *columns)) else one
+    return df.join(one, on, "left").withColumns(
         {c: F.coalesce(F.col(c), F.lit(default)) for c in columns}
     )
 
@@ -96,14 +98,14 @@ def match_cascade(
     steps = range(1, len(keys) + 1)
     candidates = right.select(
         "*",
-        F.explode(
+        F.explode_outer(
             F.array(*[F.struct(F.lit(i).alias("step"), k.alias("key")) for i, (_, k) in zip(steps, keys)])
         ).alias("_c"),
     ).select(*payload, *[c.lstrip("-") for c in order if c.lstrip("-") not in payload], "_c.step", "_c.key")
     best = top_n_per_key(candidates.dropna(subset=["key"]), ["step", "key"], order, 1).select("step", "key", *payload)
     probes = left.select(
         left_id,
-        F.explode(
+        F.explode_outer(
             F.array(*[F.struct(F.lit(i).alias("step"), k.alias("key")) for i, (k, _) in zip(steps, keys)])
         ).alias("_p"),
     ).select(left_id, "_p.step", "_p.key")

@@ -76,7 +76,8 @@ def declare(spark: SparkSession, settings: Sequence[tuple[str, str | None]]) ->
 
 def explode_delimited(df: DataFrame, col: str, sep: str = ",", name: str = "item") -> DataFrame:
     """One row per list item; rows whose list is NULL or empty drop."""
-    return df.filter(F.col(col) != "").select("*", F.explode(F.split(col, f"\\Q{sep}\\E")).alias(name))
+    items = F.split(col, f"\\Q{sep}\\E")
+    return df.filter(F.col(col) != "").select("*", F.explode_outer(items).alias(name))
 
 
 def flatten(df: DataFrame, columns: Sequence[str], name: str = "field", value: str = "value") -> DataFrame:
@@ -85,14 +86,18 @@ def flatten(df: DataFrame, columns: Sequence[str], name: str = "field", value: s
     return df.unpivot(keep, list(columns), name, value)
 
 
-def lines_of(text: Column) -> Column:
-    """Array of the lines of a text: all Unicode line breaks, no trailing empty line."""
-    parts = F.split(text, LINE_BREAKS, -1)
+def split_lines(text: Column) -> Column:
+    """Array of the lines of a text at all Unicode line breaks, with an empty one after a last break."""
+    return F.split(text, LINE_BREAKS, -1)
+
+
+def without_last_break(parts: Column) -> Column:
+    """The same without the empty line after a last break."""
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def to_lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Text to numbered lines, counted from 1."""
-    return df.select(id_col, F.posexplode(lines_of(F.col(text))).alias("pos", "line")).select(
-        id_col, (F.col("pos") + 1).cast("bigint").alias("line_no"), "line"
-    )
+    parts = df.select(id_col, split_lines(F.col(text)).alias("_parts"))
+    lines = parts.select(id_col, F.posexplode_outer(without_last_break(F.col("_parts"))).alias("pos", "line"))
+    return lines.filter("pos IS NOT NULL").select(id_col, (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")

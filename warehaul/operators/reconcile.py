@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,10 @@ def comparable(df: DataFrame, digits: int = DOUBLE_DIGITS) -> DataFrame:
     def value(name: str, kind: str) -> Column:
         c = F.col(f"`{name}`")
         if kind in ("double", "float"):
-            return (F.round(c.cast("double"), digits) + F.lit(0.0)).alias(name)
+            unit = 10.0**digits
+            # beyond 2^53 units a double holds no further digits, so it stays as it is
+            rounded = F.when(F.abs(c) < 2.0**53 / unit, F.rint(c * unit) / unit).otherwise(c.cast("double"))
+            return (rounded + F.lit(0.0)).alias(name)
         if kind.startswith(("map", "struct", "variant")):
             return F.to_json(c).alias(name)
         return c.alias(name)
@@ -119,19 +122,26 @@ def fingerprint(df: DataFrame, table: str | None = None) -> DataFrame:
     )
 
 
+def _digest(df: DataFrame) -> Row:
+    """Count and order-free digest of all rows: two sums of independent 64-bit row hashes."""
+    rows = comparable(df)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    hashes = (F.xxhash64(*columns), F.xxhash64(F.lit("second"), *reversed(columns)))
+    sums = [F.sum(h.cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"s{i}") for i, h in enumerate(hashes)]
+    return rows.agg(F.count("*").alias("n"), *sums).first()
+
+
 def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
     """One-row verdict: counts, schema match, data match, passed and a short report.
 
-    Names are compared without order and types. The rows are compared only if counts and names agree.
+    Names are compared without order and types. The rows are compared only if counts and names
+    agree: first by digests, which shuffle nothing, and row by row only if the digests differ.
     """
-    sides = left.select(F.lit("l").alias("side")).unionAll(right.select(F.lit("r").alias("side")))
-    counts = sides.agg(
-        F.count_if(F.col("side") == "l").alias("l"), F.count_if(F.col("side") == "r").alias("r")
-    ).first()
-    return _verdict(left, right, counts["l"], counts["r"])
+    return _verdict(left, right, _digest(left), _digest(right))
 
 
-def _verdict(left: DataFrame, right: DataFrame, n_left: int, n_right: int) -> DataFrame:
+def _verdict(left: DataFrame, right: DataFrame, a: Row, b: Row) -> DataFrame:
+    n_left, n_right = a["n"], b["n"]
     spark = left.sparkSession
     only_left = sorted(set(left.columns) - set(right.columns))
     only_right = sorted(set(right.columns) - set(left.columns))
@@ -144,7 +154,7 @@ def _verdict(left: DataFrame, right: DataFrame, n_left: int, n_right: int) -> Da
     if only_right:
         lines.append(f"only right: {only_right}")
     if schema_match and count_match:
-        sample = diff_rows(left, right, SAMPLE_ROWS).collect()
+        sample = [] if a == b else diff_rows(left, right, SAMPLE_ROWS).collect()
         data_match = not sample
         lines += [f"{r['side']} x{r['copies']}: {r.asDict()}" for r in sample]
     passed = bool(schema_match and count_match and data_match)
@@ -169,15 +179,15 @@ def reconcile_sql(spark: SparkSession, original: str, migrated: str) -> DataFram
     """Run both texts and compare; the error names the side that failed, and the second text
     is not run if the first one fails."""
     frames = []
-    counts = []
+    digests = []
     for label, text in (("Original", original), ("Migrated", migrated)):
         try:
             df = spark.sql(text)
-            counts.append(df.count())
+            digests.append(_digest(df))
             frames.append(df)
         except Exception as exc:
-            first = counts[0] if counts else 0
+            first = digests[0]["n"] if digests else 0
             left = frames[0].columns if frames else []
             error = f"{label} SQL failed: {str(exc).splitlines()[0]}"
             return _record(spark, False, False, False, None, first, 0, left, [], [], error)
-    return _verdict(frames[0], frames[1], counts[0], counts[1])
+    return _verdict(*frames, *digests)

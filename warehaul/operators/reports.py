@@ -3,111 +3,54 @@
 from __future__ import annotations
 
 from typing import NamedTuple
+from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warehaul.functions import fixed_values as fv
 from warehaul.functions.scalar import any_match
 from warehaul.sources.corpora import parse_xml
 
-ITEM_DEPTH = 3
-
-
-def _items_schema(depth: int) -> str:
-    """Report items, and those inside table cells and rectangles ``depth`` levels down."""
-    inner = f"struct<{_items_schema(depth - 1)}>" if depth else ""
-    cells = (
-        f",TablixBody:struct<TablixRows:struct<TablixRow:array<struct<TablixCells:struct<TablixCell:"
-        f"array<struct<CellContents:{inner}>>>>>>>"
-        if depth
-        else ""
-    )
-    kinds = [
-        f"{k}:array<struct<_Name:string,DataSetName:string{cells if k in ('Tablix', 'Matrix') else ''}>>"
-        for k in fv.REPORT_ITEM_KINDS
-    ]
-    if depth:
-        kinds.append(f"Rectangle:array<struct<ReportItems:{inner}>>")
-    return ",".join(kinds)
-
-
-_ITEMS = f"struct<{_items_schema(ITEM_DEPTH)}>"
 _SOURCES = (
     "DataSources struct<DataSource:array<struct<_Name:string,"
     "ConnectionProperties:struct<ConnectString:string,DataProvider:string>>>>"
 )
 _PARAMETERS = "ReportParameters struct<ReportParameter:array<struct<_Name:string>>>"
-_DATASETS = (
-    "DataSets struct<DataSet:array<struct<_Name:string,Query:struct<CommandType:string,CommandText:string,"
-    "QueryParameters:struct<QueryParameter:array<struct<_Name:string>>>>>>>"
-)
-_BODY = (
-    f"Body struct<ReportItems:{_ITEMS}>,"
-    f" Page struct<PageHeader:struct<ReportItems:{_ITEMS}>,PageFooter:struct<ReportItems:{_ITEMS}>>"
+_DATASET = (
+    "array<struct<_Name:string,Query:struct<CommandType:string,CommandText:string,"
+    "QueryParameters:struct<QueryParameter:array<struct<_Name:string>>>>>>"
 )
+# datasets stand in a list, or by themselves in the file of a shared dataset
+_DATASETS = f"DataSets struct<DataSet:{_DATASET}>, DataSet {_DATASET}"
+_ITEMS = "array<struct<item_type:string,name:string,dataset:string>>"
 
-_ITEM = "array<struct<item_type:string,name:string,dataset:string>>"
-
-
-def _named(kind: str):
-    """Item of one kind as (item_type, name, dataset)."""
-
-    def item(i: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("item_type"),
-            F.coalesce(i["_Name"], F.lit("")).alias("name"),
-            F.coalesce(F.trim(i["DataSetName"]), F.lit("")).alias("dataset"),
-        )
-
-    return item
-
-
-def _items(containers: Column) -> Column:
-    """The items that stand directly in an array of containers."""
-    empty = F.array().cast(_ITEM)
-    return F.flatten(
-        F.transform(
-            containers,
-            lambda c: F.concat(
-                *[F.coalesce(F.transform(c[kind], _named(kind)), empty) for kind in fv.REPORT_ITEM_KINDS]
-            ),
-        )
-    )
 
+def _items(texts: pd.Series) -> pd.Series:
+    """Items of a report at any depth, kind by kind, with the first dataset named inside each.
 
-def _next_level(containers: Column, inner: str) -> Column:
-    """The containers one level down: table cells and rectangles."""
-    empty = F.array().cast(f"array<{inner}>")
+    Items nest without a limit, which a declared schema cannot say, so this one list is made in
+    Python on Arrow batches. Unreadable XML has no items.
+    """
 
-    def cells(table: Column) -> Column:
-        rows = F.transform(
-            table["TablixBody"]["TablixRows"]["TablixRow"],
-            lambda r: F.coalesce(r["TablixCells"]["TablixCell"]["CellContents"], empty),
-        )
-        return F.coalesce(F.flatten(rows), empty)
-
-    return F.flatten(
-        F.transform(
-            containers,
-            lambda c: F.concat(
-                *[F.coalesce(F.flatten(F.transform(c[kind], cells)), empty) for kind in ("Tablix", "Matrix")],
-                F.coalesce(c["Rectangle"]["ReportItems"], empty),
-            ),
-        )
-    )
+    def local(element) -> str:
+        return element.tag.rsplit("}", 1)[-1] if isinstance(element.tag, str) else ""
 
+    def items(text: str | None) -> list[dict]:
+        try:
+            root = ElementTree.fromstring((text or "").encode())
+        except ElementTree.ParseError:
+            return []
+        found = []
+        for element in root.iter():
+            if local(element) in fv.REPORT_ITEM_KINDS:
+                named = next((e for e in element.iter() if local(e) == "DataSetName"), None)
+                dataset = (named.text or "").strip() if named is not None else ""
+                found.append({"item_type": local(element), "name": element.get("Name", ""), "dataset": dataset})
+        return sorted(found, key=lambda i: fv.REPORT_ITEM_KINDS.index(i["item_type"]))
 
-def _report_items(parsed: DataFrame) -> DataFrame:
-    """All items of a report, down to ``ITEM_DEPTH`` levels of nesting."""
-    sections = ("doc.Body.ReportItems", "doc.Page.PageHeader.ReportItems", "doc.Page.PageFooter.ReportItems")
-    rows = parsed.select("report", F.array_compact(F.array(*[F.col(s) for s in sections])).alias("_0"))
-    for depth in range(1, ITEM_DEPTH + 1):
-        inner = f"struct<{_items_schema(ITEM_DEPTH - depth)}>"
-        below = _next_level(F.col(f"_{depth - 1}"), inner)
-        rows = rows.withColumn(f"_{depth}", F.array_compact(below))
-    every = F.concat(*[_items(F.col(f"_{depth}")) for depth in range(ITEM_DEPTH + 1)])
-    return rows.select("report", F.inline_outer(every)).filter("item_type IS NOT NULL")
+    return texts.map(items)
 
 
 class ReportTables(NamedTuple):
@@ -130,15 +73,17 @@ def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> Repor
             F.when(F.col("doc_bad"), F.col(stem)).otherwise(name).alias("report"),
             F.col("doc_bad").alias("unreadable"),
             "doc",
+            F.col(xml).alias("xml"),
         )
 
-    def child(part: str, path: str) -> DataFrame:
+    def child(part: str, *paths: str) -> DataFrame:
+        elements = F.coalesce(*[F.col(p) for p in paths])
         # the outer form keeps Spark from parsing the XML again in a derived filter
-        rows = parsed(part).select("report", F.posexplode_outer(path).alias("pos", "n"))
+        rows = parsed(part).select("report", F.posexplode_outer(elements).alias("pos", "n"))
         return rows.filter("pos IS NOT NULL")
 
     query = F.col("n.Query")
-    datasets = child(_DATASETS, "doc.DataSets.DataSet").select(
+    datasets = child(_DATASETS, "doc.DataSets.DataSet", "doc.DataSet").select(
         "report",
         "pos",
         F.coalesce("n._Name", F.lit("")).alias("dataset"),
@@ -162,7 +107,10 @@ def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> Repor
             "report", "pos", F.col("n._Name").alias("parameter")
         ).filter("parameter != ''"),
         datasets=datasets,
-        items=_report_items(parsed(_BODY)),
+        items=parsed("Code string")
+        .select("report", F.explode_outer(F.pandas_udf(_items, _ITEMS)("xml")).alias("i"))
+        .filter("i IS NOT NULL")
+        .select("report", "i.*"),
         code_blocks=parsed("Code string").select("report", code.alias("code")).filter("code IS NOT NULL"),
     )
 
@@ -191,7 +139,7 @@ def report_warnings(tables: ReportTables) -> DataFrame:
     per_dataset = tables.datasets.select(
         "report",
         F.col("pos").cast("bigint").alias("place"),
-        F.explode(
+        F.explode_outer(
             F.when(
                 F.col("query_language") == "StoredProcedure",
                 F.array(F.concat(lead, F.lit(" uses a stored procedure ("), quoted, F.lit(") — manual migration required"))),
@@ -202,7 +150,7 @@ def report_warnings(tables: ReportTables) -> DataFrame:
             )
             .otherwise(hints)
         ).alias("warning"),
-    )
+    ).filter("warning IS NOT NULL")
     none = tables.reports.filter("NOT unreadable").join(tables.datasets.select("report"), "report", "left_anti")
     flat = [
         (tables.reports.filter("unreadable"), -2, "XML parse error"),

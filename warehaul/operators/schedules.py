@@ -34,11 +34,11 @@ def schedule_slots(df: DataFrame, chunk: int = SLOTS_PER_ROW) -> DataFrame:
     # enough steps to pass the end whatever the lengths of days and months; the surplus is filtered
     steps = F.ceil((F.unix_seconds("_end") - F.unix_seconds("_start")) / 3600 / hours) + 1
     spread = base.withColumn("_steps", steps).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_steps") / chunk)))
+        "_chunk", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_steps") / chunk)))
     )
     first = F.col("_chunk") * chunk
     rows = spread.withColumn(
-        "slot_no", F.explode(F.sequence(first, F.least(first + chunk - 1, F.col("_steps"))))
+        "slot_no", F.explode_outer(F.sequence(first, F.least(first + chunk - 1, F.col("_steps"))))
     )
     k = (F.col("slot_no") * F.col("_n")).cast("int")
     local = F.from_utc_timestamp("_start", F.col("timezone")).cast("timestamp_ntz")

@@ -89,7 +89,7 @@ def usage_by_dir(entries: DataFrame, depth: int | None = None) -> DataFrame:
     )
     return (
         files_only(entries)
-        .select(F.explode(prefixes).alias("directory"), "size")
+        .select(F.explode_outer(prefixes).alias("directory"), "size")
         .groupBy("directory")
         .agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
     )

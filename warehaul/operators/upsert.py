@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warehaul.session import small
+from warehaul.session import checkpointed, small
 
 
 def upsert(
@@ -17,9 +17,11 @@ def upsert(
     source rows without a match are added, all other rows stay.
 
     A presence column tells a matched NULL from no match. Repeated source keys are an error.
-    Only the source and the distinct target keys are shuffled when the source is small.
+    The source is materialised, as it is read several times. When it is small, only it and the
+    distinct target keys are shuffled.
     """
     keys = list(keys)
+    source = checkpointed(source)
     columns = target.columns
     set_cols = [c for c in columns if c not in keys] if set_cols is None else list(set_cols)
     repeated = source.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").limit(3).collect()

@@ -242,8 +242,7 @@ def merge_periods(
     """
     keys = list(keys)
     order = [start, end]
-    rows = df.select(*keys, start, end).distinct()
-    cold, hot, pieces = _split(rows, keys, max_rows)
+    cold, hot, pieces = _split(df.select(*keys, start, end), keys, max_rows)
 
     def opens(before: Column) -> Column:
         return F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)
@@ -255,7 +254,8 @@ def merge_periods(
     )
     parts = [grouped.select(*keys, start, end, "_group")]
     if hot is not None:
-        cut = ranged_pieces(hot, [*[F.col(k) for k in keys], *sort_columns(order)], pieces)
+        # copies of a period say nothing new, and would all fall into one piece
+        cut = ranged_pieces(hot.distinct(), [*[F.col(k) for k in keys], *sort_columns(order)], pieces)
         inside = Window.partitionBy(*keys, "_piece").orderBy(start, end)
         ends = (
             cut.groupBy(*keys, "_piece")

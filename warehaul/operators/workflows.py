@@ -294,7 +294,7 @@ def link_schedules(schedules: DataFrame, workflows: DataFrame, ids: DataFrame |
 def bundle_table(df: DataFrame, xml: str = "text") -> DataFrame:
     """One row per coordinator that a bundle names."""
     docs = parse_xml(df, xml, BUNDLE_SCHEMA).filter(~F.col("doc_bad"))
-    entry = docs.select(F.col("doc._name").alias("bundle"), F.explode("doc.coordinator").alias("c")).withColumn(
+    entry = docs.select(F.col("doc._name").alias("bundle"), F.explode_outer("doc.coordinator").alias("c")).filter("c IS NOT NULL").withColumn(
         "p", _properties(F.col("c.configuration"))
     )
     return entry.select(

@@ -13,7 +13,7 @@ from warehaul.operators.windows import with_lead
 from warehaul.plans.loading import fresh
 from warehaul.plans.tables import table
 from warehaul.registry import query
-from warehaul.session import scratch_path
+from warehaul.session import scratch_path, spread
 from warehaul.sources import corpora
 from warehaul.sources import tables as src
 from warehaul.streaming.daily_summary import read_stream, stream_daily_summary
@@ -40,8 +40,9 @@ SCRIPT_CTE = f"""scripts AS (SELECT k, {SCRIPT_TEXT} AS text FROM (
 
 
 def scripts(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     return (
-        table(spark, sf, "orders")
+        spread(orders, "o_orderkey")
         .select(
             F.col("o_orderkey").alias("k"),
             F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"),
@@ -86,7 +87,7 @@ DOCUMENT_RULES = (
 )
 def audit_documents(spark, sf):
     """The rule audit over whole documents."""
-    return corpus.audit(table(spark, sf, "documents"), "doc_id", "text", DOCUMENT_RULES).select(
+    return corpus.audit(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", DOCUMENT_RULES).select(
         "doc_id", "rule_no", "category", "severity", F.concat_ws(",", "lines").alias("lines"), "count"
     )
 
@@ -409,8 +410,7 @@ WORKFLOW_XML = f"""CASE WHEN k % 97 = 96 THEN '<workflow-app name="broken"' ELSE
 
 def workflow_files(spark, sf):
     return (
-        table(spark, sf, "customer")
-        .select(F.col("c_custkey").alias("k"))
+        spread(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), "k")
         .select(F.concat(F.lit("flow_"), "k").alias("stem"), F.expr(WORKFLOW_XML).alias("text"))
     )
 
@@ -596,8 +596,7 @@ REPORT_XML = f"""CASE WHEN k % 101 = 100 THEN '<Report><Name>broken' ELSE
 
 def report_set(spark, sf):
     files = (
-        table(spark, sf, "part")
-        .select(F.col("p_partkey").alias("k"))
+        spread(table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k")
         .select(F.concat(F.lit("file_"), "k").alias("stem"), F.expr(REPORT_XML).alias("text"))
     )
     return reports.report_tables(files)

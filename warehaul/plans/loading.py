@@ -11,7 +11,7 @@ from warehaul.operators import layout, projection
 from warehaul.operators.upsert import upsert
 from warehaul.plans.tables import AS_OF, customers, fact_orders, sales, table, with_cte
 from warehaul.registry import query
-from warehaul.session import scratch_path
+from warehaul.session import balanced, scratch_path
 from warehaul.sources import tables as src
 
 
@@ -308,7 +308,7 @@ def retail_fact_load(spark, sf):
     with_cte(
         "fact_orders customers",
         f"""SELECT CAST(order_date AS DATE) AS order_day, region, count(*) AS order_count,
-            round(sum(total_amount), 2) AS daily_revenue, round(avg(total_amount), 4) AS avg_order_value
+            round(sum(total_amount), 2) AS daily_revenue, round(sum(total_amount), 2) / count(*) AS avg_order_value
         FROM ({_FACT}) WHERE route = 'completed' GROUP BY 1, 2
         UNION ALL SELECT DATE '1990-01-01', r_name, CAST(0 AS BIGINT), 0.0, NULL FROM region""",
     )
@@ -319,7 +319,7 @@ def retail_daily_upsert(spark, sf):
     daily = fact.groupBy(F.to_date("order_date").alias("order_day"), "region").agg(
         F.count("*").alias("order_count"),
         F.round(F.sum("total_amount"), 2).alias("daily_revenue"),
-        F.round(F.avg("total_amount"), 4).alias("avg_order_value"),
+        (F.round(F.sum("total_amount"), 2) / F.count("*")).alias("avg_order_value"),
     )
     zero = [F.lit(0).cast("bigint").alias("order_count"), F.lit(0.0).alias("daily_revenue"), F.lit(None).cast("double").alias("avg_order_value")]
     old = table(spark, sf, "region").select(F.to_date(F.lit("1990-01-01")).alias("order_day"), F.col("r_name").alias("region"), *zero)
@@ -346,9 +346,7 @@ def text_to_partitioned_orc(spark, sf):
         spark, raw, "order_id STRING, customer_id STRING, product_id STRING, amount DOUBLE, quantity INT, order_date STRING"
     )
     loaded = rows.withColumn("order_month", F.substring("order_date", 1, 7))
-    # rows of one month meet in a few tasks, so that a month is a few files and not one per task
-    spread = F.pmod(F.xxhash64("order_id", "product_id"), F.lit(4))
-    name = _new_table(spark, "sales_orc", loaded.repartition("order_month", spread), "orc", ["order_month"])
+    name = _new_table(spark, "sales_orc", balanced(loaded, "order_month"), "orc", ["order_month"])
     return (
         spark.table(name)
         .filter("order_month >= '1998-01' AND order_month < '1998-04'")

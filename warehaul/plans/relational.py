@@ -195,6 +195,27 @@ def reusable_transforms(spark, sf):
     )
 
 
+@query("SELECT * FROM supplier")
+def table_full_scan(spark, sf):
+    table(spark, sf, "supplier").createOrReplaceTempView("wh_supplier")
+    return spark.table("wh_supplier")
+
+
+@query(
+    """WITH base AS (SELECT o_custkey, o_totalprice, o_orderdate, o_orderkey FROM orders),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM base)
+    SELECT o_custkey, o_totalprice FROM ranked WHERE rn = 1"""
+)
+def chained_ctes(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("wh_orders")
+    return projection.run(
+        spark,
+        """WITH base AS (SELECT o_custkey, o_totalprice, o_orderdate, o_orderkey FROM wh_orders),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM base)
+        SELECT o_custkey, o_totalprice FROM ranked WHERE rn = 1""",
+    )
+
+
 # --- joins ----------------------------------------------------------------------------------
 
 RICH = "c_acctbal >= 0"
@@ -317,6 +338,13 @@ def join_salted(spark, sf):
     )
 
 
+@query("SELECT event_id, doc_id, quality FROM events JOIN labels ON user_id = doc_id")
+def join_skewed_adaptive(spark, sf):
+    """Hot users are left to the adaptive skew join."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("user_id"), F.col("doc_id"), "quality")
+    return joins.join_skewed(table(spark, sf, "events").select("event_id", "user_id"), labels, ["user_id"]).drop("user_id")
+
+
 @query(
     """SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0)
         ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
@@ -389,13 +417,13 @@ def hierarchy_expansion(spark, sf):
 
 @query(
     """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total,
-        round(avg(l_quantity), 4) AS avg_quantity FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+        round(sum(l_quantity), 2) / count(*) AS avg_quantity FROM lineitem GROUP BY l_returnflag, l_linestatus"""
 )
 def group_totals(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         F.count("*").alias("n"),
         F.round(F.sum("l_extendedprice"), 2).alias("total"),
-        F.round(F.avg("l_quantity"), 4).alias("avg_quantity"),
+        (F.round(F.sum("l_quantity"), 2) / F.count("*")).alias("avg_quantity"),
     )
 
 
@@ -437,10 +465,13 @@ def numeric_sum_of_text(spark, sf):
         count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM events GROUP BY user_id"""
 )
 def any_and_count_if(spark, sf):
-    events = table(spark, sf, "events")
-    flags = agg.any_of(events, ["user_id"], has_error=F.col("event_type") == "error", has_large=F.col("value") > 95)
-    counts = events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("purchases"))
-    return flags.join(counts, "user_id")
+    kind, value = F.col("event_type"), F.col("value")
+    return agg.flags_and_counts(
+        table(spark, sf, "events"),
+        ["user_id"],
+        {"has_error": kind == "error", "has_large": value > 95},
+        {"purchases": kind == "purchase"},
+    )
 
 
 @query(
@@ -479,7 +510,7 @@ def last_value_wins(spark, sf):
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls,
         count(DISTINCT {c}) AS "distinct", CAST(min({c}) AS VARCHAR) AS smallest, CAST(max({c}) AS VARCHAR) AS largest,
-        round(avg(length(CAST({c} AS VARCHAR))), 6) AS avg_length, max(length(CAST({c} AS VARCHAR))) AS max_length FROM t"""
+        avg(length(CAST({c} AS VARCHAR))) AS avg_length, max(length(CAST({c} AS VARCHAR))) AS max_length FROM t"""
         for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "segment_if_rich")
     ).join(
         [
@@ -497,12 +528,22 @@ def column_profile(spark, sf):
         "c_mktsegment",
         F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("segment_if_rich"),
     )
-    return agg.profile(people).withColumn("avg_length", F.round("avg_length", 6))
+    return agg.profile(people)
 
 
-@query()
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls,
+        true AS near_exact FROM lineitem"""
+        for c in ("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
+    )
+)
 def column_profile_approx(spark, sf):
-    return agg.profile(table(spark, sf, "lineitem"), approx=True)
+    """The sketch-based profile, with its distinct counts held against exact ones (within 15 %)."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
+    exact = agg.profile(lines).select("column", F.col("distinct").alias("_exact"))
+    near = F.abs(F.col("distinct") - F.col("_exact")) <= 0.15 * F.col("_exact")
+    return agg.profile(lines, approx=True).join(exact, "column").select("column", "rows", "nulls", near.alias("near_exact"))
 
 
 # --- windows --------------------------------------------------------------------------------
@@ -695,6 +736,12 @@ def explode_item_list(spark, sf):
     return projection.explode_delimited(lists, "items").select("order_id", "item")
 
 
+@query("SELECT vec_id, pos, CAST(embedding[pos] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)")
+def explode_array_column(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    return rows.select("vec_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("x").cast("double").alias("x"))
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, field, value FROM (
         SELECT l_orderkey, l_linenumber, l_partkey, 'quantity' AS field, l_quantity AS value FROM lineitem
@@ -720,7 +767,7 @@ def text_lines(spark, sf):
 
 
 @query(with_cte("sales customers products", """SELECT category, city, round(sum(amount), 2) AS total_sales,
-    count(*) AS total_orders, round(avg(amount), 4) AS avg_sales
+    count(*) AS total_orders, round(sum(amount), 2) / count(*) AS avg_sales
     FROM sales LEFT JOIN customers USING (customer_id) JOIN products USING (product_id) GROUP BY category, city"""))
 def sales_by_category_city(spark, sf):
     base = (
@@ -731,7 +778,7 @@ def sales_by_category_city(spark, sf):
     return base.groupBy("category", "city").agg(
         F.round(F.sum("amount"), 2).alias("total_sales"),
         F.count("*").alias("total_orders"),
-        F.round(F.avg("amount"), 4).alias("avg_sales"),
+        (F.round(F.sum("amount"), 2) / F.count("*")).alias("avg_sales"),
     )
 
 
@@ -742,7 +789,7 @@ REPORT_DAYS = ("1998-01-01", "1998-12-31")
     with_cte(
         "fact_orders customers",
         f"""SELECT CAST(order_date AS DATE) AS order_day, region, count(order_id) AS order_count,
-        round(sum(total_amount), 2) AS total_revenue, round(avg(total_amount), 4) AS avg_order_value,
+        round(sum(total_amount), 2) AS total_revenue, round(sum(total_amount), 2) / count(*) AS avg_order_value,
         count(*) FILTER (WHERE discount_tier = 'GOLD') AS gold_count,
         count(*) FILTER (WHERE discount_tier = 'SILVER') AS silver_count,
         count(*) FILTER (WHERE discount_tier = 'BRONZE') AS bronze_count
@@ -758,7 +805,7 @@ def report_order_summary(spark, sf):
     return projection.run(
         spark,
         """SELECT CAST(o.order_date AS DATE) AS order_day, c.region, count(o.order_id) AS order_count,
-            round(sum(o.total_amount), 2) AS total_revenue, round(avg(o.total_amount), 4) AS avg_order_value,
+            round(sum(o.total_amount), 2) AS total_revenue, round(sum(o.total_amount), 2) / count(*) AS avg_order_value,
             count_if(o.discount_tier = 'GOLD') AS gold_count,
             count_if(o.discount_tier = 'SILVER') AS silver_count,
             count_if(o.discount_tier = 'BRONZE') AS bronze_count

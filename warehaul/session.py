@@ -69,3 +69,18 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCA
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its size allows it, else ``df`` as it is."""
     return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer partitions than cores, hashed over all cores by ``keys``.
+
+    For work that is heavy per row, as on texts. Inputs of many files or row groups stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def balanced(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows of equal ``columns`` together for a partitioned write: the adaptive engine splits large
+    groups and merges small ones, so files have a sensible size whatever the skew."""
+    return df.hint("rebalance", *columns)

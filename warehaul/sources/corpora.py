@@ -49,7 +49,8 @@ def read_cells(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
         F.from_json(json_col, CELLS_AS_TEXT)["cells"].alias("plain"),
         F.from_json(json_col, CELLS_AS_LIST)["cells"].alias("listed"),
     )
-    return df.select(id_col, F.posexplode(both).alias("pos", "cell")).select(
+    cells = df.select(id_col, F.posexplode_outer(both).alias("pos", "cell")).filter("pos IS NOT NULL")
+    return cells.select(
         id_col,
         "pos",
         F.col("cell.plain.cell_type").alias("kind"),

@@ -24,11 +24,15 @@ def stream_daily_summary(
 
     A batch only says which days have new rows; those days are summarised again from ``source()``
     and replace their partitions. So late rows count, and a batch that is run twice gives the same table.
+    A source partitioned by ``day`` is read only for the touched days.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         days = batch.select(F.to_date(ts).alias(day)).distinct()
-        touched = source().withColumn(day, F.to_date(ts)).join(small(days), day, "left_semi")
+        full = source()
+        if day not in full.columns:
+            full = full.withColumn(day, F.to_date(ts))
+        touched = full.join(small(days), day, "left_semi")
         overwrite_dynamic(target, summarise(touched))
 
     query = (
