@@ -111,9 +111,24 @@ LOCATION_CLAUSE = r"LOCATION\s+'hdfs://[^/']*([^']*)'"
 ACTION_KINDS = ("hive", "spark", "java", "pig", "sqoop", "shell", "fs", "email", "sub-workflow")
 FREQUENCY = r"\$\{coord:(minutes|hours|days|months)\((\d+)\)\}"
 
+NO_WORKFLOW_WARNING = (
+    "No workflow XML supplied for coordinator '%s'. A placeholder task pointing to '%s' was inserted. "
+    "Replace it with the actual migrated notebook path."
+)
+NO_COORDINATOR_WARNING = (
+    "Bundle entry '%s': coordinator XML for path '%s' was not supplied. "
+    "Add the coordinator XML to generate a complete job payload."
+)
+JOB_PLACEHOLDER = "{{job_id:%s}}"
+DEFAULT_SCHEDULE_NAME = "migrated-coordinator"
+RUN_ALWAYS, RUN_ON_ERROR, RUN_ON_SUCCESS = "ALL_DONE", "AT_LEAST_ONE_FAILED", "ALL_SUCCESS"
+
 # Report items.
 REPORT_ITEM_KINDS = ("Tablix", "Chart", "Matrix", "Textbox", "Image", "Subreport")
 CODE_BLOCK_WARNING = "Custom VB.NET code block detected — manual migration required"
+STORED_PROCEDURE_WARNING = "Dataset '%s' uses a stored procedure ('%s') — manual migration required"
+TABLE_DIRECT_WARNING = "Dataset '%s' uses TableDirect — convert to SELECT * FROM '%s'"
+DIALECT_WARNING = "Dataset '%s': T-SQL pattern detected — %s"
 NO_DATASET_WARNING = "No datasets found — nothing to convert"
 
 # Synthetic columns, type -> (Spark type, lowest, highest).

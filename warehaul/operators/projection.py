@@ -69,6 +69,7 @@ def declare(spark: SparkSession, settings: Sequence[tuple[str, str | None]]) ->
         if value is not None or name not in values:
             values[name] = UNSET_VARIABLE if value is None else value.strip()
     for name, value in values.items():
+        name = name.replace("`", "``")
         spark.sql(f"DECLARE OR REPLACE VARIABLE `{name}` STRING")
         spark.sql(f"SET VARIABLE `{name}` = :value", args={"value": value})
     return list(values)

@@ -129,12 +129,11 @@ def report_status(tables: ReportTables) -> DataFrame:
 
 def report_warnings(tables: ReportTables) -> DataFrame:
     """(report, place, warning): unreadable files, code blocks, datasets by kind and dialect hints."""
-    name, text = F.col("dataset"), F.col("query")
-    lead = F.concat(F.lit("Dataset '"), name, F.lit("'"))
-    quoted = F.concat(F.lit("'"), text, F.lit("'"))
     hints = F.transform(
-        any_match(text, [fv.IGNORE_CASE + p for p in fv.DIALECT_HINTS]),
-        lambda p: F.concat(lead, F.lit(": T-SQL pattern detected — "), F.substring(p, F.lit(len(fv.IGNORE_CASE) + 1), F.length(p))),
+        any_match(F.col("query"), [fv.IGNORE_CASE + p for p in fv.DIALECT_HINTS]),
+        lambda p: F.format_string(
+            fv.DIALECT_WARNING, F.col("dataset"), F.substring(p, F.lit(len(fv.IGNORE_CASE) + 1), F.length(p))
+        ),
     )
     per_dataset = tables.datasets.select(
         "report",
@@ -142,11 +141,11 @@ def report_warnings(tables: ReportTables) -> DataFrame:
         F.explode_outer(
             F.when(
                 F.col("query_language") == "StoredProcedure",
-                F.array(F.concat(lead, F.lit(" uses a stored procedure ("), quoted, F.lit(") — manual migration required"))),
+                F.array(F.format_string(fv.STORED_PROCEDURE_WARNING, "dataset", "query")),
             )
             .when(
                 F.col("query_language") == "TableDirect",
-                F.array(F.concat(lead, F.lit(" uses TableDirect — convert to SELECT * FROM "), quoted)),
+                F.array(F.format_string(fv.TABLE_DIRECT_WARNING, "dataset", "query")),
             )
             .otherwise(hints)
         ).alias("warning"),

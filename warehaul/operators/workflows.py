@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from warehaul.functions import fixed_values as fv
 from warehaul.functions import scalar
 from warehaul.functions.fixed_values import ACTION_KINDS
 from warehaul.operators.joins import link_or_placeholder, match_cascade
@@ -218,9 +219,9 @@ def run_conditions(preds: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> D
     return real.join(kinds, [*keys, "node"], "left").select(
         *keys,
         "node",
-        F.when(F.col("_ok") & F.col("_error"), "ALL_DONE")
-        .when(F.col("_error"), "AT_LEAST_ONE_FAILED")
-        .otherwise("ALL_SUCCESS")
+        F.when(F.col("_ok") & F.col("_error"), fv.RUN_ALWAYS)
+        .when(F.col("_error"), fv.RUN_ON_ERROR)
+        .otherwise(fv.RUN_ON_SUCCESS)
         .alias("run_if"),
         F.coalesce("n_preds", F.lit(0)).cast("bigint").alias("n_preds"),
     )
@@ -243,7 +244,7 @@ def coordinator_table(df: DataFrame, xml: str = "text") -> DataFrame:
     """Schedules of a corpus of coordinator XML."""
     docs = parse_xml(df, xml, COORDINATOR_SCHEMA).filter(~F.col("doc_bad"))
     return docs.select(
-        F.coalesce("doc._name", F.lit("migrated-coordinator")).alias("schedule"),
+        F.coalesce("doc._name", F.lit(fv.DEFAULT_SCHEDULE_NAME)).alias("schedule"),
         F.coalesce("doc._frequency", F.lit("")).alias("frequency"),
         F.col("doc._start").alias("start"),
         F.col("doc._end").alias("end"),
@@ -278,12 +279,9 @@ def link_schedules(schedules: DataFrame, workflows: DataFrame, ids: DataFrame |
     linked = link_or_placeholder(
         matched,
         "workflow",
-        F.concat(F.lit("{{job_id:"), "workflow", F.lit("}}")),
+        F.format_string(fv.JOB_PLACEHOLDER, "workflow"),
         path,
-        F.concat(
-            F.lit("No workflow XML supplied for coordinator '"), "schedule", F.lit("'. A placeholder task pointing to '"),
-            path, F.lit("' was inserted. Replace it with the actual migrated notebook path."),
-        ),
+        F.format_string(fv.NO_WORKFLOW_WARNING, "schedule", path),
     ).withColumn("task_key", F.concat(F.lit("run_"), scalar.task_key(F.coalesce("workflow", fallback))))
     if ids is None:
         return linked
@@ -316,10 +314,7 @@ def expand_bundles(bundles: DataFrame, schedules: DataFrame) -> DataFrame:
         "warning",
         F.when(
             F.col("schedule").isNull(),
-            F.concat(
-                F.lit("Bundle entry '"), "entry", F.lit("': coordinator XML for path '"), "app_path",
-                F.lit("' was not supplied. Add the coordinator XML to generate a complete job payload."),
-            ),
+            F.format_string(fv.NO_COORDINATOR_WARNING, "entry", "app_path"),
         ),
     )
 

@@ -11,30 +11,31 @@ from warehaul.registry import query
 
 
 def _pair(spark, sf):
-    """Orders, and orders as a faulty load left them: some rows lost, added and changed."""
-    old = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    key = F.col("o_orderkey")
+    """Orders, and orders as a faulty load left them: high ones lost, urgent ones also under a
+    negative key, low ones without status, and the expensive low ones with another price."""
+    old = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    priority, price = F.col("o_orderpriority"), F.col("o_totalprice")
+    low = priority == "5-LOW"
     new = (
-        old.filter(key % 10 != 3)
+        old.filter(priority != "2-HIGH")
         .withColumns(
             {
-                "o_orderstatus": F.when(key % 10 == 7, F.lit(None)).otherwise(F.col("o_orderstatus")),
-                "o_totalprice": F.when(key % 100 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")),
+                "o_orderstatus": F.when(~low, F.col("o_orderstatus")),
+                "o_totalprice": F.when(low & (price > 300000), price + 1).otherwise(price),
             }
         )
-        .unionByName(old.filter(key % 10 == 5).withColumn("o_orderkey", -key - 1))
+        .unionByName(old.filter(priority == "1-URGENT").withColumn("o_orderkey", -F.col("o_orderkey") - 1))
     )
     return old, new
 
 
 @query(
-    """SELECT false AS passed, false AS row_count_match, true AS schema_match, count(*) AS left_count,
-        count(*) - count(*) FILTER (WHERE o_orderkey % 10 = 3) + count(*) FILTER (WHERE o_orderkey % 10 = 5) + 1 AS right_count
-    FROM orders"""
+    """SELECT false AS passed, count(*) = right_count AS row_count_match, true AS schema_match, count(*) AS left_count, right_count
+    FROM orders, (SELECT count(*) FILTER (WHERE o_orderpriority <> '2-HIGH') + count(*) FILTER (WHERE o_orderpriority = '1-URGENT')
+        AS right_count FROM orders) GROUP BY right_count"""
 )
 def reconcile_row_counts(spark, sf):
     old, new = _pair(spark, sf)
-    new = new.unionByName(old.orderBy("o_orderkey").limit(1))
     return rec.reconcile(old, new).select("passed", "row_count_match", "schema_match", "left_count", "right_count")
 
 
@@ -56,10 +57,10 @@ def schema_difference(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey, 'missing_right' AS status, '' AS changed FROM orders WHERE o_orderkey % 10 = 3
-    UNION ALL SELECT -o_orderkey - 1, 'missing_left', '' FROM orders WHERE o_orderkey % 10 = 5
-    UNION ALL SELECT o_orderkey, 'changed', CASE WHEN o_orderkey % 100 = 7 THEN 'o_orderstatus,o_totalprice' ELSE 'o_orderstatus' END
-        FROM orders WHERE o_orderkey % 10 = 7"""
+    """SELECT o_orderkey, 'missing_right' AS status, '' AS changed FROM orders WHERE o_orderpriority = '2-HIGH'
+    UNION ALL SELECT -o_orderkey - 1, 'missing_left', '' FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT o_orderkey, 'changed', CASE WHEN o_totalprice > 300000 THEN 'o_orderstatus,o_totalprice' ELSE 'o_orderstatus' END
+        FROM orders WHERE o_orderpriority = '5-LOW'"""
 )
 def keyed_difference(spark, sf):
     old, new = _pair(spark, sf)

@@ -233,35 +233,43 @@ def script_variables(spark, sf):
 
 
 @query(
-    """SELECT k, text, skip_reason, skip_reason IS NULL AND m < 6 AS replaced FROM (
-        SELECT o_orderkey AS k, o_orderkey % 7 AS m,
-            CASE o_orderkey % 7 WHEN 0 THEN 'SELECT * FROM new_' || o_orderkey
-                WHEN 5 THEN 'INSERT INTO t PARTITION (dt) SELECT ' || o_orderkey
-                WHEN 4 THEN 'INSERT INTO t SELECT ' || o_orderkey WHEN 1 THEN 'SELECT * FROM old_table' WHEN 2 THEN 'INSERT INTO t SELECT 1'
-                WHEN 3 THEN 'INSERT OVERWRITE TABLE t PARTITION(dt) SELECT 1' ELSE 'SELECT * FROM old_table' END AS text,
-            CASE o_orderkey % 7 WHEN 1 THEN 'output too short' WHEN 2 THEN 'INSERT guard failed' WHEN 3 THEN 'PARTITION guard failed' END AS skip_reason
-        FROM orders)
-    UNION ALL SELECT -o_orderkey - 1, NULL, 'unknown id', false FROM orders WHERE o_orderkey % 11 = 0"""
+    """SELECT k, CASE WHEN skip_reason IS NULL AND proposed IS NOT NULL THEN proposed ELSE old END AS text, skip_reason,
+        skip_reason IS NULL AND proposed IS NOT NULL AS replaced FROM (SELECT *,
+            CASE WHEN length(proposed) < 10 THEN 'output too short'
+                WHEN contains(old, 'INSERT') AND NOT contains(proposed, 'INSERT') THEN 'INSERT guard failed'
+                WHEN contains(old, 'PARTITION') AND NOT contains(proposed, 'PARTITION') THEN 'PARTITION guard failed' END AS skip_reason
+        FROM (SELECT o_orderkey AS k, CASE o_orderpriority WHEN '1-URGENT' THEN 'INSERT OVERWRITE TABLE t PARTITION(dt) SELECT ' || o_orderkey
+                WHEN '2-HIGH' THEN 'INSERT INTO t SELECT ' || o_orderkey ELSE 'SELECT * FROM old_' || o_orderkey END AS old,
+            CASE WHEN o_totalprice < 50000 THEN NULL WHEN o_totalprice < 100000 THEN 'SELECT 1' WHEN o_orderstatus = 'F' THEN 'SELECT * FROM new_' || o_orderkey
+                WHEN o_orderstatus = 'O' THEN 'INSERT INTO n SELECT ' || o_orderkey ELSE 'INSERT INTO n PARTITION (dt) SELECT ' || o_orderkey END AS proposed
+        FROM orders))
+    UNION ALL SELECT -c_custkey - 1, NULL, 'unknown id', false FROM customer"""
 )
 def guarded_replacements(spark, sf):
-    k, m = F.col("k"), F.col("k") % 7
-    original = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).withColumn(
-        "text",
-        F.when(m.isin(2, 4), "INSERT INTO t SELECT 1")
-        .when(m.isin(3, 5), "INSERT OVERWRITE TABLE t PARTITION(dt) SELECT 1")
-        .otherwise("SELECT * FROM old_table"),
+    """Proposals for all but the cheapest orders' statements, and for customers, which are unknown ids."""
+    key, price, status = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderstatus")
+    orders = table(spark, sf, "orders")
+
+    def line(text: str):
+        return F.concat(F.lit(text), key)
+
+    priority = F.col("o_orderpriority")
+    original = orders.select(
+        key.alias("k"),
+        F.when(priority == "1-URGENT", line("INSERT OVERWRITE TABLE t PARTITION(dt) SELECT "))
+        .when(priority == "2-HIGH", line("INSERT INTO t SELECT "))
+        .otherwise(line("SELECT * FROM old_"))
+        .alias("text"),
     )
-    proposed = original.filter(m != 6).select(
-        "k",
-        F.when(m == 0, F.concat(F.lit("SELECT * FROM new_"), k))
-        .when(m == 1, "SELECT 1")
-        .when(m == 2, F.concat(F.lit("SELECT * FROM t_"), k))
-        .when(m == 3, F.concat(F.lit("INSERT INTO t SELECT "), k))
-        .when(m == 4, F.concat(F.lit("INSERT INTO t SELECT "), k))
-        .otherwise(F.concat(F.lit("INSERT INTO t PARTITION (dt) SELECT "), k))
+    proposed = orders.filter(price >= 50000).select(
+        key.alias("k"),
+        F.when(price < 100000, "SELECT 1")
+        .when(status == "F", line("SELECT * FROM new_"))
+        .when(status == "O", line("INSERT INTO n SELECT "))
+        .otherwise(line("INSERT INTO n PARTITION (dt) SELECT "))
         .alias("text"),
     )
-    unknown = original.filter(k % 11 == 0).select((-k - 1).alias("k"), F.lit("SELECT 'no such id'").alias("text"))
+    unknown = table(spark, sf, "customer").select((-F.col("c_custkey") - 1).alias("k"), F.lit("SELECT 'no such id'").alias("text"))
     return corpus.apply_replacements(original, proposed.unionByName(unknown), ["k"]).select("k", "text", "skip_reason", "replaced")
 
 
@@ -521,13 +529,15 @@ def schedule_links(spark, sf):
 
 
 @query(
-    f"""SELECT schedule, coalesce(CASE WHEN c % 2 = 0 THEN CAST(1000 + c AS VARCHAR) END, target) AS target FROM (
-        SELECT *, CAST(substr(workflow, 4) AS BIGINT) AS c FROM ({_LINKS}))"""
+    f"""SELECT schedule, coalesce(CAST(1000 + c_custkey AS VARCHAR), target) AS target FROM ({_LINKS})
+        LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON workflow = 'wf-' || c_custkey"""
 )
 def schedule_links_with_ids(spark, sf):
     """Placeholders of deployed workflows are replaced by their job ids."""
     names = workflow_names(spark, sf)
-    ids = names.filter("pos % 2 = 0").select("name", (F.col("pos") + 1000).alias("job_id"))
+    key = F.col("c_custkey")
+    deployed = table(spark, sf, "customer").filter("c_acctbal >= 0")
+    ids = deployed.select(F.concat(F.lit("wf-"), key).alias("name"), (key + 1000).alias("job_id"))
     return workflows.link_schedules(schedule_rows(spark, sf), names, ids).select("schedule", "target")
 
 
@@ -538,14 +548,14 @@ BUNDLE_XML = """'<bundle-app name="bundle_' || k || '" xmlns="uri:oozie:bundle:0
 
 @query(
     """SELECT 'bundle_' || c_custkey AS bundle, 'main' AS entry, '/coord/c' || c_custkey AS app_path, '' AS kickoff_time,
-        CASE WHEN c_custkey % 2 = 0 THEN 'coord_' || c_custkey END AS schedule, c_custkey % 2 <> 0 AS warned FROM customer
+        CASE WHEN c_acctbal >= 0 THEN 'coord_' || c_custkey END AS schedule, c_acctbal < 0 AS warned FROM customer
     UNION ALL SELECT 'bundle_' || c_custkey, 'extra', '/coord/x' || c_custkey, '2024-01-01T00:00Z', NULL, true FROM customer"""
 )
 def bundle_entries(spark, sf):
     key = F.col("c_custkey")
     customers = table(spark, sf, "customer")
     bundles = workflows.bundle_table(customers.select(key.alias("k")).select(F.expr(BUNDLE_XML).alias("text")))
-    known = customers.filter(key % 2 == 0).select(
+    known = customers.filter("c_acctbal >= 0").select(
         F.concat(F.lit("/coord/c"), key).alias("path"), F.concat(F.lit("coord_"), key).alias("schedule")
     )
     return workflows.expand_bundles(bundles, known).select(
