@@ -66,6 +66,15 @@ def test_doubles_compare_by_value(spark):
     assert math.isnan(a.collect()[1]["v"])
 
 
+def test_types_do_not_matter_for_numbers_only(spark):
+    a = spark.createDataFrame([(1, 2.0, "5")], "k int, v double, s string")
+    assert rec.reconcile(a, a.selectExpr("CAST(k AS BIGINT) k", "CAST(v AS DECIMAL(5,1)) v", "s")).first()["passed"]
+    other = rec.reconcile(a, a.selectExpr("k", "v", "CAST(s AS INT) s")).first()
+    assert other["schema_match"] and other["data_match"] is False
+    bad = spark.createDataFrame([(1, 2.0, "x")], "k int, v double, s string")
+    assert rec.reconcile(bad, a.selectExpr("k", "v", "CAST(s AS INT) s")).first()["data_match"] is False
+
+
 def test_keyed_difference(spark):
     a = spark.createDataFrame([(1, "a", 1), (2, "b", None), (3, "c", 3), (5, "d", 1), (5, "d", 2)], "k int, s string, n int")
     b = spark.createDataFrame([(1, "a", 1), (2, None, None), (4, "x", 3), (5, "d", 1)], "k int, s string, n int")

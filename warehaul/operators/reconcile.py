@@ -33,6 +33,28 @@ def comparable(df: DataFrame, digits: int = DOUBLE_DIGITS) -> DataFrame:
     return df.select(*[value(n, t) for n, t in sorted(df.dtypes)])
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def _same_types(a: DataFrame, b: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Both sides with columns that can meet: numbers of different types compare as numbers, any
+    other two types are told apart by their names, so that a text never equals a number."""
+    types_a, types_b = dict(a.dtypes), dict(b.dtypes)
+
+    def number(t: str) -> bool:
+        return t.split("(")[0] in _NUMBERS
+
+    mixed = [
+        c for c in types_a.keys() & types_b.keys()
+        if types_a[c] != types_b[c] and not (number(types_a[c]) and number(types_b[c])) and c not in keep
+    ]
+
+    def named(df: DataFrame, types: dict[str, str]) -> DataFrame:
+        return df.withColumns({c: F.concat(F.lit(f"{types[c]}:"), F.col(f"`{c}`").cast("string")) for c in mixed})
+
+    return named(a, types_a), named(b, types_b)
+
+
 def schema_diff(left: DataFrame, right: DataFrame, types: bool = False) -> DataFrame:
     """Columns found on one side only, sorted; with ``types`` also those whose type differs."""
     spark = left.sparkSession
@@ -49,7 +71,7 @@ def diff_rows(left: DataFrame, right: DataFrame, limit: int | None = None) -> Da
 
     Columns are matched by name. Copies are counted before the shuffle, so many equal rows are cheap.
     """
-    a, b = comparable(left), comparable(right)
+    a, b = _same_types(comparable(left), comparable(right))
     both = a.withColumn("_sign", F.lit(1)).unionByName(b.withColumn("_sign", F.lit(-1)))
     diff = (
         both.groupBy(*[F.col(f"`{c}`") for c in a.columns])
@@ -71,7 +93,7 @@ def diff_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     Both sides are grouped by key in one pass and nothing is joined, so repeated keys produce
     one row with status duplicate_key and not their combinations.
     """
-    a, b = comparable(left), comparable(right)
+    a, b = _same_types(comparable(left), comparable(right), keys)
     values = [c for c in a.columns if c not in set(keys) and c in set(b.columns)]
     tagged = [
         side.select(*keys, *values, F.lit(tag).alias("_side")) for side, tag in ((a, "l"), (b, "r"))

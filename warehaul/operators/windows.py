@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warehaul.session import checkpointed, fits
+from warehaul.session import checkpointed, fits, materialised
 
 HOT_ROWS = 5_000_000
 
@@ -50,9 +50,8 @@ def _split(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame
 
 def ranged_pieces(df: DataFrame, columns: Sequence[Column], pieces: int) -> DataFrame:
     """``df`` cut into ``pieces`` ranges, numbered in ``_piece`` and materialised so that the cut stays."""
-    return checkpointed(
-        df.repartitionByRange(pieces, *columns).withColumn("_piece", F.spark_partition_id())
-    )
+    cut = df.repartitionByRange(pieces, *columns).withColumn("_piece", F.spark_partition_id())
+    return materialised(cut, "pieces")
 
 
 def _before(keys: Sequence[str]):

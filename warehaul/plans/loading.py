@@ -75,12 +75,12 @@ def recovered_partitions(spark, sf):
 
 
 @query(
-    """SELECT r_regionkey, r_name FROM region UNION ALL
-    SELECT * FROM (VALUES (101, 'NORTH'), (102, 'SOUTH'), (103, NULL)) v(r_regionkey, r_name)"""
+    """SELECT c_custkey, c_name FROM customer UNION ALL
+    SELECT * FROM (VALUES (-101, 'NORTH'), (-102, 'SOUTH'), (-103, NULL)) v(c_custkey, c_name)"""
 )
 def insert_literal_rows(spark, sf):
-    name = _new_table(spark, "literal", table(spark, sf, "region"))
-    src.insert_values(spark, name, [(101, "NORTH"), (102, "SOUTH"), (103, None)])
+    name = _new_table(spark, "literal", table(spark, sf, "customer").select("c_custkey", "c_name"))
+    src.insert_values(spark, name, [(-101, "NORTH"), (-102, "SOUTH"), (-103, None)])
     return spark.table(name)
 
 
@@ -217,19 +217,20 @@ def delete_matching_rows(spark, sf):
     return spark.table(name)
 
 
-@query("SELECT (SELECT count(*) FROM nation) AS before, CAST(0 AS BIGINT) AS after")
+@query("SELECT (SELECT count(*) FROM supplier) AS before, CAST(0 AS BIGINT) AS after")
 def truncate_table(spark, sf):
-    name = _new_table(spark, "truncate", table(spark, sf, "nation"))
+    name = _new_table(spark, "truncate", table(spark, sf, "supplier"))
     before = spark.table(name).count()
     src.delete_rows(spark, name)
     return spark.table(name).agg(F.lit(before).cast("bigint").alias("before"), F.count("*").alias("after"))
 
 
-@query("SELECT n_nationkey, n_name, NULL::VARCHAR AS note FROM nation UNION ALL SELECT r_regionkey + 100, r_name, 'region' FROM region")
+@query("SELECT c_custkey, c_name, NULL::VARCHAR AS note FROM customer UNION ALL SELECT -s_suppkey - 1, s_name, 'supplier' FROM supplier")
 def add_column_to_table(spark, sf):
-    name = _new_table(spark, "widen", table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    name = _new_table(spark, "widen", table(spark, sf, "customer").select("c_custkey", "c_name"))
     src.add_columns(spark, name, {"note": "STRING"})
-    table(spark, sf, "region").select(F.col("r_regionkey") + 100, "r_name", F.lit("region")).write.insertInto(name)
+    added = table(spark, sf, "supplier").select(-F.col("s_suppkey") - 1, "s_name", F.lit("supplier"))
+    added.write.insertInto(name)
     return spark.table(name)
 
 

@@ -15,11 +15,11 @@ from warehaul.session import small
 # --- projections, filters, parameters -------------------------------------------------------
 
 
-@query("SELECT n.*, r_name AS region_name FROM nation n JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT s.*, n_name AS nation_name FROM supplier s JOIN nation ON s_nationkey = n_nationkey")
 def project_all_columns(spark, sf):
-    nation = table(spark, sf, "nation").alias("n")
-    return nation.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "n.*", F.col("r_name").alias("region_name")
+    suppliers = table(spark, sf, "supplier").alias("s")
+    return suppliers.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "s.*", F.col("n_name").alias("nation_name")
     )
 
 
@@ -685,9 +685,9 @@ def distribute_and_sort(spark, sf):
     return layout.distribute(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_custkey", "-o_orderkey"])
 
 
-@query("SELECT n_name FROM nation ORDER BY n_name <> 'NATION_7', n_name")
+@query("SELECT s_name FROM supplier ORDER BY s_name <> 'Supplier#000000007', s_name")
 def pinned_first_row(spark, sf):
-    return layout.pinned_sort(table(spark, sf, "nation").select("n_name"), "n_name", "NATION_7")
+    return layout.pinned_sort(table(spark, sf, "supplier").select("s_name"), "s_name", "Supplier#000000007")
 
 
 @query("SELECT * FROM supplier ORDER BY s_suppkey, s_name LIMIT 5")

@@ -56,6 +56,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read from there, column by column as needed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` holds at most ``max_rows`` rows and about ``max_bytes`` bytes.
 
