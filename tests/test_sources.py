@@ -18,7 +18,27 @@ def new(spark, schema, fmt="parquet", partition_by=()):
 
 def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_folder(spark)) and scratch_path(spark, "x") != scratch_path(spark, "x")
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or shared_folder(spark) == named.rstrip("/")
+
+
+def test_shared_folder_without_the_setting():
+    class Context:
+        applicationId = "a1"
+        master = "local[2]"
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        sparkContext = Context()
+
+    assert shared_folder(Session) == shared_folder(Session)
+    Context.master = "spark://host"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
 
 
 def test_size_checks(spark):

@@ -125,6 +125,7 @@ RUN_ALWAYS, RUN_ON_ERROR, RUN_ON_SUCCESS = "ALL_DONE", "AT_LEAST_ONE_FAILED", "A
 
 # Report items.
 REPORT_ITEM_KINDS = ("Tablix", "Chart", "Matrix", "Textbox", "Image", "Subreport")
+UNREADABLE_WARNING = "XML parse error"
 CODE_BLOCK_WARNING = "Custom VB.NET code block detected — manual migration required"
 STORED_PROCEDURE_WARNING = "Dataset '%s' uses a stored procedure ('%s') — manual migration required"
 TABLE_DIRECT_WARNING = "Dataset '%s' uses TableDirect — convert to SELECT * FROM '%s'"

@@ -132,9 +132,9 @@ def fingerprint(df: DataFrame, table: str | None = None) -> DataFrame:
     A cheap first comparison of many table pairs: only numbers are shuffled.
     """
     plain = comparable(df)
-    # DECIMAL(38,0) holds the sum of 10^18 hashes without overflow.
+    # the sum of DECIMAL(28,0) is a DECIMAL(38,0), which holds 10^19 hashes of 64 bits
     sums = [
-        F.sum(F.xxhash64(F.lit(c), F.col(f"`{c}`")).cast("decimal(20,0)")).cast("decimal(38,0)").alias(c)
+        F.sum(F.xxhash64(F.lit(c), F.col(f"`{c}`")).cast("decimal(28,0)")).alias(c)
         for c in plain.columns
     ]
     wide = plain.agg(F.count("*").alias("_rows"), *sums)
@@ -149,7 +149,7 @@ def _digest(df: DataFrame) -> Row:
     rows = comparable(df)
     columns = [F.col(f"`{c}`") for c in rows.columns]
     hashes = (F.xxhash64(*columns), F.xxhash64(F.lit("second"), *reversed(columns)))
-    sums = [F.sum(h.cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"s{i}") for i, h in enumerate(hashes)]
+    sums = [F.sum(h.cast("decimal(28,0)")).alias(f"s{i}") for i, h in enumerate(hashes)]
     return rows.agg(F.count("*").alias("n"), *sums).first()
 
 

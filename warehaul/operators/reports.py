@@ -6,7 +6,7 @@ from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warehaul.functions import fixed_values as fv
@@ -62,11 +62,32 @@ class ReportTables(NamedTuple):
     code_blocks: DataFrame
 
 
+def _dataset_list() -> Column:
+    def dataset(d: Column) -> Column:
+        query = d["Query"]
+        names = F.coalesce(query["QueryParameters"]["QueryParameter"]["_Name"], F.array().cast("array<string>"))
+        return F.struct(
+            F.coalesce(d["_Name"], F.lit("")).alias("dataset"),
+            F.coalesce(F.trim(query["CommandType"]), F.lit("Text")).alias("query_language"),
+            F.coalesce(F.trim(query["CommandText"]), F.lit("")).alias("query"),
+            F.filter(names, lambda p: p != "").alias("parameters"),
+        )
+
+    kind = "array<struct<dataset:string,query_language:string,query:string,parameters:array<string>>>"
+    return F.coalesce(
+        F.transform(F.coalesce("doc.DataSets.DataSet", "doc.DataSet"), dataset), F.array().cast(kind)
+    )
+
+
 def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> ReportTables:
-    """Child tables of a corpus of report XML. A report without a name takes its file stem."""
+    """Tables of a corpus of report XML. A report without a name takes its file stem.
+
+    ``reports`` has one row per file and holds its datasets and parameters as lists, so what
+    follows from a single report needs no shuffle. The other tables are its children.
+    """
 
     def parsed(part: str) -> DataFrame:
-        """The corpus read with the schema of one child table only."""
+        """The corpus read with the schema of some parts only."""
         docs = parse_xml(df, xml, f"Name string, {part}")
         name = F.coalesce(F.nullif(F.trim("doc.Name"), F.lit("")), F.col(stem))
         return docs.select(
@@ -76,37 +97,31 @@ def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> Repor
             F.col(xml).alias("xml"),
         )
 
-    def child(part: str, *paths: str) -> DataFrame:
-        elements = F.coalesce(*[F.col(p) for p in paths])
+    def child(part: str, elements: Column | str) -> DataFrame:
         # the outer form keeps Spark from parsing the XML again in a derived filter
         rows = parsed(part).select("report", F.posexplode_outer(elements).alias("pos", "n"))
         return rows.filter("pos IS NOT NULL")
 
-    query = F.col("n.Query")
-    datasets = child(_DATASETS, "doc.DataSets.DataSet", "doc.DataSet").select(
-        "report",
-        "pos",
-        F.coalesce("n._Name", F.lit("")).alias("dataset"),
-        F.coalesce(F.trim(query["CommandType"]), F.lit("Text")).alias("query_language"),
-        F.coalesce(F.trim(query["CommandText"]), F.lit("")).alias("query"),
-        F.filter(
-            F.coalesce(query["QueryParameters"]["QueryParameter"]["_Name"], F.array().cast("array<string>")),
-            lambda p: p != "",
-        ).alias("parameters"),
-    )
     code = F.nullif(F.trim("doc.Code"), F.lit(""))
+    names = F.coalesce("doc.ReportParameters.ReportParameter._Name", F.array().cast("array<string>"))
     return ReportTables(
-        reports=parsed("Code string").select("report", "unreadable", code.isNotNull().alias("has_code")),
+        reports=parsed(f"Code string, {_DATASETS}, {_PARAMETERS}").select(
+            "report",
+            "unreadable",
+            code.isNotNull().alias("has_code"),
+            _dataset_list().alias("dataset_list"),
+            F.filter(names, lambda n: n != "").alias("parameter_list"),
+        ),
         data_sources=child(_SOURCES, "doc.DataSources.DataSource").select(
             "report",
             F.coalesce("n._Name", F.lit("")).alias("data_source"),
             F.coalesce(F.trim("n.ConnectionProperties.ConnectString"), F.lit("")).alias("connection"),
             F.coalesce(F.trim("n.ConnectionProperties.DataProvider"), F.lit("")).alias("provider"),
         ),
-        parameters=child(_PARAMETERS, "doc.ReportParameters.ReportParameter").select(
-            "report", "pos", F.col("n._Name").alias("parameter")
-        ).filter("parameter != ''"),
-        datasets=datasets,
+        parameters=child(_PARAMETERS, "doc.ReportParameters.ReportParameter")
+        .select("report", "pos", F.col("n._Name").alias("parameter"))
+        .filter("parameter != ''"),
+        datasets=child(_DATASETS, _dataset_list()).select("report", "pos", "n.*"),
         items=parsed("Code string")
         .select("report", F.explode_outer(F.pandas_udf(_items, _ITEMS)("xml")).alias("i"))
         .filter("i IS NOT NULL")
@@ -115,65 +130,60 @@ def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> Repor
     )
 
 
+def _convertible() -> Column:
+    return ~F.col("unreadable") & F.exists("dataset_list", lambda d: d["query_language"] == "Text")
+
+
 def report_status(tables: ReportTables) -> DataFrame:
     """Convertible means readable with at least one Text dataset; code blocks do not veto."""
-    text = tables.datasets.groupBy("report").agg(
-        F.bool_or(F.col("query_language") == "Text").alias("_text"), F.count("*").alias("datasets")
-    )
-    return tables.reports.join(text, "report", "left").select(
+    return tables.reports.select(
         "report",
-        (~F.col("unreadable") & F.coalesce("_text", F.lit(False))).alias("convertible"),
-        F.coalesce("datasets", F.lit(0)).cast("bigint").alias("datasets"),
+        _convertible().alias("convertible"),
+        F.size("dataset_list").cast("bigint").alias("datasets"),
     )
 
 
 def report_warnings(tables: ReportTables) -> DataFrame:
-    """(report, place, warning): unreadable files, code blocks, datasets by kind and dialect hints."""
-    hints = F.transform(
-        any_match(F.col("query"), [fv.IGNORE_CASE + p for p in fv.DIALECT_HINTS]),
-        lambda p: F.format_string(
-            fv.DIALECT_WARNING, F.col("dataset"), F.substring(p, F.lit(len(fv.IGNORE_CASE) + 1), F.length(p))
-        ),
-    )
-    per_dataset = tables.datasets.select(
-        "report",
-        F.col("pos").cast("bigint").alias("place"),
-        F.explode_outer(
+    """(report, place, warning): unreadable files, code blocks, datasets by kind and dialect hints,
+    in the order of ``place``."""
+
+    def of_dataset(d: Column) -> Column:
+        name, query = d["dataset"], d["query"]
+        hints = F.transform(
+            any_match(query, [fv.IGNORE_CASE + p for p in fv.DIALECT_HINTS]),
+            lambda p: F.format_string(
+                fv.DIALECT_WARNING, name, F.substring(p, F.lit(len(fv.IGNORE_CASE) + 1), F.length(p))
+            ),
+        )
+        return (
             F.when(
-                F.col("query_language") == "StoredProcedure",
-                F.array(F.format_string(fv.STORED_PROCEDURE_WARNING, "dataset", "query")),
+                d["query_language"] == "StoredProcedure",
+                F.array(F.format_string(fv.STORED_PROCEDURE_WARNING, name, query)),
             )
             .when(
-                F.col("query_language") == "TableDirect",
-                F.array(F.format_string(fv.TABLE_DIRECT_WARNING, "dataset", "query")),
+                d["query_language"] == "TableDirect", F.array(F.format_string(fv.TABLE_DIRECT_WARNING, name, query))
             )
             .otherwise(hints)
-        ).alias("warning"),
-    ).filter("warning IS NOT NULL")
-    none = tables.reports.filter("NOT unreadable").join(tables.datasets.select("report"), "report", "left_anti")
-    flat = [
-        (tables.reports.filter("unreadable"), -2, "XML parse error"),
-        (tables.reports.filter("has_code"), -1, fv.CODE_BLOCK_WARNING),
-        (none, 1_000_000, fv.NO_DATASET_WARNING),
-    ]
-    result = per_dataset
-    for frame, place, message in flat:
-        result = result.unionByName(
-            frame.select("report", F.lit(place).cast("bigint").alias("place"), F.lit(message).alias("warning"))
         )
-    return result
 
+    def only_if(test: Column, message: str) -> Column:
+        return F.when(test, F.array(F.lit(message))).otherwise(F.array().cast("array<string>"))
 
-def report_records(tables: ReportTables) -> DataFrame:
-    """One nested record per report, for a JSON sink. The children of one file fit in one record."""
+    readable = ~F.col("unreadable")
+    every = F.concat(
+        only_if(F.col("unreadable"), fv.UNREADABLE_WARNING),
+        only_if(readable & F.col("has_code"), fv.CODE_BLOCK_WARNING),
+        F.flatten(F.transform("dataset_list", of_dataset)),
+        only_if(readable & (F.size("dataset_list") == 0), fv.NO_DATASET_WARNING),
+    )
+    rows = tables.reports.select("report", F.posexplode_outer(every).alias("place", "warning"))
+    return rows.filter("warning IS NOT NULL")
 
-    def nested(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.groupBy("report").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
-    return (
-        report_status(tables)
-        .join(nested(tables.datasets, "dataset_list", "pos", "dataset", "query_language", "query"), "report", "left")
-        .join(nested(tables.parameters, "parameter_list", "pos", "parameter"), "report", "left")
+def report_records(tables: ReportTables) -> DataFrame:
+    """One nested record per report file, for a JSON sink."""
+    return tables.reports.select(
+        "report", _convertible().alias("convertible"), "has_code", "dataset_list", "parameter_list"
     )
 
 

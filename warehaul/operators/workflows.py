@@ -57,13 +57,14 @@ def _whole(attribute: Column, element: Column) -> Column:
 
 
 def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a corpus of workflow XML.
+    """(nodes, edges) of a corpus of workflow XML, keyed by ``file`` (the stem), as names may repeat.
 
-    Nodes: workflow, node, kind, action_type, retries, settings and parameters. Edges: workflow,
+    Nodes: file, workflow, node, kind, action_type, retries, settings and parameters. Edges: file, workflow,
     src, dst, kind (ok or error) and the kinds of both ends. Actions of an unknown kind and
     unreadable files drop.
     """
     docs = parse_xml(df, xml, WORKFLOW_SCHEMA).filter(~F.col("doc_bad")).select(
+        F.col(stem).alias("file"),
         F.coalesce(F.nullif(F.col("doc._name"), F.lit("")), F.col(stem)).alias("workflow"),
         F.col("doc"),
         _properties(F.col("doc.global.configuration")).alias("global_config"),
@@ -71,7 +72,8 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
 
     no_list = F.array().cast("array<string>")
     # the outer forms of explode and inline keep Spark from parsing the XML again in a derived filter
-    actions = docs.select("workflow", "global_config", F.explode_outer("doc.action").alias("n")).select(
+    actions = docs.select("file", "workflow", "global_config", F.explode_outer("doc.action").alias("n")).select(
+        "file",
         "workflow",
         "global_config",
         F.col("n._name").alias("node"),
@@ -81,6 +83,7 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
         (_whole(F.col("n.`_retry-interval`"), F.col("n.`retry-interval`")) * 60_000).alias("retry_interval_ms"),
     )
     action_nodes = actions.filter(F.col("action_type").isNotNull()).select(
+        "file",
         "workflow",
         "node",
         F.lit("action").alias("kind"),
@@ -103,7 +106,7 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
         )
 
     others = F.concat(*[named(k) for k in ("decision", "fork", "join", "kill")])
-    plain = docs.select("workflow", F.inline_outer(others)).filter("node IS NOT NULL")
+    plain = docs.select("file", "workflow", F.inline_outer(others)).filter("node IS NOT NULL")
     nodes = action_nodes.unionByName(plain, allowMissingColumns=True)
 
     def steps(path: str, kind: str, ok) -> Column:
@@ -152,8 +155,8 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
     )
     pairs = F.transform(F.concat(others, own_actions), lambda n: F.struct(n["node"].alias("key"), n["kind"].alias("value")))
     edges = (
-        docs.select("workflow", every.alias("_edges"), scalar.last_wins(pairs).alias("_kinds"))
-        .select("workflow", "_kinds", F.inline_outer("_edges"))
+        docs.select("file", "workflow", every.alias("_edges"), scalar.last_wins(pairs).alias("_kinds"))
+        .select("file", "workflow", "_kinds", F.inline_outer("_edges"))
         .filter(F.coalesce(F.col("dst"), F.lit("")) != "")
         .withColumn("dst_kind", F.try_element_at("_kinds", F.col("dst")))
         .drop("_kinds")
@@ -234,6 +237,7 @@ def effective_config(nodes: DataFrame) -> DataFrame:
     )
     params = F.when(F.col("action_type") == "hive", scalar.key_values(F.col("params")))
     return nodes.filter(F.col("kind") == "action").select(
+        "file",
         "workflow",
         "node",
         scalar.overlay(script, F.col("global_config"), F.col("properties"), params).alias("parameters"),

@@ -447,7 +447,7 @@ def workflow_nodes(spark, sf):
 @query(f"SELECT workflow, node, pred, kind FROM ({_WF}) JOIN {_PREDS} USING (m)")
 def workflow_predecessors(spark, sf):
     _, edges = workflows.workflow_tables(workflow_files(spark, sf))
-    return workflows.contract_edges(edges, ["workflow"])
+    return workflows.contract_edges(edges, ["file", "workflow"]).drop("file")
 
 
 @query(
@@ -457,7 +457,8 @@ def workflow_predecessors(spark, sf):
 )
 def workflow_run_conditions(spark, sf):
     nodes, edges = workflows.workflow_tables(workflow_files(spark, sf))
-    return workflows.run_conditions(workflows.contract_edges(edges, ["workflow"]), nodes, ["workflow"])
+    keys = ["file", "workflow"]
+    return workflows.run_conditions(workflows.contract_edges(edges, keys), nodes, keys).drop("file")
 
 
 @query(
@@ -684,7 +685,7 @@ def report_json_records(spark, sf):
     """Nested report records written as JSON lines and read back."""
     path = scratch_path(spark, "records")
     corpora.write_json(reports.report_records(report_set(spark, sf)), path)
-    schema = "report string, convertible boolean, dataset_list array<struct<pos:int,dataset:string>>"
+    schema = "report string, convertible boolean, dataset_list array<struct<dataset:string>>"
     return spark.read.schema(schema).json(path).select(
         "report", "convertible", F.concat_ws(",", "dataset_list.dataset").alias("names")
     )

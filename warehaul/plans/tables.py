@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from warehaul.session import spread
+
 GOLD, SILVER = 400_000, 200_000
 AS_OF = "1998-06-30"
 
@@ -41,7 +43,7 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
 def sales(spark: SparkSession, sf: str) -> DataFrame:
     """order_id, customer_id, product_id, amount, quantity, order_date per order line."""
     return (
-        table(spark, sf, "lineitem")
+        spread(table(spark, sf, "lineitem"), "l_orderkey")
         .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("o_orderkey").alias("order_id"),
