@@ -71,6 +71,20 @@ def test_partition_overwrites_keep_other_partitions(spark):
     src.overwrite_partition(name, spark.createDataFrame([(30,), (31,)], "v int"), {"dt": "c"})
     assert rows(spark.table(name), "dt", "v") == [("a", 1), ("b", 20), ("c", 30), ("c", 31)]
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    src.overwrite_partition(name, spark.createDataFrame([], "v int"), {"dt": "c"})
+    src.overwrite_partition(name, spark.createDataFrame([(7,)], "v int"), {"dt": "it's"})
+    assert rows(spark.table(name), "dt", "v") == [("a", 1), ("b", 20), ("it's", 7)]
+
+
+def test_refresh_drops_partitions_that_vanish(spark):
+    name = new(spark, "v INT, dt STRING", "parquet", ["dt"])
+    src.overwrite_dynamic(name, spark.createDataFrame([("a", 1), ("b", 2)], "dt string, v int"))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        src.delete_rows(spark, name, F.col("dt") == "b")
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    assert rows(spark.table(name), "dt", "v") == [("a", 1)]
 
 
 def test_full_refresh_update_and_delete(spark):

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from warehaul.operators import layout, projection
-from warehaul.operators.upsert import upsert
 from warehaul.plans.tables import AS_OF, customers, fact_orders, sales, table, with_cte
 from warehaul.registry import query
 from warehaul.session import balanced, scratch_path

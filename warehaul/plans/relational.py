@@ -10,7 +10,6 @@ from warehaul.operators import reconcile as rec
 from warehaul.operators import windows as win
 from warehaul.plans.tables import AS_OF, customers, fact_orders, products, sales, table, with_cte
 from warehaul.registry import query
-from warehaul.session import small
 
 # --- projections, filters, parameters -------------------------------------------------------
 

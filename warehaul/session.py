@@ -89,6 +89,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A scan with fewer partitions than cores, hashed over all cores by ``keys``.
 
     For work that is heavy per row, as on texts. Inputs of many files or row groups stay as they are.
+    Only the planned number of partitions is asked for; nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

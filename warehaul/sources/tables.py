@@ -6,7 +6,9 @@ shared folder first and swapped in afterwards, so a lost executor only repeats i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,25 +108,38 @@ def ctas(df: DataFrame, name: str, fmt: str = "parquet", location: str | None =
     return df.sparkSession.table(name)
 
 
+@contextmanager
+def _overwrite_mode(spark: SparkSession, mode: str) -> Iterator[None]:
+    """Overwrites replace the whole table or named partition (static), or only the partitions written (dynamic)."""
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key, "static")
+    spark.conf.set(key, mode)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def overwrite_partition(name: str, df: DataFrame, partition: Mapping[str, str]) -> None:
-    """Replace one named partition and keep the others."""
+    """Replace one named partition and keep the others; an empty input empties the partition."""
     spark = df.sparkSession
-    data = df
-    for col, value in partition.items():
-        data = data.withColumn(col, F.lit(value).cast(spark.table(name).schema[col].dataType))
-    overwrite_dynamic(name, data)
+    columns = [c for c in spark.table(name).columns if c not in partition]
+    view = f"part_{uuid.uuid4().hex}"
+    df.select(*columns).createOrReplaceTempView(view)
+    values = {c: str(v).replace("\\", "\\\\").replace("'", "\\'") for c, v in partition.items()}
+    spec = ", ".join(f"`{c}` = '{v}'" for c, v in values.items())
+    try:
+        with _overwrite_mode(spark, "static"):
+            spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({spec}) SELECT * FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def overwrite_dynamic(name: str, df: DataFrame) -> None:
     """Replace only the partitions present in the input; columns are matched by name."""
     spark = df.sparkSession
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode, "static")
-    spark.conf.set(mode, "dynamic")
-    try:
+    with _overwrite_mode(spark, "dynamic"):
         df.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
-    finally:
-        spark.conf.set(mode, before)
 
 
 def refresh_in_place(spark: SparkSession, name: str, transform: Callable[[DataFrame], DataFrame]) -> None:
@@ -136,7 +151,8 @@ def refresh_in_place(spark: SparkSession, name: str, transform: Callable[[DataFr
     table = spark.table(name)
     stage = scratch_path(spark, f"stage-{name.replace('.', '-')}")
     transform(table).select(*table.columns).write.parquet(stage)
-    spark.read.schema(table.schema).parquet(stage).write.insertInto(name, overwrite=True)
+    with _overwrite_mode(spark, "static"):
+        spark.read.schema(table.schema).parquet(stage).write.insertInto(name, overwrite=True)
     spark.catalog.refreshTable(name)
 
 
@@ -153,7 +169,8 @@ def delete_rows(spark: SparkSession, name: str, pred: Column | None = None) -> N
     if pred is None and spark.catalog.getTable(name).tableType == "MANAGED":
         spark.sql(f"TRUNCATE TABLE {name}")
     elif pred is None:  # Spark does not truncate tables at a location of their own
-        spark.createDataFrame([], spark.table(name).schema).write.insertInto(name, overwrite=True)
+        with _overwrite_mode(spark, "static"):
+            spark.createDataFrame([], spark.table(name).schema).write.insertInto(name, overwrite=True)
     else:
         refresh_in_place(spark, name, lambda t: without(t, pred))
 
