@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warehaul.llm import simhash
+from warehaul.llm import decontaminate, simhash
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +15,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = simhash.near_duplicates(docs)
     alone = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    kept = found.filter(alone).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = found.filter(alone).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
+    repeated = not kept.filter("rows > 1").isEmpty()
+    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return left.dropDuplicates(["doc_id"]) if repeated else left
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+STAGES = [("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages)]
