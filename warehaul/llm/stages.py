@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warehaul.llm import decontaminate, simhash
+from warehaul.llm import decontaminate, resample, simhash
+from warehaul.llm.common import fresh, quoted
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling leaves out go."""
+    kept = fresh(docs.columns, "kept")
+    found = resample.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name=kept)
+    return found.filter(quoted(kept)).select(*map(quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,4 +34,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+]
