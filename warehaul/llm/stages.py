@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warehaul.llm import decontaminate, pieces, resample, simhash
+from warehaul.llm import decontaminate, personal, pieces, resample, simhash
 from warehaul.llm.common import fresh, quoted
 
 
@@ -34,6 +34,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; no document goes."""
+    return personal.masked(docs)
+
+
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as ``doc_id``, ``lang``, ``source`` and its pieces; the text is what they decode to."""
     return pieces.encoded(docs, carry=["doc_id", "lang", "source"])
@@ -43,5 +48,6 @@ STAGES = [
     ("quality", quality),
     ("near_duplicates", near_duplicates),
     ("benchmark_passages", benchmark_passages),
+    ("personal_data", personal_data),
     ("piece_ids", piece_ids),
 ]
