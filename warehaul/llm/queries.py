@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warehaul.llm import decontaminate, personal, pieces, resample, simhash
+from warehaul.llm import decontaminate, licences, personal, pieces, resample, simhash
 from warehaul.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -24,6 +24,11 @@ def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
+@query("op5_licences")
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 @query("op7_decontamination")
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
