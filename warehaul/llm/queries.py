@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warehaul.llm import decontaminate, licences, personal, pieces, resample, simhash
+from warehaul.llm import decontaminate, licences, linelabels, personal, pieces, resample, simhash
 from warehaul.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_line_labels")
+def op1_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linelabels.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 @query("op3_personal_data")
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.summary(_table(spark, sf_dir, "documents"))
