@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warehaul.llm import chat, decontaminate, licences, linelabels, personal, pieces, resample, simhash, warc
+from warehaul.llm import chat, decontaminate, htmltext, licences, linelabels, personal, pieces, resample, simhash, warc
 from warehaul.llm.registry import ORACLES, QUERIES, query
 from warehaul.session import scratch_path
 
@@ -21,6 +21,11 @@ def op1_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linelabels.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(_table(spark, sf_dir, "pages"))
+
+
 @query("op3_personal_data")
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.summary(_table(spark, sf_dir, "documents"))
