@@ -66,7 +66,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(length('<|im_start|><|im_end|>') + length(url_encode(role)) + length(body) + 2) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|im_start|><|im_end|>') + length(replace(url_encode(role), '%20', '+')) + length(body) + 2) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id
 """
 
