@@ -114,3 +114,27 @@ def test_synthetic_rows_repeat_and_do_not_depend_on_partitions(spark):
 def test_empty_schemas_are_skipped(spark):
     assert synthetic.register_all(spark, {"syn_a": {"x": "INT"}, "syn_b": {}}, 10) == ["syn_a"]
     assert spark.table("syn_a").count() == 10 and not spark.catalog.tableExists("syn_b")
+
+
+def test_a_moved_null_is_a_difference(spark):
+    a = spark.createDataFrame([(1, None, "x")], "k int, p string, q string")
+    b = spark.createDataFrame([(1, "x", None)], "k int, p string, q string")
+    v = rec.reconcile(a, b).first()
+    assert v["data_match"] is False and not v["passed"]
+    for shape in ("array(p, q)", "named_struct('p', p, 'q', q)", "array(named_struct('p', p, 'q', q))", "map('p', p, 'q', q)"):
+        left, right = a.selectExpr("k", f"{shape} AS v"), b.selectExpr("k", f"{shape} AS v")
+        assert rec.reconcile(left, right).first()["data_match"] is False
+        assert rows(rec.fingerprint(left).drop("table")) != rows(rec.fingerprint(right).drop("table"))
+        assert rec.diff_rows(left, right).count() == 2 and rec.diff_by_key(left, right, ["k"]).count() == 1
+        assert rec.reconcile(left, left).first()["passed"]
+
+
+def test_zeros_and_digits_at_any_depth_and_size(spark):
+    base = [1234567.9, 12345678.9, 98765432109876.5, 1.5e-7, 3e300, 2e-300, 0.0]
+    near = [math.nextafter(v, math.inf) if v else -0.0 for v in base]
+    a, b = (spark.createDataFrame([(i, v, [v, None]) for i, v in enumerate(x)], "k int, v double, w array<double>") for x in (base, near))
+    assert rec.reconcile(a, b).first()["passed"] and rec.diff_by_key(a, b, ["k"]).isEmpty()
+    assert rows(rec.fingerprint(a).drop("table")) == rows(rec.fingerprint(b).drop("table"))
+    far = spark.createDataFrame([(i, v * (1 + 1e-10), [v, None]) for i, v in enumerate(base)], "k int, v double, w array<double>")
+    assert {r["k"] for r in rec.diff_by_key(a, far, ["k"]).collect()} == set(range(6))
+    assert rec.diff_rows(a, far).count() == 12

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from warehaul.operators.windows import sort_columns, top_n_per_key, with_row_number
 
-LIST_CHUNK = 100_000
-
 
 def count_by_value(df: DataFrame, keys: Sequence[str], col: str, values: Sequence[str]) -> DataFrame:
     """One count column per value: the conditional aggregate that pivots a tier to columns."""
@@ -44,14 +42,17 @@ def flags_and_counts(
 
 
 def collect_sorted(
-    df: DataFrame, keys: Sequence[str], col: str, name: str = "items", chunk: int = LIST_CHUNK
+    df: DataFrame, keys: Sequence[str], col: str, name: str = "items", chunk: int | None = None
 ) -> DataFrame:
-    """Ordered list per key.
+    """Ordered list per key, one row each.
 
-    A list longer than ``chunk`` continues in further rows, numbered by ``chunk_no``, so that no
-    single row or task has to hold a whole hot group.
+    With ``chunk`` a list is cut into rows of so many items, numbered by ``chunk_no``: no single row
+    or task then has to hold a whole hot group.
     """
-    numbered = with_row_number(df.filter(F.col(col).isNotNull()).select(*keys, col), keys, [col], "_rn")
+    items = df.filter(F.col(col).isNotNull()).select(*keys, col)
+    if chunk is None:
+        return items.groupBy(*keys).agg(F.sort_array(F.collect_list(col)).alias(name))
+    numbered = with_row_number(items, keys, [col], "_rn")
     return (
         numbered.withColumn("chunk_no", F.floor((F.col("_rn") - 1) / chunk))
         .groupBy(*keys, "chunk_no")

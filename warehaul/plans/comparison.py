@@ -43,7 +43,7 @@ def reconcile_row_counts(spark, sf):
 def reconcile_same_result(spark, sf):
     """The same rows with other column and row order."""
     left = table(spark, sf, "lineitem")
-    right = left.select(*reversed(left.columns)).repartition(7)
+    right = left.select(*reversed(left.columns)).repartition("l_partkey")
     return rec.reconcile(left, right).select(
         "passed", "row_count_match", "schema_match", "data_match", "left_count", "right_count"
     )
@@ -116,7 +116,7 @@ def fingerprint_many_tables(spark, sf):
     frames = []
     for name in ("customer", "orders", "part", "supplier"):
         df = table(spark, sf, name)
-        other = df.repartition(3) if name != "part" else df.withColumn("p_size", F.col("p_size") + 1)
+        other = df.repartition(df.columns[0]) if name != "part" else df.withColumn("p_size", F.col("p_size") + 1)
         left = rec.fingerprint(df, name)
         right = rec.fingerprint(other, name).select("table", "column", F.col("hash_sum").alias("other_sum"))
         frames.append(left.join(F.broadcast(right), ["table", "column"], "full"))  # one row per column
@@ -162,22 +162,95 @@ def synthetic_columns(spark, sf):
 
 
 @query(
-    """SELECT 'agree' AS "case", true AS passed, count(*) AS rows FROM customer
-    UNION ALL SELECT 'lost rows', false, count(*) FROM customer"""
+    """SELECT 'agree' AS "case", true AS passed, count(*) AS rows, round(sum(c_acctbal), 2) AS balance FROM customer
+    UNION ALL SELECT 'lost rows', false, count(*), round(sum(c_acctbal), 2) FROM customer"""
 )
 def generate_run_compare(spark, sf):
-    """Synthetic tables as large as the customer table, two versions of a query, verdicts."""
-    n = table(spark, sf, "customer").count()
-    synthetic.register_all(
-        spark, {"wh_syn_people": {"cust_id": "INT", "city": "STRING", "amount": "DECIMAL(10,2)"}, "wh_syn_empty": {}}, n
-    )
-    original = "SELECT cust_id, nvl(city, 'NONE') AS city, amount FROM wh_syn_people"
-    cases = {
-        "agree": "SELECT cust_id, coalesce(city, 'NONE') AS city, amount FROM wh_syn_people",
-        "lost rows": "SELECT cust_id, coalesce(city, 'NONE') AS city, amount FROM wh_syn_people WHERE amount > 50000",
-    }
+    """Synthetic columns beside every customer, two versions of a query over both, verdicts."""
+    people = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    made = synthetic.synthesize_for(people.select("c_custkey"), "c_custkey", {"city": "STRING", "amount": "DECIMAL(10,2)"})
+    people.join(made, "c_custkey").createOrReplaceTempView("wh_syn_people")
+    original = "SELECT c_custkey, c_name, c_acctbal, nvl(city, 'NONE') AS city, amount FROM wh_syn_people"
+    changed = "SELECT c_name, c_custkey, coalesce(city, 'NONE') AS city, amount, c_acctbal FROM wh_syn_people"
+    cases = {"agree": changed, "lost rows": f"{changed} WHERE amount > 50000"}
+    balance = spark.sql(original).agg(F.round(F.sum("c_acctbal"), 2).alias("balance"))
     verdicts = [
         rec.reconcile_sql(spark, original, text).select(F.lit(case).alias("case"), "passed", F.col("left_count").alias("rows"))
         for case, text in cases.items()
     ]
+    return verdicts[0].unionByName(verdicts[1]).crossJoin(F.broadcast(balance))  # one row
+
+
+# --- faults that a comparison must see, and differences that it must not -------------------------
+
+
+@query(
+    """SELECT false AS passed, true AS row_count_match, true AS schema_match, false AS data_match, count(*) AS left_count
+    FROM orders"""
+)
+def reconcile_moved_null(spark, sf):
+    """A value that a faulty load put into the neighbouring column, where there was NULL."""
+    orders = table(spark, sf, "orders")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    here, there = F.when(urgent, F.col("o_totalprice")), F.when(~urgent, F.col("o_totalprice"))
+    left = orders.select("o_orderkey", here.alias("a"), there.alias("b"))
+    right = orders.select("o_orderkey", there.alias("a"), here.alias("b"))
+    return rec.reconcile(left, right).select("passed", "row_count_match", "schema_match", "data_match", "left_count")
+
+
+@query(
+    """SELECT o_orderkey, 'left' AS side, CAST(1 AS BIGINT) AS copies FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT o_orderkey, 'right', 1 FROM orders WHERE o_orderpriority = '1-URGENT'"""
+)
+def moved_null_rows(spark, sf):
+    """The rows in which a value moved within an array with a NULL in it."""
+    orders = table(spark, sf, "orders")
+    pair = lambda first: F.when(F.col("o_orderpriority") == "1-URGENT", first)
+    nothing = F.lit(None).cast("bigint")
+    left = orders.select("o_orderkey", pair(F.array(nothing, "o_custkey")).alias("v"))
+    right = orders.select("o_orderkey", pair(F.array(F.col("o_custkey"), nothing)).alias("v"))
+    return rec.diff_rows(left, right).select("o_orderkey", "side", "copies")
+
+
+@query(
+    """SELECT * FROM (VALUES ('array', false), ('map order', true), ('same', true), ('struct', false)) v("case", same),
+        (SELECT count(*) AS rows FROM customer)"""
+)
+def fingerprint_null_positions(spark, sf):
+    """Fingerprints of columns that differ only in where a NULL stands, or in the order of map entries."""
+    people = table(spark, sf, "customer")
+    k, name, nothing = F.col("c_custkey"), F.lit("x"), F.lit(None).cast("bigint")
+    cases = {
+        "array": (F.array(nothing, k), F.array(k, nothing)),
+        "struct": (F.struct(k.alias("p"), nothing.alias("q")), F.struct(nothing.alias("p"), k.alias("q"))),
+        "map order": (F.create_map(name, k, F.lit("y"), nothing), F.create_map(F.lit("y"), nothing, name, k)),
+        "same": (F.array(nothing, k), F.array(nothing, k)),
+    }
+    out = []
+    for case, (a, b) in cases.items():
+        left, right = (rec.fingerprint(people.select(v.alias("v")), case) for v in (a, b))
+        right = right.select("column", F.col("hash_sum").alias("other"))
+        # one row per column
+        out.append(left.join(F.broadcast(right), "column").select(F.lit(case).alias("case"), (F.col("hash_sum") == F.col("other")).alias("same"), "rows"))
+    found = out[0]
+    for o in out[1:]:
+        found = found.unionByName(o)
+    return found
+
+
+@query(
+    """SELECT * FROM (VALUES ('added in another order', true, true), ('a cent less', false, false)) v("case", passed, data_match),
+        (SELECT count(DISTINCT l_returnflag) AS left_count FROM lineitem)"""
+)
+def reconcile_large_sums(spark, sf):
+    """Sums above ten million, added in another order (equal) and with a cent missing (not equal)."""
+    lines = table(spark, sf, "lineitem")
+    price = F.col("l_extendedprice") * 10
+    whole = lines.groupBy("l_returnflag").agg((F.sum(price) + F.lit(1e7)).alias("total"))
+    parts = lines.groupBy("l_returnflag", "l_suppkey").agg(F.sum(price).alias("part")).groupBy("l_returnflag")
+    other = parts.agg((F.sum("part") + F.lit(1e7)).alias("total"))
+    # a cent of 10^9 is the twelfth digit
+    less = whole.withColumn("total", F.when(F.col("l_returnflag") == "A", F.col("total") * (1 - 1e-10)).otherwise(F.col("total")))
+    cases = {"added in another order": other, "a cent less": less}
+    verdicts = [rec.reconcile(whole, df).select(F.lit(c).alias("case"), "passed", "data_match", "left_count") for c, df in cases.items()]
     return verdicts[0].unionByName(verdicts[1])

@@ -10,6 +10,7 @@ from warehaul.operators import reconcile as rec
 from warehaul.operators import windows as win
 from warehaul.plans.tables import AS_OF, customers, fact_orders, products, sales, table, with_cte
 from warehaul.registry import query
+from warehaul.session import materialised
 
 # --- projections, filters, parameters -------------------------------------------------------
 
@@ -144,7 +145,7 @@ def conditional_split(spark, sf):
 @query(
     """SELECT doc_id, source, TRY_CAST(substr(source, 4) AS INTEGER) AS source_no, TRY_CAST(lang AS INTEGER) AS lang_no,
         CAST(n_chars AS VARCHAR) AS chars_text, CAST(n_chars AS DOUBLE) AS chars_double,
-        TRY_CAST(TRY_CAST(substr(text, 1, 10) AS VARCHAR) AS DATE) AS first_date FROM documents"""
+        CASE WHEN doc_id % 3 = 0 THEN DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) END AS first_date FROM documents"""
 )
 def cast_columns_lenient(spark, sf):
     docs = table(spark, sf, "documents").select(
@@ -154,7 +155,9 @@ def cast_columns_lenient(spark, sf):
         F.col("lang").alias("lang_no"),
         F.col("n_chars").alias("chars_text"),
         F.col("n_chars").alias("chars_double"),
-        F.substring("text", 1, 10).alias("first_date"),
+        # two in three are no dates
+        F.when(F.col("doc_id") % 3 == 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")).cast("string"))
+        .when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(F.lit("2020-13-45")).alias("first_date"),
     )
     return projection.cast_columns(
         docs, {"source_no": "int", "lang_no": "int", "chars_text": "string", "chars_double": "double", "first_date": "date"}
@@ -416,13 +419,18 @@ def hierarchy_expansion(spark, sf):
 
 @query(
     """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total,
-        round(sum(l_quantity), 2) / count(*) AS avg_quantity FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+        round(avg(l_quantity), 6) AS avg_quantity, count(shipped) AS n_shipped, round(avg(shipped), 6) AS avg_shipped
+    FROM (SELECT *, CASE WHEN l_shipdate < DATE '1996-01-01' THEN l_extendedprice END AS shipped FROM lineitem) GROUP BY l_returnflag, l_linestatus"""
 )
 def group_totals(spark, sf):
+    """Totals and averages per group; the prices of later shipments are NULL and count for no average."""
+    shipped = F.when(F.col("l_shipdate") < "1996-01-01", F.col("l_extendedprice"))
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         F.count("*").alias("n"),
         F.round(F.sum("l_extendedprice"), 2).alias("total"),
-        (F.round(F.sum("l_quantity"), 2) / F.count("*")).alias("avg_quantity"),
+        F.round(F.avg("l_quantity"), 6).alias("avg_quantity"),
+        F.count(shipped).alias("n_shipped"),
+        F.round(F.avg(shipped), 6).alias("avg_shipped"),
     )
 
 
@@ -474,7 +482,7 @@ def any_and_count_if(spark, sf):
 
 
 @query(
-    """SELECT l_orderkey, CAST(0 AS BIGINT) AS chunk_no, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS items
+    """SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS items
     FROM lineitem GROUP BY l_orderkey"""
 )
 def collect_sorted_lists(spark, sf):
@@ -483,6 +491,20 @@ def collect_sorted_lists(spark, sf):
     )
 
 
+@query(
+    """SELECT l_returnflag, chunk_no, count(*) AS n, min(l_partkey) AS first, max(l_partkey) AS last FROM
+        (SELECT l_returnflag, l_partkey, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_partkey) - 1) // 1000 AS chunk_no FROM lineitem)
+    GROUP BY l_returnflag, chunk_no"""
+)
+def collect_sorted_chunks(spark, sf):
+    """Lists of hot keys in rows of a thousand items."""
+    lists = agg.collect_sorted(table(spark, sf, "lineitem"), ["l_returnflag"], "l_partkey", chunk=1000)
+    return lists.select(
+        "l_returnflag", "chunk_no", F.size("items").cast("bigint").alias("n"),
+        F.element_at("items", 1).alias("first"), F.element_at("items", -1).alias("last"),
+    )
+
+
 @query(
     """SELECT user_id, event_type, event_id AS first_event FROM
         (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1"""
@@ -635,6 +657,16 @@ def merge_order_periods(spark, sf):
     return win.merge_periods(periods, ["customer"], "start", "finish")
 
 
+@query(_PERIODS.replace("o_custkey AS customer", "o_custkey % 3 AS customer").replace("+ 60", "+ 1"))
+def merge_order_periods_hot(spark, sf):
+    """Periods of three groups of customers, taken as hot keys."""
+    start = F.to_date("o_orderdate")
+    periods = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 3).alias("customer"), start.alias("start"), F.date_add(start, 1).alias("finish")
+    )
+    return win.merge_periods(periods, ["customer"], "start", "finish", max_rows=300)
+
+
 @query("SELECT o_orderkey, 1000 + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS surrogate FROM orders")
 def surrogate_keys(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
@@ -766,7 +798,7 @@ def text_lines(spark, sf):
 
 
 @query(with_cte("sales customers products", """SELECT category, city, round(sum(amount), 2) AS total_sales,
-    count(*) AS total_orders, round(sum(amount), 2) / count(*) AS avg_sales
+    count(*) AS total_orders, round(avg(amount), 6) AS avg_sales
     FROM sales LEFT JOIN customers USING (customer_id) JOIN products USING (product_id) GROUP BY category, city"""))
 def sales_by_category_city(spark, sf):
     base = (
@@ -777,7 +809,7 @@ def sales_by_category_city(spark, sf):
     return base.groupBy("category", "city").agg(
         F.round(F.sum("amount"), 2).alias("total_sales"),
         F.count("*").alias("total_orders"),
-        (F.round(F.sum("amount"), 2) / F.count("*")).alias("avg_sales"),
+        F.round(F.avg("amount"), 6).alias("avg_sales"),
     )
 
 
@@ -788,7 +820,7 @@ REPORT_DAYS = ("1998-01-01", "1998-12-31")
     with_cte(
         "fact_orders customers",
         f"""SELECT CAST(order_date AS DATE) AS order_day, region, count(order_id) AS order_count,
-        round(sum(total_amount), 2) AS total_revenue, round(sum(total_amount), 2) / count(*) AS avg_order_value,
+        round(sum(total_amount), 2) AS total_revenue, round(avg(total_amount), 6) AS avg_order_value,
         count(*) FILTER (WHERE discount_tier = 'GOLD') AS gold_count,
         count(*) FILTER (WHERE discount_tier = 'SILVER') AS silver_count,
         count(*) FILTER (WHERE discount_tier = 'BRONZE') AS bronze_count
@@ -804,7 +836,7 @@ def report_order_summary(spark, sf):
     return projection.run(
         spark,
         """SELECT CAST(o.order_date AS DATE) AS order_day, c.region, count(o.order_id) AS order_count,
-            round(sum(o.total_amount), 2) AS total_revenue, round(sum(o.total_amount), 2) / count(*) AS avg_order_value,
+            round(sum(o.total_amount), 2) AS total_revenue, round(avg(o.total_amount), 6) AS avg_order_value,
             count_if(o.discount_tier = 'GOLD') AS gold_count,
             count_if(o.discount_tier = 'SILVER') AS silver_count,
             count_if(o.discount_tier = 'BRONZE') AS bronze_count
@@ -840,24 +872,37 @@ def report_top_orders(spark, sf):
     )
 
 
-@query(
-    with_cte(
+_CUSTOMER_WINDOWS = with_cte(
         "sales",
         """SELECT customer_id, order_id, product_id, amount,
         row_number() OVER w AS rn, rank() OVER v AS rnk, dense_rank() OVER v AS dense_rnk,
         round(sum(amount) OVER (PARTITION BY customer_id), 2) AS total_spent,
         lag(amount, 1) OVER d AS prev_amt, lead(amount, 1) OVER d AS next_amt
-    FROM (SELECT customer_id, order_id, product_id, order_date, max(amount) AS amount FROM sales GROUP BY ALL)
-    WINDOW w AS (PARTITION BY customer_id ORDER BY amount DESC, order_id, product_id),
+    FROM sales
+    WINDOW w AS (PARTITION BY customer_id ORDER BY amount DESC, order_id, product_id, quantity),
         v AS (PARTITION BY customer_id ORDER BY amount DESC),
-        d AS (PARTITION BY customer_id ORDER BY order_date, order_id, product_id)""",
+        d AS (PARTITION BY customer_id ORDER BY order_date, order_id, product_id, quantity, amount)""",
     )
-)
+
+
+@query(_CUSTOMER_WINDOWS)
 def customer_windows(spark, sf):
     """Six window results per order line of a customer."""
-    base = sales(spark, sf).groupBy("customer_id", "order_id", "product_id", "order_date").agg(F.max("amount").alias("amount"))
+    return _customer_windows(spark, sf, win.HOT_ROWS)
+
+
+@query(_CUSTOMER_WINDOWS.replace("FROM sales\n", "FROM (SELECT * REPLACE (customer_id % 3 AS customer_id) FROM sales)\n"))
+def customer_windows_hot(spark, sf):
+    """The same over three groups of customers, taken as hot keys, whose rows are cut into pieces."""
+    return _customer_windows(spark, sf, 1500, F.col("customer_id") % 3)
+
+
+def _customer_windows(spark, sf, max_rows, key="customer_id"):
+    # the windows read their input more than once, so the join is written out first
+    base = materialised(sales(spark, sf).withColumn("customer_id", F.col(key) if isinstance(key, str) else key), "sales")
+    ties = ["order_id", "product_id", "quantity", "amount"]
     return win.window_tour(
-        base, ["customer_id"], value="amount", by_value=["-amount"], ties=["order_id", "product_id"], by_time=["order_date"]
+        base, ["customer_id"], value="amount", by_value=["-amount"], ties=ties, by_time=["order_date"], max_rows=max_rows
     ).select(
         "customer_id", "order_id", "product_id", "amount", "rn", "rnk", "dense_rnk",
         F.round("total_spent", 2).alias("total_spent"), "prev_amt", "next_amt",
