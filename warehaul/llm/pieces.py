@@ -27,7 +27,7 @@ SPACE = "▁"
 #: Characters that are indexed at once; bounds the arrays of a task.
 INDEX_CHARS = 1 << 19
 #: Encoded units that a task keeps.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 250_000
 
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Lone surrogates, which no text holds: a U+2581 of the text itself, and the end of a unit.

@@ -47,7 +47,7 @@ class Forms(dict):
     """Hash of the word and of its form, by word; kept for the words of one task, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = crc32(word) << 32 | crc32(_RUN.sub(rb"\1", word.translate(_COURSE)))
         return value
