@@ -49,8 +49,9 @@ def test_rules_from_a_table(spark):
     issues = corpus.audit(one(spark, "X Y x"), "id", "text", rules)
     assert rows(issues, "category") == [("A",), ("B",)]
     assert rows(corpus.severity_matrix(issues, "id")) == [(1, 0, 1, 0, 1)]
-    with pytest.raises(ValueError):
-        corpus.rules_from_table(table, max_rules=1)
+    many = [corpus.Rule("A", "INFO", str(i), f"n{i}\\b") for i in range(450)]
+    found = corpus.audit(one(spark, "n0 n199 n200 n449"), "id", "text", many)
+    assert rows(found, "rule_no") == [(0,), (199,), (200,), (449,)]
 
 
 def test_statement_findings(spark):

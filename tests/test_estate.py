@@ -140,7 +140,7 @@ COORDINATOR = (
 
 def test_schedules_link_to_workflows(spark):
     xml = [(COORDINATOR.format("multi", "/apps/wf-sales"),), (COORDINATOR.format("daily", "/workflows/daily_flow"),)]
-    table = workflows.coordinator_table(spark.createDataFrame(xml, "text string"))
+    table = workflows.coordinator_table(spark.createDataFrame([(f"f{i}", *x) for i, x in enumerate(xml)], "stem string, text string"))
     assert table.filter("schedule = 'multi'").first()["frequency"] == "${coord:hours(1)}"
     names = spark.createDataFrame([("wf_inventory", "b.xml", 1), ("wf_sales", "a.xml", 2)], "name string, path string, pos int")
     links = workflows.link_schedules(table, names)

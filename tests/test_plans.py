@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from warehaul import plans
 from warehaul.operators import corpus, joins, reports
 from warehaul.operators.windows import top_n_per_key
-from warehaul.session import spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,8 +71,28 @@ def test_large_sides_are_not_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_only_narrow_scans_are_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    narrow = spark.read.parquet(f"{SF}/orders.parquet")
-    assert "Exchange" in plan(spread(narrow, "o_orderkey"))
-    assert "Exchange" not in plan(spread(spark.range(0, 100, 1, cores), "id"))
+def test_order_lines_and_documents_are_not_dealt_out(spark):
+    for name in ("sales_by_category_city", "function_tour", "audit_documents"):
+        assert "REPARTITION_BY_NUM" not in plan(plans.QUERIES[name](spark, SF)), name
+
+
+def test_rounds_of_a_long_chain_grow_with_its_logarithm(spark):
+    from warehaul.operators import workflows
+
+    n = 100
+    kind = lambda i: "fork" if 0 < i < n else "action"
+    chain = [("w", str(i), str(i + 1), "ok", kind(i), kind(i + 1)) for i in range(n)]
+    edges = spark.createDataFrame(chain, "w string, src string, dst string, kind string, src_kind string, dst_kind string")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    got = [tuple(r) for r in workflows.contract_edges(edges, ["w"]).collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(before)
+    assert got == [("w", str(n), "0", "ok")] and jobs < n
+
+
+def test_cycles_of_pass_through_nodes_end(spark):
+    from warehaul.operators import workflows
+
+    rows = [("w", "a", "f", "ok", "action", "fork"), ("w", "f", "g", "ok", "fork", "fork"), ("w", "g", "f", "ok", "fork", "fork"),
+            ("w", "g", "b", "ok", "fork", "action")]
+    edges = spark.createDataFrame(rows, "w string, src string, dst string, kind string, src_kind string, dst_kind string")
+    assert [tuple(r) for r in workflows.contract_edges(edges, ["w"]).collect()] == [("w", "b", "a", "ok")]

@@ -49,17 +49,20 @@ def test_cascade_prefers_earlier_steps_then_order(spark):
     assert sorted(map(str, rows(got, "id", "match_step", "name"))) == [
         "(1, 1, 'r3')", "(2, 2, 'r4')", "(3, None, None)", "(4, None, None)",
     ]
+    with pytest.raises(ValueError, match="repeats"):
+        joins.match_cascade(left.unionByName(left), right, "id", [(F.col("k"), F.col("k"))], ["pos"], ["name"])
 
 
 def test_hierarchy_depth_paths_and_limits(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d"), ("x", "y")], "parent string, child string")
     roots = spark.createDataFrame([("a",)], "node string")
-    assert rows(joins.expand_hierarchy(edges, roots, 5)) == [
-        ("a", 0, "a"), ("b", 1, "a/b"), ("c", 2, "a/b/c"), ("d", 1, "a/d"),
+    assert rows(joins.expand_hierarchy(edges, roots)) == [
+        ("a", 0, "a", False), ("b", 1, "a/b", False), ("c", 2, "a/b/c", False), ("d", 1, "a/d", False),
     ]
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
-    with pytest.raises(ValueError, match="deeper"):
-        joins.expand_hierarchy(loop, roots, 4)
+    assert rows(joins.expand_hierarchy(loop, roots)) == [("a", 0, "a", False), ("a", 2, "a/b/a", True), ("b", 1, "a/b", False)]
+    deep = spark.createDataFrame([(str(i), str(i + 1)) for i in range(30)], "parent string, child string")
+    assert joins.expand_hierarchy(deep, spark.createDataFrame([("0",)], "node string")).count() == 31
 
 
 def test_tier_bounds_and_nulls(spark):

@@ -38,6 +38,23 @@ STATEMENT_REWRITES = (
     (r"\bSORT\s+BY\s+[\w,\s]+", ""),
     (r"/\*\+\s*MAPJOIN\((.*?)\)\s*\*/", "/*+ BROADCAST($1) */"),
 )
+# Clauses taken out of statements, over line breaks, after the rewrites above.
+STRIPPED_CLAUSES = (
+    r"ROW\s+FORMAT\s+DELIMITED.*?(?=\)|$)",
+    r"ROW\s+FORMAT\s+SERDE\s+'[^']*'.*?(?=\)|$)",
+    r"STORED\s+AS\s+\w+",
+    r"TBLPROPERTIES\s*\([^)]*\)",
+    r"CLUSTERED\s+BY\s*\([^)]*\)\s+INTO\s+\d+\s+BUCKETS",
+    r"SORTED\s+BY\s*\([^)]*\)",
+    r"SKEWED\s+BY\s*\([^)]*\)\s+ON\s*\([^)]*\).*?",
+    r"INPUTFORMAT\s+'[^']*'",
+    r"OUTPUTFORMAT\s+'[^']*'",
+)
+# Statements taken out of scripts.
+STRIPPED_STATEMENTS = (
+    r"\bADD\s+JAR\s+[^;]+;?",
+    r"CREATE\s+TEMPORARY\s+FUNCTION\s+[^;]+;?",
+)
 STATISTICS_REWRITE = (
     r"ANALYZE\s+TABLE\s+(\w+)\s+COMPUTE\s+STATISTICS\s+FOR\s+COLUMNS",
     "ANALYZE TABLE $1 COMPUTE STATISTICS FOR ALL COLUMNS",

@@ -7,6 +7,7 @@ rules, no shuffle of the texts, no Python worker. Texts are always read whole.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,8 @@ from warehaul.operators.aggregates import count_by_value, last_by, top_usage
 from warehaul.operators.projection import split_lines, without_last_break
 
 SEVERITIES = ("BLOCKER", "ERROR", "WARNING", "INFO")
-MAX_RULES = 1000
+#: Rules that one projection holds; more are applied in several passes.
+RULES_PER_PASS = 200
 
 
 class Rule(NamedTuple):
@@ -37,15 +39,16 @@ DIALECT_RULES = tuple(
     Rule("DIALECT", "WARNING", f"T-SQL pattern detected — {p}", p) for p in fv.DIALECT_HINTS
 )
 STATEMENT_REWRITES = tuple((fv.IGNORE_CASE + p, r) for p, r in (fv.STATISTICS_REWRITE, *fv.STATEMENT_REWRITES))
+# (?s): a dot also stands for a line break, as the clauses of a statement may run over lines
+CLAUSE_REWRITES = tuple((fv.IGNORE_CASE + "(?s)" + p, "") for p in fv.STRIPPED_CLAUSES)
+SCRIPT_STRIPS = tuple((fv.IGNORE_CASE + p, "") for p in fv.STRIPPED_STATEMENTS)
 PATH_REWRITES = tuple((fv.CASE + p, r) for p, r in fv.PATH_REWRITES)
 CODE_WARNINGS = tuple((fv.CASE + p, m) for p, m in fv.CODE_WARNINGS)
 
 
-def rules_from_table(df: DataFrame, max_rules: int = MAX_RULES) -> list[Rule]:
-    """Rules kept in a table, in the order of their position. More than ``max_rules`` is an error."""
-    rows = df.orderBy("position").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules; apply them in several passes")
+def rules_from_table(df: DataFrame) -> list[Rule]:
+    """Rules kept in a table, in the order of their position; a rule book, which people write, fits on the driver."""
+    rows = df.orderBy("position").collect()
     return [Rule(r["category"], r["severity"], r["message"], r["pattern"], r["ignore_case"]) for r in rows]
 
 
@@ -53,8 +56,14 @@ def audit(df: DataFrame, id_col: str, text: str, rules: Sequence[Rule] = SCRIPT_
     """One issue per text and rule found anywhere in the text.
 
     ``lines`` are the lines on which the pattern matches by itself and ``count`` their number, so
-    a match that spans lines is an issue with no lines.
+    a match that spans lines is an issue with no lines. Long rule lists are applied in several passes.
     """
+    passes = [_audit_pass(df, id_col, text, rules, n) for n in range(0, len(rules), RULES_PER_PASS)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _audit_pass(df: DataFrame, id_col: str, text: str, every: Sequence[Rule], first: int) -> DataFrame:
+    rules = every[first : first + RULES_PER_PASS]
     hits = [f"_hit{i}" for i in range(len(rules))]
     marked = df.select(
         id_col, F.col(text).alias("_text"), *[F.col(text).rlike(r.regex).alias(h) for r, h in zip(rules, hits)]
@@ -72,7 +81,7 @@ def audit(df: DataFrame, id_col: str, text: str, rules: Sequence[Rule] = SCRIPT_
         return F.when(
             F.col(hits[no]),
             F.struct(
-                F.lit(no).alias("rule_no"),
+                F.lit(first + no).alias("rule_no"),
                 F.lit(rule.category).alias("category"),
                 F.lit(rule.severity).alias("severity"),
                 F.lit(rule.message).alias("message"),

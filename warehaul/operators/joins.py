@@ -21,16 +21,16 @@ def anti_join(df: DataFrame, other: DataFrame, on: str, null_aware: bool = True)
     """Rows of ``df`` without a partner.
 
     Null-aware is ``NOT IN``: one NULL on the right empties the result, and a NULL on the left
-    stays only when the right is empty. Otherwise it is ``NOT EXISTS``. Both run as an
-    equi anti join on the distinct keys of the right side.
+    stays only when the right is empty. Otherwise it is ``NOT EXISTS``. Both run as an equi anti join,
+    which needs no distinct keys; NULLs are counted by one aggregate that shuffles a row per task.
     """
-    keys = other.select(on).distinct()
+    keys = other.select(on)
     if not null_aware:
         return df.join(keys, on, "left_anti")
-    facts = keys.agg(F.count("*").alias("n"), F.count(on).alias("named")).first()
+    facts = keys.agg(F.count("*").alias("n"), F.count_if(F.col(on).isNull()).alias("holes")).first()
     if facts["n"] == 0:
         return df
-    if facts["named"] < facts["n"]:
+    if facts["holes"]:
         return df.filter(F.lit(False))
     return df.filter(F.col(on).isNotNull()).join(keys, on, "left_anti")
 
@@ -93,8 +93,12 @@ def match_cascade(
     """For each left row the right row of the first key pair that matches, ties by ``order``.
 
     The right side is cut to its best row per (step, key) before the join, so that a left row
-    meets at most one partner per step, however many copies of a key there are.
+    meets at most one partner per step, however many copies of a key there are. ``left_id`` must name a row:
+    a repeated one is an error, as its rows would share their partners.
     """
+    repeated = left.groupBy(left_id).agg(F.count("*").alias("_n")).filter("_n > 1").select(left_id).limit(3).collect()
+    if repeated:
+        raise ValueError(f"{left_id} repeats: {[r[0] for r in repeated]}")
     steps = range(1, len(keys) + 1)
     candidates = right.select(
         "*",
@@ -131,27 +135,33 @@ def link_or_placeholder(
 
 
 def expand_hierarchy(
-    edges: DataFrame, roots: DataFrame, max_depth: int = 100, parent: str = "parent", child: str = "child"
+    edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child"
 ) -> DataFrame:
-    """Nodes reached from the roots with their depth and path, level by level.
+    """Nodes reached from the roots with their depth and path, level by level, however deep.
 
-    ``roots`` has one column ``node``. Every level is checkpointed, so the lineage stays short.
-    A tree deeper than ``max_depth`` is an error, as it would otherwise be cut short.
+    ``roots`` has one column ``node``. A path ends at the first node that it already holds; that row is
+    given too, marked in ``cycle``. Every level is checkpointed, so the lineage stays short.
     """
     step = edges.select(F.col(parent).alias("node"), F.col(child).alias("_next"))
     level = roots.select(
-        F.col("node"), F.lit(0).cast("bigint").alias("depth"), F.col("node").cast("string").alias("path")
+        F.col("node"),
+        F.lit(0).cast("bigint").alias("depth"),
+        F.col("node").cast("string").alias("path"),
+        F.lit(False).alias("cycle"),
+        F.array("node").alias("_held"),
     )
     levels = [level]
-    for depth in range(1, max_depth + 2):
+    depth = 0
+    while depth == 0 or not level.isEmpty():
+        depth += 1
         level = checkpointed(
-            level.join(step, "node").select(
+            level.filter(~F.col("cycle")).join(step, "node").select(
                 F.col("_next").alias("node"),
                 F.lit(depth).cast("bigint").alias("depth"),
                 F.concat_ws("/", "path", F.col("_next").cast("string")).alias("path"),
+                F.array_contains("_held", F.col("_next")).alias("cycle"),
+                F.array_append("_held", F.col("_next")).alias("_held"),
             )
         )
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
         levels.append(level)
-    raise ValueError(f"hierarchy is deeper than {max_depth}, or has a cycle")
+    return reduce(DataFrame.unionByName, levels[:-1]).drop("_held")

@@ -48,11 +48,11 @@ def _plain(c: Column, kind: T.DataType, digits: int | None) -> Column:
     return c
 
 
-def comparable(df: DataFrame, digits: int | None = DOUBLE_DIGITS) -> DataFrame:
+def comparable(df: DataFrame, digits: int = DOUBLE_DIGITS, round_columns: bool = True) -> DataFrame:
     """Columns by name in sorted order, doubles rounded to ``digits`` significant digits at any depth and -0.0 as 0.0.
 
     Arrays, structs and maps become JSON texts that keep NULL fields and elements, so that equal values group and
-    a moved NULL shows. ``digits`` = None keeps doubles as they are.
+    a moved NULL shows. Without ``round_columns`` columns of doubles stay as they are, and only those within others are rounded.
     """
 
     def value(f: T.StructField) -> Column:
@@ -61,7 +61,7 @@ def comparable(df: DataFrame, digits: int | None = DOUBLE_DIGITS) -> DataFrame:
             return F.to_json(_plain(c, f.dataType, digits), {"ignoreNullFields": "false"}).alias(f.name)
         if isinstance(f.dataType, T.VariantType):
             return F.to_json(c).alias(f.name)
-        return _plain(c, f.dataType, digits).alias(f.name)
+        return _plain(c, f.dataType, digits if round_columns else None).alias(f.name)
 
     return df.select(*[value(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])
 
@@ -128,7 +128,7 @@ def diff_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     apart than one unit in the last of DOUBLE_DIGITS significant digits.
     """
     doubles = {n for df in (left, right) for n, t in df.dtypes if t in ("double", "float") and n not in keys}
-    a, b = _same_types(*[comparable(df, None if doubles else DOUBLE_DIGITS) for df in (left, right)], keys)
+    a, b = _same_types(*[comparable(df, round_columns=False) for df in (left, right)], keys)
     values = [c for c in a.columns if c not in set(keys) and c in set(b.columns)]
     tagged = [
         side.select(*keys, *values, F.lit(tag).alias("_side")) for side, tag in ((a, "l"), (b, "r"))

@@ -8,14 +8,30 @@ from pyspark.sql import functions as F
 from warehaul.functions.scalar import epoch_millis, frequency
 
 SLOTS_PER_ROW = 50_000
+BAD_FREQUENCY = "frequency '%s' cannot be read"
 SHORTEST_MONTH, SHORTEST_DAY = 28 * 24, 23  # hours
 
 
+def rejected_schedules(df: DataFrame) -> DataFrame:
+    """Schedules that give no slots, with the reason: (schedule, frequency, reason)."""
+    unit, amount = frequency(F.col("frequency"))
+    starts, ends = epoch_millis(F.col("start")), epoch_millis(F.col("end"))
+    unknown = unit.isNull() | amount.isNull() | (amount <= 0) | ~unit.isin("minutes", "hours", "days", "months")
+    reason = (
+        F.when(unknown, F.format_string(BAD_FREQUENCY, F.coalesce("frequency", F.lit(""))))
+        .when(starts.isNull(), "start cannot be read")
+        .when(ends.isNull(), "end cannot be read")
+        .when(starts >= ends, "start is not before end")
+    )
+    return df.select("schedule", "frequency", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def schedule_slots(df: DataFrame, chunk: int = SLOTS_PER_ROW) -> DataFrame:
     """Expected run times of every schedule: (schedule, slot_no, slot), the end excluded.
 
     ``df`` has schedule, frequency, start, end (ISO texts) and timezone. Days and months are
-    calendar steps in the schedule's own time zone, minutes and hours are exact. A long schedule
+    calendar steps in the schedule's own time zone, minutes and hours are exact. Schedules that cannot be read are
+    listed by ``rejected_schedules``. A long schedule
     is generated in chunks spread over tasks, so no row has to hold all of its slots.
     """
     unit, amount = frequency(F.col("frequency"))

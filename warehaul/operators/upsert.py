@@ -17,8 +17,8 @@ def upsert(
     source rows without a match are added, all other rows stay.
 
     A presence column tells a matched NULL from no match. Repeated source keys are an error.
-    The source is materialised, as it is read several times. When it is small, only it and the
-    distinct target keys are shuffled.
+    The source is materialised, as it is read several times. When it is small, nothing of the target is
+    shuffled: its keys are first cut to those of the source.
     """
     keys = list(keys)
     source = checkpointed(source)
@@ -36,7 +36,7 @@ def upsert(
             for c in columns
         ]
     )
-    known = target.select(*keys).distinct()
+    known = target.select(*keys).join(small(source.select(*keys)), keys, "left_semi")
     added = source.join(known, keys, "left_anti").select(
         *[F.col(c) if c in source.columns else F.lit(None).cast(dict(target.dtypes)[c]).alias(c) for c in columns]
     )

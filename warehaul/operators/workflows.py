@@ -51,6 +51,14 @@ def _properties(config: Column) -> Column:
     return scalar.last_wins(F.coalesce(pairs, empty))
 
 
+def _settings() -> Column:
+    """The plain child elements of an action body as a map; empty ones are left out."""
+    texts = [(t, F.trim(F.col(f"body.`{t}`"))) for t in ("exec", "class", "jar", "master", "mode", "app-path")]
+    texts += [(f"{t}s", scalar.joined(F.transform(F.col(f"body.{t}"), F.trim))) for t in ("file", "archive")]
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in texts])
+    return F.map_from_entries(F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+
+
 def _whole(attribute: Column, element: Column) -> Column:
     """Child elements override attributes; neither means 1."""
     return F.coalesce(F.trim(element).try_cast("int"), F.trim(attribute).try_cast("int"), F.lit(1))
@@ -59,9 +67,10 @@ def _whole(attribute: Column, element: Column) -> Column:
 def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a corpus of workflow XML, keyed by ``file`` (the stem), as names may repeat.
 
-    Nodes: file, workflow, node, kind, action_type, retries, settings and parameters. Edges: file, workflow,
-    src, dst, kind (ok or error) and the kinds of both ends. Actions of an unknown kind and
-    unreadable files drop.
+    Nodes: file, workflow, node, kind, action_type, retries, settings, parameters and the message of kill nodes.
+    ``settings`` holds the remaining elements of an action by name, repeated ones comma-joined. Edges: file, workflow,
+    src, dst, kind (ok or error) and the kinds of both ends. Actions of an unknown kind drop; unreadable files are
+    listed by ``corpora.unreadable_files``.
     """
     docs = parse_xml(df, xml, WORKFLOW_SCHEMA).filter(~F.col("doc_bad")).select(
         F.col(stem).alias("file"),
@@ -95,6 +104,7 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
         F.coalesce(F.col("body.param"), no_list).alias("params"),
         F.col("body.script").alias("script"),
         scalar.joined(F.coalesce(F.col("body.arg"), F.col("body.argument"))).alias("arguments"),
+        _settings().alias("settings"),
     )
 
     def named(kind: str) -> Column:
@@ -106,7 +116,13 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
         )
 
     others = F.concat(*[named(k) for k in ("decision", "fork", "join", "kill")])
-    plain = docs.select("file", "workflow", F.inline_outer(others)).filter("node IS NOT NULL")
+    own = F.try_element_at(F.filter("_kills", lambda k: k["_name"] == F.col("node")), F.lit(-1))
+    plain = (
+        docs.select("file", "workflow", F.col("doc.kill").alias("_kills"), F.inline_outer(others))
+        .filter("node IS NOT NULL")
+        .withColumn("message", F.when(F.col("kind") == "kill", F.coalesce(F.trim(own["message"]), F.lit(""))))
+        .drop("_kills")
+    )
     nodes = action_nodes.unionByName(plain, allowMissingColumns=True)
 
     def steps(path: str, kind: str, ok) -> Column:
@@ -171,8 +187,9 @@ def contract_edges(
     """Predecessors of the real nodes: (keys, node, pred, kind), distinct.
 
     Walks back through pass-through nodes along ok edges; an error edge counts for one hop only.
-    ``edges`` carry ``src_kind`` and ``dst_kind``, else both are looked up in ``nodes``. Every round
-    is checkpointed and pairs already seen are dropped, so cycles end the walk.
+    ``edges`` carry ``src_kind`` and ``dst_kind``, else both are looked up in ``nodes``. The pointers of
+    pass-through nodes are doubled: each round follows paths twice as long, so a chain of n nodes takes about log2(n)
+    rounds, and after that many what still points to a pass-through node runs in a cycle. Every round is checkpointed.
     """
     keys = list(keys)
     if nodes is not None:
@@ -183,32 +200,29 @@ def contract_edges(
             )
     is_real, passes = F.col("dst_kind").isin(*real), F.col("src_kind").isin(*through)
     edges = checkpointed(edges.select(*keys, "src", "dst", "kind", "src_kind", "dst_kind").distinct())
-    # only pass-through nodes are walked through, so only their incoming edges are needed again
-    inner = edges.filter((F.col("kind") == "ok") & F.col("dst_kind").isin(*through)).select(
-        *keys, F.col("dst").alias("at"), F.col("src").alias("_src"), F.col("src_kind").alias("_src_kind")
+    # pointers of pass-through nodes to what comes before them
+    inner = (F.col("kind") == "ok") & F.col("dst_kind").isin(*through) & F.col("src_kind").isin(*real, *through)
+    pointers = checkpointed(
+        edges.filter(inner).select(
+            *keys, F.col("dst").alias("at"), F.col("src").alias("before"), F.col("src_kind").isin(*real).alias("done")
+        )
     )
-    reached = edges.filter(is_real & F.col("src_kind").isin(*real)).select(
+    rounds = max(1, (pointers.select(*keys, "at").distinct().count() + 1).bit_length())
+    for _ in range(rounds):
+        if pointers.filter(~F.col("done")).isEmpty():
+            break
+        onward = pointers.select(*keys, F.col("at").alias("before"), F.col("before").alias("_next"), F.col("done").alias("_done"))
+        moved = pointers.filter(~F.col("done")).join(onward, [*keys, "before"])
+        moved = moved.select(*keys, "at", F.col("_next").alias("before"), F.col("_done").alias("done"))
+        pointers = checkpointed(pointers.filter("done").unionByName(moved).distinct())
+    direct = edges.filter(is_real & F.col("src_kind").isin(*real)).select(
         *keys, F.col("dst").alias("node"), F.col("src").alias("pred"), "kind"
     )
-    front = edges.filter(is_real & passes & (F.col("kind") == "ok")).select(
-        *keys, F.col("dst").alias("node"), F.col("src").alias("at")
+    front = edges.filter(is_real & passes & (F.col("kind") == "ok")).select(*keys, F.col("dst").alias("node"), F.col("src").alias("at"))
+    far = front.join(pointers.filter("done"), [*keys, "at"]).select(
+        *keys, "node", F.col("before").alias("pred"), F.lit("ok").alias("kind")
     )
-    found, seen = [reached], front
-    while not front.isEmpty():
-        step = checkpointed(
-            front.join(inner, [*keys, "at"])
-            .select(*keys, "node", F.col("_src").alias("at"), "_src_kind")
-            .distinct()
-            .join(seen, [*keys, "node", "at"], "left_anti")
-        )
-        found.append(
-            step.filter(F.col("_src_kind").isin(*real)).select(
-                *keys, "node", F.col("at").alias("pred"), F.lit("ok").alias("kind")
-            )
-        )
-        front = step.filter(F.col("_src_kind").isin(*through)).drop("_src_kind")
-        seen = seen.unionByName(front)
-    return reduce(DataFrame.unionByName, found).distinct()
+    return direct.unionByName(far).distinct()
 
 
 def run_conditions(preds: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -244,10 +258,14 @@ def effective_config(nodes: DataFrame) -> DataFrame:
     )
 
 
-def coordinator_table(df: DataFrame, xml: str = "text") -> DataFrame:
-    """Schedules of a corpus of coordinator XML."""
+def coordinator_table(df: DataFrame, xml: str = "text", stem: str = "stem") -> DataFrame:
+    """Schedules of a corpus of coordinator XML, keyed by ``file`` (the stem), as names may repeat or be missing.
+
+    Unreadable files are listed by ``corpora.unreadable_files``.
+    """
     docs = parse_xml(df, xml, COORDINATOR_SCHEMA).filter(~F.col("doc_bad"))
     return docs.select(
+        F.col(stem).alias("file"),
         F.coalesce("doc._name", F.lit(fv.DEFAULT_SCHEDULE_NAME)).alias("schedule"),
         F.coalesce("doc._frequency", F.lit("")).alias("frequency"),
         F.col("doc._start").alias("start"),
@@ -262,13 +280,14 @@ def link_schedules(schedules: DataFrame, workflows: DataFrame, ids: DataFrame |
 
     ``workflows`` has name, path and pos. The match is, in this order: exact name, exact file
     stem, normalised name, normalised stem; ties go to the first workflow by pos. With ``ids``
-    (name, job_id) the named placeholder of a matched workflow is replaced by its real id.
+    (name, job_id) the named placeholder of a matched workflow is replaced by its real id, of a repeated name
+    the smallest. ``schedules`` are told apart by ``file`` if they have it, else by ``schedule``; a repeat is an error.
     """
     app, wf_name, stem = F.nullif(scalar.app_name(F.col("app_path")), F.lit("")), F.col("name"), scalar.file_stem(F.col("path"))
     matched = match_cascade(
         schedules,
         workflows,
-        "schedule",
+        "file" if "file" in schedules.columns else "schedule",
         [
             (app, wf_name),
             (app, stem),
@@ -289,7 +308,8 @@ def link_schedules(schedules: DataFrame, workflows: DataFrame, ids: DataFrame |
     ).withColumn("task_key", F.concat(F.lit("run_"), scalar.task_key(F.coalesce("workflow", fallback))))
     if ids is None:
         return linked
-    known = small(ids.select(F.col("name").alias("workflow"), F.col("job_id").cast("string").alias("_id")))
+    one = ids.groupBy(F.col("name").alias("workflow")).agg(F.min("job_id").cast("string").alias("_id"))
+    known = small(one)
     return linked.join(known, "workflow", "left").withColumn("target", F.coalesce("_id", "target")).drop("_id")
 
 
@@ -310,11 +330,10 @@ def bundle_table(df: DataFrame, xml: str = "text") -> DataFrame:
 def expand_bundles(bundles: DataFrame, schedules: DataFrame) -> DataFrame:
     """Bundle entries with their schedule; entries without one carry a warning.
 
-    ``schedules`` has path and schedule, one row per path.
+    ``schedules`` has path and schedule; of several schedules of one path the first by name is taken.
     """
-    return bundles.join(
-        schedules.select(F.col("path").alias("app_path"), "schedule"), "app_path", "left"
-    ).withColumn(
+    one = schedules.groupBy(F.col("path").alias("app_path")).agg(F.min("schedule").alias("schedule"))
+    return bundles.join(one, "app_path", "left").withColumn(
         "warning",
         F.when(
             F.col("schedule").isNull(),

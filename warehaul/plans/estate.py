@@ -13,7 +13,7 @@ from warehaul.operators.windows import with_lead
 from warehaul.plans.loading import fresh
 from warehaul.plans.tables import table
 from warehaul.registry import query
-from warehaul.session import scratch_path, spread
+from warehaul.session import balanced, scratch_path, spread
 from warehaul.sources import corpora
 from warehaul.sources import tables as src
 from warehaul.streaming.daily_summary import read_stream, stream_daily_summary
@@ -87,11 +87,34 @@ DOCUMENT_RULES = (
 )
 def audit_documents(spark, sf):
     """The rule audit over whole documents."""
-    return corpus.audit(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", DOCUMENT_RULES).select(
+    return corpus.audit(table(spark, sf, "documents"), "doc_id", "text", DOCUMENT_RULES).select(
         "doc_id", "rule_no", "category", "severity", F.concat_ws(",", "lines").alias("lines"), "count"
     )
 
 
+@query(
+    """WITH calls AS (SELECT o_orderkey, 'ship to ' || n_name || chr(10) || 'priority ' || o_orderpriority AS text
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+    SELECT o_orderkey, CAST(n_nationkey AS BIGINT) AS rule_no, n_name AS message, '1' AS lines
+    FROM calls JOIN nation ON regexp_matches(text, '(?i)to ' || n_name)"""
+)
+def audit_by_rule_table(spark, sf):
+    """Rules kept in a table, one per nation, over a text per order."""
+    nation = table(spark, sf, "nation")
+    rules = nation.select(
+        F.col("n_nationkey").alias("position"), F.lit("PLACE").alias("category"), F.lit("INFO").alias("severity"),
+        F.col("n_name").alias("message"), F.concat(F.lit("to "), "n_name").alias("pattern"), F.lit(True).alias("ignore_case"),
+    )
+    # the nations are a fixed table of 25 rows
+    people = table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    calls = table(spark, sf, "orders").join(people.select("c_custkey", "n_name"), F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.concat(F.lit("ship to "), "n_name", F.lit("\npriority "), "o_orderpriority").alias("text")
+    )
+    return corpus.audit(calls, "o_orderkey", "text", corpus.rules_from_table(rules)).select(
+        "o_orderkey", F.col("rule_no").cast("bigint").alias("rule_no"), "message", F.concat_ws(",", "lines").alias("lines")
+    )
+
+
 @query(
     f"""WITH {SCRIPT_CTE}, {_audit_sql('scripts', 'k', corpus.DIALECT_RULES)}
     SELECT rule_no, count(*) AS n FROM issues GROUP BY rule_no"""
@@ -158,6 +181,35 @@ def rewrite_scripts(spark, sf):
     return corpus.rewrite(scripts(spark, sf), "text")
 
 
+DDL_TEXT = """'CREATE TABLE t_' || k || ' (id INT)' || chr(10) || CASE k % 7
+    WHEN 0 THEN 'ROW FORMAT DELIMITED' || chr(10) || 'FIELDS TERMINATED BY '',''' || chr(10) || 'STORED AS TEXTFILE'
+    WHEN 1 THEN 'ROW FORMAT SERDE ''org.x.S'' WITH SERDEPROPERTIES (''a''=''b'')'
+    WHEN 2 THEN 'STORED AS ORC TBLPROPERTIES (''k''=''' || k || ''')'
+    WHEN 3 THEN 'clustered by (id) into ' || (k % 9) || ' buckets'
+    WHEN 4 THEN 'CLUSTERED BY (id) SORTED BY (id ASC) INTO 4 BUCKETS SKEWED BY (id) ON (1)'
+    WHEN 5 THEN 'STORED AS INPUTFORMAT ''a.b.In'' OUTPUTFORMAT ''a.b.Out'''
+    ELSE 'COMMENT ''kept'' LOCATION ''/mnt/t''' END"""
+
+
+def _stripped_sql(column: str) -> str:
+    """As ``_replace_sql``, with a dot that also stands for a line break; DuckDB puts back what Spark looks ahead to."""
+    rules = [(p.replace("(?s)", "").replace("(?=", "("), "$1" if "(?=" in p else r) for p, r in corpus.CLAUSE_REWRITES]
+    return _replace_sql(column, rules).replace("'gi')", "'gis')")
+
+
+@query(f"SELECT k, {_stripped_sql('text')} AS text FROM (SELECT k, {DDL_TEXT} AS text FROM (SELECT o_orderkey AS k FROM orders))")
+def strip_clauses(spark, sf):
+    """Storage clauses taken out of table definitions."""
+    tables = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).withColumn("text", F.expr(DDL_TEXT))
+    return corpus.rewrite(tables, "text", corpus.CLAUSE_REWRITES)
+
+
+@query(f"WITH {SCRIPT_CTE} SELECT k, {_replace_sql('text', corpus.SCRIPT_STRIPS)} AS text FROM scripts")
+def strip_statements(spark, sf):
+    """Library and temporary function statements taken out of scripts."""
+    return corpus.rewrite(scripts(spark, sf), "text", corpus.SCRIPT_STRIPS)
+
+
 CELL_TEXT = """text || chr(10) || CASE (conv_id + turn) % 4
     WHEN 0 THEN 'df = sc.textFile("hdfs:///conv/' || conv_id || '")' || chr(10) || 'rows = df.collect()'
     WHEN 1 THEN 'conf = SparkConf()' || chr(10) || 'sc = SparkContext(conf)'
@@ -295,18 +347,19 @@ def script_files(spark, sf):
     """Part names written as many small script files below one directory, read one row per file."""
     path = scratch_path(spark, "scripts")
     part = table(spark, sf, "part").select("p_brand", F.col("p_name").alias("value"))
-    part.repartition("p_brand").write.partitionBy("p_brand").option("maxRecordsPerFile", 20).text(path)
+    balanced(part, "p_brand").write.partitionBy("p_brand").option("maxRecordsPerFile", 1000).text(path)
     files = corpora.read_scripts(spark, path, (".txt",))
     return files.select(F.size(F.split("text", "\n")).alias("n"), F.length("text").alias("c")).agg(
         F.sum(F.col("n") - 1).alias("lines"), F.sum(F.col("c") - F.col("n") + 1).alias("chars")
     )
 
 
-@query("SELECT sum(length(c_name) + 1) AS bytes FROM customer")
+@query("SELECT sum(length(c_name) + 1) AS bytes, true AS some_files FROM customer")
 def stored_bytes(spark, sf):
+    """Bytes and files; how many files there are depends on the partitions, so only that there are some is shown."""
     path = scratch_path(spark, "inventory")
     table(spark, sf, "customer").select("c_name").write.text(path)
-    return storage.file_inventory(spark, path).select(F.col("bytes").cast("bigint").alias("bytes"))
+    return storage.file_inventory(spark, path).select(F.col("bytes").cast("bigint").alias("bytes"), (F.col("files") > 0).alias("some_files"))
 
 
 # --- storage listings: one line per document ---------------------------------------------------
@@ -573,6 +626,60 @@ def workflow_fleet_summary(spark, sf):
     return workflows.fleet_summary(names, workflows.link_schedules(schedule_rows(spark, sf), names))
 
 
+# an estate of odd files: prefixed XML, no or repeated names, actions with settings, unreadable texts
+ODD_XML = """CASE k % 6
+    WHEN 0 THEN '<wf:workflow-app xmlns:wf="uri:oozie:workflow:0.5" name="same"><wf:start to="s"/><wf:action name="s"><wf:shell><wf:exec>run_' || k ||
+        '.sh</wf:exec><wf:file>a.txt</wf:file><wf:file>b.txt</wf:file></wf:shell><wf:ok to="p"/><wf:error to="fail"/></wf:action>' ||
+        '<wf:action name="p"><wf:spark><wf:master>yarn</wf:master><wf:mode>cluster</wf:mode><wf:class>C' || k || '</wf:class><wf:jar>j.jar</wf:jar></wf:spark>' ||
+        '<wf:ok to="end"/><wf:error to="fail"/></wf:action><wf:kill name="fail"><wf:message> failed ' || k || ' </wf:message></wf:kill></wf:workflow-app>'
+    WHEN 1 THEN '<workflow-app><start to="a"/><action name="a"><shell><exec>x</exec><archive>z.zip</archive></shell><ok to="end"/><error to="end"/></action></workflow-app>'
+    WHEN 2 THEN '<workflow-app name="same"' WHEN 3 THEN '' WHEN 4 THEN NULL
+    ELSE '<workflow-app name="empty"></workflow-app>' END"""
+
+
+def odd_files(spark, sf):
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    return keys.select(F.concat(F.lit("flow_"), "k").alias("stem"), F.expr(ODD_XML).alias("text"))
+
+
+@query(
+    """WITH f AS (SELECT c_custkey AS k, 'flow_' || c_custkey AS file, c_custkey % 6 AS m FROM customer)
+    SELECT file, 'same' AS workflow, 's' AS node, 'exec=run_' || k || '.sh,files=a.txt,b.txt' AS settings, NULL AS message FROM f WHERE m = 0
+    UNION ALL SELECT file, 'same', 'p', 'class=C' || k || ',jar=j.jar,master=yarn,mode=cluster', NULL FROM f WHERE m = 0
+    UNION ALL SELECT file, 'same', 'fail', '', 'failed ' || k FROM f WHERE m = 0
+    UNION ALL SELECT file, file, 'a', 'archives=z.zip,exec=x', NULL FROM f WHERE m = 1"""
+)
+def workflow_settings(spark, sf):
+    """Settings of actions and messages of kill nodes, with prefixed XML and repeated names."""
+    nodes, _ = workflows.workflow_tables(odd_files(spark, sf))
+    one = F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return nodes.select("file", "workflow", "node", F.concat_ws(",", F.array_sort(one)).alias("settings"), "message")
+
+
+@query(
+    """SELECT 'flow_' || c_custkey AS file, CASE c_custkey % 6 WHEN 2 THEN 'XML parse error' WHEN 3 THEN 'empty text' ELSE 'no text' END AS reason
+    FROM customer WHERE c_custkey % 6 IN (2, 3, 4)"""
+)
+def unreadable_workflows(spark, sf):
+    return corpora.unreadable_files(odd_files(spark, sf), "text", workflows.WORKFLOW_SCHEMA)
+
+
+@query(
+    """SELECT 'c_' || o_orderkey AS file, 'migrated-coordinator' AS schedule, 'wf-' || o_custkey AS workflow FROM orders WHERE o_orderkey % 2 = 0
+    UNION ALL SELECT 'c_' || o_orderkey, 'daily', 'wf-' || o_custkey FROM orders WHERE o_orderkey % 2 = 1"""
+)
+def schedule_links_by_file(spark, sf):
+    """Schedules without a name, or all with the same one, each linked to its own workflow."""
+    xml = F.concat(
+        F.lit("<c:coordinator-app xmlns:c='uri:oozie:coordinator:0.4'"),
+        F.when(F.col("o_orderkey") % 2 == 1, " name='daily'").otherwise(""),
+        F.lit(" frequency='60'><c:action><c:workflow><c:app-path>/apps/wf-"), "o_custkey",
+        F.lit("</c:app-path></c:workflow></c:action></c:coordinator-app>"),
+    )
+    files = table(spark, sf, "orders").select(F.concat(F.lit("c_"), "o_orderkey").alias("stem"), xml.alias("text"))
+    return workflows.link_schedules(workflows.coordinator_table(files), workflow_names(spark, sf)).select("file", "schedule", "workflow")
+
+
 # --- reports: one XML per part -----------------------------------------------------------------
 
 _DS = '<DataSources><DataSource Name="DW"><ConnectionProperties><DataProvider>SQL</DataProvider><ConnectString>Data Source=dw</ConnectString></ConnectionProperties></DataSource></DataSources>'
@@ -723,6 +830,22 @@ def missing_schedule_slots(spark, sf):
     return schedules.missing_slots(schedules.schedule_slots(plan), runs).select("schedule", "slot")
 
 
+@query(
+    """SELECT 'user_' || user_id AS schedule, CASE user_id % 4 WHEN 0 THEN 'frequency ''sometimes'' cannot be read' WHEN 1 THEN 'end cannot be read'
+        ELSE 'start is not before end' END AS reason FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 4 < 3"""
+)
+def rejected_schedules(spark, sf):
+    """Users as schedules, three in four of which cannot be read."""
+    k = F.col("user_id") % 4
+    plan = table(spark, sf, "events").select("user_id").distinct().select(
+        F.concat(F.lit("user_"), "user_id").alias("schedule"),
+        F.when(k == 0, "sometimes").otherwise("60").alias("frequency"),
+        F.when(k == 2, "2024-02-01T00:00Z").otherwise("2024-01-01T00:00Z").alias("start"),
+        F.when(k == 1, "soon").otherwise("2024-01-31T00:00Z").alias("end"),
+    )
+    return schedules.rejected_schedules(plan).select("schedule", "reason")
+
+
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def streamed_daily_summary(spark, sf):
     """Events arriving as files; each batch rewrites the days it touches."""

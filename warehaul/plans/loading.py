@@ -26,7 +26,7 @@ def _new_table(spark, name, df, fmt="parquet", partition_by=()):
     schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
     src.create_table(spark, table_name, schema, fmt, partition_by, path)
     if partition_by:
-        src.overwrite_dynamic(table_name, df)
+        src.overwrite_dynamic(table_name, balanced(df, *partition_by))
     else:
         df.write.insertInto(table_name)
     return table_name
@@ -172,8 +172,9 @@ def bucketed_join(spark, sf):
     left, left_path = fresh(spark, "bucket_orders")
     right, right_path = fresh(spark, "bucket_customers")
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
-    src.write_bucketed(orders, left, 8, ["c_custkey"], ["c_custkey"], left_path)
-    src.write_bucketed(table(spark, sf, "customer").select("c_custkey", "c_name"), right, 8, ["c_custkey"], ["c_custkey"], right_path)
+    buckets = max(8, orders.count() // 1_000_000)
+    src.write_bucketed(orders, left, buckets, ["c_custkey"], ["c_custkey"], left_path)
+    src.write_bucketed(table(spark, sf, "customer").select("c_custkey", "c_name"), right, buckets, ["c_custkey"], ["c_custkey"], right_path)
     return (
         spark.table(left)
         .join(spark.table(right).hint("merge"), "c_custkey")
@@ -264,9 +265,8 @@ def split_bad_rows(spark, sf):
 @query("SELECT l_shipdate, l_orderkey, l_extendedprice FROM lineitem")
 def clustered_write(spark, sf):
     path = scratch_path(spark, "clustered")
-    layout.write_clustered(
-        table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_extendedprice"), path, ["l_shipdate", "l_orderkey"], 8
-    )
+    lines = table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_extendedprice")
+    layout.write_clustered(lines, path, ["l_shipdate", "l_orderkey"], max(8, lines.count() // 1_000_000))
     return spark.read.parquet(path)
 
 

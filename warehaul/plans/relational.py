@@ -397,7 +397,7 @@ def lookup_default(spark, sf):
         UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey FROM orders),
     tree AS (SELECT 'R' || r_regionkey AS node, CAST(0 AS BIGINT) AS depth, 'R' || r_regionkey AS path FROM region
         UNION ALL SELECT child, depth + 1, path || '/' || child FROM tree JOIN edges ON parent = node)
-    SELECT node, depth, path FROM tree"""
+    SELECT node, depth, path, false AS cycle FROM tree"""
 )
 def hierarchy_expansion(spark, sf):
     def edge(name, p, parent, c, child):
@@ -411,7 +411,22 @@ def hierarchy_expansion(spark, sf):
         .unionByName(edge("orders", "C", "o_custkey", "O", "o_orderkey"))
     )
     roots = table(spark, sf, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("node"))
-    return joins.expand_hierarchy(edges, roots, max_depth=10)
+    return joins.expand_hierarchy(edges, roots)
+
+
+@query(
+    """WITH RECURSIVE edges AS (SELECT c_custkey AS parent, (c_custkey // 10) * 10 + (c_custkey + 1) % 10 AS child FROM customer),
+    tree AS (SELECT c_custkey AS node, CAST(0 AS BIGINT) AS depth, [c_custkey] AS held, false AS cycle FROM customer WHERE c_custkey % 10 = 0
+        UNION ALL SELECT child, depth + 1, list_append(held, child), list_contains(held, child) FROM tree JOIN edges ON parent = node WHERE NOT cycle)
+    SELECT node, depth, cycle FROM tree"""
+)
+def hierarchy_with_cycles(spark, sf):
+    """Rings of ten customers: each path ends where it meets itself."""
+    key = F.col("c_custkey")
+    people = table(spark, sf, "customer")
+    ring = (F.floor(key / 10) * 10 + (key + 1) % 10).cast("bigint")
+    edges = people.select(key.alias("parent"), ring.alias("child"))
+    return joins.expand_hierarchy(edges, people.filter(key % 10 == 0).select(key.alias("node"))).drop("path")
 
 
 # --- aggregates -----------------------------------------------------------------------------

@@ -15,9 +15,14 @@ BAD = "_corrupt_record"
 def read_scripts(
     spark: SparkSession, path: str, suffixes: Sequence[str] = (".hql", ".hive", ".sql", ".ddl", ".dml")
 ) -> DataFrame:
-    """One row per script file below ``path`` with one of the suffixes; bad bytes are replaced."""
+    """One row per script file below ``path`` with one of the suffixes; bad bytes are replaced.
+
+    Files with other suffixes are never opened: the reader lists only names that end in a suffix, in any case.
+    """
+    letters = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    ending = "*{" + ",".join(letters(s) for s in suffixes) + "}"
     files = (
-        spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", ending).text(path, wholetext=True)
         .select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     )
     ends = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
@@ -27,13 +32,22 @@ def read_scripts(
 
 
 def parse_xml(df: DataFrame, xml: str, schema: str, name: str = "doc") -> DataFrame:
-    """XML texts to nested rows. ``<name>_bad`` is true for unreadable XML, whose fields are NULL."""
-    parsed = F.from_xml(xml, f"{schema}, {BAD} string")
+    """XML texts to nested rows, whatever namespace prefixes they use.
+
+    ``<name>_bad`` is true for unreadable XML, whose fields are NULL.
+    """
+    parsed = F.from_xml(xml, f"{schema}, {BAD} string", {"ignoreNamespace": "true"})
     return df.withColumn(name, parsed).withColumn(
         f"{name}_bad", F.col(f"{name}.{BAD}").isNotNull() | F.col(xml).isNull()
     )
 
 
+def unreadable_files(df: DataFrame, xml: str, schema: str, stem: str = "stem") -> DataFrame:
+    """Files whose text is no readable XML, with the reason: (file, reason)."""
+    reason = F.when(F.col(xml).isNull(), "no text").when(F.trim(xml) == "", "empty text").otherwise("XML parse error")
+    return parse_xml(df, xml, schema).filter("doc_bad").select(F.col(stem).alias("file"), reason.alias("reason"))
+
+
 def read_xml_corpus(spark: SparkSession, path: str, schema: str, suffixes: Sequence[str] = (".xml",)) -> DataFrame:
     """XML files below ``path`` as (path, stem, text, doc, doc_bad)."""
     return parse_xml(read_scripts(spark, path, suffixes), "text", schema)

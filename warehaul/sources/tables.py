@@ -7,15 +7,14 @@ shared folder first and swapped in afterwards, so a lost executor only repeats i
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from warehaul.operators.upsert import updated, upsert, without
-from warehaul.session import scratch_path
+from warehaul.session import scratch_path, small
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
@@ -29,8 +28,8 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a declared schema.
 
-    The reader itself skips one header line. More header lines are skipped by their position in
-    the first block of each file; only first blocks are shuffled for that, never whole files.
+    The reader itself skips one header line. Of more header lines the first ``header_lines`` positions of each
+    file are found by a group limit, which keeps that many rows per task and file, and those lines are left out.
     """
     options = {"sep": sep, "mode": "PERMISSIVE", "enforceSchema": "true"}
     if header_lines <= 1:
@@ -42,13 +41,14 @@ def read_delimited(
         F.monotonically_increasing_id().alias("_pos"),
     )
     in_file = Window.partitionBy("_file").orderBy("_pos")
-    first = lines.filter("_start = 0").withColumn("_line", F.row_number().over(in_file))
-    body = first.filter(F.col("_line") > header_lines).select("value")
-    rest = lines.filter("_start > 0").select("value")
+    first = lines.filter("_start = 0").select("_file", "_pos").withColumn("_line", F.row_number().over(in_file))
+    heads = first.filter(F.col("_line") <= header_lines).groupBy("_file").agg(F.max("_pos").alias("_last"))
+    heads = small(heads.withColumnRenamed("_file", "_headed"))
+    same = (F.col("_file") == F.col("_headed")) & (F.col("_start") == 0) & (F.col("_pos") <= F.col("_last"))
     fields = schema if isinstance(schema, str) else ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields
     )
-    rows = body.unionByName(rest).filter("value != ''")
+    rows = lines.join(heads, same, "left_anti").filter("value != ''")
     return rows.select(F.from_csv("value", F.lit(fields), options).alias("row")).select("row.*")
 
 
@@ -108,38 +108,47 @@ def ctas(df: DataFrame, name: str, fmt: str = "parquet", location: str | None =
     return df.sparkSession.table(name)
 
 
-@contextmanager
-def _overwrite_mode(spark: SparkSession, mode: str) -> Iterator[None]:
-    """Overwrites replace the whole table or named partition (static), or only the partitions written (dynamic)."""
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key, "static")
-    spark.conf.set(key, mode)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def _overwrite(df: DataFrame, name: str, mode: str) -> None:
+    """Replace the whole table (static) or only the partitions written (dynamic); columns are matched by name.
+
+    The mode is an option of this one write and no setting of the session, so loads that run at once do not change
+    each other's. The writer takes it for files only, so they are written to the table's place and its partitions
+    are then brought in line.
+    """
+    spark = df.sparkSession
+    told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    rows = df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in spark.table(name).schema.fields])
+    writer = rows.write.format(told["Provider"]).mode("overwrite").option("partitionOverwriteMode", mode)
+    writer.partitionBy(*parts).save(told["Location"])
+    if parts:
+        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+    spark.catalog.refreshTable(name)
 
 
 def overwrite_partition(name: str, df: DataFrame, partition: Mapping[str, str]) -> None:
-    """Replace one named partition and keep the others; an empty input empties the partition."""
+    """Replace one named partition and keep the others; an empty input empties the partition.
+
+    All partition columns must be named, so that the statement means the same in either overwrite mode.
+    """
     spark = df.sparkSession
+    wanted = {c.name for c in spark.catalog.listColumns(name) if c.isPartition}
+    if wanted != set(partition):
+        raise ValueError(f"{name} is partitioned by {sorted(wanted)}")
     columns = [c for c in spark.table(name).columns if c not in partition]
     view = f"part_{uuid.uuid4().hex}"
     df.select(*columns).createOrReplaceTempView(view)
     values = {c: str(v).replace("\\", "\\\\").replace("'", "\\'") for c, v in partition.items()}
     spec = ", ".join(f"`{c}` = '{v}'" for c, v in values.items())
     try:
-        with _overwrite_mode(spark, "static"):
-            spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({spec}) SELECT * FROM {view}")
+        spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({spec}) SELECT * FROM {view}")
     finally:
         spark.catalog.dropTempView(view)
 
 
 def overwrite_dynamic(name: str, df: DataFrame) -> None:
     """Replace only the partitions present in the input; columns are matched by name."""
-    spark = df.sparkSession
-    with _overwrite_mode(spark, "dynamic"):
-        df.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+    _overwrite(df, name, "dynamic")
 
 
 def refresh_in_place(spark: SparkSession, name: str, transform: Callable[[DataFrame], DataFrame]) -> None:
@@ -151,9 +160,7 @@ def refresh_in_place(spark: SparkSession, name: str, transform: Callable[[DataFr
     table = spark.table(name)
     stage = scratch_path(spark, f"stage-{name.replace('.', '-')}")
     transform(table).select(*table.columns).write.parquet(stage)
-    with _overwrite_mode(spark, "static"):
-        spark.read.schema(table.schema).parquet(stage).write.insertInto(name, overwrite=True)
-    spark.catalog.refreshTable(name)
+    _overwrite(spark.read.schema(table.schema).parquet(stage), name, "static")
 
 
 def upsert_table(spark: SparkSession, name: str, source: DataFrame, keys: Sequence[str], set_cols=None) -> None:
@@ -169,8 +176,7 @@ def delete_rows(spark: SparkSession, name: str, pred: Column | None = None) -> N
     if pred is None and spark.catalog.getTable(name).tableType == "MANAGED":
         spark.sql(f"TRUNCATE TABLE {name}")
     elif pred is None:  # Spark does not truncate tables at a location of their own
-        with _overwrite_mode(spark, "static"):
-            spark.createDataFrame([], spark.table(name).schema).write.insertInto(name, overwrite=True)
+        _overwrite(spark.createDataFrame([], spark.table(name).schema), name, "static")
     else:
         refresh_in_place(spark, name, lambda t: without(t, pred))
 
