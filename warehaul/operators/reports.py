@@ -80,7 +80,8 @@ def _dataset_list() -> Column:
 
 
 def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> ReportTables:
-    """Tables of a corpus of report XML. A report without a name takes its file stem.
+    """Tables of a corpus of report XML, keyed by ``file`` (the stem), as names may repeat. A report without a
+    name takes its file stem.
 
     ``reports`` has one row per file and holds its datasets and parameters as lists, so what
     follows from a single report needs no shuffle. The other tables are its children.
@@ -91,6 +92,7 @@ def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> Repor
         docs = parse_xml(df, xml, f"Name string, {part}")
         name = F.coalesce(F.nullif(F.trim("doc.Name"), F.lit("")), F.col(stem))
         return docs.select(
+            F.col(stem).alias("file"),
             F.when(F.col("doc_bad"), F.col(stem)).otherwise(name).alias("report"),
             F.col("doc_bad").alias("unreadable"),
             "doc",
@@ -99,13 +101,14 @@ def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> Repor
 
     def child(part: str, elements: Column | str) -> DataFrame:
         # the outer form keeps Spark from parsing the XML again in a derived filter
-        rows = parsed(part).select("report", F.posexplode_outer(elements).alias("pos", "n"))
+        rows = parsed(part).select("file", "report", F.posexplode_outer(elements).alias("pos", "n"))
         return rows.filter("pos IS NOT NULL")
 
     code = F.nullif(F.trim("doc.Code"), F.lit(""))
     names = F.coalesce("doc.ReportParameters.ReportParameter._Name", F.array().cast("array<string>"))
     return ReportTables(
         reports=parsed(f"Code string, {_DATASETS}, {_PARAMETERS}").select(
+            "file",
             "report",
             "unreadable",
             code.isNotNull().alias("has_code"),
@@ -113,20 +116,21 @@ def report_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> Repor
             F.filter(names, lambda n: n != "").alias("parameter_list"),
         ),
         data_sources=child(_SOURCES, "doc.DataSources.DataSource").select(
+            "file",
             "report",
             F.coalesce("n._Name", F.lit("")).alias("data_source"),
             F.coalesce(F.trim("n.ConnectionProperties.ConnectString"), F.lit("")).alias("connection"),
             F.coalesce(F.trim("n.ConnectionProperties.DataProvider"), F.lit("")).alias("provider"),
         ),
         parameters=child(_PARAMETERS, "doc.ReportParameters.ReportParameter")
-        .select("report", "pos", F.col("n._Name").alias("parameter"))
+        .select("file", "report", "pos", F.col("n._Name").alias("parameter"))
         .filter("parameter != ''"),
-        datasets=child(_DATASETS, _dataset_list()).select("report", "pos", "n.*"),
+        datasets=child(_DATASETS, _dataset_list()).select("file", "report", "pos", "n.*"),
         items=parsed("Code string")
-        .select("report", F.explode_outer(F.pandas_udf(_items, _ITEMS)("xml")).alias("i"))
+        .select("file", "report", F.explode_outer(F.pandas_udf(_items, _ITEMS)("xml")).alias("i"))
         .filter("i IS NOT NULL")
-        .select("report", "i.*"),
-        code_blocks=parsed("Code string").select("report", code.alias("code")).filter("code IS NOT NULL"),
+        .select("file", "report", "i.*"),
+        code_blocks=parsed("Code string").select("file", "report", code.alias("code")).filter("code IS NOT NULL"),
     )
 
 
@@ -137,6 +141,7 @@ def _convertible() -> Column:
 def report_status(tables: ReportTables) -> DataFrame:
     """Convertible means readable with at least one Text dataset; code blocks do not veto."""
     return tables.reports.select(
+        "file",
         "report",
         _convertible().alias("convertible"),
         F.size("dataset_list").cast("bigint").alias("datasets"),
@@ -144,7 +149,7 @@ def report_status(tables: ReportTables) -> DataFrame:
 
 
 def report_warnings(tables: ReportTables) -> DataFrame:
-    """(report, place, warning): unreadable files, code blocks, datasets by kind and dialect hints,
+    """(file, report, place, warning): unreadable files, code blocks, datasets by kind and dialect hints,
     in the order of ``place``."""
 
     def of_dataset(d: Column) -> Column:
@@ -176,14 +181,14 @@ def report_warnings(tables: ReportTables) -> DataFrame:
         F.flatten(F.transform("dataset_list", of_dataset)),
         only_if(readable & (F.size("dataset_list") == 0), fv.NO_DATASET_WARNING),
     )
-    rows = tables.reports.select("report", F.posexplode_outer(every).alias("place", "warning"))
+    rows = tables.reports.select("file", "report", F.posexplode_outer(every).alias("place", "warning"))
     return rows.filter("warning IS NOT NULL")
 
 
 def report_records(tables: ReportTables) -> DataFrame:
     """One nested record per report file, for a JSON sink."""
     return tables.reports.select(
-        "report", _convertible().alias("convertible"), "has_code", "dataset_list", "parameter_list"
+        "file", "report", _convertible().alias("convertible"), "has_code", "dataset_list", "parameter_list"
     )
 
 

@@ -16,7 +16,7 @@ from warehaul.registry import query
 from warehaul.session import balanced, scratch_path, spread
 from warehaul.sources import corpora
 from warehaul.sources import tables as src
-from warehaul.streaming.daily_summary import read_stream, stream_daily_summary
+from warehaul.streaming.daily_summary import daily_totals, read_stream, stream_daily_summary, stream_daily_totals
 
 # --- scripts: one per order ------------------------------------------------------------------
 
@@ -729,7 +729,7 @@ _RP = """SELECT CASE WHEN p_partkey % 2 = 0 AND p_partkey % 101 <> 100 THEN 'Rep
         ('Textbox', 'c1', ''), ('Textbox', 'c2', ''), ('Chart', 'chart', 'Main')) v(item_type, name, dataset) ON m IN (0, 3)"""
 )
 def report_items(spark, sf):
-    return report_set(spark, sf).items
+    return report_set(spark, sf).items.drop("file")
 
 
 @query(
@@ -763,7 +763,7 @@ def report_sources_and_parameters(spark, sf):
     f"""SELECT report, m IN (0, 3) AS convertible, CASE m WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END::BIGINT AS datasets FROM ({_RP})"""
 )
 def report_conversion_status(spark, sf):
-    return reports.report_status(report_set(spark, sf))
+    return reports.report_status(report_set(spark, sf)).drop("file")
 
 
 @query(
@@ -798,6 +798,17 @@ def report_json_records(spark, sf):
     )
 
 
+@query("SELECT 'file_' || p_partkey AS file, 'Same' AS report, 'grid_' || p_partkey AS name FROM part")
+def report_items_by_file(spark, sf):
+    """Reports that all have one name: items stay with their own file."""
+    xml = F.concat(
+        F.lit("<r:Report xmlns:r='urn:x'><r:Name>Same</r:Name><r:Body><r:ReportItems><r:Textbox Name='grid_"),
+        "p_partkey", F.lit("'/></r:ReportItems></r:Body></r:Report>"),
+    )
+    files = table(spark, sf, "part").select(F.concat(F.lit("file_"), "p_partkey").alias("stem"), xml.alias("text"))
+    return reports.report_tables(files).items.select("file", "report", "name")
+
+
 # --- schedules and streams ---------------------------------------------------------------------
 
 _FREQ = "CASE user_id % 3 WHEN 0 THEN '$' || '{coord:days(1)}' WHEN 1 THEN '$' || '{coord:hours(6)}' ELSE '720' END"
@@ -848,13 +859,26 @@ def rejected_schedules(spark, sf):
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def streamed_daily_summary(spark, sf):
-    """Events arriving as files; each batch rewrites the days it touches."""
+    """Events arriving as files; each batch adds its partial sums, which are added up at the end."""
+    events = table(spark, sf, "events")
+    name, path = fresh(spark, "stream_totals")
+    src.create_table(spark, name, "day DATE, event_type STRING, n BIGINT, total DOUBLE, batch BIGINT", "parquet", ["batch"], path)
+    totals = {"n": F.count("*"), "total": F.sum("value")}
+    stream = read_stream(spark, f"{sf}/events*.parquet", events.schema)
+    stream_daily_totals(stream, name, scratch_path(spark, "stream-checkpoint"), ["event_type"], totals)
+    found = daily_totals(spark.table(name), ["event_type"], list(totals))
+    return found.withColumn("total", F.round("total", 2))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, median(value) AS middle FROM events GROUP BY ALL")
+def streamed_daily_medians(spark, sf):
+    """Events arriving as files; medians do not add up, so each batch computes the days it touches again."""
     events = table(spark, sf, "events")
     name, path = fresh(spark, "stream_summary")
-    src.create_table(spark, name, "event_type STRING, n BIGINT, total DOUBLE, day DATE", "parquet", ["day"], path)
+    src.create_table(spark, name, "event_type STRING, n BIGINT, middle DOUBLE, day DATE", "parquet", ["day"], path)
 
     def summarise(df):
-        return df.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+        return df.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.median("value").alias("middle"))
 
     stream_daily_summary(
         read_stream(spark, f"{sf}/events*.parquet", events.schema),

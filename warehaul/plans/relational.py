@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from warehaul.operators import aggregates as agg
 from warehaul.operators import joins, layout, projection
 from warehaul.operators import reconcile as rec
+from warehaul.operators import synthetic
 from warehaul.operators import windows as win
 from warehaul.plans.tables import AS_OF, customers, fact_orders, products, sales, table, with_cte
 from warehaul.registry import query
 from warehaul.session import materialised
+from warehaul.sources import tables as src
 
 # --- projections, filters, parameters -------------------------------------------------------
 
@@ -688,6 +690,36 @@ def surrogate_keys(spark, sf):
     return win.with_row_id(orders, ["o_orderdate", "o_orderkey"], "surrogate", start=1001).drop("o_orderdate")
 
 
+@query("SELECT 1 AS one, 'x' AS letter, count(*) AS orders FROM orders")
+def query_without_from(spark, sf):
+    """A query with no table, whose parameters are a text and the count of one."""
+    count = table(spark, sf, "orders").count()
+    return projection.run(spark, "SELECT 1 AS one, :letter AS letter, :orders AS orders", {"letter": "x", "orders": count})
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, c FROM nation JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON n_nationkey = c_nationkey")
+def rows_from_the_driver(spark, sf):
+    """The 25 nations as rows of the driver, joined with the customers per nation."""
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    rows = src.from_rows(spark, [tuple(r) for r in nations.collect()], nations.schema)
+    people = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
+    return people.join(F.broadcast(rows), F.col("c_nationkey") == F.col("n_nationkey")).drop("c_nationkey")
+
+
+@query(
+    """SELECT p_type AS declared, CASE WHEN p_type LIKE '%STEEL%' THEN 'decimal(10,2)' WHEN p_type LIKE '%BRASS%' THEN 'int' ELSE 'string' END AS spark_type,
+    count(*) AS n FROM part GROUP BY ALL"""
+)
+def schema_from_type_names(spark, sf):
+    """Spark types of declared type names, one per part type: decimals, integers and unknown ones."""
+    kinds = table(spark, sf, "part").groupBy("p_type").agg(F.count("*").alias("n"))
+    # the part types are a fixed set of names
+    names = {r["p_type"]: "DECIMAL(18, 4)" if "STEEL" in r["p_type"] else "int" if "BRASS" in r["p_type"] else "Geometry" for r in kinds.collect()}
+    struct = synthetic.to_struct({n.replace(" ", "_"): t for n, t in names.items()})
+    types = spark.createDataFrame([(n, f.dataType.simpleString()) for n, f in zip(names, struct.fields, strict=True)], "declared string, spark_type string")
+    return kinds.join(F.broadcast(types), F.col("p_type") == F.col("declared")).select("declared", "spark_type", "n")
+
+
 # --- sorting, top-N, layout -----------------------------------------------------------------
 
 

@@ -13,32 +13,35 @@ from warehaul.registry import query
 @query(
     with_cte(
         "sales",
-        f"""SELECT order_id, product_id, upper('c' || customer_id) AS upper_id, lower('C' || customer_id) AS lower_id,
-        substr('C' || customer_id, 1, 3) AS sub_id, length('C' || customer_id) AS len_id,
-        customer_id || '_' || product_id AS concat_col, round(amount, 2) AS rounded_amt,
-        CAST(ceil(amount) AS BIGINT) AS ceil_amt, CAST(floor(amount) AS BIGINT) AS floor_amt,
-        strftime(order_date, '%Y-%m-%d') || ' 00:00:00' AS formatted_date,
-        CAST(DATE '{AS_OF}' - order_date AS BIGINT) AS days_diff,
-        CASE WHEN amount > 60000 THEN 'HIGH' WHEN amount > 30000 THEN 'MEDIUM' ELSE 'LOW' END AS sales_category,
-        CASE WHEN quantity < 10 THEN 'UNKNOWN' ELSE CAST(customer_id AS VARCHAR) END AS cust_id,
-        CAST(trunc(amount) AS INTEGER) AS amount_int FROM sales""",
+        f"""SELECT order_id, product_id, 'C' || customer_id AS key_upper, 'c' || customer_id AS key_lower, substr('C' || customer_id, 1, 3) AS key_start,
+        CAST(length('C' || customer_id) AS INTEGER) AS key_length, customer_id || '_' || product_id AS customer_product,
+        round(amount, 2) AS amount_rounded, CAST(ceil(amount) AS BIGINT) AS amount_up, CAST(floor(amount) AS BIGINT) AS amount_down,
+        strftime(order_date, '%Y-%m-%d') || ' 00:00:00' AS ordered_at, CAST(DATE '{AS_OF}' - order_date AS BIGINT) AS age_days,
+        CASE WHEN amount > 60000 THEN 'HIGH' WHEN amount > 30000 THEN 'MEDIUM' ELSE 'LOW' END AS band,
+        CASE WHEN quantity < 10 THEN 'UNKNOWN' ELSE CAST(customer_id AS VARCHAR) END AS bulk_customer,
+        CAST(trunc(amount) AS INTEGER) AS amount_whole FROM sales""",
     )
 )
 def function_tour(spark, sf):
     """String, number, date, conditional, NULL and cast functions on every order line."""
-    sales(spark, sf).withColumn("customer_key", F.concat(F.lit("C"), "customer_id")).createOrReplaceTempView("wh_sales")
-    return spark.sql(
-        """SELECT order_id, product_id, upper(customer_key) AS upper_id, lower(customer_key) AS lower_id,
-            substr(customer_key, 1, 3) AS sub_id, length(customer_key) AS len_id,
-            concat(customer_id, '_', product_id) AS concat_col, round(amount, 2) AS rounded_amt,
-            ceil(amount) AS ceil_amt, floor(amount) AS floor_amt,
-            from_unixtime(unix_timestamp(CAST(order_date AS STRING), 'yyyy-MM-dd')) AS formatted_date,
-            CAST(datediff(CAST(:as_of AS DATE), order_date) AS BIGINT) AS days_diff,
-            CASE WHEN amount > 60000 THEN 'HIGH' WHEN amount > 30000 THEN 'MEDIUM' ELSE 'LOW' END AS sales_category,
-            nvl(CASE WHEN quantity >= 10 THEN CAST(customer_id AS STRING) END, 'UNKNOWN') AS cust_id,
-            CAST(amount AS INT) AS amount_int
-        FROM wh_sales""",
-        args={"as_of": AS_OF},
+    lines = sales(spark, sf).withColumn("key", F.concat(F.lit("C"), "customer_id"))
+    amount, day = F.col("amount"), F.col("order_date")
+    return lines.select(
+        "order_id",
+        "product_id",
+        F.upper("key").alias("key_upper"),
+        F.lower("key").alias("key_lower"),
+        F.substring("key", 1, 3).alias("key_start"),
+        F.length("key").alias("key_length"),
+        F.concat_ws("_", "customer_id", "product_id").alias("customer_product"),
+        F.round(amount, 2).alias("amount_rounded"),
+        F.ceil(amount).alias("amount_up"),
+        F.floor(amount).alias("amount_down"),
+        F.from_unixtime(F.unix_timestamp(day.cast("string"), "yyyy-MM-dd")).alias("ordered_at"),
+        F.datediff(F.lit(AS_OF).cast("date"), day).cast("bigint").alias("age_days"),
+        F.when(amount > 60000, "HIGH").when(amount > 30000, "MEDIUM").otherwise("LOW").alias("band"),
+        F.nvl(F.when(F.col("quantity") >= 10, F.col("customer_id").cast("string")), F.lit("UNKNOWN")).alias("bulk_customer"),
+        amount.cast("int").alias("amount_whole"),
     )
 
 
