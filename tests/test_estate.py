@@ -204,7 +204,7 @@ def test_reports(spark):
     assert ("s4", "No datasets found — nothing to convert") in warned and ("s5", "XML parse error") in warned
     assert not any(r == "s5" and "No datasets" in w for r, w in warned)
     assert tuple(reports.fleet_summary(tables).first()) == (6, 3, 3, 4)
-    assert rows(tables.code_blocks) == [("s2", "code"), ("s3", "c")]
+    assert rows(tables.code_blocks.drop("file")) == [("s2", "code"), ("s3", "c")]
 
 
 def test_stream_rewrites_touched_days(spark, tmp_path):
@@ -233,3 +233,52 @@ def test_stream_rewrites_touched_days(spark, tmp_path):
     arrive((4, "2024-01-03 00:00:00", 4))
     assert drain() == [("2024-01-01", 2, 11), ("2024-01-02", 1, 2), ("2024-01-03", 1, 4)]
     assert drain() == [("2024-01-01", 2, 11), ("2024-01-02", 1, 2), ("2024-01-03", 1, 4)]
+
+
+def test_stream_totals_read_each_row_once_and_bear_repeats(spark, tmp_path):
+    from warehaul.sources import tables as src
+    from warehaul.streaming.daily_summary import daily_totals, read_stream, stream_daily_totals
+
+    arrive, schema = str(tmp_path / "in"), "ts timestamp, kind string, v double"
+    src.create_table(spark, "day_totals", "day DATE, kind STRING, n BIGINT, total DOUBLE, batch BIGINT", "parquet", ["batch"], str(tmp_path / "out"))
+    totals = {"n": F.count("*"), "total": F.sum("v")}
+
+    def arrived(data):
+        df = spark.createDataFrame(data, "ts string, kind string, v double").withColumn("ts", F.to_timestamp("ts"))
+        df.write.mode("append").parquet(arrive)
+
+    def drain(checkpoint):
+        stream_daily_totals(read_stream(spark, arrive, schema), "day_totals", str(tmp_path / checkpoint), ["kind"], totals)
+        return rows(daily_totals(spark.table("day_totals"), ["kind"], list(totals)), "kind", "n", "total")
+
+    arrived([("2024-01-01 10:00:00", "a", 1.0), ("2024-01-02 10:00:00", "a", 2.0)])
+    assert drain("c") == [("a", 1, 1.0), ("a", 1, 2.0)]
+    arrived([("2024-01-01 09:00:00", "a", 5.0), ("2024-01-01 09:00:00", "b", 7.0)])  # late
+    assert drain("c") == [("a", 1, 2.0), ("a", 2, 6.0), ("b", 1, 7.0)]
+    assert spark.table("day_totals").select("batch").distinct().count() == 2
+    # a batch that runs again replaces its own partition
+    src.overwrite_dynamic("day_totals", spark.createDataFrame([("2024-01-01", "a", 2, 6.0, 1)], "day string, kind string, n bigint, total double, batch bigint").withColumn("day", F.to_date("day")))
+    assert spark.table("day_totals").filter("batch = 1").count() == 1 and spark.table("day_totals").filter("batch = 0").count() == 2
+
+
+def test_prefixed_and_unreadable_files(spark):
+    from warehaul.sources import corpora
+
+    xml = '<w:workflow-app xmlns:w="u"><w:action name="a"><w:shell><w:exec> x.sh </w:exec></w:shell><w:ok to="b"/><w:error to="k"/></w:action><w:kill name="k"><w:message>no</w:message></w:kill></w:workflow-app>'
+    files = spark.createDataFrame([("f", xml), ("g", "<workflow-app"), ("h", None)], "stem string, text string")
+    nodes, edges = workflows.workflow_tables(files)
+    got = {r["node"]: r for r in nodes.collect()}
+    assert got["a"]["settings"] == {"exec": "x.sh"} and got["k"]["message"] == "no" and got["a"]["workflow"] == "f"
+    assert edges.count() == 2
+    assert rows(corpora.unreadable_files(files, "text", workflows.WORKFLOW_SCHEMA)) == [("g", "XML parse error"), ("h", "no text")]
+
+
+def test_unnamed_schedules_and_repeated_right_sides(spark):
+    xml = [(f"f{i}", f"<coordinator-app><action><workflow><app-path>/apps/wf-{x}</app-path></workflow></action></coordinator-app>") for i, x in enumerate("ab")]
+    table = workflows.coordinator_table(spark.createDataFrame(xml, "stem string, text string"))
+    names = spark.createDataFrame([("wf-a", "a.xml", 1), ("wf-b", "b.xml", 2)], "name string, path string, pos int")
+    ids = spark.createDataFrame([("wf-a", 7), ("wf-a", 5)], "name string, job_id int")
+    assert rows(workflows.link_schedules(table, names, ids), "file", "workflow", "target") == [("f0", "wf-a", "5"), ("f1", "wf-b", "{{job_id:wf-b}}")]
+    bundles = spark.createDataFrame([("b", "e", "/p", "")], "bundle string, entry string, app_path string, kickoff_time string")
+    twice = spark.createDataFrame([("/p", "s2"), ("/p", "s1")], "path string, schedule string")
+    assert rows(workflows.expand_bundles(bundles, twice), "schedule") == [("s1",)]
