@@ -71,10 +71,16 @@ def captured(spark, tmp_path_factory):
 
 def test_archives_read_back(spark, captured):
     rows, path = captured
-    got = warc.pages_of(warc.assemble(warc.read(spark, path))).collect()
+    got = warc.pages_of(warc.assemble(warc.digested(warc.read(spark, path)))).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(brute.captures([(r[0], r[2]) for r in rows]), key=repr)
 
 
+def test_payloads_come_back_whole(spark, captured):
+    rows, path = captured
+    got = {r.response.block for r in warc.assemble(warc.read(spark, path)).collect() if r.response.type == "response"}
+    assert got == {(r[2] or "").encode() for r in rows}
+
+
 def test_archives_are_whole_records(captured):
     rows, path = captured
     raw = b"".join(gzip.open(f"{path}/{f}").read() for f in os.listdir(path) if f.startswith("part"))
@@ -86,7 +92,7 @@ def test_archives_are_whole_records(captured):
 def test_repeated_pages_and_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "z" * 2000)] * 3 + [(2, "u", "short")] * 2, "page_id bigint, url string, html string")
     warc.write(pages, f"{tmp_path}/a")
-    got = warc.pages_of(warc.assemble(warc.read(spark, f"{tmp_path}/a"))).collect()
+    got = warc.pages_of(warc.assemble(warc.digested(warc.read(spark, f"{tmp_path}/a")))).collect()
     assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in got) == [
         (1, "response", 0), (1, "revisit", 1), (1, "revisit", 1), (2, "response", 0), (2, "response", 0),
     ]

@@ -45,7 +45,7 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write(_table(spark, sf_dir, "pages"), path)
-    return warc.pages_of(warc.assemble(warc.read(spark, path)))
+    return warc.pages_of(warc.assemble(warc.digested(warc.read(spark, path))))
 
 
 @query("op7_decontamination")

@@ -162,14 +162,31 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, RECORD)
 
 
+def digested(records: DataFrame) -> DataFrame:
+    """``records`` with ``block_sha1`` and ``block_bytes``, without the blocks of responses.
+
+    For those who want digests of payloads and not the payloads: these then need not be shuffled.
+    """
+    answer = F.col("type") == "response"
+    return records.withColumns(
+        {
+            "block_sha1": F.when(answer, F.sha1("block")),
+            "block_bytes": F.octet_length("block").cast("bigint"),
+            "block": F.when(~answer, F.col("block")),
+        }
+    )
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: ``response``, ``request``, ``metadata`` and how many of the latter two there were.
 
+    The nested rows have the columns of ``records``: those of RECORD, or of ``digested``.
+
     Requests and metadata meet their response or revisit through WARC-Concurrent-To. Of several the one with
     the smallest id is shown, so that no group is collected. Those without a response give a row with a null one; a response
     without them has nulls and counts of zero. Records of other types are left out.
     """
-    fields = ("record_id", "type", "target", "concurrent_to", "refers_to", "payload_digest", "http", "block")
+    fields = records.columns
     kind = F.col("type")
     side = records.filter(kind.isin("request", "metadata"))
     one = lambda name: F.when(kind == name, F.struct(*fields))
@@ -186,7 +203,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def pages_of(captures: DataFrame) -> DataFrame:
-    """Per capture: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to``.
+    """Per capture of ``digested`` records: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
 
     A revisit has the digest and the length that its own record states of the full payload.
     """
@@ -196,8 +213,8 @@ def pages_of(captures: DataFrame) -> DataFrame:
     number = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("bigint")
     return captures.select(
         number(F.col("metadata.block").cast("string"), r"page-id: ([-0-9]+)").alias("page_id"),
-        F.when(revisit, stated.cast("bigint")).otherwise(F.octet_length(answer["block"])).cast("bigint").alias("payload_bytes"),
-        F.when(revisit, F.replace(answer["payload_digest"], F.lit("sha1:"), F.lit(""))).otherwise(F.sha1(answer["block"])).alias("payload_digest"),
+        F.when(revisit, stated.cast("bigint")).otherwise(answer["block_bytes"]).alias("payload_bytes"),
+        F.when(revisit, F.replace(answer["payload_digest"], F.lit("sha1:"), F.lit(""))).otherwise(answer["block_sha1"]).alias("payload_digest"),
         answer["type"].alias("record_type"),
         number(answer["refers_to"], "^<urn:page:([-0-9]+):").alias("refers_to"),
     )
