@@ -36,12 +36,59 @@ def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
-@query("op5_licences")
+def _licence_oracle() -> str:
+    rows = []
+    texts = [(t, v, True) for t, v in licences.PHRASES.items()] + [(t, v, False) for t, v in licences.NOTICES.items()]
+    for number, (text, label, phrase) in enumerate(texts):
+        w = text.split()
+        rows += [f"({number}, '{label}', {phrase}, {len(w) - 1}, {p}, '{w[p]}', '{w[p + 1]}')" for p in range(len(w) - 1)]
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{licences.BETWEEN}'), lambda x: x <> '') AS w FROM documents
+), pairs AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: {{'at': i - 1, 'a': w[i], 'b': w[i + 1]}})) AS g FROM docs
+), templates(template, label, phrase, n, place, t1, t2) AS (VALUES {', '.join(rows)}
+), diagonals AS (
+  SELECT doc_id, template, label, phrase, n, g['at'] - place AS diagonal, count(*) AS votes, min(g['at']) AS f, max(g['at']) AS l
+  FROM pairs JOIN templates ON g['a'] = t1 AND g['b'] = t2 GROUP BY doc_id, template, label, phrase, n, g['at'] - place
+), marked AS (
+  SELECT *, CASE WHEN phrase OR NOT coalesce(abs(diagonal - lag(diagonal) OVER o) <= {licences.SHIFT} AND f - lag(l) OVER o <= {licences.GAP}, false)
+    THEN 1 ELSE 0 END AS apart
+  FROM diagonals WINDOW o AS (PARTITION BY doc_id, template ORDER BY f, diagonal)
+), parts AS (
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY f, diagonal) AS part FROM marked
+), spans AS (
+  SELECT doc_id, template, label, phrase, n, part, min(f) AS start,
+    CASE WHEN sum(votes) >= n THEN 1.0 ELSE CAST(sum(votes) AS DOUBLE) / n END::DOUBLE AS share FROM parts GROUP BY doc_id, template, label, phrase, n, part
+), judged AS (
+  SELECT *, phrase AND share = 1 AS base,
+    (phrase AND share = 1) OR (NOT phrase AND share >= CASE WHEN n < {licences.SHORT} THEN 1 ELSE {licences.COVER} END) AS named FROM spans
+)
+SELECT d.doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE base) AS n_base,
+  CAST(min(start) FILTER (WHERE base) AS BIGINT) AS first_word, CAST(max(start) FILTER (WHERE base) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE named), '') AS labels,
+  coalesce(max(share), 0.0)::DOUBLE AS score
+FROM docs d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op5_licences", _licence_oracle())
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
-@query("op6_warc")
+WARC_ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
+q AS (SELECT *, CASE WHEN size >= {warc.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS original FROM p)
+SELECT page_id, size AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM q
+"""
+
+
+@query("op6_warc", WARC_ORACLE)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write(_table(spark, sf_dir, "pages"), path)
