@@ -43,13 +43,26 @@ _RUN = re.compile(rb"(.)\1+", re.S)
 _REPEATED = np.uint64(crc32(b"repeated"))
 
 
+_SMALL, _CAPITALISED = crc32(b"x"), crc32(b"Xx")
+
+
+def _form(word: bytes) -> int:
+    """Hash of the form of a word; the common forms are told without spelling them out."""
+    if word.isalpha():
+        if word.islower():
+            return _SMALL
+        if len(word) > 1 and word.istitle():
+            return _CAPITALISED
+    return crc32(_RUN.sub(rb"\1", word.translate(_COURSE)))
+
+
 class Forms(dict):
-    """Hash of the word and of its form, by word; kept for the words of one task, up to a bound."""
+    """Hash of the word and of its form, by word; the words of one task are kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = crc32(word) << 32 | crc32(_RUN.sub(rb"\1", word.translate(_COURSE)))
+        value = crc32(word) << 32 | _form(word)
+        if len(self) < 200_000:
+            self[word] = value
         return value
 
 
