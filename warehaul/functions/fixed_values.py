@@ -60,6 +60,26 @@ STATISTICS_REWRITE = (
     "ANALYZE TABLE $1 COMPUTE STATISTICS FOR ALL COLUMNS",
 )
 
+# Patterns and words that statement-level findings look for, in upper case.
+CREATE_TABLE = r"CREATE\s+(EXTERNAL\s+)?TABLE"
+REPAIR_TABLE = r"MSCK\s+REPAIR\s+TABLE\s+\w+"
+LOAD_DATA = r"\bLOAD\s+DATA\b"
+INSERT_WORDS = ("INSERT INTO", "INSERT OVERWRITE")
+
+# Parts of application paths and names.
+LEADING_VARIABLE = r"^\$\{[^}]+\}"
+PATH_HOST = "^hdfs://[^/]*"
+NAME_BREAKS = "[-_]+"
+KEY_BREAKS = "[^a-zA-Z0-9_]"
+
+# Texts and bound of stock levels.
+STOCK_OUT, STOCK_LOW, STOCK_OK, STOCK_BOUND = "OUT OF STOCK", "LOW", "OK", 10
+
+# Default places of storage plans.
+NAME_NODE = "hdfs://namenode:8020"
+LAKE_CONTAINER, LAKE_ACCOUNT = "data", "mystorageaccount"
+VOLUME_CATALOG, VOLUME_SCHEMA = "main", "migrations"
+
 # Statement-level findings (category, severity, message).
 REPAIR_FINDING = ("HIVE_COMMAND", "INFO", "MSCK REPAIR replaced with REFRESH TABLE")
 MULTI_INSERT_FINDING = ("MULTI_INSERT", "BLOCKER", "Hive multi-insert not supported in Databricks")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from warehaul.functions import fixed_values as fv
 from warehaul.functions.fixed_values import FREQUENCY
 
 
@@ -32,18 +33,18 @@ def file_stem(path: Column) -> Column:
 
 def app_name(path: Column) -> Column:
     """Last segment of an application path, without scheme, host, leading variable or end slash."""
-    bare = F.regexp_replace(F.regexp_replace(path, r"^\$\{[^}]+\}", ""), "^hdfs://[^/]*", "")
+    bare = F.regexp_replace(F.regexp_replace(path, fv.LEADING_VARIABLE, ""), fv.PATH_HOST, "")
     return base_name(F.regexp_replace(bare, "/+$", ""))
 
 
 def normal_name(name: Column) -> Column:
     """Lower case, runs of hyphens and underscores as one underscore."""
-    return F.regexp_replace(F.lower(name), "[-_]+", "_")
+    return F.regexp_replace(F.lower(name), fv.NAME_BREAKS, "_")
 
 
 def task_key(name: Column) -> Column:
     """Characters that are not allowed in a task key become underscores."""
-    return F.regexp_replace(name, "[^a-zA-Z0-9_]", "_")
+    return F.regexp_replace(name, fv.KEY_BREAKS, "_")
 
 
 def currency(amount: Column) -> Column:

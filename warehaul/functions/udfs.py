@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from warehaul.functions import fixed_values as fv
+
 
 def register_function(spark: SparkSession, name: str, fn: Callable[..., pd.Series], return_type: str) -> None:
     """Make a pandas function callable by name from SQL; it gets Arrow batches, not rows."""
@@ -17,8 +19,9 @@ def register_function(spark: SparkSession, name: str, fn: Callable[..., pd.Serie
 def create_stock_functions(spark: SparkSession) -> None:
     """``stock_level(qty)`` and ``reorder_alert(qty, point)`` as SQL functions."""
     spark.sql(
-        """CREATE OR REPLACE TEMPORARY FUNCTION stock_level(qty INT) RETURNS STRING RETURN CASE
-            WHEN qty = 0 THEN 'OUT OF STOCK' WHEN qty < 10 THEN 'LOW (' || qty || ')' ELSE 'OK (' || qty || ')' END"""
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION stock_level(qty INT) RETURNS STRING RETURN CASE
+            WHEN qty = 0 THEN '{fv.STOCK_OUT}' WHEN qty < {fv.STOCK_BOUND} THEN '{fv.STOCK_LOW} (' || qty || ')'
+            ELSE '{fv.STOCK_OK} (' || qty || ')' END"""
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION reorder_alert(qty INT, point INT) RETURNS BOOLEAN RETURN qty <= point"
@@ -29,9 +32,9 @@ def stock_level(qty: Column) -> Column:
     """The same as a column expression."""
     shown = qty.cast("string")
     return (
-        F.when(qty == 0, "OUT OF STOCK")
-        .when(qty < 10, F.concat(F.lit("LOW ("), shown, F.lit(")")))
-        .otherwise(F.concat(F.lit("OK ("), shown, F.lit(")")))
+        F.when(qty == 0, fv.STOCK_OUT)
+        .when(qty < fv.STOCK_BOUND, F.concat(F.lit(f"{fv.STOCK_LOW} ("), shown, F.lit(")")))
+        .otherwise(F.concat(F.lit(f"{fv.STOCK_OK} ("), shown, F.lit(")")))
     )
 
 

@@ -111,17 +111,17 @@ def classify(df: DataFrame, statement: str) -> DataFrame:
     """Findings per statement: independent flags, and one chain for tables where the first match wins."""
     upper = F.upper(F.col(statement))
     inserts = F.length(upper) - F.length(F.replace(upper, F.lit("INSERT"), F.lit("")))
-    creates = upper.rlike(r"CREATE\s+(EXTERNAL\s+)?TABLE")
+    creates = upper.rlike(fv.CREATE_TABLE)
     findings = (
         F.array(
-            F.when(upper.rlike(r"MSCK\s+REPAIR\s+TABLE\s+\w+"), _finding(fv.REPAIR_FINDING)),
+            F.when(upper.rlike(fv.REPAIR_TABLE), _finding(fv.REPAIR_FINDING)),
             F.when(
-                (upper.contains("INSERT INTO") | upper.contains("INSERT OVERWRITE"))
+                reduce(lambda a, b: a | b, [upper.contains(w) for w in fv.INSERT_WORDS])
                 & (inserts > len("INSERT"))
                 & upper.contains("FROM"),
                 _finding(fv.MULTI_INSERT_FINDING),
             ),
-            F.when(upper.rlike(r"\bLOAD\s+DATA\b"), _finding(fv.LOAD_DATA_FINDING)),
+            F.when(upper.rlike(fv.LOAD_DATA), _finding(fv.LOAD_DATA_FINDING)),
             F.when(creates & upper.contains("EXTERNAL"), _finding(fv.EXTERNAL_FINDING))
             .when(creates & ~upper.contains("LOCATION"), _finding(fv.NO_LOCATION_FINDING))
             .when(creates & upper.contains("AS SELECT"), _finding(fv.CTAS_FINDING)),

@@ -42,7 +42,7 @@ def target_path(path: Column, host: str = "") -> Column:
     return F.when(bare.startswith("dbfs:"), bare).otherwise(F.concat(F.lit("dbfs:"), bare))
 
 
-def copy_manifest(entries: DataFrame, host: str = "hdfs://namenode:8020") -> DataFrame:
+def copy_manifest(entries: DataFrame, host: str = fv.NAME_NODE) -> DataFrame:
     """Source and target of every file to copy."""
     return files_only(entries).select(
         F.concat(F.lit(host), "path").alias("source"), target_path(F.col("path")).alias("target"), "size"
@@ -55,8 +55,8 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def volume_plan(
-    entries: DataFrame, catalog: str = "main", schema: str = "migrations",
-    base: str = "abfss://data@mystorageaccount.dfs.core.windows.net",
+    entries: DataFrame, catalog: str = fv.VOLUME_CATALOG, schema: str = fv.VOLUME_SCHEMA,
+    base: str = f"abfss://{fv.LAKE_CONTAINER}@{fv.LAKE_ACCOUNT}.dfs.core.windows.net",
 ) -> DataFrame:
     """One volume per distinct parent directory of all entries; entries at the top have none."""
     parents = entries.select(parent_path(F.col("path")).alias("directory")).filter("directory != ''").distinct()
@@ -69,7 +69,7 @@ def volume_plan(
 
 
 def rewrite_locations(
-    df: DataFrame, col: str, target: str = "dbfs", container: str = "data", account: str = "mystorageaccount"
+    df: DataFrame, col: str, target: str = "dbfs", container: str = fv.LAKE_CONTAINER, account: str = fv.LAKE_ACCOUNT
 ) -> DataFrame:
     """Rewrite ``LOCATION 'hdfs://host/p'`` clauses inside texts to the target store; others stay."""
     prefix = "dbfs:" if target == "dbfs" else f"abfss://{container}@{account}.dfs.core.windows.net"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from warehaul.functions import fixed_values as fv
 from warehaul.operators import corpus, reports, schedules, storage, workflows
 from warehaul.operators.windows import with_lead
 from warehaul.plans.loading import fresh
@@ -233,12 +234,14 @@ _CELL_CTE = f"""cells AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'co
 
 
 @query(
-    f"""WITH {_CELL_CTE} SELECT conv_id, turn, text, (SELECT count(*) FROM rules WHERE regexp_matches(done.text, p)) AS warnings
-    FROM done WHERE kind = 'code'"""
+    f"""WITH {_CELL_CTE}, names(no, message) AS (VALUES {', '.join(f"({i}, '{m}')" for i, (_, m) in enumerate(corpus.CODE_WARNINGS))}),
+    named AS (SELECT p, no, message FROM rules JOIN names USING (no))
+    SELECT conv_id, turn, any_value(text) AS text, coalesce(string_agg(message, '|' ORDER BY no), '') AS warnings
+    FROM done LEFT JOIN named ON regexp_matches(text, p) WHERE kind = 'code' GROUP BY conv_id, turn"""
 )
 def migrate_code_texts(spark, sf):
     code = cells(spark, sf).filter("kind = 'code'").drop("kind")
-    return corpus.migrate_texts(code, "text").withColumn("warnings", F.size("warnings").cast("bigint"))
+    return corpus.migrate_texts(code, "text").withColumn("warnings", F.concat_ws("|", "warnings"))
 
 
 @query(f"WITH {_CELL_CTE} SELECT conv_id, turn, kind, text FROM done")
@@ -572,13 +575,14 @@ _LINKS = """SELECT 'coord_' || o_orderkey AS schedule,
         CASE WHEN o_orderkey % 6 < 5 THEN 'wf-' || o_custkey END AS workflow,
         CASE WHEN o_orderkey % 6 < 5 THEN '{{job_id:wf-' || o_custkey || '}}' ELSE '/apps/missing.' || o_orderkey END AS target,
         CASE WHEN o_orderkey % 6 < 5 THEN 'run_wf_' || o_custkey ELSE 'run_missing_' || o_orderkey END AS task_key,
-        o_orderkey % 6 = 5 AS warned FROM orders"""
+        CASE WHEN o_orderkey % 6 = 5 THEN printf('@WARNING@', 'coord_' || o_orderkey, '/apps/missing.' || o_orderkey) END AS warning
+    FROM orders""".replace("@WARNING@", fv.NO_WORKFLOW_WARNING.replace("'", "''"))
 
 
 @query(_LINKS)
 def schedule_links(spark, sf):
     return workflows.link_schedules(schedule_rows(spark, sf), workflow_names(spark, sf)).select(
-        "schedule", "match_step", "workflow", "target", "task_key", F.col("warning").isNotNull().alias("warned")
+        "schedule", "match_step", "workflow", "target", "task_key", "warning"
     )
 
 

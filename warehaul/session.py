@@ -54,6 +54,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/warehaul/{name}-{uuid.uuid4().hex}"
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path of this library, in whatever store the shared folder is."""
+    if not path.startswith(f"{shared_folder(spark)}/warehaul/"):
+        raise ValueError(f"{path} is no scratch path")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back from there."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from warehaul.operators.upsert import updated, upsert, without
-from warehaul.session import scratch_path, small
+from warehaul.session import remove_scratch, scratch_path, small
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
@@ -154,13 +154,14 @@ def overwrite_dynamic(name: str, df: DataFrame) -> None:
 def refresh_in_place(spark: SparkSession, name: str, transform: Callable[[DataFrame], DataFrame]) -> None:
     """Replace a table by a transform of itself: stage the result, then overwrite from the stage.
 
-    A failure before the last step leaves the table as it was. The stage keeps the new content,
-    so a failed last step can be repeated from it.
+    A failure before the last step leaves the table as it was. The stage keeps the new content until the
+    last step has succeeded, so that this can be repeated from it; then it goes.
     """
     table = spark.table(name)
     stage = scratch_path(spark, f"stage-{name.replace('.', '-')}")
     transform(table).select(*table.columns).write.parquet(stage)
     _overwrite(spark.read.schema(table.schema).parquet(stage), name, "static")
+    remove_scratch(spark, stage)
 
 
 def upsert_table(spark: SparkSession, name: str, source: DataFrame, keys: Sequence[str], set_cols=None) -> None:
