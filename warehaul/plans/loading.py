@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from warehaul.operators import layout, projection
-from warehaul.plans.tables import AS_OF, customers, fact_orders, sales, table, with_cte
+from warehaul.plans.tables import AS_OF, average, customers, fact_orders, sales, table, with_cte
 from warehaul.registry import query
 from warehaul.session import balanced, scratch_path
 from warehaul.sources import tables as src
@@ -308,7 +308,7 @@ def retail_fact_load(spark, sf):
     with_cte(
         "fact_orders customers",
         f"""SELECT CAST(order_date AS DATE) AS order_day, region, count(*) AS order_count,
-            round(sum(total_amount), 2) AS daily_revenue, round(avg(total_amount), 6) AS avg_order_value
+            round(sum(total_amount), 2) AS daily_revenue, round(avg(total_amount) + 1e-9, 6) AS avg_order_value
         FROM ({_FACT}) WHERE route = 'completed' GROUP BY 1, 2
         UNION ALL SELECT DATE '1990-01-01', r_name, CAST(0 AS BIGINT), 0.0, NULL FROM region""",
     )
@@ -319,7 +319,7 @@ def retail_daily_upsert(spark, sf):
     daily = fact.groupBy(F.to_date("order_date").alias("order_day"), "region").agg(
         F.count("*").alias("order_count"),
         F.round(F.sum("total_amount"), 2).alias("daily_revenue"),
-        F.round(F.avg("total_amount"), 6).alias("avg_order_value"),
+        average("total_amount").alias("avg_order_value"),
     )
     zero = [F.lit(0).cast("bigint").alias("order_count"), F.lit(0.0).alias("daily_revenue"), F.lit(None).cast("double").alias("avg_order_value")]
     old = table(spark, sf, "region").select(F.to_date(F.lit("1990-01-01")).alias("order_day"), F.col("r_name").alias("region"), *zero)

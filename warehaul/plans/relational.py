@@ -9,7 +9,7 @@ from warehaul.operators import joins, layout, projection
 from warehaul.operators import reconcile as rec
 from warehaul.operators import synthetic
 from warehaul.operators import windows as win
-from warehaul.plans.tables import AS_OF, customers, fact_orders, products, sales, table, with_cte
+from warehaul.plans.tables import AS_OF, average, customers, fact_orders, products, sales, table, with_cte
 from warehaul.registry import query
 from warehaul.session import materialised
 from warehaul.sources import tables as src
@@ -436,7 +436,7 @@ def hierarchy_with_cycles(spark, sf):
 
 @query(
     """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total,
-        round(avg(l_quantity), 6) AS avg_quantity, count(shipped) AS n_shipped, round(avg(shipped), 6) AS avg_shipped
+        round(avg(l_quantity) + 1e-9, 6) AS avg_quantity, count(shipped) AS n_shipped, round(avg(shipped) + 1e-9, 6) AS avg_shipped
     FROM (SELECT *, CASE WHEN l_shipdate < DATE '1996-01-01' THEN l_extendedprice END AS shipped FROM lineitem) GROUP BY l_returnflag, l_linestatus"""
 )
 def group_totals(spark, sf):
@@ -445,9 +445,9 @@ def group_totals(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         F.count("*").alias("n"),
         F.round(F.sum("l_extendedprice"), 2).alias("total"),
-        F.round(F.avg("l_quantity"), 6).alias("avg_quantity"),
+        average("l_quantity").alias("avg_quantity"),
         F.count(shipped).alias("n_shipped"),
-        F.round(F.avg(shipped), 6).alias("avg_shipped"),
+        average(shipped).alias("avg_shipped"),
     )
 
 
@@ -845,7 +845,7 @@ def text_lines(spark, sf):
 
 
 @query(with_cte("sales customers products", """SELECT category, city, round(sum(amount), 2) AS total_sales,
-    count(*) AS total_orders, round(avg(amount), 6) AS avg_sales
+    count(*) AS total_orders, round(avg(amount) + 1e-9, 6) AS avg_sales
     FROM sales LEFT JOIN customers USING (customer_id) JOIN products USING (product_id) GROUP BY category, city"""))
 def sales_by_category_city(spark, sf):
     base = (
@@ -856,7 +856,7 @@ def sales_by_category_city(spark, sf):
     return base.groupBy("category", "city").agg(
         F.round(F.sum("amount"), 2).alias("total_sales"),
         F.count("*").alias("total_orders"),
-        F.round(F.avg("amount"), 6).alias("avg_sales"),
+        average("amount").alias("avg_sales"),
     )
 
 
@@ -867,7 +867,7 @@ REPORT_DAYS = ("1998-01-01", "1998-12-31")
     with_cte(
         "fact_orders customers",
         f"""SELECT CAST(order_date AS DATE) AS order_day, region, count(order_id) AS order_count,
-        round(sum(total_amount), 2) AS total_revenue, round(avg(total_amount), 6) AS avg_order_value,
+        round(sum(total_amount), 2) AS total_revenue, round(avg(total_amount) + 1e-9, 6) AS avg_order_value,
         count(*) FILTER (WHERE discount_tier = 'GOLD') AS gold_count,
         count(*) FILTER (WHERE discount_tier = 'SILVER') AS silver_count,
         count(*) FILTER (WHERE discount_tier = 'BRONZE') AS bronze_count
@@ -883,7 +883,7 @@ def report_order_summary(spark, sf):
     return projection.run(
         spark,
         """SELECT CAST(o.order_date AS DATE) AS order_day, c.region, count(o.order_id) AS order_count,
-            round(sum(o.total_amount), 2) AS total_revenue, round(avg(o.total_amount), 6) AS avg_order_value,
+            round(sum(o.total_amount), 2) AS total_revenue, round(avg(o.total_amount) + 1e-9, 6) AS avg_order_value,
             count_if(o.discount_tier = 'GOLD') AS gold_count,
             count_if(o.discount_tier = 'SILVER') AS silver_count,
             count_if(o.discount_tier = 'BRONZE') AS bronze_count

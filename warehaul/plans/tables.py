@@ -76,6 +76,11 @@ def fact_orders(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def average(value: Column | str) -> Column:
+    """The average in six digits. The small addend keeps a tie at the last digit from hanging on the order of addition."""
+    return F.round(F.avg(value) + F.lit(1e-9), 6)
+
+
 # The same derived tables as DuckDB common table expressions.
 CTE = {
     "customers": """customers AS (
