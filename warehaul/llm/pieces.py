@@ -25,7 +25,7 @@ from warehaul.llm.common import Batches, fresh, quoted, texts
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters that are indexed at once; bounds the arrays of a task.
-INDEX_CHARS = 1 << 19
+INDEX_CHARS = 1 << 18
 #: Encoded units that a task keeps.
 CACHE_UNITS = 250_000
 
@@ -280,7 +280,7 @@ def _relax_by_heap(bounds, joined, start, end, rank, ids) -> None:
 
 
 #: Characters of texts that are encoded together.
-_TEXT_CHARS = 1 << 22
+_TEXT_CHARS = 1 << 21
 
 
 def encoded(
