@@ -39,16 +39,20 @@ def planned(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("bigint")})
-    narrow = rows.filter(F.col("bytes") >= revisit_bytes).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    # a page without an id has one as text, so that the join and the copies below share plain keys and one shuffle
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    rows = rows.withColumns(
+        {"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("bigint"), "page": page}
+    )
+    narrow = rows.filter(F.col("bytes") >= revisit_bytes).groupBy("digest", "page", "page_id").agg(F.count("*").alias("n"))
     groups = narrow.groupBy("digest").agg(F.max("page_id").alias("original"), F.sum("n").alias("n")).filter("n > 1")
-    grouped = narrow.select("digest", F.col("page_id").alias("member")).join(
+    grouped = narrow.select("digest", F.col("page").alias("member")).join(
         groups.select(F.col("digest").alias("shared"), "original"), F.col("digest") == F.col("shared")
     )
     mine = grouped.select(F.col("digest").alias("held"), "member", "original")
-    same = (F.col("digest") == F.col("held")) & F.col("page_id").eqNullSafe(F.col("member"))
+    same = (F.col("digest") == F.col("held")) & (F.col("page") == F.col("member"))
     joined = rows.join(mine, same, "left")
-    copies = Window.partitionBy("page_id", "digest").orderBy("url")
+    copies = Window.partitionBy("digest", "page").orderBy("url")
     return joined.withColumn("copy", F.row_number().over(copies)).withColumn(
         "revisits", F.col("held").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("original")) & (F.col("copy") == 1))
     )
