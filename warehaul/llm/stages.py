@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warehaul.llm import decontaminate, personal, pieces, resample, simhash
+from warehaul.llm import decontaminate, personal, pieces, resample, similar
 from warehaul.llm.common import fresh, quoted
+from warehaul.session import materialised
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,16 +18,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id.
+    """One row of each group of near duplicates stays: that with the smallest id.
 
-    Documents without an id stay when their class has none at all.
+    Texts with a five-word Jaccard similarity of at least 0.8 are linked, texts without words are alike.
     """
-    found = simhash.near_duplicates(docs)
-    alone = F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    kept = found.filter(alone).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
-    repeated = not kept.filter("rows > 1").isEmpty()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    named = fresh(docs.columns, "text_class")
+    told = docs.withColumn(named, similar.text_class(F.col("text")))
+    slim = told.select(F.col(quoted(named)).alias("class"), F.col("doc_id").alias("id"), "text")
+    roots = similar.linked(slim.select("class", "text"))
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "class", "copies")
+    firsts = slim.groupBy("class", "id").agg(F.count("*").alias("copies")).groupBy("class").agg(F.min(order).alias("first"))
+    rooted = firsts.join(roots, F.col("class") == F.col("node"), "left")
+    least = rooted.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first"))
+    kept_id, kept_class = (fresh(told.columns, n) for n in ("kept_id", "kept_class"))
+    kept = materialised(
+        least.select(F.col("first.id").alias(kept_id), F.col("first.class").alias(kept_class), "first.copies"), "kept"
+    )
+    same = F.col(quoted(named)).eqNullSafe(F.col(kept_class)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    rows = told.join(kept.select(kept_id, kept_class), same, "left_semi")
+    repeated = not kept.groupBy(kept_id).agg(F.sum("copies").alias("n")).filter("n > 1").isEmpty()
+    rows = rows.dropDuplicates(["doc_id"]) if repeated else rows
+    return rows.select(*map(quoted, docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
