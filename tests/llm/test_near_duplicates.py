@@ -63,3 +63,17 @@ def test_edited_copies_are_found(spark, long_list):
     ]
     missed = [p for p in pairs if found.get(p[0], p[0]) != found.get(p[1], p[1])]
     assert len(pairs) > 200 and len(missed) <= 0.02 * len(pairs)
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    other = "one two three four five six seven eight nine ten"
+    rows = [
+        (None, "alpha beta"), (None, "gamma delta"), (None, other), (7, other), (7, "the same id"), (7, "with another text"),
+        (8, "the same id"), (8, "the same id"), (9, "alone"), (9, "alone"), (None, None), (5, ""), (6, "  \n"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "map(1, 2) AS extra")
+    got = [(r.doc_id, r.text) for r in stages.near_duplicates(spark, docs, SF).collect()]
+    want = [
+        (None, "alpha beta"), (None, "gamma delta"), (7, other), (7, "the same id"), (7, "with another text"), (9, "alone"), (5, ""),
+    ]
+    assert sorted(got, key=str) == sorted(want, key=str)

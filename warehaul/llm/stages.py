@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from warehaul.llm import decontaminate, personal, pieces, resample, similar
@@ -18,11 +18,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays: that with the smallest id.
+    """One row of each group of near duplicates stays: that with the smallest id, a null one only if there is no other.
 
-    Texts with a five-word Jaccard similarity of at least 0.8 are linked, texts without words are alike.
+    Texts with a five-word Jaccard similarity of at least 0.8 are linked, texts without words are alike. Rows are
+    told apart by id and text, so different texts stay whether their ids are null, repeated or neither.
     """
-    named = fresh(docs.columns, "text_class")
+    named, place = (fresh(docs.columns, n) for n in ("text_class", "place"))
     told = docs.withColumn(named, similar.text_class(F.col("text")))
     slim = told.select(F.col(quoted(named)).alias("class"), F.col("doc_id").alias("id"), "text")
     roots = similar.linked(slim.select("class", "text"))
@@ -36,8 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     )
     same = F.col(quoted(named)).eqNullSafe(F.col(kept_class)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
     rows = told.join(kept.select(kept_id, kept_class), same, "left_semi")
-    repeated = not kept.groupBy(kept_id).agg(F.sum("copies").alias("n")).filter("n > 1").isEmpty()
-    rows = rows.dropDuplicates(["doc_id"]) if repeated else rows
+    if not kept.filter("copies > 1").isEmpty():
+        # of rows alike in id and text one stays, whatever their other columns
+        hashed = [quoted(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        window = Window.partitionBy(quoted(named), "doc_id").orderBy(F.xxhash64(*hashed))
+        rows = rows.withColumn(place, F.row_number().over(window)).filter(F.col(quoted(place)) == 1)
     return rows.select(*map(quoted, docs.columns))
 
 
