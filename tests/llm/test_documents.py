@@ -136,6 +136,25 @@ def test_resampling_keeps_good_documents(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_resampling_tells_words_of_one_form(spark):
+    rng = random.Random(8)
+    kinds = {g: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)] for g in (0, 1)}
+    rows = [(i, " ".join(rng.choices(kinds[int(i % 4 > 0)], k=200))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)], "doc_id bigint, quality int")
+    held = resample.select(docs, labels, carry=["doc_id"]).filter("doc_id >= 400").collect()
+    good, bad = [r.kept for r in held if r.doc_id % 4], [r.kept for r in held if r.doc_id % 4 == 0]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.02 * len(bad)
+
+
+def test_resampling_model_grows_with_the_texts(spark):
+    sizes = []
+    for sf in ("sf0.001", "sf0.01"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        sizes.append(len(resample.fit(docs, labels).keys))
+    assert sizes[1] > 2 * sizes[0] > 0
+
+
 def test_resampling_of_odd_rows(docs, labels):
     found = resample.select(docs, labels)
     assert found.columns == [*docs.columns, "log_weight", "gumbel_key", "_kept"]

@@ -1,17 +1,21 @@
 """Importance resampling: hashed n-gram models of target and raw texts, sampled by Gumbel top-k.
 
-Both models are multinomials over hashed unigrams and bigrams of word forms. The form of a word is its course of
+Both models are multinomials over hashed unigrams and bigrams of words, counted by key through a shuffle, so that they grow
+with the texts. Words and pairs that occur less than ``MIN_COUNT`` times count as one (kept apart they overfit: most are
+seen once). A further feature are unigrams and bigrams of word forms. The form of a word is its course of
 capitals, small letters, digits and other characters, each run as one; a word equal to the one before it has a
-form of its own. (N-grams of the words themselves did worse on held-out labels: most bigrams are seen once.) The raw model is
+form of its own. The raw model is
 counted over all documents, the target model over half of a bounded sample of the labelled good ones. A document's log weight
-is the sum of log(target / raw) over its n-grams. Adding Gumbel noise to the log weights and taking the k largest keys
+is the sum of log(target / raw) over its n-grams, each less a cut per n-gram that is fitted on the other half of the sample.
+Adding Gumbel noise to the log weights and taking the k largest keys
 draws k documents without replacement in proportion to their weights. k is the number of documents whose weight
-passes a cut that is fitted on the other half of the sample.
+is not below zero.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -25,6 +29,12 @@ from warehaul.llm.common import Batches, fresh, quoted, texts, words
 from warehaul.session import materialised
 
 BUCKETS = 1 << 14
+#: Words and pairs of words seen less often count as one.
+MIN_COUNT = 5
+#: N-grams a task gathers before it counts them.
+CHUNK = 4_000_000
+#: Key of the words and pairs below ``MIN_COUNT``; those of forms are negative.
+_RARE = (1 << 63) - 1
 #: Bound of the labelled sample, in documents; those with the smallest hashes of their ids are taken.
 SAMPLE = 20_000
 #: Good documents of the sample that the cut may lose.
@@ -66,8 +76,8 @@ class Forms(dict):
         return value
 
 
-def ngram_buckets(text: str | None, buckets: int, forms: Forms) -> np.ndarray:
-    """Bucket of every word form and of every pair of neighbouring ones."""
+def ngrams(text: str | None, buckets: int, forms: Forms) -> tuple[np.ndarray, np.ndarray]:
+    """Hash (63 bits) of every word and pair of neighbouring ones, and the bucket of every word form and pair of forms."""
     found = words(text)
     both = np.fromiter(map(forms.__getitem__, found), np.uint64, len(found))
     word, one = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
@@ -75,18 +85,40 @@ def ngram_buckets(text: str | None, buckets: int, forms: Forms) -> np.ndarray:
     with np.errstate(over="ignore"):
         two = one[:-1] * _MULTIPLIER + one[1:]
         mixed = np.concatenate((one, two)) * _MULTIPLIER
-    return ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        pairs = (word[:-1] * _MULTIPLIER ^ (word[1:] + np.uint64(1))) * _MULTIPLIER
+        hashed = np.concatenate((word * _MULTIPLIER, pairs ^ pairs >> np.uint64(29))) >> np.uint64(1)
+    return hashed.view(np.int64), ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """Log ratio per bucket, and the cut on the log weight; without labels of both kinds nothing is cut."""
+    """Log ratios per bucket of forms and per key of words, and the cut per n-gram; without labels of both kinds nothing is cut."""
 
     ratio: np.ndarray
     cut: float | None
+    keys: np.ndarray
+    values: np.ndarray
+    rare: float = 0.0
+
+    def _sum(self, text: str | None, forms: Forms) -> tuple[float, int]:
+        hashed, found = ngrams(text, len(self.ratio), forms)
+        total = float(self.ratio[found].sum())
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
+            total += float(np.where(self.keys[at] == hashed, self.values[at], self.rare).sum())
+        return total, len(hashed) + len(found)
+
+    def mean(self, text: str | None, forms: Forms) -> float:
+        total, n = self._sum(text, forms)
+        return total / max(1, n)
 
     def log_weight(self, text: str | None, forms: Forms) -> float:
-        return float(self.ratio[ngram_buckets(text, len(self.ratio), forms)].sum())
+        total, n = self._sum(text, forms)
+        return total - n * (self.cut or 0.0)
+
+
+def _uniform(buckets: int) -> Model:
+    return Model(np.zeros(buckets), None, np.zeros(0, np.int64), np.zeros(0))
 
 
 def _labelled(labels: DataFrame, sample: int) -> DataFrame:
@@ -96,51 +128,90 @@ def _labelled(labels: DataFrame, sample: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def _counts(docs: DataFrame, taken: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams per bucket over all documents and over the good labelled ones."""
+def _counts(docs: DataFrame, taken: DataFrame, buckets: int, min_count: int) -> DataFrame:
+    """``key``, ``raw`` and ``target``: n-grams over all documents and over the good labelled ones.
+
+    Keys are hashes of words, ``_RARE``, and -1 and below for the buckets of forms.
+    """
+
+    def counted(waiting: list[np.ndarray], wanted: list[np.ndarray]) -> pa.RecordBatch:
+        keys, raw = np.unique(np.concatenate(waiting), return_counts=True)
+        target = np.zeros(len(keys), np.int64)
+        if wanted:
+            some, n = np.unique(np.concatenate(wanted), return_counts=True)
+            target[np.searchsorted(keys, some)] = n
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(raw), pa.array(target)], ["key", "raw", "target"])
 
     def run(batches: Batches) -> Batches:
         raw, target, forms = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), Forms()
+        waiting, wanted, size = [], [], 0
         for batch in batches:
             for text, good in zip(texts(batch, 0), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(ngram_buckets(text, buckets, forms), minlength=buckets) if text else 0
+                if not text:
+                    continue
+                hashed, places = ngrams(text, buckets, forms)
+                found = np.bincount(places, minlength=buckets)
                 raw += found
+                waiting.append(hashed)
+                size += len(hashed)
                 if good:
                     target += found
+                    wanted.append(hashed)
+                if size >= CHUNK:
+                    yield counted(waiting, wanted)
+                    waiting, wanted, size = [], [], 0
+        if waiting:
+            yield counted(waiting, wanted)
         place = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(place), pa.array(raw[place]), pa.array(target[place])], ["bucket", "raw", "target"]
+            [pa.array(-1 - place), pa.array(raw[place]), pa.array(target[place])], ["key", "raw", "target"]
         )
 
     joined = docs.join(F.broadcast(taken), "doc_id", "left").select("text", "good")
-    parts = joined.mapInArrow(run, "bucket bigint, raw bigint, target bigint")
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    for r in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    return raw, target
+    parts = joined.mapInArrow(run, "key bigint, raw bigint, target bigint")
+    sums = [F.sum("raw").alias("raw"), F.sum("target").alias("target")]
+    rare = (F.col("key") >= 0) & (F.col("raw") < min_count)
+    named = parts.groupBy("key").agg(*sums).withColumn("key", F.when(rare, F.lit(_RARE)).otherwise(F.col("key")))
+    return named.groupBy("key").agg(*sums)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, loss: float = LOSS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, loss: float = LOSS,
+    min_count: int = MIN_COUNT,
+) -> Model:
     """Models over ``docs`` (``doc_id``, ``text``) and the cut.
 
-    The raw counts cover all documents. The sample is bounded by ``sample`` ids, the counts by ``buckets``.
-    Half of the sample is counted, on the other half the cut is fitted: it is the log weight below which at most ``loss`` of the good ones lies, or the lower one that
+    The raw counts cover all documents. The sample is bounded by ``sample`` ids, the counts of forms by
+    ``buckets``; those of words grow with the texts, and the driver and each task hold those seen ``min_count`` times or more.
+    Half of the sample is counted, on the other half the cut is fitted: it is the mean log ratio below which at most ``loss`` of the good ones lies, or the lower one that
     splits the labelled sample with the fewest errors.
     """
     taken = _labelled(labels, sample)
     rows = taken.collect()
     if {r["good"] for r in rows} != {True, False}:
-        return Model(np.zeros(buckets), None)
+        return _uniform(buckets)
     taken = docs.sparkSession.createDataFrame(rows, taken.schema)
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     counted = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
-    raw, target = _counts(plain, taken.withColumn("good", F.col("good") & counted), buckets)
+    found = _counts(plain, taken.withColumn("good", F.col("good") & counted), buckets, min_count).toArrow()
+    keys, raw, target = (found.column(c).to_numpy() for c in ("key", "raw", "target"))
     if not target.sum():
-        return Model(np.zeros(buckets), None)
-    log = lambda counts: np.log((counts + _SMOOTH) / (counts.sum() + _SMOOTH * buckets))
-    model = Model(log(target) - log(raw), None)
+        return _uniform(buckets)
+
+    def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+        log = lambda counts: np.log((counts + _SMOOTH) / (counts.sum() + _SMOOTH * len(counts)))
+        return log(target) - log(raw)
+
+    form = keys < 0
+    all_raw, all_target = np.zeros(buckets), np.zeros(buckets)
+    all_raw[-1 - keys[form]], all_target[-1 - keys[form]] = raw[form], target[form]
+    order = np.argsort(keys[~form])
+    keys, values = keys[~form][order], ratios(raw[~form][order], target[~form][order])
+    # the rare ones have the largest key
+    rare = float(values[-1]) if len(keys) and keys[-1] == _RARE else 0.0
+    model = Model(ratios(all_raw, all_target), None, keys, values.astype(np.float32), rare)
     held = plain.join(F.broadcast(taken.filter(~counted)), "doc_id")
-    one = weighed(held, model, "w").groupBy("doc_id").agg(F.min("w").alias("w"), F.first("good").alias("good"))
+    one = weighed(held, model, "w", Model.mean).groupBy("doc_id").agg(F.min("w").alias("w"), F.first("good").alias("good"))
     weights = np.array([(r["w"], r["good"]) for r in one.collect()], float)
     good, bad = np.sort(weights[weights[:, 1] == 1, 0]), np.sort(weights[weights[:, 1] == 0, 0])
     if len(good):
@@ -150,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int
     return model
 
 
-def weighed(docs: DataFrame, model: Model, name: str) -> DataFrame:
+def weighed(docs: DataFrame, model: Model, name: str, weight: Callable[..., float] = Model.log_weight) -> DataFrame:
     """``docs`` with the log weight of ``text`` as column ``name``."""
     place = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -158,7 +229,7 @@ def weighed(docs: DataFrame, model: Model, name: str) -> DataFrame:
     def run(batches: Batches) -> Batches:
         forms = Forms()
         for batch in batches:
-            found = pa.array([shared.value.log_weight(t, forms) for t in texts(batch, place)], pa.float64())
+            found = pa.array([weight(shared.value, t, forms) for t in texts(batch, place)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
@@ -227,7 +298,7 @@ def select(
     scored = weighed(slim, model, weight).select(*[quoted(c) for c in dict.fromkeys([*carry, "doc_id", weight])])
     scored = materialised(scored.withColumn(key, F.col(quoted(weight)) + gumbel(F.col("doc_id"), seed)), "weighed")
     out = [quoted(c) for c in (*carry, weight, key)]
-    k = scored.filter(F.col(quoted(weight)) >= model.cut).count() if model.cut is not None else 0
+    k = scored.filter(F.col(quoted(weight)) >= 0).count() if model.cut is not None else 0
     if model.cut is None or k == 0:
         return scored.select(*out, F.lit(model.cut is None).alias(kept))
     least, last = top_k(scored, key, ["doc_id"], k)
