@@ -65,6 +65,13 @@ def test_edited_copies_are_found(spark, long_list):
     assert len(pairs) > 200 and len(missed) <= 0.02 * len(pairs)
 
 
+def test_long_texts(spark):
+    text = " ".join(f"w{i}" for i in range(9000))
+    rows = [(1, text), (2, text + " and more"), (3, text[: len(text) // 2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in stages.near_duplicates(spark, docs, SF).collect()) == [1, 3]
+
+
 def test_rows_are_told_apart_by_id_and_text(spark):
     other = "one two three four five six seven eight nine ten"
     rows = [

@@ -157,9 +157,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
     sets = materialised(once.mapInArrow(per_batch(run), "class bigint, shingles array<bigint>"), "shingles")
     left = sets.select(F.col("class").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("class").alias("v"), F.col("shingles").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
+    shared = F.size(F.array_intersect("a", "b")).cast("bigint")
     # in whole numbers of a millionth, so that a share of exactly the similarity is in
-    enough = shared * 1_000_000 >= (F.size("a") + F.size("b") - shared).cast("bigint") * round(similarity * 1_000_000)
+    enough = shared * 1_000_000 >= (F.size("a") + F.size("b") - shared) * round(similarity * 1_000_000)
     return pairs.select("u", "v").distinct().join(left, "u").join(right, "v").filter(enough).select("u", "v")
 
 
