@@ -32,7 +32,11 @@ BUCKETS = 1 << 14
 #: Words and pairs of words seen less often count as one.
 MIN_COUNT = 5
 #: N-grams a task gathers before it counts them.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+#: Parts of the key space, by the upper bits; the keys of one part are merged at a time.
+PARTS = 1024
+#: Bits of a key within its part.
+_KEY_BITS = 40
 #: Key of the words and pairs below ``MIN_COUNT``; those of forms are negative.
 _RARE = (1 << 63) - 1
 #: Bound of the labelled sample, in documents; those with the smallest hashes of their ids are taken.
@@ -77,7 +81,7 @@ class Forms(dict):
 
 
 def ngrams(text: str | None, buckets: int, forms: Forms) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (63 bits) of every word and pair of neighbouring ones, and the bucket of every word form and pair of forms."""
+    """Hash (50 bits) of every word and pair of neighbouring ones, and the bucket of every word form and pair of forms."""
     found = words(text)
     both = np.fromiter(map(forms.__getitem__, found), np.uint64, len(found))
     word, one = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
@@ -86,7 +90,7 @@ def ngrams(text: str | None, buckets: int, forms: Forms) -> tuple[np.ndarray, np
         two = one[:-1] * _MULTIPLIER + one[1:]
         mixed = np.concatenate((one, two)) * _MULTIPLIER
         pairs = (word[:-1] * _MULTIPLIER ^ (word[1:] + np.uint64(1))) * _MULTIPLIER
-        hashed = np.concatenate((word * _MULTIPLIER, pairs ^ pairs >> np.uint64(29))) >> np.uint64(1)
+        hashed = np.concatenate((word * _MULTIPLIER, pairs ^ pairs >> np.uint64(29))) >> np.uint64(64 - _KEY_BITS - 10)
     return hashed.view(np.int64), ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -134,13 +138,48 @@ def _counts(docs: DataFrame, taken: DataFrame, buckets: int, min_count: int) ->
     Keys are hashes of words, ``_RARE``, and -1 and below for the buckets of forms.
     """
 
+    names = ["part", "keys", "raw", "target"]
+
     def counted(waiting: list[np.ndarray], wanted: list[np.ndarray]) -> pa.RecordBatch:
+        """One row per part; keys as their five low bytes, counts as 32 bits."""
         keys, raw = np.unique(np.concatenate(waiting), return_counts=True)
-        target = np.zeros(len(keys), np.int64)
+        target = np.zeros(len(keys), "<u4")
         if wanted:
             some, n = np.unique(np.concatenate(wanted), return_counts=True)
             target[np.searchsorted(keys, some)] = n
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(raw), pa.array(target)], ["key", "raw", "target"])
+        low = np.ascontiguousarray(keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : _KEY_BITS // 8])
+        raw = raw.astype("<u4")
+        at = np.searchsorted(keys, np.arange(PARTS + 1, dtype=np.int64) << _KEY_BITS)
+        spans = [(p, a, b) for p, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if a < b]
+        blobs = [pa.array([x[a:b].tobytes() for _, a, b in spans], pa.binary()) for x in (low, raw, target)]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in spans], pa.int32()), *blobs], names)
+
+    def merged(part: int, blobs: list[tuple]) -> pa.RecordBatch:
+        low = np.frombuffer(b"".join(k for k, _, _ in blobs), np.uint8).reshape(-1, _KEY_BITS // 8)
+        raw, target = (np.frombuffer(b"".join(x[i] for x in blobs), "<u4") for i in (1, 2))
+        if part < 0:
+            # buckets of forms
+            keys = -1 - sum(low[:, i].astype(np.int64) << 8 * i for i in range(low.shape[1]))
+        else:
+            keys = sum(low[:, i].astype(np.int64) << 8 * i for i in range(low.shape[1])) | part << _KEY_BITS
+        kinds, place = np.unique(keys, return_inverse=True)
+        raw, target = (np.bincount(place, x, len(kinds)).astype(np.int64) for x in (raw, target))
+        rare = (raw < min_count) & (kinds >= 0)
+        kinds = np.append(kinds[~rare], _RARE)
+        raw, target = (np.append(x[~rare], x[rare].sum()) for x in (raw, target))
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(raw), pa.array(target)], ["key", "raw", "target"])
+
+    def merge(batches: Batches) -> Batches:
+        now, blobs = None, []
+        for batch in batches:
+            for part, *blob in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if part != now and blobs:
+                    yield merged(now, blobs)
+                    blobs = []
+                now = part
+                blobs.append(tuple(blob))
+        if blobs:
+            yield merged(now, blobs)
 
     def run(batches: Batches) -> Batches:
         raw, target, forms = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), Forms()
@@ -163,16 +202,18 @@ def _counts(docs: DataFrame, taken: DataFrame, buckets: int, min_count: int) ->
         if waiting:
             yield counted(waiting, wanted)
         place = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(-1 - place), pa.array(raw[place]), pa.array(target[place])], ["key", "raw", "target"]
-        )
+        low = np.ascontiguousarray(place.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : _KEY_BITS // 8])
+        # a count may pass 32 bits
+        while len(place) and raw.any():
+            piece = [np.minimum(x, (1 << 32) - 1) for x in (raw, target)]
+            blobs = [low.tobytes(), *(x[place].astype("<u4").tobytes() for x in piece)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names)
+            raw, target = raw - piece[0], target - piece[1]
 
     joined = docs.join(F.broadcast(taken), "doc_id", "left").select("text", "good")
-    parts = joined.mapInArrow(run, "key bigint, raw bigint, target bigint")
-    sums = [F.sum("raw").alias("raw"), F.sum("target").alias("target")]
-    rare = (F.col("key") >= 0) & (F.col("raw") < min_count)
-    named = parts.groupBy("key").agg(*sums).withColumn("key", F.when(rare, F.lit(_RARE)).otherwise(F.col("key")))
-    return named.groupBy("key").agg(*sums)
+    parts = joined.mapInArrow(run, "part int, keys binary, raw binary, target binary")
+    one = parts.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key bigint, raw bigint, target bigint")
+    return one.groupBy("key").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def fit(
