@@ -162,7 +162,7 @@ WITH RECURSIVE keyed AS (
 ), kinds AS (
   SELECT *, xor(4294967295::BIGINT, list_reduce(
     list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ord(substr(k, i, 1))::BIGINT)),
-    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
   )) % 20 AS kind FROM keyed
 ), after AS (
   SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
