@@ -151,7 +151,7 @@ def test_resampling_model_grows_with_the_texts(spark):
     sizes = []
     for sf in ("sf0.001", "sf0.01"):
         docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
-        sizes.append(len(resample.fit(docs, labels).keys))
+        sizes.append(resample.fit(docs, labels).size)
     assert sizes[1] > 2 * sizes[0] > 0
 
 

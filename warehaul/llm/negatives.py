@@ -181,8 +181,11 @@ def bundled(anchors: DataFrame, dims: int, size: int = BUNDLE) -> DataFrame:
 def needed(bundles: DataFrame, blocks: DataFrame, same: bool, zones: int = ZONES) -> DataFrame:
     """``bundle``, ``block`` and ``run`` of the blocks whose bounds meet a window of an anchor of the bundle.
 
-    Reads the zone maps only. They are packed ``zones`` at a time; each bundle, as the stated query set, goes past every such pack.
+    Reads the zone maps only. They are packed ``zones`` at a time; each bundle, as the stated query set, goes past every such pack. About
+    ``RUN`` blocks, from wherever on the curve, make a run that meets a bundle in one task.
     """
+    n = blocks.count()
+    runs = max(1, -(-n // RUN))
     schema = "pack bigint, blocks binary, lows binary, highs binary, label_lows binary, label_highs binary"
 
     def gathered(batches: Batches) -> Batches:
@@ -202,7 +205,8 @@ def needed(bundles: DataFrame, blocks: DataFrame, same: bool, zones: int = ZONES
         if waiting:
             yield pack()
 
-    packs = materialised(blocks.select("block", "low", "high", "label_low", "label_high").mapInArrow(gathered, schema), "zones")
+    maps = blocks.select("block", "low", "high", "label_low", "label_high").repartition(max(1, -(-n // zones)), "block")
+    packs = materialised(maps.mapInArrow(gathered, schema), "zones")
     # every bundle goes to each of as many groups as there are packs
     groups = max(1, packs.count())
     grouped = packs.withColumn("group", F.pmod(F.xxhash64("pack"), F.lit(groups)))
@@ -227,9 +231,9 @@ def needed(bundles: DataFrame, blocks: DataFrame, same: bool, zones: int = ZONES
                 for w in range(least.shape[1]):
                     hit |= (open_ & (lower <= most[:, w : w + 1]) & (upper >= least[:, w : w + 1])).any(axis=0)
                 found = block[hit].tolist()
-                yield _record([(bundle, b, b // RUN) for b in found], "bundle bigint, block bigint, run bigint")
+                yield _record([(bundle, b) for b in found], "bundle bigint, block bigint")
 
-    return met.mapInArrow(run, "bundle bigint, block bigint, run bigint")
+    return met.mapInArrow(run, "bundle bigint, block bigint").withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs)))
 
 
 def best(order: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:

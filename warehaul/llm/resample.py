@@ -1,26 +1,27 @@
 """Importance resampling: hashed n-gram models of target and raw texts, sampled by Gumbel top-k.
 
-Both models are multinomials over hashed unigrams and bigrams of words, counted by key through a shuffle, so that they grow
-with the texts. Words and pairs that occur less than ``MIN_COUNT`` times count as one (kept apart they overfit: most are
+Both models are multinomials over hashed unigrams and bigrams of words. They are counted by key through a shuffle and grow with
+the texts, as do the keys' bits. Keys seen less than ``MIN_COUNT`` times count as one (kept apart they overfit: most are
 seen once). A further feature are unigrams and bigrams of word forms. The form of a word is its course of
 capitals, small letters, digits and other characters, each run as one; a word equal to the one before it has a
-form of its own. The raw model is
-counted over all documents, the target model over half of a bounded sample of the labelled good ones. A document's log weight
-is the sum of log(target / raw) over its n-grams, each less a cut per n-gram that is fitted on the other half of the sample.
-Adding Gumbel noise to the log weights and taking the k largest keys
-draws k documents without replacement in proportion to their weights. k is the number of documents whose weight
-is not below zero.
+form of its own. The raw model is counted over all documents, the target model over half of a bounded sample of the labelled good ones.
+
+The importance of a document is the mean of log(target / raw) over its n-grams. Its log weight is that mean, less a cut, on the
+scale of log odds: a logistic curve on the other half of the sample tells good from bad by the mean. So a weight is how much likelier
+than not a document is one of the target, zero being the cut, and Gumbel noise, whose spread is about one, decides between documents of like
+weight. The k largest sums of log weight and noise are k documents drawn without replacement in proportion to their weights.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import defaultdict
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,12 +34,12 @@ BUCKETS = 1 << 14
 MIN_COUNT = 5
 #: N-grams a task gathers before it counts them.
 CHUNK = 2_000_000
-#: Parts of the key space, by the upper bits; the keys of one part are merged at a time.
-PARTS = 1024
-#: Bits of a key within its part.
-_KEY_BITS = 40
-#: Key of the words and pairs below ``MIN_COUNT``; those of forms are negative.
-_RARE = (1 << 63) - 1
+#: Bits of a key within its part; the counts of one part are merged in a plain array.
+PART_BITS = 20
+#: Keys a task holds; a larger model is dealt out in pieces of this size, to which the documents' keys are shuffled.
+MODEL_KEYS = 1 << 23
+#: Log ratios are held as whole multiples of this fraction, so that sums do not hang on their order.
+UNIT = 1 << 16
 #: Bound of the labelled sample, in documents; those with the smallest hashes of their ids are taken.
 SAMPLE = 20_000
 #: Good documents of the sample that the cut may lose.
@@ -75,13 +76,13 @@ class Forms(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = crc32(word) << 32 | _form(word)
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
 
-def ngrams(text: str | None, buckets: int, forms: Forms) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (50 bits) of every word and pair of neighbouring ones, and the bucket of every word form and pair of forms."""
+def ngrams(text: str | None, bits: int, buckets: int, forms: Forms) -> tuple[np.ndarray, np.ndarray]:
+    """Key (``bits`` bits) of every word and pair of neighbouring ones, and the bucket of every word form and pair of forms."""
     found = words(text)
     both = np.fromiter(map(forms.__getitem__, found), np.uint64, len(found))
     word, one = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
@@ -90,39 +91,53 @@ def ngrams(text: str | None, buckets: int, forms: Forms) -> tuple[np.ndarray, np
         two = one[:-1] * _MULTIPLIER + one[1:]
         mixed = np.concatenate((one, two)) * _MULTIPLIER
         pairs = (word[:-1] * _MULTIPLIER ^ (word[1:] + np.uint64(1))) * _MULTIPLIER
-        hashed = np.concatenate((word * _MULTIPLIER, pairs ^ pairs >> np.uint64(29))) >> np.uint64(64 - _KEY_BITS - 10)
+        hashed = np.concatenate((word * _MULTIPLIER, pairs ^ pairs >> np.uint64(29))) >> np.uint64(64 - bits)
     return hashed.view(np.int64), ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-@dataclass
-class Model:
-    """Log ratios per bucket of forms and per key of words, and the cut per n-gram; without labels of both kinds nothing is cut."""
+def key_bits(docs: DataFrame) -> int:
+    """Bits of a key: about as many keys as the texts have bytes, several times their n-grams."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return min(40, max(PART_BITS + 4, int(size).bit_length()))
 
-    ratio: np.ndarray
-    cut: float | None
-    keys: np.ndarray
-    values: np.ndarray
-    rare: float = 0.0
 
-    def _sum(self, text: str | None, forms: Forms) -> tuple[float, int]:
-        hashed, found = ngrams(text, len(self.ratio), forms)
-        total = float(self.ratio[found].sum())
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
-            total += float(np.where(self.keys[at] == hashed, self.values[at], self.rare).sum())
-        return total, len(hashed) + len(found)
+def packed_numbers(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Numbers below 2**35 in groups of seven bits, as one blob for each run of ``values`` that ends at ``ends``."""
+    v = values.astype(np.uint64)
+    sizes = 1 + sum((v >= np.uint64(1 << 7 * j)).astype(np.int64) for j in range(1, 5))
+    after = np.cumsum(sizes)
+    out = np.zeros(int(after[-1]) if len(after) else 0, np.uint8)
+    for j in range(5):
+        has = sizes > j
+        out[(after - sizes)[has] + j] = (v[has] >> np.uint64(7 * j) & np.uint64(127)).astype(np.uint8) | (sizes[has] > j + 1) * np.uint8(128)
+    edges = np.concatenate(([0], after))[np.concatenate(([0], ends))]
+    return [out[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
-    def mean(self, text: str | None, forms: Forms) -> float:
-        total, n = self._sum(text, forms)
-        return total / max(1, n)
 
-    def log_weight(self, text: str | None, forms: Forms) -> float:
-        total, n = self._sum(text, forms)
-        return total - n * (self.cut or 0.0)
+def unpacked_numbers(blob: bytes) -> np.ndarray:
+    """The inverse of ``packed_numbers`` for one blob."""
+    raw = np.frombuffer(blob, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate(([0], np.flatnonzero(raw < 128)[:-1] + 1))
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, starts)
 
 
-def _uniform(buckets: int) -> Model:
-    return Model(np.zeros(buckets), None, np.zeros(0, np.int64), np.zeros(0))
+@dataclass
+class Model:
+    """Log ratios in units: of forms by bucket, of the rare keys, and ``table`` with those of the other keys by part.
+
+    ``cut`` and ``slope`` turn means into log odds; without labels of both kinds there is no cut, and all weigh alike.
+    """
+
+    forms: np.ndarray
+    bits: int
+    table: DataFrame | None = None
+    size: int = 0
+    rare: int = 0
+    cut: float | None = None
+    slope: float = 0.0
 
 
 def _labelled(labels: DataFrame, sample: int) -> DataFrame:
@@ -132,54 +147,40 @@ def _labelled(labels: DataFrame, sample: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def _counts(docs: DataFrame, taken: DataFrame, buckets: int, min_count: int) -> DataFrame:
-    """``key``, ``raw`` and ``target``: n-grams over all documents and over the good labelled ones.
+_COUNTS = "part int, keys binary, raw binary, target binary"
+_MERGED = (
+    "part int, keys binary, raw binary, target binary, kinds bigint, raw_sum bigint, target_sum bigint, rare_raw bigint, rare_target bigint"
+)
+
 
-    Keys are hashes of words, ``_RARE``, and -1 and below for the buckets of forms.
-    """
+def counts(docs: DataFrame, taken: DataFrame, bits: int, buckets: int, min_count: int) -> DataFrame:
+    """How often each key occurs over all documents and over the good labelled ones, one row per part of the keys.
 
-    names = ["part", "keys", "raw", "target"]
+    ``keys`` are the lower bits of the keys seen ``min_count`` times or more, ascending, ``raw`` and ``target`` their counts, each
+    as packed numbers of 32 or 64 bits; the others are summed in ``rare_raw`` and ``rare_target``. Part -1 holds the buckets of forms.
+    """
 
     def counted(waiting: list[np.ndarray], wanted: list[np.ndarray]) -> pa.RecordBatch:
-        """One row per part; keys as their five low bytes, counts as 32 bits."""
+        """One row per part: differences of keys, counts, and counts of the target with the differences of their places."""
         keys, raw = np.unique(np.concatenate(waiting), return_counts=True)
-        target = np.zeros(len(keys), "<u4")
+        target = np.zeros(len(keys), np.int64)
         if wanted:
             some, n = np.unique(np.concatenate(wanted), return_counts=True)
             target[np.searchsorted(keys, some)] = n
-        low = np.ascontiguousarray(keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : _KEY_BITS // 8])
-        raw = raw.astype("<u4")
-        at = np.searchsorted(keys, np.arange(PARTS + 1, dtype=np.int64) << _KEY_BITS)
-        spans = [(p, a, b) for p, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if a < b]
-        blobs = [pa.array([x[a:b].tobytes() for _, a, b in spans], pa.binary()) for x in (low, raw, target)]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in spans], pa.int32()), *blobs], names)
-
-    def merged(part: int, blobs: list[tuple]) -> pa.RecordBatch:
-        low = np.frombuffer(b"".join(k for k, _, _ in blobs), np.uint8).reshape(-1, _KEY_BITS // 8)
-        raw, target = (np.frombuffer(b"".join(x[i] for x in blobs), "<u4") for i in (1, 2))
-        if part < 0:
-            # buckets of forms
-            keys = -1 - sum(low[:, i].astype(np.int64) << 8 * i for i in range(low.shape[1]))
-        else:
-            keys = sum(low[:, i].astype(np.int64) << 8 * i for i in range(low.shape[1])) | part << _KEY_BITS
-        kinds, place = np.unique(keys, return_inverse=True)
-        raw, target = (np.bincount(place, x, len(kinds)).astype(np.int64) for x in (raw, target))
-        rare = (raw < min_count) & (kinds >= 0)
-        kinds = np.append(kinds[~rare], _RARE)
-        raw, target = (np.append(x[~rare], x[rare].sum()) for x in (raw, target))
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(raw), pa.array(target)], ["key", "raw", "target"])
+        part = keys >> PART_BITS
+        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(keys))
+        firsts = np.concatenate(([0], ends[:-1]))
+        low = keys & (1 << PART_BITS) - 1
+        steps = np.diff(low, prepend=0)
+        steps[firsts] = low[firsts]
+        held = np.flatnonzero(target)
+        held_ends = np.searchsorted(held, ends)
+        places = held - np.repeat(firsts, np.diff(np.concatenate(([0], held_ends))))
+        both = np.stack((places, target[held]), axis=1).ravel()
+        blobs = [packed_numbers(steps, ends), packed_numbers(raw, ends), packed_numbers(both, 2 * held_ends)]
+        return pa.RecordBatch.from_arrays([pa.array(part[firsts], pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names)
 
-    def merge(batches: Batches) -> Batches:
-        now, blobs = None, []
-        for batch in batches:
-            for part, *blob in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if part != now and blobs:
-                    yield merged(now, blobs)
-                    blobs = []
-                now = part
-                blobs.append(tuple(blob))
-        if blobs:
-            yield merged(now, blobs)
+    names = ["part", "keys", "raw", "target"]
 
     def run(batches: Batches) -> Batches:
         raw, target, forms = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), Forms()
@@ -188,7 +189,7 @@ def _counts(docs: DataFrame, taken: DataFrame, buckets: int, min_count: int) ->
             for text, good in zip(texts(batch, 0), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                hashed, places = ngrams(text, buckets, forms)
+                hashed, places = ngrams(text, bits, buckets, forms)
                 found = np.bincount(places, minlength=buckets)
                 raw += found
                 waiting.append(hashed)
@@ -199,81 +200,240 @@ def _counts(docs: DataFrame, taken: DataFrame, buckets: int, min_count: int) ->
                 if size >= CHUNK:
                     yield counted(waiting, wanted)
                     waiting, wanted, size = [], [], 0
-        if waiting:
+        if size:
             yield counted(waiting, wanted)
         place = np.flatnonzero(raw)
-        low = np.ascontiguousarray(place.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : _KEY_BITS // 8])
-        # a count may pass 32 bits
-        while len(place) and raw.any():
-            piece = [np.minimum(x, (1 << 32) - 1) for x in (raw, target)]
-            blobs = [low.tobytes(), *(x[place].astype("<u4").tobytes() for x in piece)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names)
-            raw, target = raw - piece[0], target - piece[1]
+        if len(place):
+            held = np.flatnonzero(target[place])
+            both = np.stack((held, target[place][held]), axis=1).ravel()
+            columns = (np.diff(place, prepend=0), raw[place], both)
+            blobs = [packed_numbers(c, np.array([len(c)]))[0] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], names)
+
+    def merged(part: int, raw: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
+        kept = np.flatnonzero(raw >= (min_count if part >= 0 else 1))
+        sums = [int(raw[kept].sum()), int(target[kept].sum())]
+        rare = [int(raw.sum()) - sums[0], int(target.sum()) - sums[1]]
+        blobs = [kept.astype("<i4").tobytes(), raw[kept].astype("<i8").tobytes(), target[kept].astype("<i8").tobytes()]
+        row = (part, *blobs, len(kept), *sums, *rare)
+        kinds = (pa.int32(), *[pa.binary()] * 3, *[pa.int64()] * 5)
+        merged_names = [c.split()[0] for c in _MERGED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], merged_names)
+
+    def merge(batches: Batches) -> Batches:
+        now = None
+        raw, target = (np.zeros(max(buckets, 1 << PART_BITS), np.int64) for _ in range(2))
+        for batch in batches:
+            for part, keys, n, both in zip(*(texts(batch, i) for i in range(4)), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield merged(now, raw, target)
+                        raw[:] = 0
+                        target[:] = 0
+                    now = part
+                key, pairs = np.cumsum(unpacked_numbers(keys)), unpacked_numbers(both).reshape(-1, 2)
+                raw[key] += unpacked_numbers(n)
+                target[key[pairs[:, 0]]] += pairs[:, 1]
+        if now is not None:
+            yield merged(now, raw, target)
 
     joined = docs.join(F.broadcast(taken), "doc_id", "left").select("text", "good")
-    parts = joined.mapInArrow(run, "part int, keys binary, raw binary, target binary")
-    one = parts.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key bigint, raw bigint, target bigint")
-    return one.groupBy("key").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return joined.mapInArrow(run, _COUNTS).repartition("part").sortWithinPartitions("part").mapInArrow(merge, _MERGED)
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray, raw_sum: int, target_sum: int, kinds: int) -> np.ndarray:
+    """Smoothed log(target / raw) in units."""
+    share = lambda n, whole: np.log((n + _SMOOTH) / (whole + _SMOOTH * kinds))
+    return np.rint((share(target, target_sum) - share(raw, raw_sum)) * UNIT).astype(np.int32)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, loss: float = LOSS,
-    min_count: int = MIN_COUNT,
+    min_count: int = MIN_COUNT, model_keys: int = MODEL_KEYS,
 ) -> Model:
-    """Models over ``docs`` (``doc_id``, ``text``) and the cut.
+    """Models over ``docs`` (``doc_id``, ``text``) and the curve that gives the weights.
 
-    The raw counts cover all documents. The sample is bounded by ``sample`` ids, the counts of forms by
-    ``buckets``; those of words grow with the texts, and the driver and each task hold those seen ``min_count`` times or more.
-    Half of the sample is counted, on the other half the cut is fitted: it is the mean log ratio below which at most ``loss`` of the good ones lies, or the lower one that
-    splits the labelled sample with the fewest errors.
+    The raw counts cover all documents and stay on the executors, as do their log ratios; totals and the buckets of forms come to the driver. The sample
+    is bounded by ``sample`` ids. Half of it is counted, on the other half the curve is fitted. The cut is the least of three: the mean
+    log ratio below which ``loss`` of the good ones lies, that which splits the labelled ones with the fewest errors, and the middle of the curve.
     """
+    bits = key_bits(docs)
+    nothing = Model(np.zeros(buckets, np.int32), bits)
     taken = _labelled(labels, sample)
     rows = taken.collect()
     if {r["good"] for r in rows} != {True, False}:
-        return _uniform(buckets)
+        return nothing
     taken = docs.sparkSession.createDataFrame(rows, taken.schema)
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    counted = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
-    found = _counts(plain, taken.withColumn("good", F.col("good") & counted), buckets, min_count).toArrow()
-    keys, raw, target = (found.column(c).to_numpy() for c in ("key", "raw", "target"))
-    if not target.sum():
-        return _uniform(buckets)
-
-    def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-        log = lambda counts: np.log((counts + _SMOOTH) / (counts.sum() + _SMOOTH * len(counts)))
-        return log(target) - log(raw)
-
-    form = keys < 0
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
+    found = materialised(counts(plain, taken.withColumn("good", F.col("good") & half), bits, buckets, min_count), "counts")
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "raw_sum", "target_sum", "rare_raw", "rare_target")]
+    size, raw_sum, target_sum, rare_raw, rare_target = found.filter("part >= 0").agg(*sums).first()
+    if not target_sum + rare_target:
+        return nothing
+    totals = (raw_sum + rare_raw, target_sum + rare_target, size + (rare_raw > 0))
+    one = found.filter("part < 0").first()
+    place, raw, target = (np.frombuffer(one[c], t) for c, t in (("keys", "<i4"), ("raw", "<i8"), ("target", "<i8")))
     all_raw, all_target = np.zeros(buckets), np.zeros(buckets)
-    all_raw[-1 - keys[form]], all_target[-1 - keys[form]] = raw[form], target[form]
-    order = np.argsort(keys[~form])
-    keys, values = keys[~form][order], ratios(raw[~form][order], target[~form][order])
-    # the rare ones have the largest key
-    rare = float(values[-1]) if len(keys) and keys[-1] == _RARE else 0.0
-    model = Model(ratios(all_raw, all_target), None, keys, values.astype(np.float32), rare)
-    held = plain.join(F.broadcast(taken.filter(~counted)), "doc_id")
-    one = weighed(held, model, "w", Model.mean).groupBy("doc_id").agg(F.min("w").alias("w"), F.first("good").alias("good"))
-    weights = np.array([(r["w"], r["good"]) for r in one.collect()], float)
-    good, bad = np.sort(weights[weights[:, 1] == 1, 0]), np.sort(weights[weights[:, 1] == 0, 0])
-    if len(good):
-        at = np.unique(weights[:, 0])
-        errors = np.searchsorted(good, at, "left") + len(bad) - np.searchsorted(bad, at, "left")
-        model.cut = float(min(at[int(np.argmin(errors))], good[int(loss * len(good))]))
+    all_raw[place], all_target[place] = raw, target
+    forms = log_ratios(all_raw, all_target, all_raw.sum(), all_target.sum(), buckets)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for part, keys, raw, target in zip(*(texts(batch, i) for i in range(4)), strict=True):
+                found = log_ratios(np.frombuffer(raw, "<i8"), np.frombuffer(target, "<i8"), *totals)
+                columns = [pa.array([part], pa.int32()), pa.array([keys], pa.binary()), pa.array([found.astype("<i4").tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "keys", "ratios"])
+
+    table = found.filter("part >= 0 and kinds > 0").select("part", "keys", "raw", "target")
+    table = table.mapInArrow(run, "part int, keys binary, ratios binary")
+    rare = int(log_ratios(np.array([rare_raw]), np.array([rare_target]), *totals)[0])
+    model = Model(forms, bits, table, size, rare)
+    held = plain.join(F.broadcast(taken.filter(~half)), "doc_id")
+    seen = means(held, model, "mean", model_keys).groupBy("doc_id").agg(F.min("mean").alias("mean"), F.first("good").alias("good"))
+    model.cut, model.slope = curve([(r["mean"] or 0.0, r["good"]) for r in seen.collect()], loss)
     return model
 
 
-def weighed(docs: DataFrame, model: Model, name: str, weight: Callable[..., float] = Model.log_weight) -> DataFrame:
-    """``docs`` with the log weight of ``text`` as column ``name``."""
-    place = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def curve(seen: list[tuple[float, bool]], loss: float) -> tuple[float | None, float]:
+    """Cut and slope of the log odds over the means of labelled documents.
 
-    def run(batches: Batches) -> Batches:
-        forms = Forms()
+    The slope is that of a logistic curve whose goals are drawn in from 0 and 1 as if each class had one more document of the other,
+    so that it is finite also where a cut tells the classes apart.
+    """
+    if not any(good for _, good in seen):
+        return None, 0.0
+    seen = sorted(seen)
+    mean, is_good = np.array([m for m, _ in seen]), np.array([g for _, g in seen])
+    good, bad = np.sort(mean[is_good]), np.sort(mean[~is_good])
+    at = np.unique(mean)
+    errors = np.searchsorted(good, at, "left") + len(bad) - np.searchsorted(bad, at, "left")
+    goals = np.where(is_good, (len(good) + 1) / (len(good) + 2), 1 / (len(bad) + 2))
+    width = float(mean.std()) or 1.0
+    x = np.stack((np.ones(len(mean)), (mean - mean.mean()) / width), axis=1)
+    beta = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (goals - p) - 1e-6 * beta)
+        beta += step * min(1.0, 2 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-9:
+            break
+    even = float(mean.mean()) - width * float(beta[0] / beta[1]) if beta[1] > 0 else np.inf
+    cut = min(at[int(np.argmin(errors))], good[int(loss * len(good))], even)
+    return float(cut), max(0.0, float(beta[1])) / width
+
+
+class Lookup:
+    """Ratios of the keys of some parts."""
+
+    def __init__(self, rows: list[tuple], rare: int) -> None:
+        rows = sorted(rows)
+        parts = [np.int64(p) << PART_BITS | np.frombuffer(k, "<i4").astype(np.int64) for p, k, _ in rows]
+        self.keys = np.concatenate([np.zeros(0, np.int64), *parts])
+        if not len(self.keys) or self.keys[-1] < 1 << 32:
+            self.keys = self.keys.astype(np.uint32)
+        self.ratios = np.frombuffer(b"".join(r for _, _, r in rows), "<i4")
+        self.rare = rare
+
+    def total(self, keys: np.ndarray) -> int:
+        """Sum of the ratios of ``keys``; those it lacks are rare."""
+        if not len(self.keys):
+            return self.rare * len(keys)
+        keys = keys.astype(self.keys.dtype)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return int(np.where(self.keys[at] == keys, self.ratios[at], self.rare).sum(dtype=np.int64))
+
+
+def means(docs: DataFrame, model: Model, name: str, model_keys: int = MODEL_KEYS) -> DataFrame:
+    """``docs`` with the mean log ratio of the n-grams of ``text`` as column ``name``, null without n-grams.
+
+    A model of up to ``model_keys`` keys goes to every task. The keys of a larger one are dealt out in pieces of that size, and each
+    document's keys go to the pieces that hold them; sums of whole units make both ways give the same.
+    """
+    place = docs.columns.index("text")
+    bits, buckets, forms_ratio = model.bits, len(model.forms), model.forms
+    pieces = max(1, -(-model.size // model_keys))
+    if pieces == 1:
+        rows = [] if model.table is None else list(zip(*(c.to_pylist() for c in model.table.toArrow().columns), strict=True))
+        shared = docs.sparkSession.sparkContext.broadcast((rows, model.rare))
+        del rows
+
+        def whole(batches: Batches) -> Batches:
+            forms, lookup = Forms(), Lookup(*shared.value)
+            for batch in batches:
+                found = []
+                for text in texts(batch, place):
+                    keys, places = ngrams(text, bits, buckets, forms)
+                    total = int(forms_ratio[places].sum(dtype=np.int64)) + lookup.total(keys)
+                    found.append(total / UNIT / (len(keys) + len(places)) if len(keys) else None)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
+
+        return docs.mapInArrow(whole, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return _means_in_pieces(docs, model, name, pieces)
+
+
+def _means_in_pieces(docs: DataFrame, model: Model, name: str, pieces: int) -> DataFrame:
+    """``means`` for a model that no task holds whole."""
+    place = docs.columns.index("text")
+    bits, buckets, forms_ratio, rare = model.bits, len(model.forms), model.forms, model.rare
+    row, form, n, sent = (fresh([*docs.columns, name], c) for c in ("row", "form", "n", "sent"))
+    # parts of the keys in each piece
+    wide = -(-(1 << bits - PART_BITS) // pieces)
+
+    def keyed(batches: Batches) -> Batches:
+        forms, part, number = Forms(), TaskContext.get().partitionId(), 0
+        kind = pa.list_(pa.struct([("piece", pa.int32()), ("keys", pa.binary())]))
         for batch in batches:
-            found = pa.array([weight(shared.value, t, forms) for t in texts(batch, place)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+            rows, totals, sizes, dealt = [], [], [], []
+            for text in texts(batch, place):
+                keys, places = ngrams(text, bits, buckets, forms)
+                rows.append(part << 40 | number)
+                number += 1
+                totals.append(int(forms_ratio[places].sum(dtype=np.int64)))
+                sizes.append(len(keys) + len(places))
+                keys = np.sort(keys)
+                of, firsts = np.unique((keys >> PART_BITS) // wide, return_index=True)
+                ends = np.append(firsts, len(keys))[1:]
+                dealt.append([{"piece": int(p), "keys": keys[a:b].astype("<i8").tobytes()} for p, a, b in zip(of, firsts, ends, strict=True)])
+            made = [pa.array(c, t) for c, t in ((rows, pa.int64()), (totals, pa.int64()), (sizes, pa.int64()), (dealt, kind))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, row, form, n, sent])
+
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    sent_kind = f"{quoted(row)} bigint, {quoted(form)} bigint, {quoted(n)} bigint, {quoted(sent)} array<struct<piece:int,keys:binary>>"
+    rows = materialised(docs.mapInArrow(keyed, f"{schema}, {sent_kind}"), "keys")
+    dealt = rows.select(F.col(quoted(row)).alias("row"), F.inline(quoted(sent)))
+    # each piece is cut in salts; the model's rows come before the documents' keys in each
+    salts = max(1, docs.sparkSession.sparkContext.defaultParallelism // pieces)
+    payload = dealt.select("piece", F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "row", "keys", F.lit(None).cast("binary").alias("ratios"))
+    own = model.table.select(
+        F.floor(F.col("part") / wide).cast("int").alias("piece"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), F.lit(0).alias("kind"),
+        F.col("part").cast("bigint").alias("row"), "keys", "ratios",
+    )
+
+    def added(batches: Batches) -> Batches:
+        now, held, lookup = None, [], None
+        for batch in batches:
+            out = defaultdict(int)
+            for piece, salt, kind, number, keys, ratios in zip(*(texts(batch, i) for i in range(6)), strict=True):
+                if (piece, salt) != now:
+                    now, held, lookup = (piece, salt), [], None
+                if kind == 0:
+                    held.append((number, keys, ratios))
+                    continue
+                if lookup is None:
+                    lookup, held = Lookup(held, rare), []
+                out[number] += lookup.total(np.frombuffer(keys, "<i8"))
+            columns = [pa.array(list(c), pa.int64()) for c in (out.keys(), out.values())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "total"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    met = own.unionByName(payload).repartition("piece", "salt").sortWithinPartitions("piece", "salt", "kind")
+    sums = met.mapInArrow(added, "row bigint, total bigint").groupBy(F.col("row").alias("of")).agg(F.sum("total").alias("total"))
+    joined = rows.join(sums, F.col(quoted(row)) == F.col("of"), "left")
+    units = F.col(quoted(form)) + F.coalesce("total", F.lit(0))
+    mean = F.when(F.col(quoted(n)) > 0, units.cast("double") / F.lit(float(UNIT)) / F.col(quoted(n)))
+    return joined.select(*map(quoted, docs.columns), mean.alias(name))
 
 
 def gumbel(key: Column, seed: int = SEED) -> Column:
@@ -323,25 +483,31 @@ def top_k(scored: DataFrame, key: str, ties: list[str], k: int, bins: int = 4096
 
 def select(
     docs: DataFrame, labels: DataFrame, name: str = "kept", buckets: int = BUCKETS, sample: int = SAMPLE,
-    loss: float = LOSS, seed: int = SEED, carry: list[str] | None = None,
+    loss: float = LOSS, seed: int = SEED, carry: list[str] | None = None, k: int | None = None, model_keys: int = MODEL_KEYS,
 ) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all by default) with ``log_weight``, ``gumbel_key`` and ``kept``.
 
-    ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``quality``. Clashing names get
-    underscores in front. Null and wordless texts weigh zero. Equal keys are decided by ``doc_id``; repeated rows
-    are alike in all and so stay or go together with the last tied row. Without labelled rows of both kinds
-    that occur in ``docs``, every row is kept. An empty table gives no rows.
+    ``k`` documents are drawn without replacement in proportion to their weights; by default as many as have a weight above the cut, that is
+    whose log weight is not below zero. ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``quality``. Clashing names get
+    underscores in front. Null and wordless texts have log weight zero. The noise depends on ``doc_id`` and ``seed``; equal keys are
+    decided by ``doc_id``; repeated rows are alike in all and so stay or go together with the last tied row. Without labelled rows of both
+    kinds that occur in ``docs``, all weigh alike, and every row is kept unless ``k`` is given. An empty table gives no rows.
     """
     carry = list(docs.columns) if carry is None else carry
     weight, key, kept = (fresh(carry, n) for n in ("log_weight", "gumbel_key", name))
-    model = fit(docs, labels, buckets, sample, loss)
+    model = fit(docs, labels, buckets, sample, loss, model_keys=model_keys)
     slim = docs.select(*[quoted(c) for c in dict.fromkeys([*carry, "doc_id", "text"])])
-    scored = weighed(slim, model, weight).select(*[quoted(c) for c in dict.fromkeys([*carry, "doc_id", weight])])
+    log_weight = F.lit(0.0)
+    if model.cut is not None:
+        slim = means(slim, model, weight, model_keys)
+        log_weight = F.coalesce((F.col(quoted(weight)) - F.lit(model.cut)) * F.lit(model.slope), F.lit(0.0))
+    scored = slim.withColumn(weight, log_weight).select(*[quoted(c) for c in dict.fromkeys([*carry, "doc_id", weight])])
     scored = materialised(scored.withColumn(key, F.col(quoted(weight)) + gumbel(F.col("doc_id"), seed)), "weighed")
     out = [quoted(c) for c in (*carry, weight, key)]
-    k = scored.filter(F.col(quoted(weight)) >= 0).count() if model.cut is not None else 0
-    if model.cut is None or k == 0:
-        return scored.select(*out, F.lit(model.cut is None).alias(kept))
+    if k is None:
+        k = scored.filter(F.col(quoted(weight)) >= 0).count()
+    if k == 0 or k >= scored.count():
+        return scored.select(*out, F.lit(k > 0).alias(kept))
     least, last = top_k(scored, key, ["doc_id"], k)
     value = F.col(quoted(key))
     inside = value > F.lit(least)
