@@ -239,14 +239,12 @@ def best_part(item: list[bytes], part: list[bytes]) -> tuple[int, int, int]:
 
 def _blocks(benchmark: DataFrame, block_items: int):
     """The items in blocks of bounded number and size, dealt by a hash."""
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).filter(
-        F.col("item_id").isNotNull() & F.col("text").isNotNull()
-    )
+    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).filter(F.col("text").isNotNull())
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     blocks = max(1, -(-size["n"] // block_items), -(-(size["b"] or 0) // BLOCK_BYTES))
     for block in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield Index(sorted((r[0], r[1]) for r in mine.collect()))
+        yield Index(sorted(((r[0], r[1]) for r in mine.collect()), key=lambda i: (i[0] is None, i[0] or 0, i[1])))
 
 
 #: Words that are walked over at once, over several texts; bounds the arrays.
@@ -297,7 +295,7 @@ def contaminated(
 
     An item is held if its edit distance to some part of the whole text is at most a fifth of its words; the
     best part is given. Words are compared in lower case without ASCII punctuation. Null and wordless texts
-    hold nothing; null or wordless items and items without an id are held by nothing. Repeated documents give
+    hold nothing; null or wordless items are held by nothing; an item without an id is reported with a null. Repeated documents give
     repeated rows, repeated items a row each. Empty tables give no rows; extra columns are not read.
     Nothing is shuffled: blocks of the benchmark travel to the texts.
     """

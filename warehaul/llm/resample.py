@@ -325,23 +325,35 @@ def curve(seen: list[tuple[float, bool]], loss: float) -> tuple[float | None, fl
 
 
 class Lookup:
-    """Ratios of the keys of some parts."""
+    """Ratios of the keys of some parts. Keys are spread evenly, so a table of their upper bits leads to within a few places."""
 
     def __init__(self, rows: list[tuple], rare: int) -> None:
         rows = sorted(rows)
         parts = [np.int64(p) << PART_BITS | np.frombuffer(k, "<i4").astype(np.int64) for p, k, _ in rows]
-        self.keys = np.concatenate([np.zeros(0, np.int64), *parts])
-        if not len(self.keys) or self.keys[-1] < 1 << 32:
-            self.keys = self.keys.astype(np.uint32)
-        self.ratios = np.frombuffer(b"".join(r for _, _, r in rows), "<i4")
+        keys = np.concatenate([np.zeros(0, np.int64), *parts])
         self.rare = rare
+        self.n = len(keys)
+        if not self.n:
+            return
+        self.first, self.last = int(keys[0]), int(keys[-1])
+        span = self.last - self.first + 1
+        self.shift = max(0, span.bit_length() - min(22, self.n.bit_length()))
+        steps = self.first + (np.arange((span >> self.shift) + 2, dtype=np.int64) << self.shift)
+        self.edges = np.searchsorted(keys, steps).astype(np.int32)
+        narrow = np.uint32 if self.last < (1 << 32) - 1 else np.int64
+        self.keys = np.append(keys, np.iinfo(narrow).max).astype(narrow)
+        self.ratios = np.frombuffer(b"".join(r for _, _, r in rows) + np.int32(rare).tobytes(), "<i4")
 
     def total(self, keys: np.ndarray) -> int:
         """Sum of the ratios of ``keys``; those it lacks are rare."""
-        if not len(self.keys):
+        if not self.n:
             return self.rare * len(keys)
-        keys = keys.astype(self.keys.dtype)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        inside = np.clip(keys, self.first, self.last)
+        at = self.edges[(inside - self.first) >> self.shift]
+        below = np.flatnonzero(self.keys[at] < inside)
+        while len(below):
+            at[below] += 1
+            below = below[self.keys[at[below]] < inside[below]]
         return int(np.where(self.keys[at] == keys, self.ratios[at], self.rare).sum(dtype=np.int64))
 
 
