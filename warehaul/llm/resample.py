@@ -21,8 +21,8 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +138,19 @@ class Model:
     rare: int = 0
     cut: float | None = None
     slope: float = 0.0
+    shared: Broadcast | None = None
+
+    def lookup(self, spark: SparkSession) -> Broadcast:
+        """All ratios by key, packed once and shared by the passes over the texts until ``release``."""
+        if self.shared is None:
+            rows = [] if self.table is None else list(zip(*(c.to_pylist() for c in self.table.toArrow().columns), strict=True))
+            self.shared = spark.sparkContext.broadcast(Lookup(rows, self.rare))
+        return self.shared
+
+    def release(self) -> None:
+        if self.shared is not None:
+            self.shared.destroy()
+            self.shared = None
 
 
 def _labelled(labels: DataFrame, sample: int) -> DataFrame:
@@ -367,12 +380,10 @@ def means(docs: DataFrame, model: Model, name: str, model_keys: int = MODEL_KEYS
     bits, buckets, forms_ratio = model.bits, len(model.forms), model.forms
     pieces = max(1, -(-model.size // model_keys))
     if pieces == 1:
-        rows = [] if model.table is None else list(zip(*(c.to_pylist() for c in model.table.toArrow().columns), strict=True))
-        shared = docs.sparkSession.sparkContext.broadcast((rows, model.rare))
-        del rows
+        shared = model.lookup(docs.sparkSession)
 
         def whole(batches: Batches) -> Batches:
-            forms, lookup = Forms(), Lookup(*shared.value)
+            forms, lookup = Forms(), shared.value
             for batch in batches:
                 found = []
                 for text in texts(batch, place):
@@ -515,6 +526,7 @@ def select(
         log_weight = F.coalesce((F.col(quoted(weight)) - F.lit(model.cut)) * F.lit(model.slope), F.lit(0.0))
     scored = slim.withColumn(weight, log_weight).select(*[quoted(c) for c in dict.fromkeys([*carry, "doc_id", weight])])
     scored = materialised(scored.withColumn(key, F.col(quoted(weight)) + gumbel(F.col("doc_id"), seed)), "weighed")
+    model.release()
     out = [quoted(c) for c in (*carry, weight, key)]
     if k is None:
         k = scored.filter(F.col(quoted(weight)) >= 0).count()
