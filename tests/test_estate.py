@@ -282,3 +282,18 @@ def test_unnamed_schedules_and_repeated_right_sides(spark):
     bundles = spark.createDataFrame([("b", "e", "/p", "")], "bundle string, entry string, app_path string, kickoff_time string")
     twice = spark.createDataFrame([("/p", "s2"), ("/p", "s1")], "path string, schedule string")
     assert rows(workflows.expand_bundles(bundles, twice), "schedule") == [("s1",)]
+
+
+def test_every_child_element_of_an_action_is_a_setting(spark):
+    body = (
+        "<o:command> a &lt; b </o:command><o:n>007</o:n><o:deep><o:x>1</o:x></o:deep><o:mixed>t<o:x>1</o:x></o:mixed><o:with at='1'>v</o:with>"
+        "<o:more>x</o:more><o:more/><o:more at='2'> y </o:more><o:empty/><o:arg>1</o:arg><o:file>f10</o:file><o:file>f20</o:file>"
+    )
+    two = "<o:action name='b'><o:email><o:to>q</o:to></o:email></o:action><o:action name='c'><o:unknown><o:to>q</o:to></o:unknown></o:action>"
+    xml = f"<o:workflow-app xmlns:o='u'><o:action name='a'><o:sqoop>{body}</o:sqoop></o:action>{two}</o:workflow-app>"
+    one = "<workflow-app><action name='a'><fs/></action></workflow-app>"
+    files = spark.createDataFrame([("f", xml), ("g", one), ("h", "<workflow-app>")], "stem string, text string")
+    nodes, _ = workflows.workflow_tables(files)
+    got = {(r.file, r.node): (r.settings, r.arguments) for r in nodes.collect()}
+    want = {"command": "a < b", "n": "007", "mixed": "t", "with": "v", "more": "x,y", "files": "f10,f20"}
+    assert got == {("f", "a"): (want, "1"), ("f", "b"): ({"to": "q"}, ""), ("g", "a"): ({}, "")}

@@ -32,6 +32,13 @@ WORKFLOW_SCHEMA = (
     " action array<struct<_name:string,`_retry-max`:string,`_retry-interval`:string,`retry-max`:string,"
     f"`retry-interval`:string,ok:struct<_to:string>,error:struct<_to:string>,{_KINDS}>>"
 )
+#: The same action bodies as texts by child element, and in whatever shape they have.
+_BODIES = "action array<struct<{}>>"
+_TEXT_BODIES = _BODIES.format(",".join(f"`{k}`:map<string,string>" for k in ACTION_KINDS))
+_SHAPED_BODIES = _BODIES.format(",".join(f"`{k}`:variant" for k in ACTION_KINDS))
+#: Child elements that have a column of their own.
+_APART = ("configuration", "param", "script", "arg", "argument")
+_VIEWS = (("texts", _TEXT_BODIES), ("shaped", _SHAPED_BODIES))
 COORDINATOR_SCHEMA = (
     "_name string, _frequency string, _start string, _end string, _timezone string,"
     " action struct<workflow:struct<`app-path`:string>>"
@@ -52,11 +59,34 @@ def _properties(config: Column) -> Column:
 
 
 def _settings() -> Column:
-    """The plain child elements of an action body as a map; empty ones are left out."""
-    texts = [(t, F.trim(F.col(f"body.`{t}`"))) for t in ("exec", "class", "jar", "master", "mode", "app-path")]
-    texts += [(f"{t}s", scalar.joined(F.transform(F.col(f"body.{t}"), F.trim))) for t in ("file", "archive")]
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in texts])
-    return F.map_from_entries(F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+    """The child elements of an action body by name, whatever names they have; those without text of their own are left out.
+
+    Repeated elements are comma-joined. The text of an element that stands once is as written; among repeated ones only
+    files, archives and those in ``_APART`` are sure to keep leading zeros.
+    """
+
+    def parts(v: Column) -> Column:
+        """The names of the elements in an element; null for plain text."""
+        return F.filter(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), lambda k: ~k.startswith("_"))
+
+    def own(v: Column) -> Column:
+        """The text that an element holds beside elements and attributes."""
+        return F.trim(F.when(parts(v).isNotNull(), F.try_variant_get(v, "$._VALUE", "string")).otherwise(F.try_variant_get(v, "$", "string")))
+
+    def value(name: Column, v: Column) -> Column:
+        many = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), own), lambda t: F.coalesce(t, F.lit("")) != "")
+        once = F.when(F.size(parts(v)) > 0, own(v)).otherwise(F.trim(F.col("texts")[name]))
+        return F.when(many.isNotNull(), scalar.joined(many)).otherwise(once)
+
+    lists = [(f"{t}s", scalar.joined(F.transform(F.col(f"body.{t}"), lambda x: F.trim(x)))) for t in ("file", "archive")]
+    told = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in lists])
+    children = F.filter(
+        F.map_entries(F.try_variant_get("shaped", "$", "map<string,variant>")),
+        lambda e: ~e["key"].startswith("_") & ~e["key"].isin(*_APART, "file", "archive"),
+    )
+    named = F.transform(children, lambda e: F.struct(e["key"].alias("key"), value(e["key"], e["value"]).alias("value")))
+    every = F.concat(told, F.coalesce(named, F.array().cast("array<struct<key:string,value:string>>")))
+    return F.map_from_entries(F.filter(every, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
 
 
 def _whole(attribute: Column, element: Column) -> Column:
@@ -68,7 +98,7 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
     """(nodes, edges) of a corpus of workflow XML, keyed by ``file`` (the stem), as names may repeat.
 
     Nodes: file, workflow, node, kind, action_type, retries, settings, parameters and the message of kill nodes.
-    ``settings`` holds the remaining elements of an action by name, repeated ones comma-joined. Edges: file, workflow,
+    ``settings`` holds every other child element of an action by name, repeated ones comma-joined. Edges: file, workflow,
     src, dst, kind (ok or error) and the kinds of both ends. Actions of an unknown kind drop; unreadable files are
     listed by ``corpora.unreadable_files``.
     """
@@ -77,17 +107,22 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
         F.coalesce(F.nullif(F.col("doc._name"), F.lit("")), F.col(stem)).alias("workflow"),
         F.col("doc"),
         _properties(F.col("doc.global.configuration")).alias("global_config"),
+        *[F.from_xml(xml, bodies, {"ignoreNamespace": "true"})["action"].alias(name) for name, bodies in _VIEWS],
     )
 
     no_list = F.array().cast("array<string>")
     # the outer forms of explode and inline keep Spark from parsing the XML again in a derived filter
-    actions = docs.select("file", "workflow", "global_config", F.explode_outer("doc.action").alias("n")).select(
+    each = F.arrays_zip(F.col("doc.action").alias("n"), "texts", "shaped")
+    of_kind = lambda column: F.coalesce(*[F.col(f"{column}.`{k}`") for k in ACTION_KINDS])
+    actions = docs.select("file", "workflow", "global_config", F.inline_outer(each)).select(
         "file",
         "workflow",
         "global_config",
+        of_kind("texts").alias("texts"),
+        of_kind("shaped").alias("shaped"),
         F.col("n._name").alias("node"),
         F.coalesce(*[F.when(F.col(f"n.`{k}`").isNotNull(), F.lit(k)) for k in ACTION_KINDS]).alias("action_type"),
-        F.coalesce(*[F.col(f"n.`{k}`") for k in ACTION_KINDS]).alias("body"),
+        of_kind("n").alias("body"),
         _whole(F.col("n.`_retry-max`"), F.col("n.`retry-max`")).alias("retry_max"),
         (_whole(F.col("n.`_retry-interval`"), F.col("n.`retry-interval`")) * 60_000).alias("retry_interval_ms"),
     )

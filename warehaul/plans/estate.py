@@ -660,6 +660,34 @@ def workflow_settings(spark, sf):
     return nodes.select("file", "workflow", "node", F.concat_ws(",", F.array_sort(one)).alias("settings"), "message")
 
 
+# one action of each kind, with the child elements that are common for it
+KINDS_XML = """'<w:workflow-app xmlns:w="uri:oozie:workflow:0.5" name="kinds"><w:start to="hive"/>' ||
+    '<w:action name="hive"><w:hive><w:job-tracker>jt:' || k || '</w:job-tracker><w:script>q.hql</w:script><w:param>A=1</w:param></w:hive></w:action>' ||
+    '<w:action name="spark"><w:spark><w:name>job ' || k || '</w:name><w:spark-opts>--conf a=b</w:spark-opts><w:arg>1</w:arg><w:jar>0' || k || '</w:jar></w:spark></w:action>' ||
+    '<w:action name="java"><w:java><w:prepare><w:delete path="/tmp/x"/></w:prepare><w:main-class>org.C' || k || '</w:main-class><w:java-opts>-Xmx1g</w:java-opts></w:java></w:action>' ||
+    '<w:action name="pig"><w:pig><w:script>p.pig</w:script><w:job-xml>a.xml</w:job-xml><w:job-xml> b' || k || '.xml </w:job-xml></w:pig></w:action>' ||
+    '<w:action name="sqoop"><w:sqoop><w:command>import --id ' || k || ' &lt; 5</w:command><w:configuration><w:property><w:name>q</w:name><w:value>v</w:value></w:property></w:configuration></w:sqoop></w:action>' ||
+    '<w:action name="shell"><w:shell><w:exec>run.sh</w:exec><w:env-var>A=' || k || '</w:env-var><w:env-var>B=2</w:env-var><w:file>f' || k || '</w:file><w:capture-output/></w:shell></w:action>' ||
+    '<w:action name="fs"><w:fs><w:name-node>hdfs://n' || k || '</w:name-node><w:mkdir path="/x"/><w:chmod path="/x" permissions="755">all</w:chmod></w:fs></w:action>' ||
+    '<w:action name="email"><w:email><w:to>a@b.c</w:to><w:subject>Run ' || k || '</w:subject><w:body> ended </w:body></w:email></w:action>' ||
+    '<w:action name="sub"><w:sub-workflow><w:app-path>/apps/' || k || '</w:app-path><w:propagate-configuration/></w:sub-workflow></w:action></w:workflow-app>'"""
+
+
+@query(
+    """SELECT 'kinds_' || c_custkey AS file, node, replace(settings, '#', CAST(c_custkey AS VARCHAR)) AS settings FROM customer, (VALUES
+        ('hive', 'job-tracker=jt:#'), ('spark', 'jar=0#,name=job #,spark-opts=--conf a=b'), ('java', 'java-opts=-Xmx1g,main-class=org.C#'),
+        ('pig', 'job-xml=a.xml,b#.xml'), ('sqoop', 'command=import --id # < 5'), ('shell', 'env-var=A=#,B=2,exec=run.sh,files=f#'),
+        ('fs', 'chmod=all,name-node=hdfs://n#'), ('email', 'body=ended,subject=Run #,to=a@b.c'), ('sub', 'app-path=/apps/#')) t(node, settings)"""
+)
+def workflow_action_settings(spark, sf):
+    """Every child element of every kind of action, also unknown, repeated and nested ones."""
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    files = keys.select(F.concat(F.lit("kinds_"), "k").alias("stem"), F.expr(KINDS_XML).alias("text"))
+    nodes, _ = workflows.workflow_tables(files)
+    one = F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return nodes.select("file", "node", F.concat_ws(",", F.array_sort(one)).alias("settings"))
+
+
 @query(
     """SELECT 'flow_' || c_custkey AS file, CASE c_custkey % 6 WHEN 2 THEN 'XML parse error' WHEN 3 THEN 'empty text' ELSE 'no text' END AS reason
     FROM customer WHERE c_custkey % 6 IN (2, 3, 4)"""
