@@ -138,3 +138,28 @@ def test_zeros_and_digits_at_any_depth_and_size(spark):
     far = spark.createDataFrame([(i, v * (1 + 1e-10), [v, None]) for i, v in enumerate(base)], "k int, v double, w array<double>")
     assert {r["k"] for r in rec.diff_by_key(a, far, ["k"]).collect()} == set(range(6))
     assert rec.diff_rows(a, far).count() == 12
+
+
+def test_rows_on_both_sides_of_a_rounding_edge_are_equal(spark):
+    base = spark.range(300_000).select((F.col("id") % 7).alias("k"), (F.rand(5) * 1000 - 500).alias("x"), (F.rand(6) * 1e-9).alias("y"))
+    base = base.cache()
+    ulps = F.lit(1 + 4 * 2.0**-52)
+    moved = base.select("k", (F.col("x") * ulps).alias("x"), (F.col("y") / ulps).alias("y"))
+    assert rec.diff_rows(base, moved).count() == 0 and rec.reconcile(base, moved).first()["passed"]
+    changed = moved.withColumn("y", F.when(F.col("x") == moved.agg(F.max("x")).first()[0], F.col("y") * (1 + 1e-9)).otherwise(F.col("y")))
+    assert rows(rec.diff_rows(base, changed), "side", "copies") == [("left", 1), ("right", 1)]
+    assert not rec.reconcile(base, changed).first()["passed"]
+
+
+def test_near_rows_are_counted_with_their_copies(spark):
+    edge = 1.000000000005  # halfway between two values of twelve digits
+    below, above = edge - 2e-15, edge + 2e-15
+    odd = [(None, 2.0), (float("nan"), 2.0), (float("inf"), 2.0), (-0.0, 1.0)]
+    a = spark.createDataFrame([(below, 5.0), (below, 7.0), (above, 5.0), *odd], "x double, y double")
+    b = spark.createDataFrame([(above, 5.0), (above, 7.0), (below, 5.0), *odd[:3], (0.0, 1.0)], "x double, y double")
+    assert rows(rec.diff_rows(a, b)) == []
+    more = b.unionByName(spark.createDataFrame([(below, 7.0)] * 2, b.schema))
+    assert rows(rec.diff_rows(a, more), "side", "copies", "y") == [("right", 2, 7.0)]
+    other = spark.createDataFrame([(below, 7.0), (below, 7.0), (above, 5.0), *odd], a.schema)
+    assert rows(rec.diff_rows(other, b), "side", "copies", "y") == [("left", 1, 7.0), ("right", 1, 5.0)]
+    assert rows(rec.diff_rows(a.limit(0), b.limit(0))) == [] and rec.diff_rows(a.limit(0), b).count() > 4

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,24 +99,55 @@ def schema_diff(left: DataFrame, right: DataFrame, types: bool = False) -> DataF
     return spark.createDataFrame(rows, "column string, side string")
 
 
+def _settled(diff: DataFrame, exact: Sequence[str], doubles: Sequence[str], shift: float) -> DataFrame:
+    """``diff`` with ``_total``, the balance of each group of rows that are near each other, and the columns of the group's key.
+
+    Rows are near if they agree in ``exact`` and lead to each other by steps of one unit in the last digit in every one of
+    ``doubles``. They are sought in cells of about a millionth of a value, so that groups stay small; ``shift`` moves the cells' edges.
+    """
+    cells = {}
+    for i, c in enumerate(doubles):
+        value = F.col(f"`{c}`")
+        plain = (value != 0) & ~F.isnan(value) & (F.abs(value) < float("inf"))
+        place = F.floor(F.log10(F.abs(value)) * 1_000_000 + F.lit(shift)).cast("string")
+        cells[f"_cell{i}"] = F.when(plain, F.concat(F.signum(value).cast("string"), place)).otherwise(value.cast("string"))
+    keys = [F.col(f"`{c}`") for c in exact] + [F.col(c) for c in cells]
+    rows = diff.withColumns(cells)
+    for i, c in enumerate(doubles):
+        value, order = F.col(f"`{c}`"), Window.partitionBy(*keys).orderBy(f"`{c}`")
+        last = F.lag(value).over(order)
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(F.abs(value), F.abs(last)))) + F.lit(1.0 - DOUBLE_DIGITS))
+        # equal, also if both are infinite or no numbers, or one step of rounding apart
+        near = value.eqNullSafe(last) | F.coalesce(F.abs(value - last) <= unit * 1.5, F.lit(False))
+        apart = rows.withColumn("_apart", F.when(near, 0).otherwise(1))
+        rows = apart.withColumn(f"_step{i}", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_apart")
+        keys.append(F.col(f"_step{i}"))
+    return rows.withColumn("_key", F.struct(*keys)).withColumn("_total", F.sum("_balance").over(Window.partitionBy("_key")))
+
+
 def diff_rows(left: DataFrame, right: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows whose number of copies differs, with the side that has more and the surplus.
 
-    Columns are matched by name. Copies are counted before the shuffle, so many equal rows are cheap.
+    Columns are matched by name. Copies are counted before the shuffle, so many equal rows are cheap. Doubles are compared in
+    DOUBLE_DIGITS significant digits; rows that are then left on both sides of an edge of the rounding, one unit apart, count as equal
+    too. Only rows that rounding leaves unequal are looked at again, first in cells, then in cells shifted by half.
     """
     a, b = _same_types(comparable(left), comparable(right))
     both = a.withColumn("_sign", F.lit(1)).unionByName(b.withColumn("_sign", F.lit(-1)))
-    diff = (
-        both.groupBy(*[F.col(f"`{c}`") for c in a.columns])
-        .agg(F.sum("_sign").alias("_balance"))
-        .filter("_balance != 0")
-        .select(
-            F.when(F.col("_balance") > 0, "left").otherwise("right").alias("side"),
-            F.abs("_balance").alias("copies"),
-            *[F.col(f"`{c}`") for c in a.columns],
-        )
+    columns = [F.col(f"`{c}`") for c in a.columns]
+    diff = both.groupBy(*columns).agg(F.sum("_sign").alias("_balance")).filter("_balance != 0")
+    doubles = [c for c, t in both.dtypes if t == "double"]
+    if doubles:
+        exact = [c for c in a.columns if c not in doubles]
+        diff = _settled(diff, exact, doubles, 0.0).filter("_total <> 0").select(*diff.columns)
+        again = _settled(diff, exact, doubles, 0.5).filter("_total <> 0")
+        # of a group the surplus, shown by its least row on that side
+        own = F.when(F.signum("_balance") == F.signum("_total"), F.struct(*columns))
+        diff = again.groupBy("_key").agg(F.first("_total").alias("_balance"), F.min(own).alias("_row")).select("_row.*", "_balance")
+    diff = diff.select(
+        F.when(F.col("_balance") > 0, "left").otherwise("right").alias("side"), F.abs("_balance").alias("copies"), *columns
     )
-    return diff if limit is None else diff.orderBy("side", *a.columns).limit(limit)
+    return diff if limit is None else diff.orderBy("side", *[f"`{c}`" for c in a.columns]).limit(limit)
 
 
 def diff_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -202,7 +233,7 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
     """One-row verdict: counts, schema match, data match, passed and a short report.
 
     Names are compared without order and types. The rows are compared only if counts and names
-    agree: first by digests, which shuffle nothing, and row by row only if the digests differ.
+    agree: first by digests, which shuffle nothing, and row by row only if the digests differ, with the tolerance of ``diff_rows``.
     """
     return _verdict(left, right, _digest(left), _digest(right))
 
