@@ -297,3 +297,34 @@ def test_every_child_element_of_an_action_is_a_setting(spark):
     got = {(r.file, r.node): (r.settings, r.arguments) for r in nodes.collect()}
     want = {"command": "a < b", "n": "007", "mixed": "t", "with": "v", "more": "x,y", "files": "f10,f20"}
     assert got == {("f", "a"): (want, "1"), ("f", "b"): ({"to": "q"}, ""), ("g", "a"): ({}, "")}
+
+
+def test_runs_belong_to_the_last_slot_before_them(spark):
+    plan = spark.createDataFrame(
+        [(f, "same", "360", "2024-01-01T00:00Z", "2024-01-02T00:00Z", z) for f, z in (("a", "UTC"), ("b", "+02:00"), ("c", "Mars/Olympus"), ("d", None))],
+        "file string, schedule string, frequency string, start string, end string, timezone string",
+    )
+    assert {r.file: r.reason for r in schedules.rejected_schedules(plan).collect()} == {"c": "unknown time zone 'Mars/Olympus'", "d": "unknown time zone ''"}
+    slots = schedules.schedule_slots(plan)
+    assert slots.groupBy("file").count().count() == 2 and slots.count() == 8
+    starts = ["2024-01-01 00:00:00", "2024-01-01 05:59:59", "2024-01-01 06:30:00", "2024-01-01 07:00:00", "2024-01-01 13:00:00.000001", "2024-01-01 18:59:59", None]
+    runs = spark.createDataFrame([("a", "same", t) for t in starts], "file string, schedule string, t string")
+    runs = runs.withColumn("started", F.col("t").cast("timestamp_ntz"))
+    for piece in (60, 3600, 7 * 86_400):
+        got = {(r.file, r.slot.hour): (r.started and r.started.isoformat(" "), r.late_seconds) for r in schedules.runs_by_slot(slots, runs, 3600, piece).collect()}
+        want = {("a", 0): (starts[0], 0.0), ("a", 6): (starts[2], 1800.0), ("a", 12): (None, None), ("a", 18): (starts[5], 3599.0)}
+        assert got == want | {("b", h): (None, None) for h in (0, 6, 12, 18)}
+    exact = runs.select("file", "schedule", F.col("started").alias("slot"))
+    assert rows(schedules.missing_slots(slots, exact), "file").count(("b",)) == 4 and schedules.missing_slots(slots, exact).count() == 7
+
+
+def test_no_rules_and_null_ids(spark):
+    from warehaul.operators import corpus, joins
+
+    texts = spark.createDataFrame([(1, "SELECT 1")], "id int, text string")
+    issues = corpus.audit(texts, "id", "text", [])
+    assert issues.columns == corpus.audit(texts, "id", "text").columns and issues.count() == 0
+    left = spark.createDataFrame([(None, "x"), (2, "y")], "id int, name string")
+    right = spark.createDataFrame([("x", 10), ("y", 20)], "name string, v int")
+    found = joins.match_cascade(left, right, "id", [(F.col("name"), F.col("name"))], ["v"], ["v"])
+    assert rows(found, "id", "match_step", "v") == [(2, 1, 20), (None, 1, 10)]

@@ -164,3 +164,47 @@ def test_script_files_by_suffix(spark, tmp_path):
     (tmp_path / "c.txt").write_text("no")
     got = {r["stem"]: r["text"] for r in read_scripts(spark, str(tmp_path)).collect()}
     assert got == {"a": "SELECT 1;\nSELECT �;", "b": "SELECT 2"}
+
+
+def test_changes_touch_only_partitions_with_changed_rows(spark, tmp_path):
+    name = f"touched_{uuid.uuid4().hex}"
+    src.create_table(spark, name, "k INT, v STRING, p STRING, q INT", "parquet", ["p", "q"], str(tmp_path / "t"))
+    made = spark.range(60).selectExpr("CAST(id AS INT) AS k", "'old' AS v", "concat('it''s ', id % 3) AS p", "CAST(id % 2 AS INT) AS q")
+    src.overwrite_dynamic(name, made)
+
+    def files():
+        return {(r.p, r.q): r.f for r in spark.table(name).groupBy("p", "q").agg(F.array_sort(F.collect_set("_metadata.file_path")).alias("f")).collect()}
+
+    def times():
+        return {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+
+    first, at = files(), times()
+    assert len(first) == 6
+    src.update_rows(spark, name, F.col("k") == 7, {"v": F.lit("new")})
+    now = files()
+    assert {p for p in first if now[p] != first[p]} == {("it's 1", 1)}
+    assert {f: t for f, t in times().items() if f in at} == {f: t for f, t in at.items() if f in times()}
+    # a row that moves touches the partition it leaves and the one it enters, also a new one
+    src.update_rows(spark, name, F.col("k") == 8, {"q": F.lit(9)})
+    then = files()
+    assert {p for p in then if then[p] != now.get(p)} == {("it's 2", 0), ("it's 2", 9)}
+    assert rows(spark.table(name).filter("q = 9")) == [(8, "old", "it's 2", 9)]
+    # a partition that loses its last row goes, the others stay
+    src.delete_rows(spark, name, F.col("q") == 9)
+    last = files()
+    assert ("it's 2", 9) not in last and all(last[p] == then[p] for p in last)
+    src.delete_rows(spark, name, F.col("k") > 1000)
+    assert files() == last
+    source = spark.createDataFrame([(0, "up", "it's 0", 0), (100, "added", "other", 1)], "k int, v string, p string, q int")
+    src.upsert_table(spark, name, source, ["k"])
+    end = files()
+    assert {p for p in end if end[p] != last.get(p)} == {("it's 0", 0), ("other", 1)}
+    assert spark.table(name).count() == 60 and rows(spark.table(name).filter("v in ('up', 'added', 'new')"), "k") == [(0,), (7,), (100,)]
+
+
+def test_null_partitions_are_rewritten_whole(spark, tmp_path):
+    name = f"nulls_{uuid.uuid4().hex}"
+    src.create_table(spark, name, "k INT, p STRING", "parquet", ["p"], str(tmp_path / "t"))
+    src.overwrite_dynamic(name, spark.createDataFrame([(1, "a"), (2, None), (3, None)], "k int, p string"))
+    src.update_rows(spark, name, F.col("k") == 2, {"k": F.lit(5)})
+    assert rows(spark.table(name), "k", "p") == [(1, "a"), (3, None), (5, None)]

@@ -94,7 +94,7 @@ def match_cascade(
 
     The right side is cut to its best row per (step, key) before the join, so that a left row
     meets at most one partner per step, however many copies of a key there are. ``left_id`` must name a row:
-    a repeated one is an error, as its rows would share their partners.
+    a repeated one is an error, as its rows would share their partners; one row may have a NULL there.
     """
     repeated = left.groupBy(left_id).agg(F.count("*").alias("_n")).filter("_n > 1").select(left_id).limit(3).collect()
     if repeated:
@@ -116,7 +116,8 @@ def match_cascade(
     hits = probes.join(best, ["step", "key"]).groupBy(left_id).agg(
         F.min(F.struct("step", *payload)).alias("_hit")
     )
-    return left.join(hits, left_id, "left").select(
+    hits = hits.withColumnRenamed(left_id, "_of")
+    return left.join(hits, F.col(left_id).eqNullSafe(F.col("_of")), "left").select(
         left["*"], F.col("_hit.step").alias("match_step"), *[F.col(f"_hit.{p}").alias(p) for p in payload]
     )
 

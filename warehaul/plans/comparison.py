@@ -254,3 +254,31 @@ def reconcile_large_sums(spark, sf):
     cases = {"added in another order": other, "a cent less": less}
     verdicts = [rec.reconcile(whole, df).select(F.lit(c).alias("case"), "passed", "data_match", "left_count") for c, df in cases.items()]
     return verdicts[0].unionByName(verdicts[1])
+
+
+@query(
+    """SELECT * FROM (VALUES ('added in another order', true, 0, 0), ('a few units in the last place', true, 0, 0), ('one value changed', false, 1, 1))
+        v("case", passed, left_rows, right_rows), (SELECT count(*) AS rows FROM lineitem)"""
+)
+def reconcile_many_sums(spark, sf):
+    """A sum per order line, without keys: equal whatever the order of addition, and one changed value among all is found."""
+    lines = table(spark, sf, "lineitem")
+    a, b, c = F.col("l_extendedprice") * 0.1, F.col("l_quantity") * 0.7, F.col("l_orderkey") * 1.1 + F.col("l_linenumber") * 0.013
+    sums = lines.select("l_returnflag", "l_orderkey", "l_linenumber", (a + b + c).alias("total"), (c + (b + a)).alias("other"))
+    left = sums.select("l_returnflag", "total")
+    least = sums.agg(F.min(F.struct("l_orderkey", "l_linenumber"))).first()[0]
+    one = (F.col("l_orderkey") == least[0]) & (F.col("l_linenumber") == least[1])
+    cases = {
+        "added in another order": F.col("other"),
+        "a few units in the last place": F.col("total") * F.lit(1 + 4 * 2.0**-52),
+        "one value changed": F.when(one, F.col("other") * (1 + 1e-9)).otherwise(F.col("other")),
+    }
+    found = []
+    for case, value in cases.items():
+        right = sums.select("l_returnflag", value.alias("total"))
+        verdict = rec.reconcile(left, right).select("passed", F.col("left_count").alias("rows"))
+        sides = [F.coalesce(F.sum(F.when(F.col("side") == s, F.col("copies"))), F.lit(0)).alias(f"{s}_rows") for s in ("left", "right")]
+        # both sides are one row
+        counts = rec.diff_rows(left, right).agg(*sides).withColumn("case", F.lit(case))
+        found.append(counts.join(F.broadcast(verdict.withColumn("case", F.lit(case))), "case"))
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -873,6 +873,25 @@ def missing_schedule_slots(spark, sf):
     return schedules.missing_slots(schedules.schedule_slots(plan), runs).select("schedule", "slot")
 
 
+@query(
+    """WITH u AS (SELECT DISTINCT user_id FROM events), grid AS (
+        SELECT user_id, CASE user_id % 3 WHEN 0 THEN 24 WHEN 1 THEN 6 ELSE 12 END AS h FROM u),
+    slots AS (SELECT user_id, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:59:59', to_hours(h))) AS slot FROM grid)
+    SELECT 'file_' || s.user_id AS file, 'nightly' AS schedule, slot, min(ts) AS started FROM slots s
+    LEFT JOIN events e ON e.user_id = s.user_id AND ts >= slot AND ts < slot + INTERVAL 5 HOUR GROUP BY ALL"""
+)
+def schedule_runs_by_slot(spark, sf):
+    """Schedules of one name in many files: the first run of each slot, up to five hours late."""
+    events = table(spark, sf, "events")
+    keys = [F.concat(F.lit("file_"), "user_id").alias("file"), F.lit("nightly").alias("schedule")]
+    plan = events.select("user_id").distinct().select(
+        *keys, F.expr(_FREQ).alias("frequency"), F.lit("2024-01-01T00:00Z").alias("start"), F.lit("2024-01-31T00:00Z").alias("end"), F.lit("UTC").alias("timezone")
+    )
+    runs = events.select(*keys, F.col("ts").cast("timestamp_ntz").alias("started"))
+    found = schedules.runs_by_slot(schedules.schedule_slots(plan), runs, 5 * 3600)
+    return found.select("file", "schedule", "slot", "started")
+
+
 @query(
     """SELECT 'user_' || user_id AS schedule, CASE user_id % 4 WHEN 0 THEN 'frequency ''sometimes'' cannot be read' WHEN 1 THEN 'end cannot be read'
         ELSE 'start is not before end' END AS reason FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 4 < 3"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from warehaul.operators import layout, projection
 from warehaul.plans.tables import AS_OF, average, customers, fact_orders, sales, table, with_cte
 from warehaul.registry import query
-from warehaul.session import balanced, scratch_path
+from warehaul.session import balanced, materialised, scratch_path
 from warehaul.sources import tables as src
 
 
@@ -380,3 +380,27 @@ def ingest_transform_export(spark, sf):
     out = scratch_path(spark, "export")
     result.select(F.concat_ws("|", "c_mktsegment", "n", "total").alias("value")).write.text(out)
     return spark.read.text(out)
+
+
+@query(
+    """WITH changed AS (
+        SELECT o_orderpriority AS priority, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price
+        FROM orders WHERE NOT (o_orderpriority = '2-HIGH' AND o_orderkey % 3 = 0) AND o_orderpriority <> '5-LOW'
+        UNION ALL SELECT '3-MEDIUM', 1.5 FROM region)
+    SELECT priority, count(*) AS n, round(sum(price), 2) AS total, priority = '4-NOT SPECIFIED' AS same_files FROM changed GROUP BY priority"""
+)
+def change_touched_partitions(spark, sf):
+    """Update, delete and upsert of a partitioned table: the files of partitions that hold no changed row stay as they are."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    name = _new_table(spark, "orders_by_priority", orders, partition_by=["priority"])
+    files = lambda: spark.table(name).groupBy("priority").agg(F.array_sort(F.collect_set("_metadata.file_path")).alias("files"))
+    before = materialised(files(), "files")
+    src.update_rows(spark, name, F.expr("priority = '1-URGENT' AND o_orderkey % 2 = 0"), {"price": F.col("price") * 2})
+    src.delete_rows(spark, name, F.expr("priority = '2-HIGH' AND o_orderkey % 3 = 0"))
+    src.delete_rows(spark, name, F.col("priority") == "5-LOW")
+    added = table(spark, sf, "region").select((-F.col("r_regionkey") - 1).cast("bigint").alias("o_orderkey"), F.lit(1.5).alias("price"), F.lit("3-MEDIUM").alias("priority"))
+    src.upsert_table(spark, name, added, ["o_orderkey"])
+    sums = spark.table(name).groupBy("priority").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    after = files().withColumnRenamed("files", "now")
+    same = (F.col("files") == F.col("now")).alias("same_files")
+    return sums.join(after, "priority").join(before, "priority").select("priority", "n", "total", same)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -108,21 +109,42 @@ def ctas(df: DataFrame, name: str, fmt: str = "parquet", location: str | None =
     return df.sparkSession.table(name)
 
 
+#: Partitions that one change names; a change that touches more rewrites the table.
+MOST_PARTITIONS = 1000
+
+
+def _partition_columns(spark: SparkSession, name: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+
+
+def _spec(values: Mapping[str, object]) -> str:
+    quoted = {c: str(v).replace("\\", "\\\\").replace("'", "\\'") for c, v in values.items()}
+    return ", ".join(f"`{c}` = '{v}'" for c, v in quoted.items())
+
+
 def _overwrite(df: DataFrame, name: str, mode: str) -> None:
     """Replace the whole table (static) or only the partitions written (dynamic); columns are matched by name.
 
     The mode is an option of this one write and no setting of the session, so loads that run at once do not change
-    each other's. The writer takes it for files only, so they are written to the table's place and its partitions
-    are then brought in line.
+    each other's. The writer takes it for files only, so they are written to the table's place. Of a dynamic write the partitions are
+    observed as they are written and added by name, so the table's other partitions are not listed; only partitions that are NULL or more
+    than MOST_PARTITIONS, and a static write, bring all in line.
     """
     spark = df.sparkSession
     told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
-    parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    parts = _partition_columns(spark, name)
     rows = df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in spark.table(name).schema.fields])
+    seen = Observation()
+    if parts and mode == "dynamic":
+        rows = rows.observe(seen, F.collect_set(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in parts])).alias("parts"))
     writer = rows.write.format(told["Provider"]).mode("overwrite").option("partitionOverwriteMode", mode)
     writer.partitionBy(*parts).save(told["Location"])
     if parts:
-        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+        written = [r.asDict() for r in seen.get["parts"]] if mode == "dynamic" else None
+        if written is None or len(written) > MOST_PARTITIONS or any(v is None or v == "" for r in written for v in r.values()):
+            spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+        elif written:
+            spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS " + " ".join(f"PARTITION ({_spec(r)})" for r in written))
     spark.catalog.refreshTable(name)
 
 
@@ -138,10 +160,8 @@ def overwrite_partition(name: str, df: DataFrame, partition: Mapping[str, str])
     columns = [c for c in spark.table(name).columns if c not in partition]
     view = f"part_{uuid.uuid4().hex}"
     df.select(*columns).createOrReplaceTempView(view)
-    values = {c: str(v).replace("\\", "\\\\").replace("'", "\\'") for c, v in partition.items()}
-    spec = ", ".join(f"`{c}` = '{v}'" for c, v in values.items())
     try:
-        spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({spec}) SELECT * FROM {view}")
+        spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({_spec(partition)}) SELECT * FROM {view}")
     finally:
         spark.catalog.dropTempView(view)
 
@@ -164,22 +184,60 @@ def refresh_in_place(spark: SparkSession, name: str, transform: Callable[[DataFr
     remove_scratch(spark, stage)
 
 
+def refresh_partitions(spark: SparkSession, name: str, touched: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> None:
+    """As ``refresh_in_place``, but only the partitions in ``touched`` are read, transformed and written; the files of others stay.
+
+    ``touched`` has the partition columns and must name every partition that the transform takes rows from or puts rows into. A change that touches
+    a NULL partition or more than MOST_PARTITIONS, and a table without partitions, is rewritten whole.
+    """
+    table, parts = spark.table(name), _partition_columns(spark, name)
+    named = touched.select(*parts).distinct().limit(MOST_PARTITIONS + 1).collect() if parts else []
+    if not parts or len(named) > MOST_PARTITIONS or any(v is None for r in named for v in r):
+        refresh_in_place(spark, name, transform)
+        return
+    if not named:
+        return
+    inside = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(f"`{c}`") == F.lit(r[c]) for c in parts]) for r in named])
+    stage = scratch_path(spark, f"stage-{name.replace('.', '-')}")
+    transform(table.filter(inside)).select(*table.columns).write.parquet(stage)
+    staged = spark.read.schema(table.schema).parquet(stage)
+    left = set(map(tuple, staged.select(*parts).distinct().collect()))
+    _overwrite(staged, name, "dynamic")
+    for r in named:
+        if tuple(r) not in left:
+            overwrite_partition(name, staged.limit(0), r.asDict())
+    remove_scratch(spark, stage)
+
+
 def upsert_table(spark: SparkSession, name: str, source: DataFrame, keys: Sequence[str], set_cols=None) -> None:
-    refresh_in_place(spark, name, lambda t: upsert(t, source, keys, set_cols))
+    """Merge ``source`` into a table; of a partitioned one the partitions of matched rows and of source rows are rewritten."""
+    table, parts = spark.table(name), _partition_columns(spark, name)
+    merge = lambda t: upsert(t, source, keys, set_cols)
+    if not parts or not set(parts) <= set(source.columns):
+        refresh_in_place(spark, name, merge)
+        return
+    matched = table.join(small(source.select(*keys).distinct()), list(keys), "left_semi").select(*parts)
+    kinds = dict(table.dtypes)
+    refresh_partitions(spark, name, matched.unionByName(source.select(*[F.col(c).cast(kinds[c]).alias(c) for c in parts])), merge)
 
 
 def update_rows(spark: SparkSession, name: str, pred: Column, values: Mapping[str, Column]) -> None:
-    refresh_in_place(spark, name, lambda t: updated(t, pred, values))
+    """Change rows where the predicate is true; only partitions that hold such rows, or get them, are rewritten."""
+    hit, parts = spark.table(name).filter(pred), _partition_columns(spark, name)
+    touched = hit.select(*parts)
+    if set(parts) & set(values):
+        touched = touched.unionByName(hit.withColumns(dict(values)).select(*[F.col(c).cast(dict(hit.dtypes)[c]).alias(c) for c in parts]))
+    refresh_partitions(spark, name, touched, lambda t: updated(t, pred, values))
 
 
 def delete_rows(spark: SparkSession, name: str, pred: Column | None = None) -> None:
-    """Delete rows where the predicate is true; without a predicate, all rows."""
+    """Delete rows where the predicate is true; without a predicate, all rows. Only partitions that hold such rows are rewritten."""
     if pred is None and spark.catalog.getTable(name).tableType == "MANAGED":
         spark.sql(f"TRUNCATE TABLE {name}")
     elif pred is None:  # Spark does not truncate tables at a location of their own
         _overwrite(spark.createDataFrame([], spark.table(name).schema), name, "static")
     else:
-        refresh_in_place(spark, name, lambda t: without(t, pred))
+        refresh_partitions(spark, name, spark.table(name).filter(pred), lambda t: without(t, pred))
 
 
 def add_columns(spark: SparkSession, name: str, columns: Mapping[str, str]) -> None:
