@@ -300,3 +300,11 @@ def test_long_posting_lists_lose_no_link(spark, long_list):
     want = brute.linked({v: v & (1 << 64) - 1 for v in signed})
     groups = lambda root: {frozenset(v for v in signed if root(v) == r) for r in map(root, signed)}
     assert groups(lambda v: roots.get(v, v)) == groups(want.get)
+
+
+def test_items_without_an_id_clean_documents(spark):
+    words = [f"item{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, "before " + " ".join(words) + " after"), (2, "nothing of the kind here")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, " ".join(words)), (7, "some other item that no text holds at all")], "item_id bigint, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, None, 1, 30, 0)]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
