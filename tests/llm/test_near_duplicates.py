@@ -43,9 +43,9 @@ def test_near_copies_by_all_pairs(spark):
     assert sorted(r.doc_id for r in stages.near_duplicates(spark, docs, SF).collect()) == want
 
 
-@pytest.mark.parametrize("long_list", [3, 64])
-def test_edited_copies_are_found(spark, long_list):
-    rng = random.Random(long_list)
+@pytest.mark.parametrize(("hot", "key_bytes"), [(2, 3), (64, 3), (64, 4)])
+def test_edited_copies_are_found(spark, hot, key_bytes):
+    rng = random.Random(hot)
     rows = []
     for _ in range(60):
         text = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(40, 300))]
@@ -56,7 +56,7 @@ def test_edited_copies_are_found(spark, long_list):
             rows.append((len(rows), " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("class", similar.text_class("text"))
     ids = {r["class"]: r.text for r in docs.collect()}
-    found = {r.node: r.root for r in similar.linked(docs, long_list=long_list).collect()}
+    found = {r.node: r.root for r in similar.linked(docs, key_bytes=key_bytes, hot=hot).collect()}
     pairs = [
         (a, b) for a, b in itertools.combinations(ids, 2)
         if 5 * len(_shingles(ids[a]) & _shingles(ids[b])) >= 4 * len(_shingles(ids[a]) | _shingles(ids[b]))

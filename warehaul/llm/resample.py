@@ -101,13 +101,13 @@ def key_bits(docs: DataFrame) -> int:
     return min(40, max(PART_BITS + 4, int(size).bit_length()))
 
 
-def packed_numbers(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Numbers below 2**35 in groups of seven bits, as one blob for each run of ``values`` that ends at ``ends``."""
+def packed_numbers(values: np.ndarray, ends: np.ndarray, groups: int = 5) -> list[bytes]:
+    """Numbers in groups of seven bits, ``groups`` at most, as one blob for each run of ``values`` that ends at ``ends``."""
     v = values.astype(np.uint64)
-    sizes = 1 + sum((v >= np.uint64(1 << 7 * j)).astype(np.int64) for j in range(1, 5))
+    sizes = 1 + sum((v >= np.uint64(1 << 7 * j)).astype(np.int64) for j in range(1, groups))
     after = np.cumsum(sizes)
     out = np.zeros(int(after[-1]) if len(after) else 0, np.uint8)
-    for j in range(5):
+    for j in range(groups):
         has = sizes > j
         out[(after - sizes)[has] + j] = (v[has] >> np.uint64(7 * j) & np.uint64(127)).astype(np.uint8) | (sizes[has] > j + 1) * np.uint8(128)
     edges = np.concatenate(([0], after))[np.concatenate(([0], ends))]

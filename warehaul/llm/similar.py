@@ -7,9 +7,13 @@ give 252 of them. Two texts at s = 0.8 share 4.4 postings on average and none in
 (at 0.85 in one of some thousand). Pairs that meet are counted by shared positional bytes and differing bits, and
 what is left is decided by the exact similarity of the shingle sets, so nothing below s is ever linked.
 
-Posting lists of unlike texts hold N / 2^24 of them, so their pairs begin to weigh at some ten million texts.
-Lists above ``LONG_LIST`` are linked as stars first; afterwards only members outside a list's largest component
-meet the others.
+No list emits all its pairs. Its members are first linked to one of them, as a star; the stars' links give components,
+and afterwards only members outside a list's largest component meet the others. Texts whose numbers of
+shingles forbid the similarity never meet. Lists of unlike texts hold N / 2^24 of them; from ``MANY`` texts on
+a posting is four bytes and there are as many more of them as the same recall needs.
+
+Postings travel packed, some five bytes each: sorted keys as differences, texts as places in their batch, sizes in
+a byte. A key with more than ``HOT`` members in one batch is linked where it is; only one member goes to the key's part.
 """
 
 from __future__ import annotations
@@ -25,15 +29,25 @@ from xxhash import xxh64_intdigest
 
 from warehaul.llm.common import Batches, per_batch, texts, words
 from warehaul.llm.components import components
+from warehaul.llm.resample import packed_numbers, unpacked_numbers
 from warehaul.session import materialised
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of a fingerprint, a multiple of 64.
 WIDTH = 1024
-PERMUTATIONS = 6
-KEY_BYTES = 3
-LONG_LIST = 64
+#: Number of texts from which postings are four bytes wide, and the permutations for three and for four.
+MANY = 1 << 26
+PERMUTATIONS = {3: 6, 4: 29}
+#: Members of a key in one batch that are linked there.
+HOT = 64
+#: Postings of a part, which one task unpacks at a time, and texts of a batch.
+PART_POSTINGS = 1 << 23
+BATCH = 1 << 14
+#: Steps of the size code in the similarity; codes of two sizes that allow it differ by one more at most.
+SIZE_STEPS = 4
+#: Size code of a member that stands for the others of its batch.
+STANDS_FOR = 255
 #: Standard deviations that a pair at the similarity may lie beyond the mean of the counts.
 SLACK = 3.5
 #: Class of the texts without words.
@@ -85,7 +99,7 @@ def _places(width: int, permutations: int, key_bytes: int) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, size: int, width: int) -> DataFrame:
-    """``class``, ``fp`` and the number of shingles of every text with words, once per class."""
+    """``num``, ``class``, ``fp`` and the number of shingles of every text with words, once per class."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints, counts = [], []
@@ -98,25 +112,132 @@ def _classes(docs: DataFrame, size: int, width: int) -> DataFrame:
         )
 
     plain = docs.select("class", "text").filter(F.col("class") != WORDLESS)
-    return plain.mapInArrow(per_batch(run), "class bigint, fp binary, n bigint").dropDuplicates(["class"])
-
-
-def _postings(classes: DataFrame, places: np.ndarray) -> DataFrame:
-    """``key`` and ``class``, one row per class and set of positions."""
+    once = plain.mapInArrow(per_batch(run), "class bigint, fp binary, n bigint").dropDuplicates(["class"])
+    return materialised(once.withColumn("num", F.monotonically_increasing_id()), "classes")
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))[: len(keys)]
+    return starts, np.diff(np.append(starts, len(keys)))
+
+
+def _postings(classes: DataFrame, places: np.ndarray, similarity: float, parts: int, hot: int) -> DataFrame:
+    """Packed postings: one row per batch of texts and part of the keys, and one per batch and hot key.
+
+    ``steps`` are differences of sorted keys, ``members`` the distances of the texts' numbers from ``base``, ``sizes``
+    their size codes. Parts from ``parts`` on hold one hot key each row, and deal them out evenly.
+    """
+    bits = 8 * places.shape[1] + int(len(places) - 1).bit_length()
+    mask, odd = np.uint64((1 << bits) - 1), np.uint64(0x9E3779B97F4A7C15)
+    numbers = np.arange(len(places), dtype=np.uint64) << np.uint64(8 * places.shape[1])
+
+    def packed(nums: np.ndarray, values: np.ndarray, codes: np.ndarray) -> Batches:
+        keys = np.zeros((len(nums), len(places)), np.uint64)
+        for place in places.T:
+            keys = keys << np.uint64(8) | values[:, place]
+        # one to one on so many bits, so that equal ranges of keys hold like numbers of postings
+        keys = (keys | numbers).ravel() * odd & mask
+        keys = (keys ^ keys >> np.uint64(bits // 2)) * odd & mask
+        order = np.argsort(keys, kind="stable")
+        keys, held = keys[order], order // len(places)
+        sizes = codes[held]
+        rows = []
+        starts, lengths = _runs(keys)
+        many = np.flatnonzero(lengths > hot)
+        if len(many):
+            staying = np.ones(len(keys), bool)
+            for start, n in zip(starts[many].tolist(), lengths[many].tolist(), strict=True):
+                own = held[start : start + n]
+                spread = int(_mixed(keys[start : start + 1] ^ np.uint64(nums[0]))[0] % np.uint64(parts))
+                step = packed_numbers(keys[start : start + 1], np.array([1]), 9)[0]
+                rows.append((parts + spread, step, own.astype("<u2").tobytes(), sizes[start : start + n].tobytes()))
+                staying[start + 1 : start + n] = False
+            sizes[starts[many]] = STANDS_FOR
+            keys, held, sizes = keys[staying], held[staying], sizes[staying]
+        part = (keys * np.uint64(parts) >> np.uint64(bits)).astype(np.int64)
+        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(keys))
+        firsts = np.concatenate(([0], ends[:-1]))
+        steps = np.diff(keys, prepend=np.uint64(0))
+        steps[firsts] = keys[firsts]
+        away = (nums - nums[0])[held].astype("<u2")
+        blobs = packed_numbers(steps, ends, 9)
+        for first, end, step in zip(firsts.tolist(), ends.tolist(), blobs, strict=True):
+            rows.append((int(part[first]), step, away[first:end].tobytes(), sizes[first:end].tobytes()))
+        for low in range(0, len(rows), 256):
+            some = list(zip(*rows[low : low + 256], strict=True))
+            base = pa.array(np.full(len(some[0]), nums[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some[0], pa.int32()), base, *(pa.array(c, pa.binary()) for c in some[1:])],
+                ["part", "base", "steps", "members", "sizes"],
+            )
 
     def run(batches: Batches) -> Batches:
-        numbers = np.arange(len(places), dtype=np.int64) << (8 * places.shape[1])
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                keys = np.zeros((part.num_rows, len(places)), np.int64)
-                for place in places.T:
-                    keys = keys << 8 | values[:, place]
-                ids = np.repeat(part.column(0).to_numpy(), len(places))
-                yield pa.RecordBatch.from_arrays([pa.array((keys | numbers).ravel()), pa.array(ids)], ["key", "class"])
+            nums = batch.column(0).to_numpy()
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(nums), -1)
+            codes = np.log(batch.column(2).to_numpy()) * (SIZE_STEPS / -np.log(similarity))
+            codes = np.minimum(np.rint(codes), STANDS_FOR - 1).astype(np.uint8)
+            order = np.argsort(nums)
+            low = 0
+            while low < len(nums):
+                # distances from the first number take two bytes, also where a batch spans two files
+                high = min(low + BATCH, int(np.searchsorted(nums[order], nums[order[low]] + (1 << 16))))
+                some = order[low:high]
+                yield from packed(nums[some], values[some], codes[some])
+                low = high
+
+    schema = "part int, base bigint, steps binary, members binary, sizes binary"
+    return classes.select("num", "fp", "n").mapInArrow(run, schema)
+
+
+def _met(postings: DataFrame, parts: int) -> DataFrame:
+    """Stars of all lists, as ``u`` and ``v`` with a null ``key``; and the members of lists that hold more than one
+    pair, as ``key``, ``u`` and their size code ``v``."""
+
+    def stars(keys: np.ndarray, nums: np.ndarray, sizes: np.ndarray, all_long: bool) -> Batches:
+        order = np.argsort(keys, kind="stable")
+        keys, nums, sizes = keys[order], nums[order], sizes[order].astype(np.int64)
+        starts, lengths = _runs(keys)
+        heads = np.repeat(starts, lengths)
+        stands = sizes == STANDS_FOR
+        may = stands | stands[heads] | (np.abs(sizes - sizes[heads]) <= SIZE_STEPS + 1)
+        may &= nums != nums[heads]
+        a, b = nums[heads[may]], nums[may]
+        u, v = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        once = np.ones(len(u), bool)
+        once[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        long = np.full(len(starts), all_long) | (lengths > 2) | np.logical_or.reduceat(stands, starts)
+        own = np.repeat(long & (lengths > 1 - all_long), lengths) & ~stands
+        for columns in ((None, u[once], v[once]), (keys[own].astype(np.int64), nums[own], sizes[own])):
+            for low in range(0, len(columns[1]), 100_000):
+                cut = slice(low, low + 100_000)
+                rows = len(columns[1][cut])
+                key = pa.nulls(rows, pa.int64()) if columns[0] is None else pa.array(columns[0][cut])
+                yield pa.RecordBatch.from_arrays([key, pa.array(columns[1][cut]), pa.array(columns[2][cut])], ["key", "u", "v"])
 
-    return classes.select("class", "fp").mapInArrow(run, "key bigint, class bigint")
+    def run(batches: Batches) -> Batches:
+        now, waiting = None, []
+        for batch in batches:
+            for i, (part, base) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                steps, members, sizes = (batch.column(c)[i].as_py() for c in (2, 3, 4))
+                keys, nums = np.cumsum(unpacked_numbers(steps)), np.frombuffer(members, "<u2").astype(np.int64) + base
+                row = (keys if part < parts else np.repeat(keys, len(nums)), nums, np.frombuffer(sizes, np.uint8))
+                if part >= parts:
+                    yield from stars(*row, True)
+                    continue
+                if part != now and waiting:
+                    yield from stars(*map(np.concatenate, zip(*waiting, strict=True)), False)
+                    waiting = []
+                now = part
+                waiting.append(row)
+        if waiting:
+            yield from stars(*map(np.concatenate, zip(*waiting, strict=True)), False)
+
+    dealt = postings.repartition("part").sortWithinPartitions("part", "base")
+    return dealt.mapInArrow(run, "key bigint, u bigint, v bigint")
 
 
 def _counted(pairs: DataFrame, classes: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -136,27 +257,27 @@ def _counted(pairs: DataFrame, classes: DataFrame, similarity: float, width: int
         out = [batch.column(0), batch.column(1), pa.array(bits)]
         return pa.RecordBatch.from_arrays(out, ["u", "v", "bits"]).filter(passed)
 
-    left = classes.select(F.col("class").alias("u"), F.col("fp").alias("a"), F.col("n").alias("m"))
-    right = classes.select(F.col("class").alias("v"), F.col("fp").alias("b"), "n")
+    left = classes.select(F.col("num").alias("u"), F.col("fp").alias("a"), F.col("n").alias("m"))
+    right = classes.select(F.col("num").alias("v"), F.col("fp").alias("b"), "n")
     near = F.least("m", "n") >= F.greatest("m", "n") * F.lit(similarity - 1e-9)
     met = pairs.distinct().join(left, "u").join(right, "v").filter(near).select("u", "v", "a", "b")
     return met.mapInArrow(per_batch(run), "u bigint, v bigint, bits bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
     """Pairs whose shingle sets have at least the similarity."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, size).view(np.int64) for t in texts(batch, 1)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["class", "shingles"]
+            [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["num", "shingles"]
         )
 
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-    once = docs.select("class", "text").join(ids, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
-    sets = materialised(once.mapInArrow(per_batch(run), "class bigint, shingles array<bigint>"), "shingles")
-    left = sets.select(F.col("class").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("class").alias("v"), F.col("shingles").alias("b"))
+    ids = classes.select("num", "class").join(pairs.select(F.explode(F.array("u", "v")).alias("num")).distinct(), "num")
+    once = docs.select("class", "text").join(ids, "class").groupBy("num").agg(F.first("text").alias("text"))
+    sets = materialised(once.mapInArrow(per_batch(run), "num bigint, shingles array<bigint>"), "shingles")
+    left = sets.select(F.col("num").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("num").alias("v"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b")).cast("bigint")
     # in whole numbers of a millionth, so that a share of exactly the similarity is in
     enough = shared * 1_000_000 >= (F.size("a") + F.size("b") - shared) * round(similarity * 1_000_000)
@@ -169,43 +290,55 @@ def _rooted(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFram
     return out.withColumn(name, F.coalesce(f"{name}_known", column)).drop(f"{name}_node", f"{name}_known")
 
 
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of one list that no component joins: members outside the list's largest component with all others."""
+    # by text first, so that a root is looked up once for a text and not for each of its postings
+    per = members.groupBy("u").agg(F.collect_list("key").alias("keys"), F.first("v").alias("size"))
+    rooted = _rooted(per, roots, "u", "root").select(F.explode("keys").alias("key"), "u", "size", "root")
+    named = materialised(rooted, "lists")
+    largest = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")
+    ).filter("parts > 1")
+    outside = named.join(largest, "key").filter("root <> main").selectExpr("key", "u AS a", "root AS r", "size AS s")
+    inside = named.join(largest.select("key"), "key").selectExpr("key", "u AS b", "root", "size")
+    met = outside.join(inside, "key").filter((F.col("r") != F.col("root")) & (F.abs(F.col("s") - F.col("size")) <= SIZE_STEPS + 1))
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
 def linked(
     docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, width: int = WIDTH,
-    permutations: int = PERMUTATIONS, key_bytes: int = KEY_BYTES, long_list: int = LONG_LIST,
+    key_bytes: int | None = None, hot: int = HOT,
 ) -> DataFrame:
     """``node`` and ``root`` of the classes in ``docs`` (``class``, ``text``) that reach each other through
-    links of at least the similarity; classes without a link are left out."""
-    classes = materialised(_classes(docs, size, width), "classes")
-    postings = _postings(classes, _places(width, permutations, key_bytes))
-    counted = postings.selectExpr("key", "class", "count(*) OVER (PARTITION BY key) AS n", "min(class) OVER (PARTITION BY key) AS least")
-    members = materialised(counted.filter("n > 1"), "postings")
-    short, long = members.filter(F.col("n") <= long_list), members.filter(F.col("n") > long_list)
-    met = short.select("key", F.col("class").alias("u")).join(short.select("key", F.col("class").alias("v")), "key")
-    stars = long.filter("class <> least").select(F.col("least").alias("u"), F.col("class").alias("v"))
-    pairs = met.filter("u < v").select("u", "v").unionByName(stars)
+    links of at least the similarity; classes without a link are left out, and so are null and wordless texts, which are
+    ``WORDLESS``. Repeated rows count once. An empty table gives no rows."""
+    spark = docs.sparkSession
+    classes = _classes(docs, size, width)
+    n = classes.count()
+    key_bytes = key_bytes or (3 if n < MANY else 4)
+    places = _places(width, PERMUTATIONS[key_bytes], key_bytes)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(places) // PART_POSTINGS))
+    found = materialised(_met(_postings(classes, places, similarity, parts, hot), parts), "postings")
+    pairs, members = found.filter("key IS NULL").select("u", "v"), found.filter("key IS NOT NULL")
     likely = materialised(_counted(pairs, classes, similarity, width), "pairs")
     # the likeliest link of every text first; then only pairs that are still apart need the exact check
     best = [
         likely.groupBy(a).agg(F.min_by(b, F.struct("bits", b)).alias(b)).select("u", "v") for a, b in (("u", "v"), ("v", "u"))
     ]
     first = materialised(reduce(DataFrame.unionByName, best).distinct(), "pairs")
-    links = materialised(_verified(first, docs, size, similarity), "links")
+    links = materialised(_verified(first, docs, classes, size, similarity), "links")
     roots = components(links)
     rest = likely.select("u", "v").join(first, ["u", "v"], "left_anti")
-    if not long.isEmpty():
-        named = materialised(_rooted(long.select("key", "class"), roots, "class", "root"), "lists")
-        largest = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-            F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")
-        ).filter("parts > 1")
-        outside = named.join(largest, "key").filter("root <> main").select("key", F.col("class").alias("a"), F.col("root").alias("r"))
-        inside = named.join(largest.select("key"), "key").select("key", F.col("class").alias("b"), "root")
-        apart = outside.join(inside, "key").filter("r <> root").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        known = likely.select("u", "v")
-        far = apart.distinct().join(known, ["u", "v"], "left_anti")
-        rest = rest.unionByName(_counted(far, classes, similarity, width).select("u", "v"))
     rest = _rooted(_rooted(rest, roots, "u", "ru"), roots, "v", "rv").filter("ru <> rv").select("u", "v")
-    rest = materialised(rest, "pairs")
-    if rest.isEmpty():
-        return roots
-    more = materialised(_verified(rest, docs, size, similarity), "links")
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    more = materialised(_verified(materialised(rest, "pairs"), docs, classes, size, similarity), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+    # the components are known now as far as stars tell; what they leave apart in a list meets
+    far = _counted(_apart(members, roots), classes, similarity, width).select("u", "v")
+    last = materialised(_verified(materialised(far, "pairs"), docs, classes, size, similarity), "links")
+    if not last.isEmpty():
+        roots = components(links.unionByName(last))
+    ends = classes.select(F.col("num").alias("node"), F.col("class").alias("node_class"))
+    tops = classes.select(F.col("num").alias("root"), F.col("class").alias("root_class"))
+    return roots.join(ends, "node").join(tops, "root").selectExpr("node_class AS node", "root_class AS root")
