@@ -329,16 +329,14 @@ def linked(
     links = materialised(_verified(first, docs, classes, size, similarity), "links")
     roots = components(links)
     rest = likely.select("u", "v").join(first, ["u", "v"], "left_anti")
-    rest = _rooted(_rooted(rest, roots, "u", "ru"), roots, "v", "rv").filter("ru <> rv").select("u", "v")
-    more = materialised(_verified(materialised(rest, "pairs"), docs, classes, size, similarity), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
-    # the components are known now as far as stars tell; what they leave apart in a list meets
+    # members of a list that the stars leave in different components meet
     far = _counted(_apart(members, roots), classes, similarity, width).select("u", "v")
-    last = materialised(_verified(materialised(far, "pairs"), docs, classes, size, similarity), "links")
-    if not last.isEmpty():
-        roots = components(links.unionByName(last))
+    rest = rest.unionByName(far).distinct()
+    rest = materialised(_rooted(_rooted(rest, roots, "u", "ru"), roots, "v", "rv").filter("ru <> rv").select("u", "v"), "pairs")
+    if not rest.isEmpty():
+        more = materialised(_verified(rest, docs, classes, size, similarity), "links")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
     ends = classes.select(F.col("num").alias("node"), F.col("class").alias("node_class"))
     tops = classes.select(F.col("num").alias("root"), F.col("class").alias("root_class"))
     return roots.join(ends, "node").join(tops, "root").selectExpr("node_class AS node", "root_class AS root")
