@@ -328,3 +328,34 @@ def test_no_rules_and_null_ids(spark):
     right = spark.createDataFrame([("x", 10), ("y", 20)], "name string, v int")
     found = joins.match_cascade(left, right, "id", [(F.col("name"), F.col("name"))], ["v"], ["v"])
     assert rows(found, "id", "match_step", "v") == [(2, 1, 20), (None, 1, 10)]
+
+
+def test_xml_is_parsed_once_and_only_as_asked_for(spark):
+    def parses(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("from_xml("), plan.count("Union")
+
+    body = action("a", body="<hive><script>s</script></hive>") + '<decision name="d"/>'
+    files = spark.createDataFrame([("f", f"<workflow-app name='w'>{body}</workflow-app>"), ("g", None)], "stem string, text string")
+    nodes, edges = workflows.workflow_tables(files)
+    assert parses(edges) == (1, 0) and parses(nodes.select("kind")) == (1, 0)
+    assert parses(nodes) == (3, 0)
+    assert rows(nodes, "file", "node", "kind", "script") == [("f", "a", "action", "s"), ("f", "d", "decision", None)]
+    assert parses(workflows.coordinator_table(files)) == (1, 0)
+
+
+def test_one_file_is_spread_whatever_its_splits(spark, tmp_path):
+    from warehaul.session import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        one, many = (spark.read.parquet(str(tmp_path / name)) for name in ("one", "many"))
+        assert one.rdd.getNumPartitions() >= cores
+        tasks = spread(one, "id").groupBy(F.spark_partition_id()).count().count()
+        assert tasks >= cores and rows(spread(one, "id")) == [(i,) for i in range(1000)]
+        assert spread(many, "id") is many
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -74,9 +74,12 @@ def _settings() -> Column:
         return F.trim(F.when(parts(v).isNotNull(), F.try_variant_get(v, "$._VALUE", "string")).otherwise(F.try_variant_get(v, "$", "string")))
 
     def value(name: Column, v: Column) -> Column:
+        # most elements are plain texts; only lists and elements within elements are looked into
+        shape = F.schema_of_variant(v)
         many = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), own), lambda t: F.coalesce(t, F.lit("")) != "")
-        once = F.when(F.size(parts(v)) > 0, own(v)).otherwise(F.trim(F.col("texts")[name]))
-        return F.when(many.isNotNull(), scalar.joined(many)).otherwise(once)
+        plain = F.trim(F.col("texts")[name])
+        deep = F.when(F.size(parts(v)) > 0, own(v)).otherwise(plain)
+        return F.when(shape.startswith("ARRAY"), scalar.joined(many)).when(shape.startswith("OBJECT"), deep).otherwise(plain)
 
     lists = [(f"{t}s", scalar.joined(F.transform(F.col(f"body.{t}"), lambda x: F.trim(x)))) for t in ("file", "archive")]
     told = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in lists])
@@ -111,36 +114,6 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
     )
 
     no_list = F.array().cast("array<string>")
-    # the outer forms of explode and inline keep Spark from parsing the XML again in a derived filter
-    each = F.arrays_zip(F.col("doc.action").alias("n"), "texts", "shaped")
-    of_kind = lambda column: F.coalesce(*[F.col(f"{column}.`{k}`") for k in ACTION_KINDS])
-    actions = docs.select("file", "workflow", "global_config", F.inline_outer(each)).select(
-        "file",
-        "workflow",
-        "global_config",
-        of_kind("texts").alias("texts"),
-        of_kind("shaped").alias("shaped"),
-        F.col("n._name").alias("node"),
-        F.coalesce(*[F.when(F.col(f"n.`{k}`").isNotNull(), F.lit(k)) for k in ACTION_KINDS]).alias("action_type"),
-        of_kind("n").alias("body"),
-        _whole(F.col("n.`_retry-max`"), F.col("n.`retry-max`")).alias("retry_max"),
-        (_whole(F.col("n.`_retry-interval`"), F.col("n.`retry-interval`")) * 60_000).alias("retry_interval_ms"),
-    )
-    action_nodes = actions.filter(F.col("action_type").isNotNull()).select(
-        "file",
-        "workflow",
-        "node",
-        F.lit("action").alias("kind"),
-        "action_type",
-        "retry_max",
-        "retry_interval_ms",
-        "global_config",
-        _properties(F.col("body.configuration")).alias("properties"),
-        F.coalesce(F.col("body.param"), no_list).alias("params"),
-        F.col("body.script").alias("script"),
-        scalar.joined(F.coalesce(F.col("body.arg"), F.col("body.argument"))).alias("arguments"),
-        _settings().alias("settings"),
-    )
 
     def named(kind: str) -> Column:
         return F.coalesce(
@@ -151,14 +124,49 @@ def workflow_tables(df: DataFrame, xml: str = "text", stem: str = "stem") -> tup
         )
 
     others = F.concat(*[named(k) for k in ("decision", "fork", "join", "kill")])
-    own = F.try_element_at(F.filter("_kills", lambda k: k["_name"] == F.col("node")), F.lit(-1))
-    plain = (
-        docs.select("file", "workflow", F.col("doc.kill").alias("_kills"), F.inline_outer(others))
-        .filter("node IS NOT NULL")
-        .withColumn("message", F.when(F.col("kind") == "kill", F.coalesce(F.trim(own["message"]), F.lit(""))))
-        .drop("_kills")
+    # all nodes of a file in one list, so that one pass over the XML gives them; the bodies of an action are taken by its place,
+    # so that the views are parsed only if their columns are asked for
+    listed = F.concat(
+        F.transform(
+            F.coalesce("doc.action", F.array()),
+            lambda a, i: F.struct(i.alias("at"), a["_name"].alias("node"), F.lit("action").alias("kind")),
+        ),
+        F.transform(others, lambda o: F.struct(F.lit(-1).alias("at"), o["node"].alias("node"), o["kind"].alias("kind"))),
+    )
+    of_kind = lambda column: F.coalesce(*[F.col(f"{column}.`{k}`") for k in ACTION_KINDS])
+    own = F.try_element_at(F.filter("kills", lambda k: k["_name"] == F.col("node")), F.lit(-1))
+    each = docs.select(
+        "file", "workflow", "global_config", "texts", "shaped", F.col("doc.action").alias("actions"), F.col("doc.kill").alias("kills"),
+        F.inline_outer(listed),
+    ).withColumns({"n": F.get("actions", "at"), "texts": F.get("texts", "at"), "shaped": F.get("shaped", "at")})
+    found = each.select(
+        "file",
+        "workflow",
+        "node",
+        "kind",
+        F.coalesce(*[F.when(F.col(f"n.`{k}`").isNotNull(), F.lit(k)) for k in ACTION_KINDS]).alias("action_type"),
+        "n",
+        of_kind("n").alias("body"),
+        "global_config",
+        of_kind("texts").alias("texts"),
+        of_kind("shaped").alias("shaped"),
+        F.when(F.col("kind") == "kill", F.coalesce(F.trim(own["message"]), F.lit(""))).alias("message"),
+    ).filter(F.when(F.col("kind") == "action", F.col("action_type").isNotNull()).otherwise(F.col("node").isNotNull()))
+    of_action = {
+        "retry_max": _whole(F.col("n.`_retry-max`"), F.col("n.`retry-max`")),
+        "retry_interval_ms": _whole(F.col("n.`_retry-interval`"), F.col("n.`retry-interval`")) * 60_000,
+        "global_config": F.col("global_config"),
+        "properties": _properties(F.col("body.configuration")),
+        "params": F.coalesce(F.col("body.param"), no_list),
+        "script": F.col("body.script"),
+        "arguments": scalar.joined(F.coalesce(F.col("body.arg"), F.col("body.argument"))),
+        "settings": _settings(),
+    }
+    nodes = found.select(
+        "file", "workflow", "node", "kind", "action_type",
+        *[F.when(F.col("kind") == "action", value).alias(name) for name, value in of_action.items()],
+        "message",
     )
-    nodes = action_nodes.unionByName(plain, allowMissingColumns=True)
 
     def steps(path: str, kind: str, ok) -> Column:
         """Edges of one kind of element; ``ok`` gives the array of its (dst, kind)."""

@@ -94,13 +94,14 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADC
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A scan with fewer partitions than cores, hashed over all cores by ``keys``.
+    """A scan of fewer files or partitions than cores, hashed over all cores by ``keys``.
 
-    For work that is heavy per row, as on texts. Inputs of many files or row groups stay as they are.
+    For work that is heavy per row, as on texts. Splits of a file count for nothing here, as a file may hold one row group,
+    which one task reads. Inputs of many files stay as they are.
     Only the planned number of partitions is asked for; nothing runs.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    cores, parts, files = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions(), len(df.inputFiles())
+    return df.repartition(max(3 * cores, parts), *keys) if min(parts, files or parts) < cores else df
 
 
 def balanced(df: DataFrame, *columns: str) -> DataFrame:

@@ -37,7 +37,9 @@ def parse_xml(df: DataFrame, xml: str, schema: str, name: str = "doc") -> DataFr
     ``<name>_bad`` is true for unreadable XML, whose fields are NULL.
     """
     parsed = F.from_xml(xml, f"{schema}, {BAD} string", {"ignoreNamespace": "true"})
-    return df.withColumn(name, parsed).withColumn(
+    # a generator keeps Spark from parsing a text again for every filter and column that reads the result
+    once = F.inline_outer(F.array(F.struct(parsed.alias(name))))
+    return df.select("*", once).withColumn(
         f"{name}_bad", F.col(f"{name}.{BAD}").isNotNull() | F.col(xml).isNull()
     )
 
