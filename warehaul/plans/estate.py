@@ -642,7 +642,7 @@ ODD_XML = """CASE k % 6
 
 
 def odd_files(spark, sf):
-    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    keys = spread(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), "k")
     return keys.select(F.concat(F.lit("flow_"), "k").alias("stem"), F.expr(ODD_XML).alias("text"))
 
 
@@ -681,7 +681,7 @@ KINDS_XML = """'<w:workflow-app xmlns:w="uri:oozie:workflow:0.5" name="kinds"><w
 )
 def workflow_action_settings(spark, sf):
     """Every child element of every kind of action, also unknown, repeated and nested ones."""
-    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    keys = spread(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), "k")
     files = keys.select(F.concat(F.lit("kinds_"), "k").alias("stem"), F.expr(KINDS_XML).alias("text"))
     nodes, _ = workflows.workflow_tables(files)
     one = F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
