@@ -119,3 +119,16 @@ def test_latest_and_qualify(spark):
     assert rows(win.latest_per_key(df, ["k"], ["-t"])) == [("a", 2, 20), ("b", 1, 5)]
     best = F.max("v").over(Window.partitionBy("k"))
     assert rows(win.qualify(df, best, lambda m: F.col("v") == m)) == [("a", 2, 20), ("b", 1, 5)]
+
+
+def test_pieces_and_parts_follow_the_rows_and_not_the_threshold(spark, skewed, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    assert win.piece_count(skewed, 36_000_000, 1500) <= 36_000_000 // win.PIECE_ROWS + 3 * cores
+    assert win.piece_count(skewed, 12_000_000, win.HOT_ROWS) == 6
+    monkeypatch.setattr(win, "PIECE_ROWS", 10)
+    cold, hot, _ = win._split(skewed, ["key"], 10**6)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    assert hot is None and cold.rdd.getNumPartitions() == 600 // 10 + 1 > int(parts)
+    plain = skewed.withColumn("total", F.sum("value").over(Window.partitionBy("key")))
+    got = win.with_partition_sum(skewed, ["key"], "value")
+    assert rows(got, "id", F.coalesce("total", F.lit(-1))) == rows(plain, "id", F.coalesce("total", F.lit(-1)))

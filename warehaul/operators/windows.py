@@ -13,9 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warehaul.session import checkpointed, fits, materialised
+from warehaul.session import fits, materialised
 
 HOT_ROWS = 5_000_000
+#: Rows that a task of a window should hold, so that its memory does not grow with the table.
+PIECE_ROWS = 500_000
 
 
 def sort_columns(order: Sequence[str]) -> list[Column]:
@@ -37,15 +39,30 @@ def _null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def _split(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """(rows of ordinary keys, rows of hot keys or None, number of pieces for the hot rows)."""
-    hot = hot_keys(df, keys, max_rows)
-    total = hot.agg(F.sum("_rows")).first()[0]
-    if not total:
-        return df, None, 0
-    hot = hot.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    hot = F.broadcast(hot) if fits(hot) else hot
-    match = _null_safe(df, hot, keys)
-    return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi"), 2 * (total // max_rows) + 2
+    """(rows of ordinary keys, rows of hot keys or None, number of pieces for the hot rows).
+
+    The ordinary rows are dealt out by key in more parts than the session's if these would be too large for a task.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    is_hot = F.col("_rows") > max_rows
+    every, total = counts.agg(F.sum("_rows"), F.sum(F.when(is_hot, F.col("_rows")))).first()
+    cold, hot, pieces = df, None, 0
+    if total:
+        named = counts.filter(is_hot).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        named = F.broadcast(named) if fits(named) else named
+        match = _null_safe(df, named, keys)
+        cold, hot = df.join(named, match, "left_anti"), df.join(named, match, "left_semi")
+        pieces = piece_count(df, total, max_rows)
+    parts = ((every or 0) - (total or 0)) // PIECE_ROWS + 1
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        cold = cold.repartition(parts, *keys)
+    return cold, hot, pieces
+
+
+def piece_count(df: DataFrame, rows: int, max_rows: int) -> int:
+    """Pieces for the rows of hot keys: at most two for each ``max_rows``, and no more than keep all cores busy with
+    tasks of ``PIECE_ROWS``, as every piece is a task, a file and a block of every task of the shuffle before it."""
+    return min(2 * (rows // max_rows) + 2, rows // PIECE_ROWS + 3 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def ranged_pieces(df: DataFrame, columns: Sequence[Column], pieces: int) -> DataFrame:
@@ -54,6 +71,12 @@ def ranged_pieces(df: DataFrame, columns: Sequence[Column], pieces: int) -> Data
     return materialised(cut, "pieces")
 
 
+def _by_piece(cut: DataFrame, keys: Sequence[str], pieces: int) -> DataFrame:
+    """Pieces dealt out in as many parts as there are pieces if the session has fewer, so that a task holds one or a few."""
+    more = pieces > int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartition(pieces, *keys, "_piece") if more else cut
+
+
 def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -76,10 +99,12 @@ def with_row_number(
     window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
     cold, hot, pieces = _split(df, keys, max_rows)
     result = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
-    if hot is None:
-        return result
+    return result if hot is None else result.unionByName(_hot_row_number(hot, keys, order, name, pieces))
+
+
+def _hot_row_number(hot: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, pieces: int) -> DataFrame:
     cut = ranged_pieces(hot, [*[F.col(k) for k in keys], *sort_columns(order), F.xxhash64(*_all(hot))], pieces)
-    local = cut.withColumn(
+    local = _by_piece(cut, keys, pieces).withColumn(
         name, F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*sort_columns(order)))
     )
     totals = (
@@ -87,8 +112,7 @@ def with_row_number(
         .agg(F.count("*").alias("_n"))
         .withColumn("_n", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)))
     )
-    done = _attach(local, totals, keys).withColumn(name, F.col(name) + F.col("_n")).drop("_n", "_piece")
-    return result.unionByName(done)
+    return _attach(local, totals, keys).withColumn(name, F.col(name) + F.col("_n")).drop("_n", "_piece")
 
 
 def _all(df: DataFrame) -> list[Column]:
@@ -101,13 +125,15 @@ def _with_ranks(df, keys, order, names: Mapping[str, str], max_rows: int) -> Dat
     calls = {"rank": F.rank, "dense_rank": F.dense_rank}
     cold, hot, pieces = _split(df, keys, max_rows)
     result = cold.withColumns({n: calls[k]().over(window).cast("bigint") for k, n in names.items()})
-    if hot is None:
-        return result
+    return result if hot is None else result.unionByName(_hot_ranks(hot, keys, order, names, pieces))
+
+
+def _hot_ranks(hot: DataFrame, keys: Sequence[str], order: Sequence[str], names: Mapping[str, str], pieces: int) -> DataFrame:
     columns = plain_names(order)
     values = hot.groupBy(*keys, *columns).agg(F.count("*").alias("_c"))
     cut = ranged_pieces(values, [*[F.col(k) for k in keys], *sort_columns(order)], pieces)
     inside = Window.partitionBy(*keys, "_piece").orderBy(*sort_columns(order))
-    local = cut.withColumns(
+    local = _by_piece(cut, keys, pieces).withColumns(
         {
             "_below": F.coalesce(
                 F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -131,7 +157,7 @@ def _with_ranks(df, keys, order, names: Mapping[str, str], max_rows: int) -> Dat
         *[exprs[k].alias(n) for k, n in names.items()],
     )
     match = _null_safe(hot, ranks, list(dict.fromkeys([*keys, *columns])))
-    return result.unionByName(hot.join(ranks, match).select(hot["*"], *names.values()))
+    return hot.join(ranks, match).select(hot["*"], *names.values())
 
 
 def with_rank(df, keys, order, name: str = "rnk", max_rows: int = HOT_ROWS) -> DataFrame:
@@ -150,11 +176,13 @@ def with_partition_sum(
     """Sum of the whole group on every row; hot groups are summed first and joined back."""
     cold, hot, _ = _split(df, keys, max_rows)
     result = cold.withColumn(name, F.sum(col).over(Window.partitionBy(*keys)))
-    if hot is None:
-        return result
+    return result if hot is None else result.unionByName(_hot_sum(hot, keys, col, name))
+
+
+def _hot_sum(hot: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
     totals = hot.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(col).alias(name))
     totals = F.broadcast(totals) if fits(totals) else totals
-    return result.unionByName(hot.join(totals, _null_safe(hot, totals, keys)).select(hot["*"], name))
+    return hot.join(totals, _null_safe(hot, totals, keys)).select(hot["*"], name)
 
 
 def with_neighbours(
@@ -163,18 +191,24 @@ def with_neighbours(
 ) -> DataFrame:
     """LAG(x, 1) and LEAD(x, 1): ``columns`` maps a new name to ("lag" | "lead", column)."""
     window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
-    calls = {"lag": F.lag, "lead": F.lead}
     cold, hot, pieces = _split(df, keys, max_rows)
-    result = cold.withColumns({n: calls[kind](c, 1).over(window) for n, (kind, c) in columns.items()})
-    if hot is None:
-        return result
+    result = cold.withColumns({n: _BESIDE[kind](c, 1).over(window) for n, (kind, c) in columns.items()})
+    return result if hot is None else result.unionByName(_hot_neighbours(hot, keys, order, columns, pieces))
+
+
+_BESIDE = {"lag": F.lag, "lead": F.lead}
+
+
+def _hot_neighbours(
+    hot: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, tuple[str, str]], pieces: int
+) -> DataFrame:
     cut = ranged_pieces(hot, [*[F.col(k) for k in keys], *sort_columns(order), F.xxhash64(*_all(hot))], pieces)
     inside = Window.partitionBy(*keys, "_piece").orderBy(*sort_columns(order))
-    local = cut.withColumns(
+    local = _by_piece(cut, keys, pieces).withColumns(
         {
             "_rn": F.row_number().over(inside),
             "_size": F.count("*").over(Window.partitionBy(*keys, "_piece")),
-            **{n: calls[kind](c, 1).over(inside) for n, (kind, c) in columns.items()},
+            **{n: _BESIDE[kind](c, 1).over(inside) for n, (kind, c) in columns.items()},
         }
     )
     sources = list(dict.fromkeys(c for _, c in columns.values()))
@@ -197,7 +231,7 @@ def with_neighbours(
             for n, (kind, c) in columns.items()
         }
     )
-    return result.unionByName(done.select(*result.columns))
+    return done.select(*hot.columns, *columns)
 
 
 def with_lag(df, keys, order, col, name="prev", max_rows: int = HOT_ROWS) -> DataFrame:
@@ -315,7 +349,7 @@ def window_tour(
     Ordinary keys get all six from one shuffle; the rows of hot keys take the piecewise way.
     """
     value_order, time_order = [*by_value, *ties], [*by_time, *ties]
-    cold, hot, _ = _split(df, keys, max_rows)
+    cold, hot, pieces = _split(df, keys, max_rows)
     by_rank = Window.partitionBy(*keys).orderBy(*sort_columns(value_order))
     by_tied = Window.partitionBy(*keys).orderBy(*sort_columns(by_value))
     by_date = Window.partitionBy(*keys).orderBy(*sort_columns(time_order))
@@ -331,12 +365,10 @@ def window_tour(
     )
     if hot is None:
         return result
-    # each step reads its input several times, so the steps are cut apart
-    step = checkpointed(hot)
-    step = checkpointed(with_row_number(step, keys, value_order, "rn", max_rows))
-    step = checkpointed(_with_ranks(step, keys, by_value, {"rank": "rnk", "dense_rank": "dense_rnk"}, max_rows))
-    step = checkpointed(with_partition_sum(step, keys, value, "total_spent", max_rows))
-    step = with_neighbours(
-        step, keys, time_order, {"prev_amt": ("lag", value), "next_amt": ("lead", value)}, max_rows
-    )
+    # each step reads its input several times, so the steps are cut apart; all keys are known to be hot
+    step = materialised(hot, "hot")
+    step = materialised(_hot_row_number(step, keys, value_order, "rn", pieces), "hot")
+    step = _hot_sum(step, keys, value, "total_spent")
+    step = materialised(_hot_ranks(step, keys, by_value, {"rank": "rnk", "dense_rank": "dense_rnk"}, pieces), "hot")
+    step = _hot_neighbours(step, keys, time_order, {"prev_amt": ("lag", value), "next_amt": ("lead", value)}, pieces)
     return result.unionByName(step)
