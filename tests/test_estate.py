@@ -359,3 +359,18 @@ def test_one_file_is_spread_whatever_its_splits(spark, tmp_path):
         assert spread(many, "id") is many
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_schedules_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    data = [(f"f{i}", COORDINATOR.format(f"s{i}", f"/apps/wf-{i}")) for i in range(20)]
+    schedules = workflows.coordinator_table(spark.createDataFrame(data, "stem string, text string")).withColumn("app_path", counted("app_path"))
+    names = spark.createDataFrame([(f"wf-{i}", "x.xml", i) for i in range(10)], "name string, path string, pos int")
+    links = workflows.link_schedules(schedules, names)
+    assert links.filter("workflow IS NOT NULL").count() == 10 and seen.value == 20

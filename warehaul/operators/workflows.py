@@ -12,7 +12,7 @@ from warehaul.functions import fixed_values as fv
 from warehaul.functions import scalar
 from warehaul.functions.fixed_values import ACTION_KINDS
 from warehaul.operators.joins import link_or_placeholder, match_cascade
-from warehaul.session import checkpointed, small
+from warehaul.session import checkpointed, materialised, small
 from warehaul.sources.corpora import parse_xml
 
 _PROPERTIES = "struct<property:array<struct<name:string,value:string>>>"
@@ -326,6 +326,8 @@ def link_schedules(schedules: DataFrame, workflows: DataFrame, ids: DataFrame |
     (name, job_id) the named placeholder of a matched workflow is replaced by its real id, of a repeated name
     the smallest. ``schedules`` are told apart by ``file`` if they have it, else by ``schedule``; a repeat is an error.
     """
+    # the cascade reads the schedules three times, which may come from parsed texts
+    schedules = materialised(schedules, "schedules")
     app, wf_name, stem = F.nullif(scalar.app_name(F.col("app_path")), F.lit("")), F.col("name"), scalar.file_stem(F.col("path"))
     matched = match_cascade(
         schedules,

@@ -708,7 +708,8 @@ def schedule_links_by_file(spark, sf):
         F.lit(" frequency='60'><c:action><c:workflow><c:app-path>/apps/wf-"), "o_custkey",
         F.lit("</c:app-path></c:workflow></c:action></c:coordinator-app>"),
     )
-    files = table(spark, sf, "orders").select(F.concat(F.lit("c_"), "o_orderkey").alias("stem"), xml.alias("text"))
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    files = orders.select(F.concat(F.lit("c_"), "o_orderkey").alias("stem"), xml.alias("text"))
     return workflows.link_schedules(workflows.coordinator_table(files), workflow_names(spark, sf)).select("file", "schedule", "workflow")
 
 
