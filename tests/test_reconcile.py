@@ -163,3 +163,15 @@ def test_near_rows_are_counted_with_their_copies(spark):
     other = spark.createDataFrame([(below, 7.0), (below, 7.0), (above, 5.0), *odd], a.schema)
     assert rows(rec.diff_rows(other, b), "side", "copies", "y") == [("left", 1, 7.0), ("right", 1, 5.0)]
     assert rows(rec.diff_rows(a.limit(0), b.limit(0))) == [] and rec.diff_rows(a.limit(0), b).count() > 4
+
+
+def test_verdict_and_rows_come_from_one_comparison(spark, monkeypatch):
+    left = spark.createDataFrame([(i, i * 0.1) for i in range(50)], "k int, v double")
+    right = left.withColumn("v", F.when(F.col("k") == 7, 9.5).otherwise(F.col("v")))
+    compared = []
+    plain = rec.diff_rows
+    monkeypatch.setattr(rec, "diff_rows", lambda *sides: compared.append(sides) or plain(*sides))
+    verdict, diff = rec.reconcile_rows(left, right)
+    assert len(compared) == 1
+    assert verdict.collect() == rec.reconcile(left, right).collect() and not verdict.first()["passed"]
+    assert sorted(tuple(r) for r in diff.collect()) == [("left", 1, 7, 0.7), ("right", 1, 7, 9.5)]

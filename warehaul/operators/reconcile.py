@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from warehaul.session import materialised
+
 SAMPLE_ROWS = 5
 #: Significant digits in which doubles are compared. Sums that were added in another order agree in about 13;
 #: amounts with cents stay apart up to 10^10.
@@ -147,7 +149,11 @@ def diff_rows(left: DataFrame, right: DataFrame, limit: int | None = None) -> Da
     diff = diff.select(
         F.when(F.col("_balance") > 0, "left").otherwise("right").alias("side"), F.abs("_balance").alias("copies"), *columns
     )
-    return diff if limit is None else diff.orderBy("side", *[f"`{c}`" for c in a.columns]).limit(limit)
+    return diff if limit is None else _first(diff, limit)
+
+
+def _first(diff: DataFrame, limit: int) -> DataFrame:
+    return diff.orderBy("side", *[f"`{c}`" for c in diff.columns if c not in ("side", "copies")]).limit(limit)
 
 
 def diff_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -238,7 +244,17 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
     return _verdict(left, right, _digest(left), _digest(right))
 
 
-def _verdict(left: DataFrame, right: DataFrame, a: Row, b: Row) -> DataFrame:
+def reconcile_rows(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The verdict of ``reconcile`` and all rows of ``diff_rows``, which are compared once for both and need no digests.
+
+    The names must agree.
+    """
+    diff = materialised(diff_rows(left, right), "difference")
+    counts = [df.agg(F.count("*").alias("n")).first() for df in (left, right)]
+    return _verdict(left, right, *counts, diff), diff
+
+
+def _verdict(left: DataFrame, right: DataFrame, a: Row, b: Row, diff: DataFrame | None = None) -> DataFrame:
     n_left, n_right = a["n"], b["n"]
     spark = left.sparkSession
     only_left = sorted(set(left.columns) - set(right.columns))
@@ -252,7 +268,10 @@ def _verdict(left: DataFrame, right: DataFrame, a: Row, b: Row) -> DataFrame:
     if only_right:
         lines.append(f"only right: {only_right}")
     if schema_match and count_match:
-        sample = [] if a == b else diff_rows(left, right, SAMPLE_ROWS).collect()
+        if diff is None:
+            sample = [] if a == b else diff_rows(left, right, SAMPLE_ROWS).collect()
+        else:
+            sample = _first(diff, SAMPLE_ROWS).collect()
         data_match = not sample
         lines += [f"{r['side']} x{r['copies']}: {r.asDict()}" for r in sample]
     passed = bool(schema_match and count_match and data_match)

@@ -276,8 +276,9 @@ def reconcile_many_sums(spark, sf):
     found = []
     for case, value in cases.items():
         right = sums.select("l_returnflag", value.alias("total"))
-        verdict = rec.reconcile(left, right).select(F.lit(case).alias("case"), "passed", F.col("left_count").alias("rows"))
+        verdict, diff = rec.reconcile_rows(left, right)
+        verdict = verdict.select(F.lit(case).alias("case"), "passed", F.col("left_count").alias("rows"))
         sides = [F.coalesce(F.sum(F.when(F.col("side") == s, F.col("copies"))), F.lit(0)).alias(f"{s}_rows") for s in ("left", "right")]
-        surplus = rec.diff_rows(left, right).agg(*sides).first().asDict()
+        surplus = diff.agg(*sides).first().asDict()
         found.append(verdict.withColumns({c: F.lit(n) for c, n in surplus.items()}))
     return found[0].unionByName(found[1]).unionByName(found[2])
