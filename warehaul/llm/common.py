@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,6 +43,21 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Batch
     return run
 
 
+def released(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A partition function that at its end gives what it has freed back to the system.
+
+    Spark keeps Python workers for later tasks, and an idle one would hold the most that any of its tasks took.
+    """
+
+    def run(batches: Batches) -> Batches:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def texts(batch: pa.RecordBatch, column: int) -> Iterator[str | None]:
     """The texts of a column one at a time, so that only one is held as a Python string."""
     return (value.as_py() for value in batch.column(column))

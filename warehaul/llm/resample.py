@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from warehaul.llm.common import Batches, fresh, quoted, texts, words
+from warehaul.llm.common import Batches, fresh, quoted, released, texts, words
 from warehaul.session import materialised
 
 BUCKETS = 1 << 14
@@ -34,6 +34,8 @@ BUCKETS = 1 << 14
 MIN_COUNT = 5
 #: N-grams a task gathers before it counts them.
 CHUNK = 2_000_000
+#: Of these, n-grams that are sorted at once.
+COUNTED = 1 << 18
 #: Bits of a key within its part; the counts of one part are merged in a plain array.
 PART_BITS = 20
 #: Keys a task holds; a larger model is dealt out in pieces of this size, to which the documents' keys are shuffled.
@@ -173,13 +175,23 @@ def counts(docs: DataFrame, taken: DataFrame, bits: int, buckets: int, min_count
     as packed numbers of 32 or 64 bits; the others are summed in ``rare_raw`` and ``rare_target``. Part -1 holds the buckets of forms.
     """
 
-    def counted(waiting: list[np.ndarray], wanted: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(waiting: list[np.ndarray], wanted: list[np.ndarray]) -> Batches:
+        """Empties both lists; whole parts are counted at a time, so that no array but that of the keys is large."""
+        keys, some = np.concatenate(waiting), np.concatenate([np.zeros(0, np.int64), *wanted])
+        waiting.clear()
+        wanted.clear()
+        wide = max(1, (1 << bits - PART_BITS) * COUNTED // len(keys)) << PART_BITS
+        for low in range(0, 1 << bits, wide):
+            own = keys[(keys >= low) & (keys < low + wide)]
+            if len(own):
+                yield parts_of(own, some[(some >= low) & (some < low + wide)])
+
+    def parts_of(keys: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
         """One row per part: differences of keys, counts, and counts of the target with the differences of their places."""
-        keys, raw = np.unique(np.concatenate(waiting), return_counts=True)
+        keys, raw = np.unique(keys, return_counts=True)
         target = np.zeros(len(keys), np.int64)
-        if wanted:
-            some, n = np.unique(np.concatenate(wanted), return_counts=True)
-            target[np.searchsorted(keys, some)] = n
+        some, n = np.unique(some, return_counts=True)
+        target[np.searchsorted(keys, some)] = n
         part = keys >> PART_BITS
         ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(keys))
         firsts = np.concatenate(([0], ends[:-1]))
@@ -211,10 +223,10 @@ def counts(docs: DataFrame, taken: DataFrame, bits: int, buckets: int, min_count
                     target += found
                     wanted.append(hashed)
                 if size >= CHUNK:
-                    yield counted(waiting, wanted)
-                    waiting, wanted, size = [], [], 0
+                    yield from counted(waiting, wanted)
+                    size = 0
         if size:
-            yield counted(waiting, wanted)
+            yield from counted(waiting, wanted)
         place = np.flatnonzero(raw)
         if len(place):
             held = np.flatnonzero(target[place])
@@ -251,7 +263,7 @@ def counts(docs: DataFrame, taken: DataFrame, bits: int, buckets: int, min_count
             yield merged(now, raw, target)
 
     joined = docs.join(F.broadcast(taken), "doc_id", "left").select("text", "good")
-    return joined.mapInArrow(run, _COUNTS).repartition("part").sortWithinPartitions("part").mapInArrow(merge, _MERGED)
+    return joined.mapInArrow(released(run), _COUNTS).repartition("part").sortWithinPartitions("part").mapInArrow(released(merge), _MERGED)
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, raw_sum: int, target_sum: int, kinds: int) -> np.ndarray:
@@ -392,7 +404,7 @@ def means(docs: DataFrame, model: Model, name: str, model_keys: int = MODEL_KEYS
                     found.append(total / UNIT / (len(keys) + len(places)) if len(keys) else None)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
-        return docs.mapInArrow(whole, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+        return docs.mapInArrow(released(whole), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
     return _means_in_pieces(docs, model, name, pieces)
 
 

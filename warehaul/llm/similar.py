@@ -18,7 +18,9 @@ a byte. A key with more than ``HOT`` members in one batch is linked where it is;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 from math import acos, pi, sqrt
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from warehaul.llm.common import Batches, per_batch, texts, words
+from warehaul.llm.common import Batches, per_batch, released, texts, words
 from warehaul.llm.components import components
 from warehaul.llm.resample import packed_numbers, unpacked_numbers
 from warehaul.session import materialised
@@ -46,6 +48,8 @@ PART_POSTINGS = 1 << 23
 BATCH = 1 << 14
 #: Steps of the size code in the similarity; codes of two sizes that allow it differ by one more at most.
 SIZE_STEPS = 4
+#: Postings that are sorted at once, and shingles of a batch of sets; arrays of a task stay a few MB each.
+RANGE = 1 << 18
 #: Size code of a member that stands for the others of its batch.
 STANDS_FOR = 255
 #: Standard deviations that a pair at the similarity may lie beyond the mean of the counts.
@@ -112,10 +116,27 @@ def _classes(docs: DataFrame, size: int, width: int) -> DataFrame:
         )
 
     plain = docs.select("class", "text").filter(F.col("class") != WORDLESS)
-    once = plain.mapInArrow(per_batch(run), "class bigint, fp binary, n bigint").dropDuplicates(["class"])
+    once = plain.mapInArrow(released(per_batch(run)), "class bigint, fp binary, n bigint").dropDuplicates(["class"])
     return materialised(once.withColumn("num", F.monotonically_increasing_id()), "classes")
 
 
+def _ranges(keys: np.ndarray, edges: list[int]) -> Iterator[np.ndarray]:
+    """Places of the keys from each edge to the next, range by range; empty ranges are left out."""
+    for low, high in pairwise(edges):
+        at = np.flatnonzero((keys >= low) & (keys < high))
+        if len(at):
+            yield at
+
+
+def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order, each once."""
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    once = np.ones(len(u), bool)
+    once[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return u[once], v[once]
+
+
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values."""
     starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))[: len(keys)]
@@ -130,17 +151,30 @@ def _postings(classes: DataFrame, places: np.ndarray, similarity: float, parts:
     """
     bits = 8 * places.shape[1] + int(len(places) - 1).bit_length()
     mask, odd = np.uint64((1 << bits) - 1), np.uint64(0x9E3779B97F4A7C15)
-    numbers = np.arange(len(places), dtype=np.uint64) << np.uint64(8 * places.shape[1])
 
     def packed(nums: np.ndarray, values: np.ndarray, codes: np.ndarray) -> Batches:
-        keys = np.zeros((len(nums), len(places)), np.uint64)
-        for place in places.T:
-            keys = keys << np.uint64(8) | values[:, place]
-        # one to one on so many bits, so that equal ranges of keys hold like numbers of postings
-        keys = (keys | numbers).ravel() * odd & mask
-        keys = (keys ^ keys >> np.uint64(bits // 2)) * odd & mask
+        keys = np.zeros((len(places), len(nums)), np.uint64)
+        for number, (key, place) in enumerate(zip(keys, places, strict=True)):
+            for byte in place:
+                key <<= np.uint64(8)
+                key |= values[:, byte]
+            key |= np.uint64(number << 8 * places.shape[1])
+            # one to one on so many bits, so that equal ranges of keys hold like numbers of postings
+            key *= odd
+            key &= mask
+            key ^= key >> np.uint64(bits // 2)
+            key *= odd
+            key &= mask
+        keys = keys.ravel()
+        # whole parts at a time
+        wide = max(1, parts * RANGE // len(keys))
+        firsts = [*range(0, parts, wide), parts]
+        for at in _ranges(keys, [-(-(first << bits) // parts) for first in firsts]):
+            yield from ranged(nums, keys[at], at % len(nums), codes)
+
+    def ranged(nums: np.ndarray, keys: np.ndarray, held: np.ndarray, codes: np.ndarray) -> Batches:
         order = np.argsort(keys, kind="stable")
-        keys, held = keys[order], order // len(places)
+        keys, held = keys[order], held[order]
         sizes = codes[held]
         rows = []
         starts, lengths = _runs(keys)
@@ -188,35 +222,47 @@ def _postings(classes: DataFrame, places: np.ndarray, similarity: float, parts:
                 low = high
 
     schema = "part int, base bigint, steps binary, members binary, sizes binary"
-    return classes.select("num", "fp", "n").mapInArrow(run, schema)
+    return classes.select("num", "fp", "n").mapInArrow(released(run), schema)
 
 
 def _met(postings: DataFrame, parts: int) -> DataFrame:
     """Stars of all lists, as ``u`` and ``v`` with a null ``key``; and the members of lists that hold more than one
     pair, as ``key``, ``u`` and their size code ``v``."""
 
+    def batches_of(keys: np.ndarray | None, u: np.ndarray, v: np.ndarray) -> Batches:
+        for low in range(0, len(u), 100_000):
+            cut = slice(low, low + 100_000)
+            key = pa.nulls(len(u[cut]), pa.int64()) if keys is None else pa.array(keys[cut])
+            yield pa.RecordBatch.from_arrays([key, pa.array(u[cut]), pa.array(v[cut])], ["key", "u", "v"])
+
     def stars(keys: np.ndarray, nums: np.ndarray, sizes: np.ndarray, all_long: bool) -> Batches:
-        order = np.argsort(keys, kind="stable")
-        keys, nums, sizes = keys[order], nums[order], sizes[order].astype(np.int64)
+        """The lists range by range of their keys; a pair comes once however many of the lists have it."""
+        low, high = int(keys.min()), int(keys.max())
+        wide = max(1, (high - low + 1) * RANGE // len(keys))
+        pairs = []
+        for at in _ranges(keys, [*range(low, high + 1, wide), high + 1]):
+            order = at[np.argsort(keys[at], kind="stable")]
+            u, v, own, own_sizes = ranged(keys[order], nums[order], sizes[order].astype(np.int64), all_long)
+            pairs.append((u, v))
+            yield from batches_of(keys[order[own]].astype(np.int64), nums[order[own]], own_sizes)
+        yield from batches_of(None, *_distinct(*map(np.concatenate, zip(*pairs, strict=True))))
+
+    def ranged(keys: np.ndarray, nums: np.ndarray, sizes: np.ndarray, all_long: bool) -> tuple[np.ndarray, ...]:
+        """Pairs of sorted lists, and the places of their members that may meet afterwards, with their size codes."""
         starts, lengths = _runs(keys)
         heads = np.repeat(starts, lengths)
         stands = sizes == STANDS_FOR
         may = stands | stands[heads] | (np.abs(sizes - sizes[heads]) <= SIZE_STEPS + 1)
         may &= nums != nums[heads]
         a, b = nums[heads[may]], nums[may]
-        u, v = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((v, u))
-        u, v = u[order], v[order]
-        once = np.ones(len(u), bool)
-        once[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
         long = np.full(len(starts), all_long) | (lengths > 2) | np.logical_or.reduceat(stands, starts)
-        own = np.repeat(long & (lengths > 1 - all_long), lengths) & ~stands
-        for columns in ((None, u[once], v[once]), (keys[own].astype(np.int64), nums[own], sizes[own])):
-            for low in range(0, len(columns[1]), 100_000):
-                cut = slice(low, low + 100_000)
-                rows = len(columns[1][cut])
-                key = pa.nulls(rows, pa.int64()) if columns[0] is None else pa.array(columns[0][cut])
-                yield pa.RecordBatch.from_arrays([key, pa.array(columns[1][cut]), pa.array(columns[2][cut])], ["key", "u", "v"])
+        own = np.flatnonzero(np.repeat(long & (lengths > 1 - all_long), lengths) & ~stands)
+        return *_distinct(np.minimum(a, b), np.maximum(a, b)), own, sizes[own]
+
+    def gathered(waiting: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+        waiting.clear()
+        return columns
 
     def run(batches: Batches) -> Batches:
         now, waiting = None, []
@@ -229,15 +275,14 @@ def _met(postings: DataFrame, parts: int) -> DataFrame:
                     yield from stars(*row, True)
                     continue
                 if part != now and waiting:
-                    yield from stars(*map(np.concatenate, zip(*waiting, strict=True)), False)
-                    waiting = []
+                    yield from stars(*gathered(waiting), False)
                 now = part
                 waiting.append(row)
         if waiting:
-            yield from stars(*map(np.concatenate, zip(*waiting, strict=True)), False)
+            yield from stars(*gathered(waiting), False)
 
     dealt = postings.repartition("part").sortWithinPartitions("part", "base")
-    return dealt.mapInArrow(run, "key bigint, u bigint, v bigint")
+    return dealt.mapInArrow(released(run), "key bigint, u bigint, v bigint")
 
 
 def _counted(pairs: DataFrame, classes: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -261,21 +306,26 @@ def _counted(pairs: DataFrame, classes: DataFrame, similarity: float, width: int
     right = classes.select(F.col("num").alias("v"), F.col("fp").alias("b"), "n")
     near = F.least("m", "n") >= F.greatest("m", "n") * F.lit(similarity - 1e-9)
     met = pairs.distinct().join(left, "u").join(right, "v").filter(near).select("u", "v", "a", "b")
-    return met.mapInArrow(per_batch(run), "u bigint, v bigint, bits bigint")
+    return met.mapInArrow(released(per_batch(run)), "u bigint, v bigint, bits bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
     """Pairs whose shingle sets have at least the similarity."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, size).view(np.int64) for t in texts(batch, 1)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["num", "shingles"]
-        )
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            low, found, held = 0, [], 0
+            for place, text in enumerate(texts(batch, 1)):
+                found.append(shingles(text, size).view(np.int64))
+                held += len(found[-1])
+                if held >= RANGE or place == batch.num_rows - 1:
+                    nums = batch.column(0).slice(low, len(found))
+                    yield pa.RecordBatch.from_arrays([nums, pa.array(found, pa.list_(pa.int64()))], ["num", "shingles"])
+                    low, found, held = place + 1, [], 0
 
     ids = classes.select("num", "class").join(pairs.select(F.explode(F.array("u", "v")).alias("num")).distinct(), "num")
     once = docs.select("class", "text").join(ids, "class").groupBy("num").agg(F.first("text").alias("text"))
-    sets = materialised(once.mapInArrow(per_batch(run), "num bigint, shingles array<bigint>"), "shingles")
+    sets = materialised(once.mapInArrow(released(run), "num bigint, shingles array<bigint>"), "shingles")
     left = sets.select(F.col("num").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("num").alias("v"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b")).cast("bigint")
