@@ -65,6 +65,43 @@ def test_edited_copies_are_found(spark, hot, key_bytes):
     assert len(pairs) > 200 and len(missed) <= 0.02 * len(pairs)
 
 
+def test_a_large_group_makes_few_rows(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    base = [f"w{i}" for i in range(150)]
+    for number in range(400):
+        copy = list(base)
+        for place in rng.sample(range(150), rng.randrange(8)):
+            copy[place] = f"edit{rng.randrange(40)}"
+        rows.append((number, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("class", similar.text_class("text"))
+    seen, write = [], similar.materialised
+
+    def counting(df, name):
+        out = write(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "materialised", counting)
+    ids, found = {r.doc_id: r["class"] for r in docs.collect()}, {r.node: r.root for r in similar.linked(docs).collect()}
+    tops = {found.get(i, i) for i in ids.values()}
+    kept = _kept(rows)
+    # a pair at the similarity may share no posting, so that a text may stay that all pairs would link
+    assert 50 < len(kept) <= len(tops) <= 1.03 * len(kept) and len(set(ids.values())) > 300
+    assert max(n for _, n in seen) < 60 * len(rows), seen
+
+
+def test_shared_shingles_bound_what_meets(spark):
+    rows = [(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 6]), (3, [7, 8]), (4, [5, -1]), (5, [-(1 << 40), 7])]
+    sets = spark.createDataFrame(rows, "num bigint, shingles array<bigint>").repartition(3, "num")
+    # hashes are told apart by 32 bits
+    assert {r.num: r.alone for r in similar._alone(sets).collect()} == {2: 1, 3: 1, 4: 1, 5: 1}
+    prints = [bytes([x]) * 64 + bytes(range(64)) for x in (1, 2, 2, 3)]
+    texts = [(i, r, 100, c, p) for i, (r, c, p) in enumerate(zip((0, 0, 2, 3), (95, 95, 90, 80), prints, strict=True))]
+    texts = spark.createDataFrame(texts, "num bigint, root bigint, n bigint, c bigint, fp binary")
+    pairs = similar._apart(texts, similar._places(1024, 6, 3), 0.8, 1024, 8).collect()
+    assert sorted(map(tuple, pairs)) == [(0, 2), (1, 2)]
+
+
 def test_long_texts(spark):
     text = " ".join(f"w{i}" for i in range(9000))
     rows = [(1, text), (2, text + " and more"), (3, text[: len(text) // 2])]

@@ -7,10 +7,13 @@ give 252 of them. Two texts at s = 0.8 share 4.4 postings on average and none in
 (at 0.85 in one of some thousand). Pairs that meet are counted by shared positional bytes and differing bits, and
 what is left is decided by the exact similarity of the shingle sets, so nothing below s is ever linked.
 
-No list emits all its pairs. Its members are first linked to one of them, as a star; the stars' links give components,
-and afterwards only members outside a list's largest component meet the others. Texts whose numbers of
-shingles forbid the similarity never meet. Lists of unlike texts hold N / 2^24 of them; from ``MANY`` texts on
-a posting is four bytes and there are as many more of them as the same recall needs.
+No list emits all its pairs. Lists of two give their pair. Of the longer ones, one in ``STARRED`` links its members to one of
+them, as a star, and all name their members, the crowd. The links give components. Shingles that no other text of the crowd has
+then bound what a text may share: a text that has less than ``s`` of its shingles in common is like no other and goes, and two
+texts with c in common of each one's n meet only where (1 + s) / s * c is at least the sum of their n. What is left meets
+once more by all keys, with fingerprints and roots at hand, so that only pairs that pass the counts and join two components
+leave a task. Texts whose numbers of shingles forbid the similarity never meet. Lists of unlike texts hold N / 2^24 of them;
+from ``MANY`` texts on a posting is four bytes and there are as many more of them as the same recall needs.
 
 Postings travel packed, some five bytes each: sorted keys as differences, texts as places in their batch, sizes in
 a byte. A key with more than ``HOT`` members in one batch is linked where it is; only one member goes to the key's part.
@@ -46,6 +49,14 @@ HOT = 64
 #: Postings of a part, which one task unpacks at a time, and texts of a batch.
 PART_POSTINGS = 1 << 23
 BATCH = 1 << 14
+#: One in so many of the lists of more than two gives stars; the others only name their members.
+STARRED = 6
+#: Numbers of a block in which members are named.
+BLOCK = 1 << 14
+#: Shingles, and postings of the crowd, that one task counts or compares at a time, and pairs that are compared at once.
+CROWD_SHINGLES = 1 << 19
+CROWD_POSTINGS = 1 << 16
+PAIRS = 1 << 14
 #: Steps of the size code in the similarity; codes of two sizes that allow it differ by one more at most.
 SIZE_STEPS = 4
 #: Postings that are sorted at once, and shingles of a batch of sets; arrays of a task stay a few MB each.
@@ -226,38 +237,60 @@ def _postings(classes: DataFrame, places: np.ndarray, similarity: float, parts:
 
 
 def _met(postings: DataFrame, parts: int) -> DataFrame:
-    """Stars of all lists, as ``u`` and ``v`` with a null ``key``; and the members of lists that hold more than one
-    pair, as ``key``, ``u`` and their size code ``v``."""
+    """Pairs of the lists of two and of the stars, as ``u`` and ``v``; and the members of longer lists, as ``base`` and their
+    distances from it, each once for a task and block of numbers."""
 
-    def batches_of(keys: np.ndarray | None, u: np.ndarray, v: np.ndarray) -> Batches:
+    def batches_of(u: np.ndarray, v: np.ndarray) -> Batches:
         for low in range(0, len(u), 100_000):
             cut = slice(low, low + 100_000)
-            key = pa.nulls(len(u[cut]), pa.int64()) if keys is None else pa.array(keys[cut])
-            yield pa.RecordBatch.from_arrays([key, pa.array(u[cut]), pa.array(v[cut])], ["key", "u", "v"])
+            none = [pa.nulls(len(u[cut]), t) for t in (pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(u[cut]), pa.array(v[cut]), *none], ["u", "v", "base", "members"])
+
+    def named(nums: np.ndarray) -> Batches:
+        nums = np.unique(nums)
+        starts, lengths = _runs(nums // BLOCK)
+        for low in range(0, len(starts), 256):
+            cut = slice(low, low + 256)
+            ends = zip(starts[cut].tolist(), (starts + lengths)[cut].tolist(), strict=True)
+            blobs = [(nums[a:b] % BLOCK).astype("<u2").tobytes() for a, b in ends]
+            none = pa.nulls(len(blobs), pa.int64())
+            base = pa.array(nums[starts[cut]] // BLOCK * BLOCK)
+            yield pa.RecordBatch.from_arrays([none, none, base, pa.array(blobs, pa.binary())], ["u", "v", "base", "members"])
 
     def stars(keys: np.ndarray, nums: np.ndarray, sizes: np.ndarray, all_long: bool) -> Batches:
         """The lists range by range of their keys; a pair comes once however many of the lists have it."""
         low, high = int(keys.min()), int(keys.max())
         wide = max(1, (high - low + 1) * RANGE // len(keys))
-        pairs = []
+        pairs, members = [], []
         for at in _ranges(keys, [*range(low, high + 1, wide), high + 1]):
             order = at[np.argsort(keys[at], kind="stable")]
-            u, v, own, own_sizes = ranged(keys[order], nums[order], sizes[order].astype(np.int64), all_long)
+            u, v, own = ranged(keys[order], nums[order], sizes[order].astype(np.int64), all_long)
             pairs.append((u, v))
-            yield from batches_of(keys[order[own]].astype(np.int64), nums[order[own]], own_sizes)
-        yield from batches_of(None, *_distinct(*map(np.concatenate, zip(*pairs, strict=True))))
+            members.append(own)
+        yield from named(np.concatenate(members))
+        yield from batches_of(*_distinct(*map(np.concatenate, zip(*pairs, strict=True))))
 
     def ranged(keys: np.ndarray, nums: np.ndarray, sizes: np.ndarray, all_long: bool) -> tuple[np.ndarray, ...]:
-        """Pairs of sorted lists, and the places of their members that may meet afterwards, with their size codes."""
+        """Pairs of sorted lists, and the members of those that hold more than one pair."""
+        starts, lengths = _runs(keys)
+        stands = np.repeat(np.logical_or.reduceat(sizes == STANDS_FOR, starts), lengths)
+        # members that may meet another one of the list, which then is so for a neighbour by size
+        order = np.lexsort((sizes, keys))
+        near = (keys[1:] == keys[:-1]) & (np.diff(sizes[order]) <= SIZE_STEPS + 1)
+        meets = (stands & (np.repeat(lengths, lengths) > 1)) | all_long
+        meets[order[1:]] |= near
+        meets[order[:-1]] |= near
+        keys, nums, sizes, stands = keys[meets], nums[meets], sizes[meets], stands[meets]
+        if not len(keys):
+            return nums, nums, nums
         starts, lengths = _runs(keys)
         heads = np.repeat(starts, lengths)
-        stands = sizes == STANDS_FOR
-        may = stands | stands[heads] | (np.abs(sizes - sizes[heads]) <= SIZE_STEPS + 1)
-        may &= nums != nums[heads]
-        a, b = nums[heads[may]], nums[may]
-        long = np.full(len(starts), all_long) | (lengths > 2) | np.logical_or.reduceat(stands, starts)
-        own = np.flatnonzero(np.repeat(long & (lengths > 1 - all_long), lengths) & ~stands)
-        return *_distinct(np.minimum(a, b), np.maximum(a, b)), own, sizes[own]
+        long = (np.repeat(lengths, lengths) > 2) | stands | all_long
+        linked = ~long | (_mixed(keys.astype(np.uint64)) % np.uint64(STARRED) == 0)
+        either = (sizes == STANDS_FOR) | (sizes[heads] == STANDS_FOR)
+        linked &= (either | (np.abs(sizes - sizes[heads]) <= SIZE_STEPS + 1)) & (nums != nums[heads])
+        a, b = nums[heads[linked]], nums[linked]
+        return *_distinct(np.minimum(a, b), np.maximum(a, b)), np.unique(nums[long])
 
     def gathered(waiting: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
         columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
@@ -282,15 +315,43 @@ def _met(postings: DataFrame, parts: int) -> DataFrame:
             yield from stars(*gathered(waiting), False)
 
     dealt = postings.repartition("part").sortWithinPartitions("part", "base")
-    return dealt.mapInArrow(released(run), "key bigint, u bigint, v bigint")
+    return dealt.mapInArrow(released(run), "u bigint, v bigint, base bigint, members binary")
 
 
-def _counted(pairs: DataFrame, classes: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Distinct pairs that pass the counts, with their differing bits."""
+def _crowd(found: DataFrame) -> DataFrame:
+    """``num`` of the members that ``_met`` names, each once."""
+
+    def run(batches: Batches) -> Batches:
+        now, seen = None, np.zeros(BLOCK, bool)
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen) + now)], ["num"])
+
+        for batch in batches:
+            for base, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now not in (None, base):
+                    yield block()
+                    seen[:] = False
+                now = base
+                seen[np.frombuffer(members, "<u2")] = True
+        if now is not None:
+            yield block()
+
+    members = found.filter("base IS NOT NULL").select("base", "members")
+    return members.repartition("base").sortWithinPartitions("base").mapInArrow(released(run), "num bigint")
+
+
+def _bounds(similarity: float, width: int) -> tuple[float, float]:
+    """Equal bytes at least, and differing bits at most, of a pair at the similarity."""
     apart = acos(2 * similarity / (1 + similarity)) / pi
     same = (1 - apart) ** 8
     least = width / 8 * same - SLACK * sqrt(width / 8 * same * (1 - same))
-    most = width * apart + SLACK * sqrt(width * apart * (1 - apart))
+    return least, width * apart + SLACK * sqrt(width * apart * (1 - apart))
+
+
+def _counted(pairs: DataFrame, classes: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Distinct pairs that pass the counts, with their differing bits."""
+    least, most = _bounds(similarity, width)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = (
@@ -309,8 +370,8 @@ def _counted(pairs: DataFrame, classes: DataFrame, similarity: float, width: int
     return met.mapInArrow(released(per_batch(run)), "u bigint, v bigint, bits bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets have at least the similarity."""
+def _sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``num`` and shingles of the texts in ``ids``."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -323,9 +384,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
                     yield pa.RecordBatch.from_arrays([nums, pa.array(found, pa.list_(pa.int64()))], ["num", "shingles"])
                     low, found, held = place + 1, [], 0
 
-    ids = classes.select("num", "class").join(pairs.select(F.explode(F.array("u", "v")).alias("num")).distinct(), "num")
-    once = docs.select("class", "text").join(ids, "class").groupBy("num").agg(F.first("text").alias("text"))
-    sets = materialised(once.mapInArrow(released(run), "num bigint, shingles array<bigint>"), "shingles")
+    named = classes.select("num", "class").join(ids.distinct(), "num")
+    once = docs.select("class", "text").join(named, "class").groupBy("num").agg(F.first("text").alias("text"))
+    return materialised(once.mapInArrow(released(run), "num bigint, shingles array<bigint>"), "shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose shingle sets have at least the similarity."""
     left = sets.select(F.col("num").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("num").alias("v"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b")).cast("bigint")
@@ -340,19 +405,148 @@ def _rooted(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFram
     return out.withColumn(name, F.coalesce(f"{name}_known", column)).drop(f"{name}_node", f"{name}_known")
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one list that no component joins: members outside the list's largest component with all others."""
-    # by text first, so that a root is looked up once for a text and not for each of its postings
-    per = members.groupBy("u").agg(F.collect_list("key").alias("keys"), F.first("v").alias("size"))
-    rooted = _rooted(per, roots, "u", "root").select(F.explode("keys").alias("key"), "u", "size", "root")
-    named = materialised(rooted, "lists")
-    largest = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")
-    ).filter("parts > 1")
-    outside = named.join(largest, "key").filter("root <> main").selectExpr("key", "u AS a", "root AS r", "size AS s")
-    inside = named.join(largest.select("key"), "key").selectExpr("key", "u AS b", "root", "size")
-    met = outside.join(inside, "key").filter((F.col("r") != F.col("root")) & (F.abs(F.col("s") - F.col("size")) <= SIZE_STEPS + 1))
-    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+def _alone(sets: DataFrame) -> DataFrame:
+    """``num`` and the number of shingles that no other text in ``sets`` has, where there are any.
+
+    Counted by 32 bits of the hashes, so that at most too few are found. A batch sends a shingle once however many of its
+    texts have it.
+    """
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    parts = max(1, -(-total // CROWD_SHINGLES))
+
+    def sent(batches: Batches) -> Batches:
+        for batch in batches:
+            nums, lengths = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
+            flat, ends = batch.column(1).flatten().to_numpy(), np.cumsum(lengths)
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(RANGE, len(flat), RANGE)) + 1, [0, len(nums)]))
+            for low, high in pairwise(cuts.tolist()):
+                hashes = flat[ends[low] - lengths[low] : ends[high - 1]].view(np.uint64).astype(np.uint32)
+                owners = np.repeat(nums[low:high], lengths[low:high])
+                order = np.argsort(hashes, kind="stable")
+                hashes, owners = hashes[order], owners[order]
+                starts, n = _runs(hashes)
+                hashes, owners = hashes[starts], np.where(n == 1, owners[starts], -1)
+                part = (hashes.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                firsts, n = _runs(part)
+                spans = list(zip(firsts.tolist(), (firsts + n).tolist(), strict=True))
+                blobs = [[c[a:b].tobytes() for a, b in spans] for c in (hashes, owners)]
+                columns = [pa.array(part[firsts], pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "hashes", "owners"])
+
+    def single(waiting: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        hashes, owners = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*waiting, strict=True), (np.uint32, np.int64), strict=True))
+        order = np.argsort(hashes, kind="stable")
+        starts, n = _runs(hashes[order])
+        found = owners[order[starts[n == 1]]]
+        found, n = np.unique(found[found >= 0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["num", "alone"])
+
+    def counted(batches: Batches) -> Batches:
+        now, waiting = None, []
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and waiting:
+                    yield single(waiting)
+                    waiting = []
+                now = part
+                waiting.append(row)
+        if waiting:
+            yield single(waiting)
+
+    dealt = sets.mapInArrow(released(sent), "part int, hashes binary, owners binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(released(counted), "num bigint, alone bigint").groupBy("num").agg(F.sum("alone").alias("alone"))
+
+
+def _apart(texts: DataFrame, places: np.ndarray, similarity: float, width: int, parts: int) -> DataFrame:
+    """Pairs that share a key, pass the counts and join two roots, once each. ``texts``: ``num``, ``root``, ``n``, ``c``, ``fp``.
+
+    Two texts at the similarity share at least s / (1 + s) of the sum of their n, and no more than either one's ``c``.
+    """
+    parts = max(1, min(parts, -(-texts.count() * len(places) // CROWD_POSTINGS)))
+    least, most = _bounds(similarity, width)
+    kind = np.dtype([("num", "<i8"), ("root", "<i8"), ("n", "<f8"), ("need", "<f8"), ("fp", "u1", (width // 8,))])
+
+    def sent(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = np.zeros(batch.num_rows, kind)
+            for place, name in enumerate(("num", "root", "n")):
+                rows[name] = batch.column(place).to_numpy()
+            rows["need"] = batch.column(3).to_numpy() * ((1 + similarity) / similarity) - rows["n"] + 1e-6
+            rows["fp"] = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(rows), -1)
+            for low in range(0, len(rows), 1024):
+                yield from packed(rows[low : low + 1024])
+
+    def packed(rows: np.ndarray) -> Batches:
+        keys = np.zeros((len(places), len(rows)), np.uint64)
+        for number, (key, place) in enumerate(zip(keys, places, strict=True)):
+            key |= np.uint64(number)
+            for byte in place:
+                key <<= np.uint64(8)
+                key |= rows["fp"][:, byte]
+        keys, held = keys.ravel(), np.tile(np.arange(len(rows)), len(places))
+        part = (_mixed(keys) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        firsts, lengths = _runs(part[order])
+        for first, n in zip(firsts.tolist(), lengths.tolist(), strict=True):
+            at = order[first : first + n]
+            own, places_of = np.unique(held[at], return_inverse=True)
+            blobs = [keys[at].tobytes(), places_of.astype("<u2").tobytes(), rows[own].tobytes()]
+            columns = [pa.array(part[at[:1]], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "keys", "members", "texts"])
+
+    def tested(rows: np.ndarray, a: np.ndarray, b: np.ndarray, number: int) -> Batches:
+        """Of the pairs ``a``, ``b`` that meet at the key of this number, those that pass the counts and meet at none before."""
+        for low in range(0, len(a), PAIRS):
+            x, y = rows[a[low : low + PAIRS]], rows[b[low : low + PAIRS]]
+            other = x["fp"] ^ y["fp"]
+            passed = (np.bitwise_count(other).sum(axis=1, dtype=np.int64) <= most) & ((other == 0).sum(axis=1) >= least)
+            x, y, other = x[passed], y[passed], other[passed]
+            new = np.ones(len(x), bool)
+            for place in places[:number]:
+                new &= other[:, place].any(axis=1)
+            u, v = x["num"][new], y["num"][new]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def meeting(waiting: list[tuple[bytes, bytes, bytes]]) -> Batches:
+        own = [np.frombuffer(t, kind) for _, _, t in waiting]
+        bases = np.cumsum([0, *map(len, own)])[:-1]
+        rows = np.concatenate(own)
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in waiting])
+        held = np.concatenate([np.frombuffer(m, "<u2") + base for (_, m, _), base in zip(waiting, bases, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        keys, held = keys[order], held[order]
+        starts, lengths = _runs(keys)
+        roots = rows["root"][held]
+        several = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+        for start, n in zip(starts[several].tolist(), lengths[several].tolist(), strict=True):
+            at = held[start : start + n]
+            root, size, need = (rows[c][at] for c in ("root", "n", "need"))
+            names, counts = np.unique(root, return_counts=True)
+            main = root == names[counts.argmax()]
+            outside = np.flatnonzero(~main & (need >= size.min()))
+            number = int(keys[start] >> np.uint64(8 * places.shape[1]))
+            step = max(1, (1 << 20) // n)
+            for some in (outside[low : low + step, None] for low in range(0, len(outside), step)):
+                may = (root[some] != root) & (size <= need[some]) & (size[some] <= need) & (main | (np.arange(n) > some))
+                a, b = np.nonzero(may)
+                yield from tested(rows, at[some[a, 0]], at[b], number)
+
+    def run(batches: Batches) -> Batches:
+        now, waiting = None, []
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and waiting:
+                    yield from meeting(waiting)
+                    waiting = []
+                now = part
+                waiting.append(row)
+        if waiting:
+            yield from meeting(waiting)
+
+    dealt = texts.select("num", "root", "n", "c", "fp").mapInArrow(
+        released(sent), "part int, keys binary, members binary, texts binary"
+    ).repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(released(run), "u bigint, v bigint")
 
 
 def linked(
@@ -369,22 +563,26 @@ def linked(
     places = _places(width, PERMUTATIONS[key_bytes], key_bytes)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(places) // PART_POSTINGS))
     found = materialised(_met(_postings(classes, places, similarity, parts, hot), parts), "postings")
-    pairs, members = found.filter("key IS NULL").select("u", "v"), found.filter("key IS NOT NULL")
-    likely = materialised(_counted(pairs, classes, similarity, width), "pairs")
+    likely = materialised(_counted(found.filter("u IS NOT NULL").select("u", "v"), classes, similarity, width), "pairs")
+    crowd = materialised(_crowd(found), "crowd")
+    ends = (likely.select(F.col(c).alias("num")) for c in ("u", "v"))
+    sets = _sets(reduce(DataFrame.unionByName, ends, crowd), docs, classes, size)
     # the likeliest link of every text first; then only pairs that are still apart need the exact check
     best = [
         likely.groupBy(a).agg(F.min_by(b, F.struct("bits", b)).alias(b)).select("u", "v") for a, b in (("u", "v"), ("v", "u"))
     ]
     first = materialised(reduce(DataFrame.unionByName, best).distinct(), "pairs")
-    links = materialised(_verified(first, docs, classes, size, similarity), "links")
+    links = materialised(_verified(first, sets, similarity), "links")
     roots = components(links)
     rest = likely.select("u", "v").join(first, ["u", "v"], "left_anti")
-    # members of a list that the stars leave in different components meet
-    far = _counted(_apart(members, roots), classes, similarity, width).select("u", "v")
-    rest = rest.unionByName(far).distinct()
-    rest = materialised(_rooted(_rooted(rest, roots, "u", "ru"), roots, "v", "rv").filter("ru <> rv").select("u", "v"), "pairs")
+    # members of longer lists meet unless they share too little with all others or are in one component
+    common = classes.join(crowd, "num").join(_alone(sets), "num", "left").withColumn("c", F.expr("n - coalesce(alone, 0)"))
+    common = common.filter(F.col("c") >= F.col("n") * F.lit(similarity - 1e-9))
+    texts = materialised(_rooted(common, roots, "num", "root").select("num", "root", "n", "c", "fp"), "crowd")
+    rest = _rooted(_rooted(rest, roots, "u", "ru"), roots, "v", "rv").filter("ru <> rv").select("u", "v")
+    rest = materialised(rest.unionByName(_apart(texts, places, similarity, width, parts)).distinct(), "pairs")
     if not rest.isEmpty():
-        more = materialised(_verified(rest, docs, classes, size, similarity), "links")
+        more = materialised(_verified(rest, sets, similarity), "links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     ends = classes.select(F.col("num").alias("node"), F.col("class").alias("node_class"))
