@@ -1,6 +1,7 @@
 """Results for hot keys, computed piece by piece, equal those of plain window functions."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window
@@ -8,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from warehaul.operators import windows as win
+from warehaul.plans import QUERIES
+from warehaul.plans.relational import _customer_windows
+from warehaul.session import handed_on, shared_folder
 
 HOT = 40  # rows per key from which on the piecewise way is taken
 
@@ -132,3 +136,56 @@ def test_pieces_and_parts_follow_the_rows_and_not_the_threshold(spark, skewed, m
     plain = skewed.withColumn("total", F.sum("value").over(Window.partitionBy("key")))
     got = win.with_partition_sum(skewed, ["key"], "value")
     assert rows(got, "id", F.coalesce("total", F.lit(-1))) == rows(plain, "id", F.coalesce("total", F.lit(-1)))
+
+
+SIX = ["rn", "rnk", "dense_rnk", "total_spent", "prev_amt", "next_amt"]
+
+
+@pytest.mark.parametrize("order", [["-value"], ["value", "name"]])
+def test_tour_ties_that_fill_whole_pieces(spark, order):
+    rng = random.Random(11)
+    data = [(i, rng.choice(["a", None]), rng.choice([7.0] * 8 + [None, 1.0, 9.0, float("nan")]), rng.choice("xy")) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, key string, value double, name string").repartition(3).cache()
+    args = dict(value="value", by_value=order, ties=["id"], by_time=["name"])
+    hot = win.window_tour(df, ["key"], max_rows=20, **args)
+    plain = win.window_tour(df, ["key"], **args)
+    assert hot.dtypes == plain.dtypes
+    columns = ["id", *[F.col(c).cast("string") for c in SIX]]
+    assert sorted(map(str, rows(hot, *columns))) == sorted(map(str, rows(plain, *columns)))
+
+
+def test_tour_with_ordinary_rows_keeps_its_source(spark, skewed):
+    base, at = handed_on(skewed.withColumn("value", F.coalesce("value", F.lit(0.0))), "given")
+    args = dict(value="value", by_value=["-value"], ties=["id"], by_time=["name"])
+    hot = win.window_tour(base, ["key"], max_rows=HOT, source=at, **args)
+    columns = ["id", *[F.coalesce(c, F.lit(-1)) for c in SIX]]
+    assert rows(hot, *columns) == rows(win.window_tour(base, ["key"], **args), *columns)
+
+
+def test_hot_windows_leave_one_step_on_disk(spark, tmp_path):
+    lines, orders = 6000, 600
+    spark.range(orders).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 30).alias("o_custkey"),
+        F.expr("timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id % 50 as int))").alias("o_orderdate"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(lines).select(
+        (F.col("id") % orders).alias("l_orderkey"), F.col("id").alias("l_partkey"),
+        (F.xxhash64("id") % 50).cast("double").alias("l_extendedprice"), F.lit(1.0).alias("l_quantity"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    place = Path(shared_folder(spark)) / "warehaul"
+    old = set(place.glob("*"))
+    got = QUERIES["customer_windows_hot"](spark, str(tmp_path))
+    kept = {p.name: spark.read.parquet(str(p)).count() for p in set(place.glob("*")) - old}
+    assert sum(kept.values()) < 2 * lines, kept
+    assert got.count() == lines
+    plain = _customer_windows(spark, str(tmp_path), win.HOT_ROWS, F.col("customer_id") % 3)
+    columns = ["order_id", "product_id", *[F.coalesce(c, F.lit(-1)) for c in SIX]]
+    assert rows(got, *columns) == rows(plain, *columns)
+
+
+def test_a_step_handed_on_takes_the_place_of_its_source(spark):
+    first, at = handed_on(spark.range(10), "first")
+    other, at_other = handed_on(spark.range(5), "other")
+    second, _ = handed_on(first.withColumn("x", F.col("id") + 1), "second", at)
+    assert second.count() == 10 and other.count() == 5
+    assert not Path(at).exists() and Path(at_other).exists()

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warehaul.session import fits, materialised
+from warehaul.session import fits, handed_on, materialised
 
 HOT_ROWS = 5_000_000
 #: Rows that a task of a window should hold, so that its memory does not grow with the table.
@@ -47,6 +47,8 @@ def _split(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame
     is_hot = F.col("_rows") > max_rows
     every, total = counts.agg(F.sum("_rows"), F.sum(F.when(is_hot, F.col("_rows")))).first()
     cold, hot, pieces = df, None, 0
+    if total and total == every:  # no row has to be looked for
+        return df.filter(F.lit(False)), df, piece_count(df, total, max_rows)
     if total:
         named = counts.filter(is_hot).select(*[F.col(k).alias(f"_{k}") for k in keys])
         named = F.broadcast(named) if fits(named) else named
@@ -65,10 +67,13 @@ def piece_count(df: DataFrame, rows: int, max_rows: int) -> int:
     return min(2 * (rows // max_rows) + 2, rows // PIECE_ROWS + 3 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def _cut(df: DataFrame, columns: Sequence[Column], pieces: int) -> DataFrame:
+    return df.repartitionByRange(pieces, *columns).withColumn("_piece", F.spark_partition_id())
+
+
 def ranged_pieces(df: DataFrame, columns: Sequence[Column], pieces: int) -> DataFrame:
     """``df`` cut into ``pieces`` ranges, numbered in ``_piece`` and materialised so that the cut stays."""
-    cut = df.repartitionByRange(pieces, *columns).withColumn("_piece", F.spark_partition_id())
-    return materialised(cut, "pieces")
+    return materialised(_cut(df, columns, pieces), "pieces")
 
 
 def _by_piece(cut: DataFrame, keys: Sequence[str], pieces: int) -> DataFrame:
@@ -203,35 +208,50 @@ def _hot_neighbours(
     hot: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, tuple[str, str]], pieces: int
 ) -> DataFrame:
     cut = ranged_pieces(hot, [*[F.col(k) for k in keys], *sort_columns(order), F.xxhash64(*_all(hot))], pieces)
+    local = _beside(_by_piece(cut, keys, pieces), keys, order, columns)
+    return _over_edges(local, _edges(local, keys, columns), keys, columns).select(*hot.columns, *columns)
+
+
+def _beside(
+    parts: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, tuple[str, str]]
+) -> DataFrame:
+    """The neighbours inside a piece, and which rows are its ends."""
     inside = Window.partitionBy(*keys, "_piece").orderBy(*sort_columns(order))
-    local = _by_piece(cut, keys, pieces).withColumns(
+    return parts.withColumns(
         {
-            "_rn": F.row_number().over(inside),
-            "_size": F.count("*").over(Window.partitionBy(*keys, "_piece")),
+            "_first": F.lag(F.lit(1), 1).over(inside).isNull(),
+            "_last": F.lead(F.lit(1), 1).over(inside).isNull(),
             **{n: _BESIDE[kind](c, 1).over(inside) for n, (kind, c) in columns.items()},
         }
     )
+
+
+def _edges(local: DataFrame, keys: Sequence[str], columns: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """What the rows at the ends of a piece have beside them, in the pieces before and after it."""
     sources = list(dict.fromkeys(c for _, c in columns.values()))
-    edges = local.filter((F.col("_rn") == 1) | (F.col("_rn") == F.col("_size")))
-    totals = edges.groupBy(*keys, "_piece").agg(
-        *[F.min_by(c, "_rn").alias(f"_first_{c}") for c in sources],
-        *[F.max_by(c, "_rn").alias(f"_last_{c}") for c in sources],
+    ends = local.filter(F.col("_first") | F.col("_last")).groupBy(*keys, "_piece").agg(
+        *[F.max_by(c, "_first").alias(f"_first_{c}") for c in sources],
+        *[F.max_by(c, "_last").alias(f"_last_{c}") for c in sources],
     )
     by_piece = Window.partitionBy(*keys).orderBy("_piece")
-    totals = totals.select(
+    return ends.select(
         *keys,
         "_piece",
         *[F.lag(f"_last_{c}", 1).over(by_piece).alias(f"_lag_{c}") for c in sources],
         *[F.lead(f"_first_{c}", 1).over(by_piece).alias(f"_lead_{c}") for c in sources],
     )
-    edge = {"lag": F.col("_rn") == 1, "lead": F.col("_rn") == F.col("_size")}
-    done = _attach(local, totals, keys).withColumns(
+
+
+def _over_edges(
+    local: DataFrame, edges: DataFrame, keys: Sequence[str], columns: Mapping[str, tuple[str, str]]
+) -> DataFrame:
+    end = {"lag": F.col("_first"), "lead": F.col("_last")}
+    return _attach(local, edges, keys).withColumns(
         {
-            n: F.when(edge[kind], F.col(f"_{kind}_{c}")).otherwise(F.col(n))
+            n: F.when(end[kind], F.col(f"_{kind}_{c}")).otherwise(F.col(n))
             for n, (kind, c) in columns.items()
         }
     )
-    return done.select(*hot.columns, *columns)
 
 
 def with_lag(df, keys, order, col, name="prev", max_rows: int = HOT_ROWS) -> DataFrame:
@@ -342,11 +362,12 @@ def with_row_id(
 
 def window_tour(
     df: DataFrame, keys: Sequence[str], value: str, by_value: Sequence[str], ties: Sequence[str],
-    by_time: Sequence[str], max_rows: int = HOT_ROWS,
+    by_time: Sequence[str], max_rows: int = HOT_ROWS, source: str | None = None,
 ) -> DataFrame:
     """row_number, rank, dense_rank, group sum, lag and lead of one value per key.
 
-    Ordinary keys get all six from one shuffle; the rows of hot keys take the piecewise way.
+    Ordinary keys get all six from one shuffle; the rows of hot keys take the piecewise way. ``source`` is the scratch
+    path of ``df`` if nothing else reads it; it goes as soon as all its rows, if all are of hot keys, are cut into pieces.
     """
     value_order, time_order = [*by_value, *ties], [*by_time, *ties]
     cold, hot, pieces = _split(df, keys, max_rows)
@@ -365,10 +386,58 @@ def window_tour(
     )
     if hot is None:
         return result
-    # each step reads its input several times, so the steps are cut apart; all keys are known to be hot
-    step = materialised(hot, "hot")
-    step = materialised(_hot_row_number(step, keys, value_order, "rn", pieces), "hot")
-    step = _hot_sum(step, keys, value, "total_spent")
-    step = materialised(_hot_ranks(step, keys, by_value, {"rank": "rnk", "dense_rank": "dense_rnk"}, pieces), "hot")
-    step = _hot_neighbours(step, keys, time_order, {"prev_amt": ("lag", value), "next_amt": ("lead", value)}, pieces)
-    return result.unionByName(step)
+    # each step is written and its source deleted, so that the disk holds two steps and one shuffle at a time
+    cut, at = handed_on(
+        _cut(hot, [*[F.col(k) for k in keys], *sort_columns(value_order), F.xxhash64(*_all(hot))], pieces),
+        "pieces", source if hot is df else None,
+    )
+    step, at = handed_on(_placed(_by_piece(cut, keys, pieces), keys, value_order, by_value), "hot", at)
+    step = _after_pieces(step, keys, by_value)
+    cut, at = handed_on(_cut(step, [*[F.col(k) for k in keys], *sort_columns(time_order), F.col("rn")], pieces), "pieces", at)
+    columns = {"prev_amt": ("lag", value), "next_amt": ("lead", value)}
+    step, _ = handed_on(_beside(_by_piece(cut, keys, pieces), keys, [*time_order, "rn"], columns), "hot", at)
+    edges = materialised(_edges(step, keys, columns), "edges")
+    step = _over_edges(_hot_sum(step, keys, value, "total_spent"), edges, keys, columns)
+    return result.unionByName(step.select(*result.columns))
+
+
+def _placed(parts: DataFrame, keys: Sequence[str], value_order: Sequence[str], by_value: Sequence[str]) -> DataFrame:
+    """row_number, rank and dense_rank inside a piece; the ranks find the rows in order."""
+    inside = Window.partitionBy(*keys, "_piece")
+    tied = inside.orderBy(*sort_columns(by_value))
+    return parts.withColumn("rn", F.row_number().over(inside.orderBy(*sort_columns(value_order)))).withColumns(
+        {"rnk": F.rank().over(tied), "dense_rnk": F.dense_rank().over(tied)}
+    )
+
+
+def _after_pieces(local: DataFrame, keys: Sequence[str], by_value: Sequence[str]) -> DataFrame:
+    """``_placed`` with what the pieces before hold; the first rows of a piece may be tied with the last ones before it."""
+    tie = F.struct(*plain_names(by_value))
+    totals = local.groupBy(*keys, "_piece").agg(
+        F.count("*").alias("_n"), F.max("rnk").alias("_r"), F.max("dense_rnk").alias("_d"),
+        F.min_by(tie, "rn").alias("_head"), F.max_by(tie, "rn").alias("_tail"),
+    )
+    by_piece = Window.partitionBy(*keys).orderBy("_piece")
+    totals = totals.select(
+        *keys, "_piece", "_r", "_d",
+        F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_n"),
+        F.col("_head").eqNullSafe(F.lag("_tail", 1).over(by_piece)).alias("_on"),
+    )
+    # a piece of nothing but rows tied with those before it opens no rank
+    opened = F.when(~F.col("_on") | (F.col("_d") > 1), F.col("_n") + F.col("_r"))
+    totals = totals.select(
+        *keys, "_piece", "_n", "_on",
+        F.last(opened, ignorenulls=True).over(_before(keys)).alias("_r"),
+        (
+            F.coalesce(F.sum(F.col("_d") - F.col("_on").cast("int")).over(_before(keys)), F.lit(0))
+            - F.col("_on").cast("int")
+        ).alias("_d"),
+    )
+    placed = _attach(local, materialised(totals, "totals"), keys)
+    return placed.withColumns(
+        {
+            "rn": F.col("rn") + F.col("_n"),
+            "rnk": F.when(F.col("_on") & (F.col("dense_rnk") == 1), F.col("_r")).otherwise(F.col("rnk") + F.col("_n")),
+            "dense_rnk": F.col("dense_rnk") + F.col("_d"),
+        }
+    ).drop("_piece", "_n", "_on", "_r", "_d")

@@ -11,7 +11,7 @@ from warehaul.operators import synthetic
 from warehaul.operators import windows as win
 from warehaul.plans.tables import AS_OF, average, customers, fact_orders, products, sales, table, with_cte
 from warehaul.registry import query
-from warehaul.session import materialised
+from warehaul.session import handed_on
 from warehaul.sources import tables as src
 
 # --- projections, filters, parameters -------------------------------------------------------
@@ -946,10 +946,10 @@ def customer_windows_hot(spark, sf):
 
 def _customer_windows(spark, sf, max_rows, key="customer_id"):
     # the windows read their input more than once, so the join is written out first
-    base = materialised(sales(spark, sf).withColumn("customer_id", F.col(key) if isinstance(key, str) else key), "sales")
+    base, at = handed_on(sales(spark, sf).withColumn("customer_id", F.col(key) if isinstance(key, str) else key), "sales")
     ties = ["order_id", "product_id", "quantity", "amount"]
     return win.window_tour(
-        base, ["customer_id"], value="amount", by_value=["-amount"], ties=ties, by_time=["order_date"], max_rows=max_rows
+        base, ["customer_id"], value="amount", by_value=["-amount"], ties=ties, by_time=["order_date"], max_rows=max_rows, source=at
     ).select(
         "customer_id", "order_id", "product_id", "amount", "rn", "rnk", "dense_rnk",
         F.round("total_spent", 2).alias("total_spent"), "prev_amt", "next_amt",
