@@ -189,3 +189,29 @@ def test_a_step_handed_on_takes_the_place_of_its_source(spark):
     second, _ = handed_on(first.withColumn("x", F.col("id") + 1), "second", at)
     assert second.count() == 10 and other.count() == 5
     assert not Path(at).exists() and Path(at_other).exists()
+
+
+@pytest.mark.parametrize("by_value", [["-value"], ["value"], ["name", "-value"]])
+def test_tour_in_rounds(spark, monkeypatch, by_value):
+    rng = random.Random(5)
+    values = [None, float("nan"), -0.0, 0.0, *[7.0] * 9, *map(float, range(-20, 20))]
+    data = [(i, rng.choice("ab"), rng.choice(values), rng.choice(["x", "y", None]), rng.choice([None, *range(30)])) for i in range(500)]
+    df = spark.createDataFrame(data, "id int, key string, value double, name string, day int")
+    df = df.withColumn("day", F.date_add(F.lit("2020-01-01"), F.col("day"))).repartition(3).cache()
+    args = dict(value="value", by_value=by_value, ties=["id"], by_time=["-day"])
+    plain = win.window_tour(df, ["key"], **args)
+    monkeypatch.setattr(win, "ROUND_PIECES", 8)
+    ranges = win._range_numbers(df, ["-value", "day", "name"], 4)
+    assert [df.select(r.alias("r")).distinct().count() for r in ranges] == [4, 4, 1]
+    hot = win.window_tour(df, ["key"], max_rows=30, **args)
+    columns = ["id", *[F.col(c).cast("string") for c in SIX]]
+    assert sorted(map(str, rows(hot, *columns))) == sorted(map(str, rows(plain, *columns)))
+
+
+def test_rounds_of_one_value(spark, monkeypatch):
+    monkeypatch.setattr(win, "ROUND_PIECES", 3)
+    df = spark.range(200).select("id", F.lit("a").alias("key"), F.lit(1.0).alias("value"), F.lit(None).cast("date").alias("day"))
+    args = dict(value="value", by_value=["-value"], ties=["id"], by_time=["day"])
+    columns = ["id", *[F.coalesce(c, F.lit(-1)) for c in SIX]]
+    plain = rows(win.window_tour(df, ["key"], **args), *columns)
+    assert rows(win.window_tour(df, ["key"], max_rows=20, **args), *columns) == plain

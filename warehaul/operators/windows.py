@@ -18,6 +18,8 @@ from warehaul.session import fits, handed_on, materialised
 HOT_ROWS = 5_000_000
 #: Rows that a task of a window should hold, so that its memory does not grow with the table.
 PIECE_ROWS = 500_000
+#: Pieces that a round of the tour should hold, and the most rounds, as each reads the rows of the hot keys again.
+ROUND_PIECES, MOST_ROUNDS = 50, 4
 
 
 def sort_columns(order: Sequence[str]) -> list[Column]:
@@ -67,8 +69,8 @@ def piece_count(df: DataFrame, rows: int, max_rows: int) -> int:
     return min(2 * (rows // max_rows) + 2, rows // PIECE_ROWS + 3 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _cut(df: DataFrame, columns: Sequence[Column], pieces: int) -> DataFrame:
-    return df.repartitionByRange(pieces, *columns).withColumn("_piece", F.spark_partition_id())
+def _cut(df: DataFrame, columns: Sequence[Column], pieces: int, first: int = 0) -> DataFrame:
+    return df.repartitionByRange(pieces, *columns).withColumn("_piece", F.spark_partition_id() + first)
 
 
 def ranged_pieces(df: DataFrame, columns: Sequence[Column], pieces: int) -> DataFrame:
@@ -367,7 +369,7 @@ def window_tour(
     """row_number, rank, dense_rank, group sum, lag and lead of one value per key.
 
     Ordinary keys get all six from one shuffle; the rows of hot keys take the piecewise way. ``source`` is the scratch
-    path of ``df`` if nothing else reads it; it goes as soon as all its rows, if all are of hot keys, are cut into pieces.
+    path of ``df`` if nothing else reads it; if all its rows are of hot keys, it goes as soon as they are cut into pieces.
     """
     value_order, time_order = [*by_value, *ties], [*by_time, *ties]
     cold, hot, pieces = _split(df, keys, max_rows)
@@ -386,21 +388,71 @@ def window_tour(
     )
     if hot is None:
         return result
-    # each step is written and its source deleted, so that the disk holds two steps and one shuffle at a time
-    cut, at = handed_on(
-        _cut(hot, [*[F.col(k) for k in keys], *sort_columns(value_order), F.xxhash64(*_all(hot))], pieces),
-        "pieces", source if hot is df else None,
-    )
-    step, at = handed_on(_placed(_by_piece(cut, keys, pieces), keys, value_order, by_value), "hot", at)
-    step = _after_pieces(step, keys, by_value)
-    cut, at = handed_on(_cut(step, [*[F.col(k) for k in keys], *sort_columns(time_order), F.col("rn")], pieces), "pieces", at)
-    columns = {"prev_amt": ("lag", value), "next_amt": ("lead", value)}
-    step, _ = handed_on(_beside(_by_piece(cut, keys, pieces), keys, [*time_order, "rn"], columns), "hot", at)
-    edges = materialised(_edges(step, keys, columns), "edges")
-    step = _over_edges(_hot_sum(step, keys, value, "total_spent"), edges, keys, columns)
+    if hot is not df or source is None:
+        hot, source = handed_on(hot, "hot")
+    step = _hot_tour(hot, source, keys, value, by_value, value_order, time_order, pieces)
     return result.unionByName(step.select(*result.columns))
 
 
+def _hot_tour(
+    hot: DataFrame, source: str, keys: Sequence[str], value: str, by_value: Sequence[str], value_order: Sequence[str],
+    time_order: Sequence[str], pieces: int,
+) -> DataFrame:
+    """The six results over hot keys: all rows are cut once by value and once by time, in rounds over ranges of that order.
+
+    What a step has read is deleted once it is written, so the disk holds all rows once or twice, and the pieces and the
+    shuffle of one round.
+    """
+    rounds = min(pieces // ROUND_PIECES + 1, MOST_ROUNDS)
+    each = max(pieces // rounds + 1, min(pieces, 2 * hot.sparkSession.sparkContext.defaultParallelism))
+    value_range, time_range = _range_numbers(hot, [value_order[0], time_order[0]], rounds)
+    given = [F.col(k) for k in keys]
+    parts, paths = [], []
+    for i in range(rounds):
+        some = [*given, *sort_columns(value_order), F.xxhash64(*_all(hot))]
+        done = [source] if i == rounds - 1 else []
+        cut, at = handed_on(_cut(hot.filter(value_range == i), some, each, i * each), "pieces", *done)
+        placed = _placed(_by_piece(cut, keys, each), keys, value_order, by_value).withColumn("_range", time_range)
+        part, at = handed_on(placed, "hot", at, by="_range")
+        parts.append(part)
+        paths.append(at)
+    step = _after_pieces(reduce(DataFrame.unionByName, parts), keys, by_value)
+    columns, parts = {"prev_amt": ("lag", value), "next_amt": ("lead", value)}, []
+    for i in range(rounds):
+        some = [*given, *sort_columns(time_order), F.col("rn")]
+        done = paths if i == rounds - 1 else [f"{at}/_range={i}" for at in paths]
+        cut, at = handed_on(_cut(step.filter(F.col("_range") == i).drop("_range"), some, each, i * each), "pieces", *done)
+        part, _ = handed_on(_beside(_by_piece(cut, keys, each), keys, [*time_order, "rn"], columns), "hot", at)
+        parts.append(part)
+    step = reduce(DataFrame.unionByName, parts)
+    edges = materialised(_edges(step, keys, columns), "edges")
+    return _over_edges(_hot_sum(step, keys, value, "total_spent"), edges, keys, columns)
+
+
+def _range_numbers(df: DataFrame, order: Sequence[str], ranges: int) -> list[Column]:
+    """For each name of ``order`` the number of the range a row lies in: rows of a range come before those of the next.
+
+    The bounds are rough, as only the size of a range hangs on them. Types that are no numbers, dates or times stay in one range.
+    """
+    kinds, plain = dict(df.dtypes), plain_names(order)
+    numbers = {c: F.unix_date(c) if kinds[c] == "date" else F.col(c) for c in plain}
+    numbers = {c: n.cast("double") for c, n in numbers.items() if kinds[c].split("(")[0] in _RANGED} if ranges > 1 else {}
+    if not numbers:
+        return [F.lit(0) for _ in order]
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = df.agg(*[F.percentile_approx(n, shares, 1000).alias(c) for c, n in numbers.items()]).first()
+    found = []
+    for name, c in zip(order, plain):
+        # NULL comes first when ascending, NaN is the highest, as in the sort
+        above = [F.when(numbers[c] > F.lit(b), 1).otherwise(0) for b in (bounds[c] if c in numbers else None) or []]
+        number = reduce(Column.__add__, above, F.lit(0))
+        found.append(F.lit(len(above)) - number if name.startswith("-") else number)
+    return found
+
+
+_RANGED = {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp"}
+
+
 def _placed(parts: DataFrame, keys: Sequence[str], value_order: Sequence[str], by_value: Sequence[str]) -> DataFrame:
     """row_number, rank and dense_rank inside a piece; the ranks find the rows in order."""
     inside = Window.partitionBy(*keys, "_piece")

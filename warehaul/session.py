@@ -78,16 +78,16 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def handed_on(df: DataFrame, name: str, source: str | None = None) -> tuple[DataFrame, str]:
-    """``materialised``, packed tighter, with its path, for a step that only the next one reads.
+def handed_on(df: DataFrame, name: str, *sources: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """``materialised``, packed tighter, with its path and a folder for each value of ``by``: a step that only the next one reads.
 
-    Once ``df`` is written, the scratch path ``source`` that it was computed from goes, and so do the shuffle files of the
+    Once ``df`` is written, the scratch paths ``sources`` that it was computed from go, and so do the shuffle files of the
     write: Spark's cleaner deletes them after a collection of the driver, which else may come late.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    if source:
+    df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
+    for source in sources:
         remove_scratch(spark, source)
     spark._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
