@@ -215,3 +215,16 @@ def test_rounds_of_one_value(spark, monkeypatch):
     columns = ["id", *[F.coalesce(c, F.lit(-1)) for c in SIX]]
     plain = rows(win.window_tour(df, ["key"], **args), *columns)
     assert rows(win.window_tour(df, ["key"], max_rows=20, **args), *columns) == plain
+
+
+def test_tour_numbers_copies_of_a_row_backwards_in_time(spark):
+    data = [("a", i, float(i % 7), i % 5) for i in [*range(60), *range(60)]]
+    df = spark.createDataFrame(data, "key string, id int, value double, day int")
+    args = dict(value="value", by_value=["-value"], ties=["id"], by_time=["day"])
+    found = {}
+    for r in win.window_tour(df, ["key"], max_rows=20, **args).collect():
+        found.setdefault((r["id"], r["value"]), []).append((r["rn"], r["prev_amt"], r["next_amt"]))
+    assert len(found) == 60 and sorted(n[0] for v in found.values() for n in v) == list(range(1, 121))
+    for (_, value), copies in found.items():
+        (low, before, _), (high, _, after) = sorted(copies)
+        assert (high, before, after) == (low + 1, value, value)

@@ -418,11 +418,12 @@ def _hot_tour(
         paths.append(at)
     step = _after_pieces(reduce(DataFrame.unionByName, parts), keys, by_value)
     columns, parts = {"prev_amt": ("lag", value), "next_amt": ("lead", value)}, []
+    by_rows = [*time_order, "-rn"]  # copies of a row too have one order
     for i in range(rounds):
-        some = [*given, *sort_columns(time_order), F.col("rn")]
+        some = [*given, *sort_columns(by_rows)]
         done = paths if i == rounds - 1 else [f"{at}/_range={i}" for at in paths]
         cut, at = handed_on(_cut(step.filter(F.col("_range") == i).drop("_range"), some, each, i * each), "pieces", *done)
-        part, _ = handed_on(_beside(_by_piece(cut, keys, each), keys, [*time_order, "rn"], columns), "hot", at)
+        part, _ = handed_on(_beside(_by_piece(cut, keys, each), keys, by_rows, columns), "hot", at)
         parts.append(part)
     step = reduce(DataFrame.unionByName, parts)
     edges = materialised(_edges(step, keys, columns), "edges")
